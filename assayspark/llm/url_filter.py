@@ -33,6 +33,11 @@ SITES = (("block", "spam-farm.example.com", "/"), ("block", "spam-farm.example.n
 ARRAY_RULES = 250_000
 
 
+def _length(host: bytes, path: bytes) -> tuple[int, int]:
+    """Of host and path together, in code points; of equal ones, the longer host counts as longer."""
+    return len(host.decode()) + len(path.decode(errors="replace")), len(host)
+
+
 class DigestArray:
     """Sorted digests over stored strings; find() gives the stored row of each probe or -1."""
 
@@ -93,9 +98,9 @@ class DigestArray:
                         owners.append(i)
                         hosts.append(suffix)
                         paths.append(path[:n])
-        best: list = [None] * len(urls)
+        best: list[tuple[bytes, bytes, str] | None] = [None] * len(urls)
         for i, row in zip(owners, self.find(hosts, paths).tolist(), strict=True):
-            if row >= 0 and (best[i] is None or sum(map(len, self.stored[row][:2])) > sum(map(len, best[i][:2]))):
+            if row >= 0 and (best[i] is None or _length(*self.stored[row][:2]) > _length(*best[i][:2])):
                 best[i] = self.stored[row]
         return best
 
@@ -126,9 +131,9 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     def split(rows: pa.RecordBatch) -> dict:
         hosts, paths = zip(*map(split_url, rows.column(1).to_pylist()), strict=True) if rows.num_rows else ((), ())
         none = [None] * rows.num_rows
-        return {"page_id": rows.column(0), "host": list(hosts), "path": list(paths), "rule": none, "rule_action": none, "site": none, "site_action": none}
+        return {"page_id": rows.column(0), "host": list(hosts), "path": list(paths), "rule": none, "site": none}
 
-    schema = "page_id long, host string, path string, rule string, rule_action string, site string, site_action string"
+    schema = "page_id long, host string, path string, rule struct<host:string,path:string,action:string>, site struct<host:string,path:string,action:string>"
     out = map_rows(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")), "url", schema, split)
     for kind, array in parts:
         sent = spark.sparkContext.broadcast(array)
@@ -136,11 +141,11 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
         def probe(rows: pa.RecordBatch, kind: str = kind, sent=sent) -> dict:
             new = {f: rows.column(f) for f in rows.schema.names}
             urls = [(h.encode(), p.encode()) for h, p in zip(rows.column("host").to_pylist(), rows.column("path").to_pylist(), strict=True)]
-            best = list(zip(rows.column(kind).to_pylist(), rows.column(f"{kind}_action").to_pylist(), strict=True))
+            best = rows.column(kind).to_pylist()
             for i, hit in enumerate(sent.value.longest(urls)):
-                if hit and (best[i][0] is None or len(hit[0]) + len(hit[1]) > len(best[i][0].encode())):
-                    best[i] = ((hit[0] + hit[1]).decode(), hit[2])
-            return new | {kind: [b[0] for b in best], f"{kind}_action": [b[1] for b in best]}
+                if hit and (best[i] is None or _length(*hit[:2]) > _length(best[i]["host"].encode(), best[i]["path"].encode())):
+                    best[i] = {"host": hit[0].decode(), "path": hit[1].decode(), "action": hit[2]}
+            return new | {kind: best}
 
         out = map_rows(out, "path", schema, probe)
-    return out.select("page_id", "host", "path", "rule", F.coalesce("rule_action", "site_action", F.lit("allow")).alias("verdict"))
+    return out.select("page_id", "host", "path", F.concat("rule.host", "rule.path").alias("rule"), F.coalesce("rule.action", "site.action", F.lit("allow")).alias("verdict"))

@@ -14,11 +14,11 @@ def brute(url, rules, sites):
         host = host.translate({i: i + 32 for i in range(65, 91)})
 
     def best(rules):
-        fits = [(len(h + p), h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        fits = [(len(h + p), len(h), h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return max(fits, default=None)
 
     rule, site = best(rules), best(sites)
-    return host, path, rule and rule[1], rule[2] if rule else site[2] if site else "allow"
+    return host, path, rule and rule[2], rule[3] if rule else site[3] if site else "allow"
 
 
 def check(spark, urls, rules=U.RULES, sites=U.SITES):
