@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayspark.llm import exact_dedup, url_filter
+from assayspark.llm import exact_dedup, packing, url_filter
 from assayspark.llm.shared import table
 
 
@@ -12,11 +12,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op7_exact_dedup, op9_best_fit_packing, op10_url_filter)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
