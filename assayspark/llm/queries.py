@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayspark.llm import exact_dedup, near_dedup, packing, url_filter
+from assayspark.llm import exact_dedup, near_dedup, packing, toxicity, url_filter
 from assayspark.llm.shared import table
 
 
@@ -12,6 +12,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,7 +28,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op7_exact_dedup, op9_best_fit_packing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op7_exact_dedup, op9_best_fit_packing, op10_url_filter)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
