@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayspark.llm import exact_dedup, license_scan, media, near_dedup, packing, toxicity, url_filter
+from assayspark.llm import exact_dedup, html_extract, license_scan, media, near_dedup, packing, toxicity, url_filter
 from assayspark.llm.shared import table
 
 
@@ -24,6 +24,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_license_scan, op4_media, op7_exact_dedup, op9_best_fit_packing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_license_scan, op4_media, op6_html_extract, op7_exact_dedup, op9_best_fit_packing, op10_url_filter)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
