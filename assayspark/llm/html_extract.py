@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,6 +43,7 @@ _PARTS = re.compile(r"[^a-z]+")
 PATH, WORDS, NUMBERS = 96, 32, 8
 SIZE = PATH + WORDS + NUMBERS
 HIDDEN = 16
+LEVELS = 12  # outermost and innermost elements of a tag path that are read
 PAGES, EPOCHS, BATCH = 800, 8, 16
 BATCH_BLOCKS = 40_000  # of one run of the network; a longer page is a run of its own
 
@@ -52,23 +54,29 @@ def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order: references decoded, white space runs as one space, trimmed, none empty."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    still_open: Counter[str] = Counter()
     texts: list[str] = []
     links = linked = 0
+    unclosed = False  # a comment or script that the page ends in
 
     def flush() -> None:
         nonlocal linked
         if texts:
             words = "".join(texts).split()
             if words:
-                out.append((tuple(n for _, names in stack for n in names), " ".join(words), len(words), min(linked, len(words))))
+                levels = stack if len(stack) <= 2 * LEVELS else stack[:LEVELS] + stack[-LEVELS:]
+                out.append((tuple(n for _, names in levels for n in names), " ".join(words), len(words), min(linked, len(words))))
             texts.clear()
         linked = 0
 
+    def cut(i: int) -> None:
+        for tag, _ in stack[i:]:
+            still_open[tag] -= 1
+        del stack[i:]
+
     def close(tag: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                return
+        if still_open[tag]:
+            cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -77,8 +85,8 @@ def blocks(page: str) -> list[Block]:
         if links:
             linked += len(piece.split())
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, tail = 0, page.rfind(">") + 1  # without a `>`, what follows holds no tag
+    for m in _TOKEN.finditer(page, 0, tail):
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
@@ -94,20 +102,25 @@ def blocks(page: str) -> list[Block]:
                 close(tag)
                 continue
             if tag in _ENDS_P and stack and stack[-1][0] == "p":
-                stack.pop()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _SELF_CLOSING.get(tag, ()):
-                    del stack[i:]
+                cut(len(stack) - 1)
+            group = _SELF_CLOSING.get(tag, ())
+            for i in range(len(stack) - 1, -1, -1) if any(still_open[g] for g in group) else ():
+                if stack[i][0] in group:
+                    cut(i)
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table", "select", "div", "article", "section"):
                     break
             if tag not in VOID:
                 marks = [f"{a.lower()}:{part}" for a, *v in _NAMES.findall(names) for part in _PARTS.split("".join(v).lower()) if part] if "=" in names else []
                 stack.append((tag, (tag, *marks)))
+                still_open[tag] += 1
         elif not tag and m[1]:
             texts.append(" ")
-    if at < len(page):
-        text(page[at:])
+            unclosed = at == tail and not re.search(r"</[a-z]+\s*>\Z", m[0], re.I)
+        elif not tag and at == tail:
+            unclosed = m[0].startswith("<!--") and not m[0].endswith("-->")
+    if at < len(page) and not unclosed:
+        text(page[at:].partition("<!--")[0])
     flush()
     return out
 
