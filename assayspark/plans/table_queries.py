@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayspark.functions.columns import compression, full_id, full_match, id_kind, is_integer, is_numeric, raw_key, results_file, wrap
+from assayspark.functions.na import COLUMN_NA
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -56,3 +59,387 @@ def extract_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.groupBy("metabolite").agg(
         F.count("*").alias("num_studies"), F.sum("analyses").alias("num_analyses"), F.sum("samples").alias("num_samples")
     )
+
+
+#: The driver's dimension tables as (key, value) items.
+ITEMS = (("nation", "n_name"), ("region", "r_name"), ("customer", "c_mktsegment"), ("part", "p_brand"), ("part", "p_type"), ("orders", "o_orderstatus"), ("orders", "o_orderpriority"))
+
+
+@query(
+    "q02_extract_nested",
+    """
+    SELECT l.l_partkey AS metabolite, c.c_nationkey AS study,
+           array_to_string(list_sort(list(DISTINCT CAST(l.l_suppkey AS VARCHAR))), ',') AS samples
+    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+    WHERE TRY_CAST(CAST(l.l_discount AS VARCHAR) AS DOUBLE) > 0 GROUP BY 1, 2
+    """,
+)
+def extract_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples with a positive measurement, by metabolite and study, as sorted sets."""
+    line, orders, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
+    value = F.expr("try_cast(cast(l_discount AS string) AS double)")
+    rows = line.filter((value > 0) & ~F.isnan(value)).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.groupBy(F.col("l_partkey").alias("metabolite"), F.col("c_nationkey").alias("study")).agg(
+        F.array_join(F.sort_array(F.collect_set(F.col("l_suppkey").cast("string"))), ",").alias("samples")
+    )
+
+
+@query(
+    "q03_metadata_values",
+    "SELECT key, array_to_string(list_sort(list(DISTINCT value)), '|') AS values_found, count(DISTINCT value) AS n_values FROM ("
+    + " UNION ALL ".join(f"SELECT '{c.upper()}' AS key, {c} AS value FROM {t}" for t, c in ITEMS)
+    + ") GROUP BY key",
+)
+def metadata_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values of each metadata key, over all tables, as one sorted set."""
+    parts = [table(spark, sf_dir, t).select(F.lit(c.upper()).alias("key"), F.col(c).alias("value")) for t, c in ITEMS]
+    items = parts[0]
+    for part in parts[1:]:
+        items = items.unionByName(part)
+    return items.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("value")), "|").alias("values_found"), F.countDistinct("value").alias("n_values"))
+
+
+@query("q04_item_matcher_eq", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def item_matcher_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    match = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(match, "o_custkey", "left_semi")
+
+
+@query("q05_item_matcher_regex", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE regexp_matches(c_mktsegment, '^(AUTO|MACH)'))")
+def item_matcher_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    match = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").rlike("^(AUTO|MACH)")).select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(match, "o_custkey", "left_semi")
+
+
+@query(
+    "q06_unpivot_cells",
+    " UNION ALL ".join(f"SELECT p_partkey AS row_id, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM part" for c in ("p_name", "p_brand", "p_type", "p_size")),
+)
+def unpivot_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), "p_name", "p_brand", "p_type", F.col("p_size").cast("string").alias("p_size"))
+    return part.unpivot(["row_id"], ["p_name", "p_brand", "p_type", "p_size"], "column_name", "value")
+
+
+EVENT_TYPES = ("click", "purchase", "view", "signup", "logout")
+
+
+@query(
+    "q07_pivot_table",
+    "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{e}') AS n_{e}" for e in EVENT_TYPES) + " FROM events GROUP BY user_id",
+)
+def pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", list(EVENT_TYPES)).count()
+    return wide.select("user_id", *(F.coalesce(F.col(e), F.lit(0)).alias(f"n_{e}") for e in EVENT_TYPES))
+
+
+@query("q08_anti_data_not_in_ssf", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def data_not_in_ssf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left_anti")
+
+
+@query("q09_anti_documents_without_labels", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def documents_without_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query(
+    "q10_anti_names_both_directions",
+    """
+    WITH a AS (SELECT DISTINCT trim(p_name) AS name FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_returnflag = 'A' AND l_linenumber = 1 AND l_quantity > 45),
+         r AS (SELECT DISTINCT trim(p_name) AS name FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_linenumber = 1 AND l_quantity > 45)
+    SELECT 'only_a' AS side, name FROM a WHERE name NOT IN (SELECT name FROM r)
+    UNION ALL SELECT 'only_r', name FROM r WHERE name NOT IN (SELECT name FROM a)
+    """,
+)
+def names_both_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names on one side only, in both directions, by one aggregation over both sides."""
+    line = table(spark, sf_dir, "lineitem").filter("l_returnflag IN ('A', 'R') AND l_linenumber = 1 AND l_quantity > 45")
+    names = line.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.trim("p_name").alias("name"), "l_returnflag")
+    sides = names.groupBy("name").agg(F.bool_or(F.col("l_returnflag") == "A").alias("a"), F.bool_or(F.col("l_returnflag") == "R").alias("r"))
+    return sides.filter("a <> r").select(F.when(F.col("a"), "only_a").otherwise("only_r").alias("side"), "name")
+
+
+@query("q11_dup_after_first", "SELECT p_partkey, p_name, n FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part) WHERE n > 1")
+def dup_after_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("p_name").orderBy("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", F.row_number().over(order).cast("long").alias("n")).filter("n > 1")
+
+
+@query(
+    "q12_dup_key_suffix",
+    """
+    SELECT event_id, CASE WHEN n = 0 THEN event_type ELSE event_type || '{{{_' || n || '_}}}' END AS raw_key
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS n FROM events)
+    """,
+)
+def dup_key_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", (F.row_number().over(order) - 1).alias("dup"))
+    return rows.select("event_id", raw_key(F.col("event_type"), F.col("dup")).alias("raw_key"))
+
+
+NA_SQL = ", ".join("'" + v.replace("'", "''") + "'" for v in COLUMN_NA)
+
+
+@query(
+    "q13_null_column",
+    f"""
+    SELECT l_orderkey, column_name FROM (
+      SELECT l_orderkey, 'l_returnflag' AS column_name, l_returnflag AS value FROM lineitem
+      UNION ALL SELECT l_orderkey, 'l_linestatus', l_linestatus FROM lineitem
+    ) GROUP BY 1, 2 HAVING bool_and(value IS NULL) OR bool_and(coalesce(value IN ({NA_SQL}), false))
+    """,
+)
+def null_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus").unpivot(["l_orderkey"], ["l_returnflag", "l_linestatus"], "column_name", "value")
+    missing = F.coalesce(F.col("value").isin(*COLUMN_NA), F.lit(False))
+    return cells.groupBy("l_orderkey", "column_name").agg(F.bool_and(F.col("value").isNull()).alias("n"), F.bool_and(missing).alias("m")).filter("n OR m").select("l_orderkey", "column_name")
+
+
+@query(
+    "q14_overbalanced",
+    """
+    WITH cells AS (
+      SELECT 'c_negative' AS column_name, CAST(c_acctbal <= 0 AS VARCHAR) AS value FROM customer
+      UNION ALL SELECT 'toxic', CAST(toxic AS VARCHAR) FROM labels UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer
+    ), n AS (SELECT column_name, value, count(*) AS n FROM cells GROUP BY 1, 2)
+    SELECT column_name, CAST(max(n) AS BIGINT) AS most, CAST(sum(n) AS BIGINT) AS total FROM n GROUP BY 1 HAVING max(n) / sum(n) > 0.9 AND count(*) > 1
+    """,
+)
+def overbalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of several values in which one has more than nine tenths."""
+    customer = table(spark, sf_dir, "customer")
+    cells = customer.select(F.lit("c_negative").alias("column_name"), (F.col("c_acctbal") <= 0).cast("string").alias("value"))
+    cells = cells.unionByName(table(spark, sf_dir, "labels").select(F.lit("toxic").alias("column_name"), F.col("toxic").cast("string").alias("value")))
+    cells = cells.unionByName(customer.select(F.lit("c_mktsegment").alias("column_name"), F.col("c_mktsegment").alias("value")))
+    counts = cells.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    return counts.groupBy("column_name").agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("k")).filter("most / total > 0.9 AND k > 1").drop("k")
+
+
+@query("q15_dup_rows", "SELECT l_orderkey, l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def dup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_linestatus").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query("q16_blank_names", f"SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag IS NULL OR l_returnflag IN ({NA_SQL})")
+def blank_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.col("l_returnflag")
+    return table(spark, sf_dir, "lineitem").filter(flag.isNull() | flag.isin(*COLUMN_NA)).select("l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@query("q17_header_like_names", "SELECT conv_id, turn, role FROM conversations WHERE lower(trim(role)) IN ('user', 'samples', 'factors', 'system')")
+def header_like_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").filter(F.lower(F.trim("role")).isin("user", "samples", "factors", "system")).select("conv_id", "turn", "role")
+
+
+@query(
+    "q18_factor_mismatch",
+    """
+    SELECT o_orderkey, o_orderstatus, s.status FROM orders LEFT JOIN (
+      SELECT l_orderkey, CASE WHEN min(l_linestatus) = max(l_linestatus) THEN min(l_linestatus) ELSE 'P' END AS status FROM lineitem GROUP BY 1
+    ) s ON o_orderkey = l_orderkey WHERE o_orderstatus IS DISTINCT FROM s.status
+    """,
+)
+def factor_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = F.min("l_linestatus") == F.max("l_linestatus")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(same, F.min("l_linestatus")).otherwise("P").alias("status"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return orders.join(lines, "o_orderkey", "left").filter(~F.col("o_orderstatus").eqNullSafe(F.col("status")))
+
+
+@query("q19_pair_mask", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag = 'N') <> (l_linestatus = 'O')")
+def pair_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").filter((F.col("l_returnflag") == "N") != (F.col("l_linestatus") == "O")).select("l_orderkey", "l_linenumber")
+
+
+@query(
+    "q21_value_integer",
+    "SELECT p_partkey, p_size FROM part WHERE NOT contains(CAST(p_size AS VARCHAR), '.') AND TRY_CAST(CAST(p_size AS VARCHAR) AS DOUBLE) IS NOT NULL AND p_size > 25",
+)
+def value_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").filter(is_integer(F.col("p_size").cast("string")) & (F.col("p_size") > 25)).select("p_partkey", "p_size")
+
+
+@query(
+    "q22_value_numeric",
+    "SELECT o_orderkey, o_orderpriority FROM orders WHERE TRY_CAST(split_part(o_orderpriority, '-', 1) AS DOUBLE) IS NOT NULL",
+)
+def value_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").filter(is_numeric(F.split("o_orderpriority", "-")[0])).select("o_orderkey", "o_orderpriority")
+
+
+@query("q23_value_regex", r"SELECT p_partkey, p_brand FROM part WHERE regexp_full_match(p_brand, 'Brand#(\d)[12]')")
+def value_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").filter(full_match(F.col("p_brand"), r"Brand#(\d)[12]")).select("p_partkey", "p_brand")
+
+
+@query(
+    "q24_ids_classify",
+    r"""
+    SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'AN' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(6, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0')
+                           WHEN p_partkey % 3 = 1 THEN 'ST' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE 'X' || p_partkey END AS id,
+           CASE WHEN p_partkey % 3 = 1 THEN 'study' ELSE 'analysis' END AS kind
+    FROM part
+    """,
+)
+def ids_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    raw = F.when(F.col("p_partkey") % 3 == 0, key).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("ST"), F.lpad(key, 6, "0"))).otherwise(F.concat(F.lit("X"), key))
+    return table(spark, sf_dir, "part").select("p_partkey", full_id(raw).alias("id"), id_kind(raw).alias("kind"))
+
+
+@query(
+    "q25_lines_tokenize",
+    """
+    SELECT doc_id, CAST(n - 1 AS INTEGER) AS line_no, line FROM (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents
+    ) WHERE line <> ''
+    """,
+)
+def lines_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.filter("line <> ''")
+
+
+@query(
+    "q26_section_carry",
+    """
+    WITH t AS (
+      SELECT conv_id, turn, CASE WHEN role = 'user' THEN turn END AS opens FROM conversations
+    ) SELECT conv_id, turn, coalesce(last_value(opens IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), -1) AS section FROM t
+    """,
+)
+def section_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    along = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.when(F.col("role") == "user", F.col("turn"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.last(opens, ignorenulls=True).over(along), F.lit(-1)).alias("section"))
+
+
+@query("q27_concat_items", "SELECT conv_id, role, string_agg(substr(text, 1, 20), ' ' ORDER BY turn) AS value FROM conversations GROUP BY 1, 2")
+def concat_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.substring("text", 1, 20).alias("t"))
+    parts = F.sort_array(F.collect_list(F.struct("turn", "t")))
+    return rows.groupBy("conv_id", "role").agg(F.array_join(parts["t"], " ").alias("value"))
+
+
+@query("q28_json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+#: (column, keyword, argument) over the customer and part tables as items.
+RULES = (("c_mktsegment", "enum", "BUILDING|MACHINERY"), ("c_name", "pattern", r"0[0-4]$"), ("p_brand", "pattern", r"^Brand#[1-3]"), ("p_type", "minLength", "12"), ("p_comment", "required", ""))
+_RULE_SQL = " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS keyword, '{a}' AS argument" for c, k, a in RULES)
+
+
+@query(
+    "q29_schema_rules",
+    f"""
+    WITH rules AS ({_RULE_SQL}), items AS (
+      SELECT 'c' || c_custkey AS owner, 'c_mktsegment' AS column_name, c_mktsegment AS value FROM customer
+      UNION ALL SELECT 'c' || c_custkey, 'c_name', c_name FROM customer
+      UNION ALL SELECT 'p' || p_partkey, 'p_brand', p_brand FROM part UNION ALL SELECT 'p' || p_partkey, 'p_type', p_type FROM part
+    )
+    SELECT column_name, keyword, count(*) AS n FROM items JOIN rules USING (column_name)
+    WHERE (keyword = 'enum' AND NOT list_contains(string_split(argument, '|'), value)) OR (keyword = 'pattern' AND NOT regexp_matches(value, argument))
+       OR (keyword = 'minLength' AND length(value) < TRY_CAST(argument AS INTEGER)) GROUP BY 1, 2
+    UNION ALL SELECT 'p_comment', 'required', count(*) FROM part
+    """,
+)
+def schema_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many items break each rule of a table of rules; a required key that no item has counts for every owner."""
+    customer, part = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
+    items = customer.select(F.concat(F.lit("c"), "c_custkey").alias("owner"), "c_mktsegment", "c_name").unpivot(["owner"], ["c_mktsegment", "c_name"], "column_name", "value")
+    items = items.unionByName(part.select(F.concat(F.lit("p"), "p_partkey").alias("owner"), "p_brand", "p_type").unpivot(["owner"], ["p_brand", "p_type"], "column_name", "value"))
+    rules = spark.createDataFrame(list(RULES), "column_name string, keyword string, argument string")
+    value, arg = F.col("value"), F.col("argument")
+    broken = (
+        F.when(F.col("keyword") == "enum", ~F.array_contains(F.split(arg, r"\|"), value))
+        .when(F.col("keyword") == "pattern", ~F.rlike(value, arg))
+        .when(F.col("keyword") == "minLength", F.length(value) < F.expr("try_cast(argument AS int)"))
+        .otherwise(False)
+    )
+    found = items.join(F.broadcast(rules), "column_name").filter(broken).groupBy("column_name", "keyword").agg(F.count("*").alias("n"))
+    required = part.agg(F.count("*").alias("n")).select(F.lit("p_comment").alias("column_name"), F.lit("required").alias("keyword"), "n")
+    return found.unionByName(required)
+
+
+@query(
+    "q32_issue_summary",
+    """
+    SELECT tag, count(*) AS n, count(*) FILTER (severity = 'Warning') AS n_warnings FROM (
+      SELECT CASE WHEN l_returnflag = 'R' THEN 'Error' ELSE 'Warning' END AS severity,
+             unnest(CASE WHEN l_linestatus = 'O' THEN ['value', 'consistency'] ELSE ['value'] END) AS tag FROM lineitem
+    ) GROUP BY tag
+    """,
+)
+def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.when(F.col("l_linestatus") == "O", F.array(F.lit("value"), F.lit("consistency"))).otherwise(F.array(F.lit("value")))
+    severity = F.when(F.col("l_returnflag") == "R", "Error").otherwise("Warning")
+    rows = table(spark, sf_dir, "lineitem").select(severity.alias("severity"), F.explode(tags).alias("tag"))
+    return rows.groupBy("tag").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "Warning").alias("n_warnings"))
+
+
+@query("q33_url_parts", r"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/?#]+(/[^?#]*)', 1) AS path FROM pages")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda name: F.parse_url("url", F.lit(name))
+    return table(spark, sf_dir, "pages").select("page_id", part("PROTOCOL").alias("scheme"), part("HOST").alias("host"), part("PATH").alias("path"))
+
+
+@query(
+    "q34_results_struct",
+    r"""
+    SELECT p_partkey, p_name || '.txt' AS filename, CASE WHEN p_size % 2 = 0 THEN p_brand END AS units, CASE WHEN p_size % 3 = 0 THEN 'Yes' END AS has_mz,
+           CASE WHEN p_size % 5 = 0 THEN 'No' END AS has_rt, CASE WHEN p_size % 7 = 0 THEN 'Minutes' END AS rt_units FROM part
+    """,
+)
+def results_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results-file lines are written from the part table and read again."""
+    opt = lambda n, key, v: F.when(F.col("p_size") % n == 0, F.concat(F.lit(f"\t{key}:"), v)).otherwise("")
+    line = F.concat("p_name", F.lit(".txt"), opt(2, "UNITS", F.col("p_brand")), opt(3, "Has m/z", F.lit("Yes")), opt(5, "Has RT", F.lit("No")), opt(7, "RT units", F.lit("Minutes")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", results_file(line).alias("r"))
+    return rows.select("p_partkey", "r.*")
+
+
+@query("q35_render_lines")
+def render_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts wrapped into lines of at most 80 characters at their spaces."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(wrap(F.col("text"), 80)).alias("line_no", "line"))
+    return rows
+
+
+@query(
+    "q36_canonical_order",
+    """
+    SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY
+      CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '3-MEDIUM' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 999 END, o_orderkey) AS pos FROM orders
+    """,
+)
+def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = spark.createDataFrame([("1-URGENT", 0), ("3-MEDIUM", 1), ("2-HIGH", 2)], "o_orderpriority string, ord int")
+    rows = table(spark, sf_dir, "orders").join(F.broadcast(order), "o_orderpriority", "left")
+    along = Window.partitionBy("o_custkey").orderBy(F.coalesce("ord", F.lit(999)), "o_orderkey")
+    return rows.select("o_orderkey", "o_orderpriority", F.row_number().over(along).cast("long").alias("pos"))
+
+
+@query(
+    "q37_polarity_conflict",
+    "SELECT o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1 HAVING bool_or(l_returnflag = 'A') AND bool_or(l_returnflag = 'R')",
+)
+def polarity_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    both = F.bool_or(F.col("l_returnflag") == "A") & F.bool_or(F.col("l_returnflag") == "R")
+    return rows.groupBy("o_custkey").agg(both.alias("both")).filter("both").select("o_custkey")
+
+
+@query(
+    "q38_archive_compression",
+    r"""
+    SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'zip' WHEN page_id % 6 = 1 THEN 'tar.gz' WHEN page_id % 6 = 2 THEN 'tar.bz2' WHEN page_id % 6 = 3 THEN 'gz'
+                         WHEN page_id % 6 = 4 THEN 'tar' ELSE '' END AS compression FROM pages
+    """,
+)
+def archive_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.get(F.array(*map(F.lit, (".zip", ".tar.gz", ".tar.bz2", ".gz", ".tar", ".html"))), (F.col("page_id") % 6).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", compression(F.concat("url", ends)).alias("compression"))
