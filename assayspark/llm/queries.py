@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayspark.llm import exact_dedup, html_extract, license_scan, media, near_dedup, packing, toxicity, url_filter
+from assayspark.llm import chat, exact_dedup, html_extract, license_scan, media, near_dedup, packing, pieces, toxicity, url_filter
 from assayspark.llm.shared import table
 
 
@@ -24,6 +24,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -32,6 +36,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -40,9 +48,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_license_scan, op4_media, op6_html_extract, op7_exact_dedup, op9_best_fit_packing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_license_scan, op4_media, op5_chat, op6_html_extract, op7_exact_dedup, op8_pieces, op9_best_fit_packing, op10_url_filter)}
 
 ORACLE_SQL = {
+    "op5_chat": r"""
+    WITH t AS (
+      SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+      FROM conversations
+    ), c AS (
+      SELECT conv_id, count(*) AS n_turns, list(struct_pack(role := role, text := text) ORDER BY place) AS turns,
+             string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+      FROM t GROUP BY conv_id
+    ), g AS (SELECT turns, n_turns, text, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY turns, n_turns, text)
+    SELECT conv_id, n_turns, n_copies, text FROM g
+    WHERE NOT EXISTS (SELECT 1 FROM g AS l WHERE l.turns[1] = g.turns[1] AND l.n_turns > g.n_turns AND l.turns[1:g.n_turns] = g.turns)
+    """,
     "op7_exact_dedup": r"""
     WITH d AS (
       SELECT doc_id, length(coalesce(text, '')) AS n,

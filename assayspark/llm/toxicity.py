@@ -253,3 +253,19 @@ def score_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = map_rows(rows, "text", "doc_id long, score double, passages array<struct<first:long,last:long,score:double>>", work)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "passages")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text is not predicted as toxic; nothing is shuffled for it."""
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            good = []
+            for text in batch.column("text").to_pylist():
+                tokens = words(text or "")
+                good.append(model.probability(model.statistic(len(tokens), model.passages(tokens))) < THRESHOLD)
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
