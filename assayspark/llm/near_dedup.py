@@ -9,8 +9,9 @@ the set under 60 hash functions. Two sets of similarity s differ in about 60 (1
   exactly 0.8, a pair differs in more with a probability of about 0.0004, and of less the more similar it is.
 * Copies (equal sets) are one entry. A key's entries are not paired with each other, which would grow with the square
   of a group: each is first paired with the few leaders of its key only. What is confirmed is joined into components,
-  and only keys that still hold several components go on: with other leaders, and at last with all pairs across
-  components. A pair inside a component would change nothing.
+  and only keys that still hold several components go on. Their entries outside the key's largest component are
+  compared with all that they could still be linked to, in blocks that give back links only. A pair inside a component
+  would change nothing.
 * Candidates within the distance are confirmed by the sizes of the intersection and union of their whole sets.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,9 +32,9 @@ from assayspark.llm.shared import keep, map_rows, slices
 SYMBOLS, CHUNK = 60, 5  # of 8 bits each
 MOST_DIFFERENCES = 2 * SYMBOLS // CHUNK - 1
 LONGS = (SYMBOLS + 7) // 8
-LEADERS, ROUNDS = 3, 5
-#: Pairs across components are listed at once when there are no more of them than this times the entries.
-PAIRS_AN_ENTRY = 2
+LEADERS = 3
+#: Pairs of a hub that are listed as rows; with more, blocks of so many entries are compared.
+LISTED, BLOCK = 64, 500
 #: Rows of a side that is sent to all executors (16 bytes each).
 SENT_ROWS = 1_000_000
 KEPT_WORDS = 300_000
@@ -148,11 +150,9 @@ class _Search:
         near = (differences("sign_a", "sign_b") <= MOST_DIFFERENCES) & (small * 100 >= large * self.percent)
         return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The close pairs whose whole sets are similar enough."""
-        pairs = keep(self.close(pairs), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("entry")).distinct().join(self.entries, "entry").select("entry", "doc_id", "text_hash")
-        wanted = keep(wanted, "wanted")
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """entry and set, the whole sorted set of shingle hashes, of the entries in wanted(entry)."""
+        wanted = keep(wanted.distinct().join(self.entries, "entry").select("entry", "doc_id", "text_hash"), "wanted")
         find = wanted.select(F.col("doc_id").alias("want_id"), F.col("text_hash").alias("want_hash"))
         if wanted.count() <= SENT_ROWS:
             find = F.broadcast(find)
@@ -167,11 +167,70 @@ class _Search:
 
         texts = _texts(self.docs)
         texts = texts.join(find, (texts.text_hash == find.want_hash) & texts.doc_id.eqNullSafe(find.want_id)).select("text")
-        sets = keep(texts.mapInArrow(whole, "entry long, set array<long>").dropDuplicates(["entry"]), "sets")
+        return keep(texts.mapInArrow(whole, "entry long, set array<long>").dropDuplicates(["entry"]), "sets")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The close pairs whose whole sets are similar enough."""
+        pairs = keep(self.close(pairs), "pairs")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("entry")))
         left, right = (sets.select(F.col("entry").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
         both = F.size(F.array_intersect("set_a", "set_b"))
         return pairs.join(left, "a").join(right, "b").filter(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * self.percent).select("a", "b")
 
+    def rest(self, still: DataFrame, found: DataFrame) -> DataFrame:
+        """Links between components that share a key: all that are missing to join them.
+
+        Of each key, the component with most entries there is the hub, and all other entries are attached to it. Any
+        two entries of the key are then within the hub or attached to it, so comparing the attached entries with the
+        hub's and with each other leaves out no pair. Where that is a few pairs they are listed; else both sides are
+        cut into blocks, and each pair of blocks is compared in a task that gives back links only.
+        """
+        counts = still.groupBy("key", "component").agg(F.count("*").alias("n"))
+        hubs = counts.groupBy("key").agg(F.max(F.struct("n", "component")).component.alias("hub"))
+        attached = keep(still.join(hubs, "key").filter("component <> hub").select("hub", "entry", "component").distinct(), "attached")
+        few = attached.groupBy("hub").agg(F.count("*").alias("q"))
+        inside = few.join(found, few.hub == found.component, "left").select("hub", F.coalesce("node", "hub").alias("entry"), F.col("hub").alias("component"))
+        side = keep(inside.unionByName(attached), "side")
+        few = few.join(side.groupBy("hub").agg(F.count("*").alias("m")), "hub")
+        small = F.col("q") * F.col("m") <= LISTED
+
+        left = attached.join(few.filter(small), "hub").select("hub", F.col("entry").alias("x"), F.col("component").alias("component_x"))
+        pairs = left.join(side, "hub").filter("component <> component_x").select(F.least("x", "entry").alias("a"), F.greatest("x", "entry").alias("b")).distinct()
+        links = self.confirmed(pairs)
+
+        cells = few.filter(~small).select("hub", F.ceil(F.col("m") / BLOCK).alias("blocks"), F.ceil(F.col("q") / BLOCK).alias("lines"))
+        all_blocks, all_lines = (F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)) for n in ("blocks", "lines"))
+        place = lambda n: F.pmod(F.xxhash64("entry"), F.col(n))
+        members = side.join(cells, "hub").select("hub", "entry", "component", place("blocks").alias("block"), all_lines.alias("line"))
+        asking = attached.join(cells, "hub").select("hub", "entry", "component", all_blocks.alias("block"), place("lines").alias("line"))
+        sets = self.sets(members.select("entry"))
+        names = ("hub", "block", "line", "entry", "component", "set")  # anew on either side, as both come from the same tables
+        members, asking = (x.join(sets, "entry").select(*(F.col(n).alias(n) for n in names)).groupBy("hub", "block", "line") for x in (members, asking))
+        percent = self.percent
+        return links.unionByName(members.cogroup(asking).applyInPandas(lambda m, q: _compared(m, q, percent), "a long, b long"))
+
+
+def _compared(members: pd.DataFrame, asking: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """For each asking entry and each other component, one link to a member that is similar enough, if there is one."""
+    out: list[tuple[int, int]] = []
+    if len(members) and len(asking):
+        sizes = members["set"].map(len).to_numpy()
+        flat, ends = np.concatenate(members["set"].to_list()), np.cumsum(sizes)
+        names, flat = np.unique(flat, return_inverse=True)
+        starts, components, entries = ends - sizes, members["component"].to_numpy(), members["entry"].to_numpy()
+        for x, component, own in zip(asking["entry"], asking["component"], asking["set"], strict=True):
+            flags = np.zeros(len(names), dtype=np.int64)
+            at = np.searchsorted(names, own)
+            at = at[at < len(names)]
+            at = at[np.isin(names[at], own)]
+            flags[at] = 1
+            both = np.add.reduceat(flags[flat], starts)
+            near = (100 * both >= percent * (sizes + len(own) - both)) & (components != component)
+            for c in np.unique(components[near]):
+                y = entries[near & (components == c)][0]
+                out.append((min(x, y), max(x, y)))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
 
 def _open_keys(keys: DataFrame, found: DataFrame | None) -> DataFrame:
     """key, entry and component of the keys that hold several components."""
@@ -183,24 +242,11 @@ def _open_keys(keys: DataFrame, found: DataFrame | None) -> DataFrame:
     return keys.join(several, "key")
 
 
-def _with_leaders(keys: DataFrame, seed: int) -> DataFrame:
-    """Pairs of each key's entries with its leaders of other components: the entries that stand first in a shuffled order."""
-    leaders = keys.groupBy("key").agg(F.array(*(F.min_by(F.struct("entry", "component"), F.xxhash64("entry", F.lit(seed + i))) for i in range(LEADERS))).alias("leaders"))
-    pairs = keys.join(leaders, "key").select("entry", "component", F.explode("leaders").alias("leader")).filter("component <> leader.component")
-    return pairs.select(F.least("entry", "leader.entry").alias("a"), F.greatest("entry", "leader.entry").alias("b")).distinct()
-
-
-def _across(keys: DataFrame) -> DataFrame:
-    """All pairs of a key's entries in different components."""
-    other = keys.select("key", F.col("entry").alias("b"), F.col("component").alias("component_b"))
-    pairs = keys.withColumnRenamed("entry", "a").join(other, "key").filter("component < component_b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _pairs_across(keys: DataFrame) -> int:
-    """How many rows _across joins, from counts alone."""
-    counts = keys.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("inside"))
-    return int(counts.agg(F.coalesce(F.sum((F.col("n").cast("double") * F.col("n") - F.col("inside")) / 2), F.lit(0.0))).first()[0])
+def _with_leaders(keys: DataFrame) -> DataFrame:
+    """Pairs of each key's entries with its leaders: the entries that stand first in LEADERS shuffled orders."""
+    leaders = keys.groupBy("key").agg(F.array(*(F.min_by("entry", F.xxhash64("entry", F.lit(i))) for i in range(LEADERS))).alias("leaders"))
+    pairs = keys.join(leaders, "key").select("entry", F.explode(F.array_distinct("leaders")).alias("leader")).filter("entry <> leader")
+    return pairs.select(F.least("entry", "leader").alias("a"), F.greatest("entry", "leader").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -220,18 +266,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     entries = filled.groupBy("entry").agg(first.alias("first"), F.first("n_shingles").alias("n_shingles"), *(F.first(s).alias(s) for s in signs))
     entries = keep(entries.select("entry", "first.doc_id", "first.text_hash", "n_shingles", *signs), "entries")
     search = _Search(docs, entries, width, percent)
-    n_entries = entries.count()
-
-    keys = keep(_open_keys(chunk_keys(entries), None).select("key", "entry"), "keys")
-    links = found = None
-    for turn in range(ROUNDS):
-        still = keep(_open_keys(keys, found), "open")
-        last = bool(turn) and (turn == ROUNDS - 1 or _pairs_across(still) <= PAIRS_AN_ENTRY * n_entries)
-        new = search.confirmed(_across(still) if last else _with_leaders(still, turn * LEADERS))
-        links = keep(new if links is None else links.unionByName(new), "found")
-        found = keep(components(links), "components")
-        if last:
-            break
+
+    keys = keep(_open_keys(chunk_keys(entries), None), "keys")
+    links = keep(search.confirmed(_with_leaders(keys)), "links")
+    found = keep(components(links), "components")
+    still = keep(_open_keys(keys.select("key", "entry"), found), "open")
+    found = keep(components(links.unionByName(search.rest(still, found))), "components")
     least = entries.select("entry", "doc_id").join(found, F.col("entry") == F.col("node"))
     names = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = found.join(names, "component").select(F.col("node").alias("entry"), "component_id")

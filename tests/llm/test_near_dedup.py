@@ -63,10 +63,12 @@ def test_against_brute_force(spark, width):
     assert sorted(map(tuple, got), key=str) == brute(rows, width)
 
 
-def test_last_step_lists_pairs_across(spark, monkeypatch):
+@pytest.mark.parametrize("listed", [0, 10**9])
+def test_rest_in_blocks_and_in_pairs(spark, monkeypatch, listed):
     monkeypatch.setattr(N, "LEADERS", 1)
-    monkeypatch.setattr(N, "ROUNDS", 2)
-    rows = corpus(9, 10, 30)
+    monkeypatch.setattr(N, "LISTED", listed)
+    monkeypatch.setattr(N, "BLOCK", 7)
+    rows = corpus(9, 10, 60)
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, 2)
 
