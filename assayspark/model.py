@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ class Tables:
     ssf:      file_id, idx, subject_id, sample_id, factors, additional (both PAIRS; dup counts repeats of a key from 0)
     headers:  file_id, tbl, pos, raw, column, dup, named (false: cells beyond the header)
     cells:    file_id, tbl, row, pos, column, dup, value
-    factors:  file_id, sample_id, key, value      the factors that a data table repeats
+    factors:  file_id, sample_id, ord, key, value      the factors that a data table repeats
     blocks:   file_id, section, tbl, overflow (a row is longer than the header)
     results:  file_id, section, filename, units, has_mz, has_rt, rt_units
     """
@@ -54,3 +55,9 @@ class Tables:
             df.write.mode("overwrite").parquet(f"{folder}/{f.name}")
             out.append(spark.read.schema(df.schema).parquet(f"{folder}/{f.name}"))
         return Tables(*out)
+
+    def kept(self) -> Tables:
+        """save() to a new folder in spark.checkpoint.dir, or in the warehouse where that is unset."""
+        conf = self.files.sparkSession.conf
+        folder = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        return self.save(f"{folder.rstrip('/')}/tables-{uuid.uuid4().hex}")

@@ -95,7 +95,7 @@ def json_tables(documents: DataFrame, force: bool = False) -> Tables:
     headers = cells.groupBy("file_id", "tbl", "column", "dup").agg(F.min("pos").alias("pos"))
     headers = headers.select("file_id", "tbl", "pos", F.col("column").alias("raw"), "column", "dup", F.lit(True).alias("named"))
     blocks = of("cell").select("file_id", "section", "tbl", F.lit(False).alias("overflow")).distinct()
-    factors = of("none").select("file_id", F.col("key").alias("sample_id"), "key", "value")
+    factors = of("none").select("file_id", F.col("key").alias("sample_id"), F.col("pos").alias("ord"), "key", "value")
     results = of("results").select("file_id", "section", results_file(F.col("value")).alias("r")).select("file_id", "section", "r.*")
     return Tables(files, items, ssf, headers, cells, factors, blocks, results)
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from assayspark.functions.columns import results_file
 from assayspark.model import DATA_SECTIONS, HEADER, MARKER, Tables
 
-FILE = Window.partitionBy("file_id")
-ORDER = FILE.orderBy("line_no")
-SO_FAR = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+def along() -> WindowSpec:
+    """A document's lines in order."""
+    return Window.partitionBy("file_id").orderBy("line_no")
 
 
 def is_text(text: Column) -> Column:
@@ -61,10 +62,11 @@ def located(rows: DataFrame) -> DataFrame:
     name = F.when(line.startswith(MARKER), HEADER).when(line.startswith("#SUBJECT_SAMPLE_FACTORS:"), "SUBJECT_SAMPLE_FACTORS").otherwise(F.trim(F.substring(line, 2, 1_000_000)))
     name = F.when(name == "NMR", "NM").otherwise(name)
     ends = F.when(line.endswith("_START"), F.expr("substring(line, 1, length(line) - 6)")).when(line.endswith("_END"), "")
-    rows = rows.withColumn("block_name", F.coalesce(F.last(ends, ignorenulls=True).over(SO_FAR), F.lit("")))
+    so_far = along().rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("block_name", F.coalesce(F.last(ends, ignorenulls=True).over(so_far), F.lit("")))
     inside = (F.col("block_name") != "") & ~line.endswith("_START")
-    rows = rows.withColumn("inside", inside).withColumn("block", F.sum(line.endswith("_START").cast("int")).over(SO_FAR))
-    rows = rows.withColumn("section", F.last(F.when(line.startswith("#") & ~F.col("inside"), name), ignorenulls=True).over(SO_FAR))
+    rows = rows.withColumn("inside", inside).withColumn("block", F.sum(line.endswith("_START").cast("int")).over(so_far))
+    rows = rows.withColumn("section", F.last(F.when(line.startswith("#") & ~F.col("inside"), name), ignorenulls=True).over(so_far))
     kind = (
         F.when(F.col("inside"), "row")
         .when(line.startswith(MARKER), "header")
@@ -113,7 +115,7 @@ def text_tables(documents: DataFrame) -> Tables:
     # samples
     part = lambda i: F.get(F.split("line", "\t"), F.lit(i))
     ssf = rows.filter("kind = 'ssf'").select(
-        "file_id", (F.row_number().over(ORDER) - 1).alias("idx"), part(1).alias("subject_id"), part(2).alias("sample_id"), part(3).alias("f"), F.coalesce(part(4), F.lit("")).alias("a")
+        "file_id", (F.row_number().over(along()) - 1).alias("idx"), part(1).alias("subject_id"), part(2).alias("sample_id"), part(3).alias("f"), F.coalesce(part(4), F.lit("")).alias("a")
     )
     bad_ssf = ssf.select("file_id", F.coalesce(F.when(F.col("f").isNull(), "list index out of range"), bad_pair(F.col("f"), ":", r"\| "), bad_pair(F.col("a"), "=", "; ")).alias("bad"))
     ssf = ssf.select("file_id", "idx", "subject_id", "sample_id", numbered(pairs(F.col("f"), ":", r"\| ")).alias("factors"), numbered(pairs(F.col("a"), "=", "; ")).alias("additional"))
@@ -159,8 +161,8 @@ def text_tables(documents: DataFrame) -> Tables:
     cells = cells.join(headers.select("file_id", "tbl", "pos", "dup"), ["file_id", "tbl", "pos"]).select("file_id", "tbl", "row", "pos", "column", "dup", "value")
     blocks = block.groupBy("file_id", "section", "tbl").agg(F.bool_or(~F.col("is_header") & (F.size("tokens") > F.size("names"))).alias("overflow"))
     of_sample = block.filter(F.col("is_header") & (first == "Factors")).select("file_id", F.posexplode(F.arrays_zip(F.slice("header", 2, 1_000_000).alias("s"), F.slice("tokens", 2, 1_000_000).alias("f"))).alias("i", "z"))
-    pair = of_sample.select("file_id", F.col("z.s").alias("sample_id"), F.explode(F.split("z.f", r"\| ")).alias("p"))
-    factors = pair.select("file_id", "sample_id", F.trim(F.split("p", ":")[0]).alias("key"), F.trim(F.get(F.split("p", ":"), F.lit(1))).alias("value"))
+    pair = of_sample.select("file_id", F.col("z.s").alias("sample_id"), F.posexplode(F.split("z.f", r"\| ")).alias("ord", "p"))
+    factors = pair.select("file_id", "sample_id", "ord", F.trim(F.split("p", ":")[0]).alias("key"), F.trim(F.get(F.split("p", ":"), F.lit(1))).alias("value"))
 
     # results files
     to = F.when(~F.col("section").isin(*DATA_SECTIONS), F.col("section")).when(F.col("data_section").startswith("MS"), "MS").otherwise("NM")

@@ -39,7 +39,7 @@ def members(path: str, data: bytes) -> Iterator[tuple[str, bytes]]:
         yield path, data
 
 
-def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for path, data in zip(batch["path"], batch["content"], strict=True):
@@ -70,7 +70,7 @@ def read_documents(spark: SparkSession, *paths: str) -> DataFrame:
             continue
         own = F.col("path").endswith("/" + path.rstrip("/").rpartition("/")[2])
         found = found.filter(own | F.col("path").rlike(READ_IN_FOLDERS)).select("path", "content")
-        out = out.unionByName(found.mapInPandas(_opened, SCHEMA))
+        out = out.unionByName(found.mapInPandas(opened, SCHEMA))
     return out
 
 
