@@ -6,8 +6,9 @@ comes up is skipped for good if a keyed hash of the seed, the variant, its place
 Equal seeds give equal results on every machine; words differ by variant, which follows from the text and the word's
 place in it. Symbols that are no piece become bytes.
 
-No piece of the vocabulary joins a word to the space that follows it, so words (with the spaces before them) are encoded
-one by one, and a task keeps the results of words that repeat.
+No piece of the vocabulary joins a word to the space that follows it, or a letter to what is no letter, so runs of letters
+and of other characters (with the spaces before them) are encoded one by one, and a task keeps the results of those that
+repeat.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ from assayspark.llm.shared import map_rows
 MODEL = "piece_bpe_32k.model"
 SEED, RATE, VARIANTS = 7, 0.1, 4
 KEPT_WORDS = 400_000
+#: Up to so many characters, all candidates of a word are looked through for each merge.
+FEW = 48
 SPACE = "▁"
-_UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_LETTER = r"[^\W\d_²³¹]"
+_UNITS = re.compile(rf"{SPACE}*(?:{_LETTER}+|(?:(?!{_LETTER})[^{SPACE}])+)|{SPACE}+")
+_MIXED = re.compile(rf"{_LETTER}(?!{_LETTER})[^{SPACE}]|(?!{_LETTER})[^{SPACE}]{_LETTER}")
 _MASK = 0xFFFFFFFF
 #: The unit for a text's own U+2581; no other unit has it after another character.
 OWN = "x" + SPACE
@@ -45,9 +50,11 @@ class Vocabulary:
         special = [model.is_unknown(i) or model.is_control(i) or model.is_unused(i) or model.is_byte(i) for i in range(len(self.pieces))]
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
         self.scores = {p: model.get_score(i) for p, i in self.ids.items()}
+        self.costs, self.no_piece = {p: -x for p, x in self.scores.items()}, float("inf")
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+        self.texts = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in enumerate(self.pieces)]
+        if any(SPACE in p.lstrip(SPACE) or _MIXED.search(p) for p in self.ids):
             raise ValueError("a piece joins words; this vocabulary can't be encoded word by word")
 
 
@@ -66,12 +73,9 @@ def skipped(key: int, place: int, piece: int, limit: int) -> bool:
     return (x ^ (x >> 16)) < limit
 
 
-def encode_word(word: str, v: Vocabulary, key: int = 0, rate: float = 0.0) -> list[int]:
-    """The ids of a word, in which spaces are SPACE."""
-    ids, scores, limit = v.ids, v.scores, int(rate * (1 << 32))
-    if word == OWN:
-        return [v.bytes[b] for b in SPACE.encode()]
-    symbols: list[str] = list(word)
+def _merged_long(symbols: list[str], v: Vocabulary, key: int, limit: int) -> list[str]:
+    """_merged() for long words, with the candidates in a heap."""
+    ids, scores = v.ids, v.scores
     n = len(symbols)
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
     agenda = []
@@ -99,13 +103,41 @@ def encode_word(word: str, v: Vocabulary, key: int = 0, rate: float = 0.0) -> li
             new = symbols[h] + joined
             if new in scores:
                 heappush(agenda, (-scores[new], h, new))
+    return [s for s in symbols if s]
+
+
+def _merged(symbols: list[str], v: Vocabulary, key: int, limit: int) -> list[str]:
+    """The symbols after all merges; the best candidate is looked for among the few there are."""
+    ids, get, none = v.ids, v.costs.get, v.no_piece
+    costs = [get(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+    places = list(range(len(symbols)))
+    while costs and (cost := min(costs)) < none:
+        i = costs.index(cost)
+        joined = symbols[i] + symbols[i + 1]
+        if limit and skipped(key, places[i], ids[joined], limit):
+            costs[i] = none
+            continue
+        symbols[i] = joined
+        del symbols[i + 1], places[i + 1], costs[i]
+        if i < len(costs):
+            costs[i] = get(joined + symbols[i + 1], none)
+        if i:
+            costs[i - 1] = get(symbols[i - 1] + joined, none)
+    return symbols
+
+
+def encode_word(word: str, v: Vocabulary, key: int = 0, rate: float = 0.0) -> list[int]:
+    """The ids of a word, in which spaces are SPACE."""
+    ids, limit = v.ids, int(rate * (1 << 32))
+    if word == OWN:
+        return [v.bytes[b] for b in SPACE.encode()]
+    symbols = (_merged if len(word) <= FEW else _merged_long)(list(word), v, key, limit)
     out = []
     for s in symbols:
-        if s:
-            if (one := ids.get(s)) is not None:
-                out.append(one)
-            else:
-                out += [v.bytes[b] for b in s.encode("utf-8", "surrogatepass")]
+        if (one := ids.get(s)) is not None:
+            out.append(one)
+        else:
+            out += [v.bytes[b] for b in s.encode("utf-8", "surrogatepass")]
     return out
 
 
@@ -119,10 +151,17 @@ class Encoder:
             key = zlib.crc32(f"{seed}:{variant}".encode())
 
             class Kept(dict):
+                """The words of late; of those before them, the ones that come again are taken over."""
+
+                older: dict[str, bytes] = {}
+
                 def __missing__(self, word: str) -> bytes:
-                    if len(self) >= KEPT_WORDS // variants:
+                    if len(self) >= KEPT_WORDS // (2 * variants):
+                        self.older = dict(self)
                         self.clear()
-                    self[word] = ids = array("i", encode_word(word, v, key, rate)).tobytes()
+                    if (ids := self.older.get(word)) is None:
+                        ids = array("i", encode_word(word, v, key, rate)).tobytes()
+                    self[word] = ids
                     return ids
 
             return Kept()
@@ -152,10 +191,7 @@ class Encoder:
 
 def decode(ids: array | list[int], v: Vocabulary) -> str:
     """The text of the ids: pieces and bytes joined, spaces back, without the space put before the text."""
-    parts, pieces, byte_of = [], v.pieces, v.byte_of
-    for i in ids:
-        parts.append(bytes([byte_of[i]]) if i in byte_of else pieces[i].replace(SPACE, " ").encode("utf-8", "surrogatepass"))
-    return b"".join(parts).decode("utf-8", "surrogatepass")[1:]
+    return b"".join(map(v.texts.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 def encode_texts(docs: DataFrame, seed: int = SEED, rate: float = RATE, path: str | None = None) -> DataFrame:
