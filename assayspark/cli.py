@@ -28,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
     metadata = commands.add_parser("extract-metadata", help="the values of keys")
     metadata.add_argument("source"), metadata.add_argument("to_path"), metadata.add_argument("keys", nargs="+")
     metabolites = commands.add_parser("extract-metabolites", help="metabolites of documents that conditions hold for")
-    metabolites.add_argument("source"), metabolites.add_argument("to_path"), metabolites.add_argument("conditions", nargs="*", help="SEC:KEY=value or SEC:KEY=r'pattern'")
+    metabolites.add_argument("source"), metabolites.add_argument("to_path"), metabolites.add_argument("--where", nargs="+", default=[], help="SEC:KEY=value or SEC:KEY=r'pattern'")
     for command in (metadata, metabolites):
         command.add_argument("--to-format", choices=("csv", "json"), default="json")
         command.add_argument("--no-header", action="store_true")
@@ -59,7 +59,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         else:
             extract.write_json(found, args.to_path)
     else:
-        found = extract.measurements(t, extract.matchers([extract.parse_condition(c) for c in args.conditions]))
+        found = extract.measurements(t, extract.matchers([extract.parse_condition(c) for c in args.where]))
         if args.to_format == "csv":
             extract.write_metabolites_csv(extract.metabolite_counts(found), args.to_path, not args.no_header)
         else:
