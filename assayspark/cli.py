@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
         command.add_argument("--to-format", choices=("csv", "json"), default="json")
         command.add_argument("--no-header", action="store_true")
     urls = commands.add_parser("urls", help="addresses of analyses and studies by their ids")
-    urls.add_argument("base"), urls.add_argument("ids", nargs="+"), urls.add_argument("--extension", default="txt")
+    urls.add_argument("base"), urls.add_argument("item", help="the service's name for whole documents"), urls.add_argument("ids", nargs="+"), urls.add_argument("--extension", default="txt")
     return out
 
 
@@ -41,7 +41,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("assayspark").getOrCreate()
     if args.command == "urls":
-        spark.createDataFrame([(i,) for i in args.ids], "id string").select("id", document_urls(args.base, F.col("id"), args.extension).alias("url")).show(len(args.ids), False)
+        spark.createDataFrame([(i,) for i in args.ids], "id string").select("id", document_urls(args.base, F.col("id"), args.item, args.extension).alias("url")).show(len(args.ids), False)
         return
     t = read_tables(spark, args.source, force=getattr(args, "force", False)).kept()
     if args.command == "convert":

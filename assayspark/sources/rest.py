@@ -19,7 +19,7 @@ INPUTS = {
     "protein": "mgp_id gene_id gene_name gene_symbol taxid mrna_id refseq_id protein_gi uniprot_id protein_entry protein_name",
 }
 OUTPUTS = {
-    "study": "summary factors analysis metabolites mwtab source species disease number_of_metabolites data datatable untarg_studies untarg_factors untarg_data",
+    "study": "summary factors analysis metabolites source species disease number_of_metabolites data datatable untarg_studies untarg_factors untarg_data",
     "compound": "all regno formula exactmass inchi_key name sys_name smiles lm_id pubchem_cid hmdb_id kegg_id chebi_id metacyc_id classification molfile png",
     "refmet": "all name inchi_key regno pubchem_cid exactmass formula synonyms sys_name main_class sub_class",
     "gene": "all lmp_id mgp_id gene_name gene_symbol gene_synonyms alt_names chromosome map_location summary taxid species species_long",
@@ -35,8 +35,8 @@ DATABASES = ("LIPIDS", "MB", "REFMET")
 MOVERZ, TOLERANCE = (50, 2000), (0.0001, 1)
 
 
-def url(base: str, context: str, input_item: str, input_value: str, output_item: str | list[str], output_format: str | None = None) -> str:
-    """An address of one of the contexts in INPUTS; a ValueError says which part is wrong."""
+def url(base: str, context: str, input_item: str, input_value: str, output_item: str | list[str], output_format: str | None = None, more: Collection[str] = ()) -> str:
+    """An address of one of the contexts in INPUTS; a ValueError says which part is wrong. more: further output items."""
     if context not in INPUTS:
         raise ValueError(f"Unknown context {context}")
     if input_item not in INPUTS[context].split():
@@ -46,7 +46,7 @@ def url(base: str, context: str, input_item: str, input_value: str, output_item:
     items = [output_item] if isinstance(output_item, str) else output_item
     if context == "study" and len(items) > 1:
         raise ValueError("study takes a single output item")
-    if wrong := [x for x in items if x not in OUTPUTS[context].split()]:
+    if wrong := [x for x in items if x not in OUTPUTS[context].split() and x not in more]:
         raise ValueError(f"{context} has no output items {', '.join(wrong)}")
     return base + "/".join([context, input_item, input_value, ",".join(items), *([output_format] if output_format else [])])
 
@@ -71,11 +71,12 @@ def exactmass_url(base: str, lipid: str, ion: str, lipids: Collection[str] | Non
     return base + "/".join(["exactmass", lipid, ion])
 
 
-def document_urls(base: str, raw_id: Column, extension: str = "txt") -> Column:
-    """The addresses of analyses or studies by their ids; digits alone are an analysis. Other values give null."""
+def document_urls(base: str, raw_id: Column, item: str, extension: str = "txt") -> Column:
+    """The addresses of analyses or studies by their ids; digits alone are an analysis. Other values give null.
+    item: the service's name for whole documents."""
     known = full_id(raw_id).rlike(r"^(AN\d{6,}|ST\d{1,6})$")
     kind = F.when(full_id(raw_id).startswith("ST"), "study_id").otherwise(F.concat(id_kind(raw_id), F.lit("_id")))
-    return F.when(known, F.concat(F.lit(f"{base}study/"), kind, F.lit("/"), full_id(raw_id), F.lit(f"/mwtab/{extension}")))
+    return F.when(known, F.concat(F.lit(f"{base}study/"), kind, F.lit("/"), full_id(raw_id), F.lit(f"/{item}/{extension}")))
 
 
 def study_analyses(rows: DataFrame) -> DataFrame:

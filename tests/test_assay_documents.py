@@ -186,16 +186,16 @@ def test_command_line():
 
 
 def test_addresses(spark):
-    assert rest.url("b/", "study", "analysis_id", "AN000001", "mwtab", "txt") == "b/study/analysis_id/AN000001/mwtab/txt"
+    assert rest.url("b/", "study", "analysis_id", "AN000001", "whole", "txt", more=("whole",)) == "b/study/analysis_id/AN000001/whole/txt"
     assert rest.url("b/", "gene", "gene_id", "31", ["gene_name", "taxid"]) == "b/gene/gene_id/31/gene_name,taxid"
     assert rest.moverz_url("b/", "MB", 635.52, "M+H", 0.5) == "b/moverz/MB/635.52/M+H/0.5/txt"
     assert rest.exactmass_url("b/", "PC(34:1)", "M+H") == "b/exactmass/PC(34:1)/M+H"
-    for bad in (("what", "x", "y", "z"), ("study", "x", "y", "z"), ("study", "analysis_id", "AN1", "mwtab"), ("study", "study_id", "ST1", "x"), ("study", "study_id", "ST1", ["data", "source"])):
+    for bad in (("what", "x", "y", "z"), ("study", "x", "y", "z"), ("study", "analysis_id", "AN1", "data"), ("study", "study_id", "ST1", "x"), ("study", "study_id", "ST1", ["data", "source"])):
         with pytest.raises(ValueError):
             rest.url("b/", *bad)
     with pytest.raises(ValueError):
         rest.moverz_url("b/", "MB", 5, "M+H", 0.5)
     rows = spark.createDataFrame([("1",), ("AN000002",), ("ST3",), ("x",)], "id string")
-    assert [r[0] for r in rows.select(rest.document_urls("b/", F.col("id"))).collect()] == [
-        "b/study/analysis_id/AN000001/mwtab/txt", "b/study/analysis_id/AN000002/mwtab/txt", "b/study/study_id/ST3/mwtab/txt", None,
+    assert [r[0] for r in rows.select(rest.document_urls("b/", F.col("id"), "whole")).collect()] == [
+        "b/study/analysis_id/AN000001/whole/txt", "b/study/analysis_id/AN000002/whole/txt", "b/study/study_id/ST3/whole/txt", None,
     ]
