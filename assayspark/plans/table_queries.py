@@ -323,6 +323,15 @@ def concat_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id", "role").agg(F.array_join(parts["t"], " ").alias("value"))
 
 
+@query("q44_concat_whole_items", "SELECT conv_id, role, string_agg(text, ' ' ORDER BY turn NULLS FIRST, text) AS value FROM conversations GROUP BY 1, 2")
+def concat_whole_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole texts of each role in a conversation, joined by turn (q27 joins their first 20 characters)."""
+    part = F.when(F.col("text").isNotNull(), F.struct("turn", "text"))
+    parts = F.sort_array(F.collect_list(part))
+    value = F.when(F.size(parts) > 0, F.array_join(parts["text"], " "))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(value.alias("value"))
+
+
 @query("q28_json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))

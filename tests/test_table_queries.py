@@ -56,3 +56,10 @@ def test_wrapped_lines(spark, duck):
         assert " ".join(lines) == text
         assert all(len(line) <= 80 or " " not in line for line in lines)
         assert all(len(a) + 1 + len(b.split(" ")[0]) > 80 for a, b in zip(lines, lines[1:], strict=False))
+
+
+def test_whole_texts_are_joined(spark, tmp_path):
+    rows = [(1, 2, "user", "x" * 50 + "b"), (1, 0, "user", "y" * 30 + "a"), (1, 1, "assistant", "z" * 25), (2, 0, "user", None), (2, 0, None, "w" * 21), (2, 3, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.role): r.value for r in table_queries.QUERIES["q44_concat_whole_items"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "user"): "y" * 30 + "a " + "x" * 50 + "b", (1, "assistant"): "z" * 25, (2, "user"): None, (2, None): "w" * 21}
