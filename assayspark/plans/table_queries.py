@@ -160,6 +160,24 @@ def names_both_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides.filter("a <> r").select(F.when(F.col("a"), "only_a").otherwise("only_r").alias("side"), "name")
 
 
+@query(
+    "q46_anti_items_all_lines",
+    """
+    WITH i AS (SELECT l_returnflag AS flag, trim(p_name) AS name, CAST(l_orderkey AS VARCHAR) AS orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag IN ('A', 'R')),
+         u AS (SELECT 'name' AS item, name AS value, flag FROM i UNION ALL SELECT 'order', orderkey, flag FROM i)
+    SELECT 'only_a' AS side, * FROM (SELECT item, value FROM u WHERE flag = 'A' EXCEPT SELECT item, value FROM u WHERE flag = 'R')
+    UNION ALL SELECT 'only_r', * FROM (SELECT item, value FROM u WHERE flag = 'R' EXCEPT SELECT item, value FROM u WHERE flag = 'A')
+    """,
+)
+def items_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names and orders on one side only, in both directions, over all lines (q10 takes names of a part of the lines)."""
+    line = table(spark, sf_dir, "lineitem").filter("l_returnflag IN ('A', 'R')")
+    rows = line.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    both = F.explode(F.array(F.struct(F.lit("name").alias("item"), F.trim("p_name").alias("value")), F.struct(F.lit("order").alias("item"), F.col("l_orderkey").cast("string").alias("value"))))
+    sides = rows.select("l_returnflag", both.alias("i")).groupBy("i.item", "i.value").agg(F.bool_or(F.col("l_returnflag") == "A").alias("a"), F.bool_or(F.col("l_returnflag") == "R").alias("r"))
+    return sides.filter("a <> r").select(F.when(F.col("a"), "only_a").otherwise("only_r").alias("side"), "item", "value")
+
+
 @query("q11_dup_after_first", "SELECT p_partkey, p_name, n FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part) WHERE n > 1")
 def dup_after_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("p_name").orderBy("p_partkey")
@@ -261,6 +279,15 @@ def value_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").filter(is_integer(F.col("p_size").cast("string")) & (F.col("p_size") > 25)).select("p_partkey", "p_size")
 
 
+@query(
+    "q48_value_integer_all",
+    "SELECT p_partkey, p_size FROM part WHERE NOT contains(CAST(p_size AS VARCHAR), '.') AND TRY_CAST(CAST(p_size AS VARCHAR) AS DOUBLE) IS NOT NULL",
+)
+def value_integer_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All integers (q21 gives those above 25)."""
+    return table(spark, sf_dir, "part").filter(is_integer(F.col("p_size").cast("string"))).select("p_partkey", "p_size")
+
+
 @query(
     "q22_value_numeric",
     "SELECT o_orderkey, o_orderpriority FROM orders WHERE TRY_CAST(split_part(o_orderpriority, '-', 1) AS DOUBLE) IS NOT NULL",
