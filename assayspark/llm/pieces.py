@@ -2,13 +2,13 @@
 
 Encoding follows the merge type: the characters of a word are symbols, candidates (neighbouring symbols whose join is a
 piece) stand in an agenda by score and place, and the best is merged until none is left. With dropout, a candidate that
-comes up is skipped for good if a keyed hash of the seed, the variant, its place and its piece falls below the rate.
-Equal seeds give equal results on every machine; words differ by variant, which follows from the text and the word's
-place in it. Symbols that are no piece become bytes.
+comes up is skipped for good if a keyed hash of the seed, the text, the word's place in it, the candidate's place and its
+piece falls below the rate. Equal seeds give equal results on every machine; each occurrence of a word is drawn anew.
+Symbols that are no piece become bytes.
 
 No piece of the vocabulary joins a word to the space that follows it, or a letter to what is no letter, so runs of letters
-and of other characters (with the spaces before them) are encoded one by one, and a task keeps the results of those that
-repeat.
+and of other characters (with the spaces before them) are encoded one by one. A task keeps the merges of those that repeat: of
+each short one the candidates by what was skipped before them, and the ids that such a course of draws ends in.
 """
 
 from __future__ import annotations
@@ -19,15 +19,19 @@ from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayspark.llm.shared import map_rows
 
 MODEL = "piece_bpe_32k.model"
-SEED, RATE, VARIANTS = 7, 0.1, 4
+SEED, RATE = 7, 0.1
 KEPT_WORDS = 400_000
+#: Candidates of words that are kept, and the length up to which words are.
+KEPT_DRAWS, KEPT_LENGTH = 1_000_000, 16
 #: Up to so many characters, all candidates of a word are looked through for each merge.
 FEW = 48
 SPACE = "▁"
@@ -106,17 +110,21 @@ def _merged_long(symbols: list[str], v: Vocabulary, key: int, limit: int) -> lis
     return [s for s in symbols if s]
 
 
-def _merged(symbols: list[str], v: Vocabulary, key: int, limit: int) -> list[str]:
-    """The symbols after all merges; the best candidate is looked for among the few there are."""
+def _merged(symbols: list[str], v: Vocabulary, key: int, limit: int, draws: list[tuple[int, bool]] | None = None) -> list[str]:
+    """The symbols after all merges; the best candidate is looked for among the few there are. draws: gets the candidates that came up."""
     ids, get, none = v.ids, v.costs.get, v.no_piece
     costs = [get(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
     places = list(range(len(symbols)))
     while costs and (cost := min(costs)) < none:
         i = costs.index(cost)
         joined = symbols[i] + symbols[i + 1]
-        if limit and skipped(key, places[i], ids[joined], limit):
-            costs[i] = none
-            continue
+        if limit:
+            skip = skipped(key, places[i], ids[joined], limit)
+            if draws is not None:
+                draws.append(((places[i] * 0x9E3779B1 ^ ids[joined] * 0x85EBCA6B) & _MASK, skip))
+            if skip:
+                costs[i] = none
+                continue
         symbols[i] = joined
         del symbols[i + 1], places[i + 1], costs[i]
         if i < len(costs):
@@ -126,12 +134,12 @@ def _merged(symbols: list[str], v: Vocabulary, key: int, limit: int) -> list[str
     return symbols
 
 
-def encode_word(word: str, v: Vocabulary, key: int = 0, rate: float = 0.0) -> list[int]:
-    """The ids of a word, in which spaces are SPACE."""
+def encode_word(word: str, v: Vocabulary, key: int = 0, rate: float = 0.0, draws: list[tuple[int, bool]] | None = None) -> list[int]:
+    """The ids of a word, in which spaces are SPACE. draws: gets the candidates that came up, of a short word."""
     ids, limit = v.ids, int(rate * (1 << 32))
     if word == OWN:
         return [v.bytes[b] for b in SPACE.encode()]
-    symbols = (_merged if len(word) <= FEW else _merged_long)(list(word), v, key, limit)
+    symbols = _merged(list(word), v, key, limit, draws) if len(word) <= FEW else _merged_long(list(word), v, key, limit)
     out = []
     for s in symbols:
         if (one := ids.get(s)) is not None:
@@ -141,44 +149,57 @@ def encode_word(word: str, v: Vocabulary, key: int = 0, rate: float = 0.0) -> li
     return out
 
 
-class Encoder:
-    """Encodes texts. Without a rate the ids are the model's own."""
-
-    def __init__(self, v: Vocabulary, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS):
-        self.v, self.variants = v, variants if rate else 1
-
-        def kept(variant: int) -> dict:
-            key = zlib.crc32(f"{seed}:{variant}".encode())
+def occurrence_keys(seed: int, text: str, n: int) -> list[int]:
+    """A 32-bit key for each of the n words of a text, from the seed, the whole text and the word's place."""
+    start = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), zlib.crc32(str(seed).encode()))
+    x = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start)
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(32)).tolist()
 
-            class Kept(dict):
-                """The words of late; of those before them, the ones that come again are taken over."""
 
-                older: dict[str, bytes] = {}
-
-                def __missing__(self, word: str) -> bytes:
-                    if len(self) >= KEPT_WORDS // (2 * variants):
-                        self.older = dict(self)
-                        self.clear()
-                    if (ids := self.older.get(word)) is None:
-                        ids = array("i", encode_word(word, v, key, rate)).tobytes()
-                    self[word] = ids
-                    return ids
-
-            return Kept()
+class Encoder:
+    """Encodes texts. Without a rate the ids are the model's own."""
 
-        self.kept = [kept(k) for k in range(self.variants)]
+    def __init__(self, v: Vocabulary, seed: int = SEED, rate: float = RATE):
+        self.v, self.seed, self.rate, self.limit = v, seed, rate, int(rate * (1 << 32))
+        #: By word: the ids, or [hash of the first candidate, what follows if it is merged, what follows if it is skipped].
+        self.kept: dict[str, bytes | list] = {}
+        self.draws = 0
+
+    def _drawn(self, word: str, key: int) -> bytes:
+        """The ids of one occurrence of a word."""
+        node, limit = self.kept.get(word), self.limit
+        while type(node) is list:  # skipped(), written out
+            x = key ^ node[0]
+            x = ((x ^ (x >> 16)) * 0x7FEB352D) & 0xFFFFFFFF
+            x = ((x ^ (x >> 15)) * 0x846CA68B) & 0xFFFFFFFF
+            node = node[2] if (x ^ (x >> 16)) < limit else node[1]
+        return self._merge(word, key) if node is None else node
+
+    def _merge(self, word: str, key: int) -> bytes:
+        """_drawn() of what is not kept."""
+        draws: list[tuple[int, bool]] = []
+        ids = array("i", encode_word(word, self.v, key, self.rate, draws)).tobytes()
+        if len(word) <= KEPT_LENGTH:
+            if self.draws > KEPT_DRAWS or len(self.kept) > KEPT_WORDS:
+                self.kept, self.draws = {}, 0
+            held, at = self.kept, word
+            for candidate, skip in draws:
+                node = held.get(word) if held is self.kept else held[at]
+                if node is None:
+                    node = held[at] = [candidate, None, None]
+                    self.draws += 1
+                held, at = node, 2 if skip else 1
+            held[at] = ids
+        return ids
 
     def __call__(self, text: str) -> array:
         """The ids. A text's own U+2581 is written as bytes, so that it is not read as a space."""
         if not text:
             return array("i")
         units = _UNITS.findall((" " + text).replace(" ", SPACE)) if SPACE not in text else self._marked(text)
-        start, n = zlib.crc32(text.encode("utf-8", "surrogatepass")), self.variants
-        out: list[bytes] = [b""] * len(units)
-        for k in range(n):
-            get = self.kept[(start + k) % n].__getitem__
-            out[k::n] = map(get, units[k::n])
-        return array("i", b"".join(out))
+        return array("i", b"".join(map(self._drawn, units, occurrence_keys(self.seed, text, len(units)))))
 
     def _marked(self, text: str) -> list[str]:
         """Units of a text that holds U+2581, each of which is the unit OWN."""

@@ -52,3 +52,22 @@ def test_queries(spark):
     back = {r.doc_id: r.text for r in P.decode_ids(P.encode_texts(docs)).collect()}
     assert back == {i: t or "" for i, t, _ in rows}
     assert P.round_trip(docs.limit(0)).collect() == []
+
+
+def test_each_occurrence_is_drawn_anew(v):
+    """A word of one merge is split in a tenth of its occurrences, and longer words have all their segmentations."""
+    merges = lambda w: (d := [], P.encode_word(w, v, 1, 1e-9, d))[0]
+    pairs = sorted(p for p in v.ids if len(p) == 2 and p.isalpha() and p.isascii())
+    assert all(len(merges(p)) == 1 for p in pairs[:20])
+    for word in pairs[:20]:
+        counts = [len(P.Encoder(v, seed=4)._drawn(word, k)) // 4 for k in P.occurrence_keys(4, "text " + word, 2000)]
+        assert 0.07 < counts.count(2) / 2000 < 0.13, word
+    encode = P.Encoder(v, seed=4)
+    keys = P.occurrence_keys(4, "another text", 5000)
+    for word in (P.SPACE + "segmentation", P.SPACE + "the", P.SPACE + "x" * 30):
+        got = [encode._drawn(word, k) for k in keys]
+        assert got == [P.array("i", P.encode_word(word, v, k, P.RATE)).tobytes() for k in keys]
+    assert len({encode._drawn(P.SPACE + "segmentation", k) for k in keys}) > 20
+    text = "the house " * 300
+    ids = encode(text)
+    assert ids == P.Encoder(v, seed=4)(text) and P.decode(ids, v) == text and encode(text + ".")[:50] != ids[:50]
