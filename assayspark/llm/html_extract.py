@@ -25,16 +25,19 @@ from assayspark.llm.shared import map_rows
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+    "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul "
+    "noscript template object canvas audio video".split()
 )
 VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
-#: Elements whose content is not text of the page.
-RAW = "script|style|title|textarea|noscript|template|iframe|svg|math|object|canvas|audio|video"
+#: Elements whose content is not text of the page, and holds no tags: without an end tag, it goes to the end of the page.
+RAW = "script|style|title|textarea|iframe"
+#: Of the block-level tags, those that may stand in a paragraph.
+_WITHIN_P = {"noscript", "template", "object", "canvas", "audio", "video"}
 #: A start tag of one of these ends an open one of the same group.
 _SELF_CLOSING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_ENDS_P = BLOCK_TAGS - {"html", "head", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup"}
+_ENDS_P = BLOCK_TAGS - _WITHIN_P - {"html", "head", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup"}
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)

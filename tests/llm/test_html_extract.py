@@ -65,3 +65,16 @@ def test_held_out_pages_and_odd_rows(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert sum(got[len(odd) + i].text == "\n\n".join(t) for i, (_, t) in enumerate(made)) >= 0.9 * len(made)
     assert H.extract(rows.limit(0), net).collect() == []
+
+
+def test_only_raw_text_is_left_out():
+    for before in ('<svg class="i"/>', "<svg>", '<video-js id="x"></video-js>', "<title-bar>", "<math/>", "<video src=x>", "<object data=x>", "<noscript>", "<script-x>", "<canvas>", "<template>"):
+        assert texts(f"<body>{before}<article><p>whole article</p><p>to its end</article>") == ["whole article", "to its end"], before
+    for tag in ("noscript", "template", "object", "canvas", "audio", "video"):
+        assert texts(f"<article><p>a</p><{tag} id=x><p>inside</p></{tag}><p>b") == ["a", "inside", "b"], tag
+    assert texts("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <svg><text>label</text></svg></p>") == ["where x=2 holds label"]
+    assert texts("<p>a<object>o</object><p>b") == ["a", "o", "b"]
+    for tag in ("script", "style", "title", "textarea", "iframe"):
+        assert texts(f"a<{tag} x><p>no</p></{tag}>b") == ["a b"] and texts(f"a<{tag}><p>no</p>") == ["a"], tag
+    for page in ("<svg>" * 50_000, "<math/>" * 50_000, "<object>" * 3000 + "x", "<video>" * 3000 + "</video>" * 3000):
+        H.blocks(page)
