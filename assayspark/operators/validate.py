@@ -192,11 +192,16 @@ def repeated_in_metabolites(t: Tables) -> DataFrame:
     return issue(listed(repeated(names(t, "Metabolites"), "name", "row"), "name"), 14, "Data", "Metabolites", F.concat(F.lit("Metabolites given more than once: "), "found"))
 
 
+def standard_names_of(name: Column, finders: dict[str, Finder] | None = None) -> Column:
+    """A row for each standard column that a name (stripped, in lower case) could mean."""
+    found = F.array(*(F.when(f.names(name), F.lit(n)) for n, f in (finders or FINDERS).items()))
+    return F.explode(F.array_compact(found))
+
+
 def standard_columns(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
     """file_id, column, pos and standard: which columns of METABOLITES tables mean which standard column."""
     heads = t.headers.filter("tbl = 'Metabolites' AND column <> 'Metabolite'").withColumn("c", F.lower(F.trim("column")))
-    found = F.array(*(F.when(f.names(F.col("c")), F.lit(n)) for n, f in (finders or FINDERS).items()))
-    return heads.select("file_id", "column", "dup", "pos", "c", F.explode(F.array_compact(found)).alias("standard"))
+    return heads.select("file_id", "column", "dup", "pos", "c", standard_names_of(F.col("c"), finders).alias("standard"))
 
 
 @check(15)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayspark.functions.finders import FINDERS
 from assayspark.model import Tables
 from assayspark.operators.extract import matchers, measurements, metabolite_counts
 from assayspark.operators.parse_text import text_tables
-from assayspark.operators.validate import issues
+from assayspark.operators.read import to_tables
+from assayspark.operators.schema import schema_issues
+from assayspark.operators.validate import issues, standard_names_of, summary
 from assayspark.plans.table_queries import ORACLE_SQL, QUERIES, query, table
 
 #: Of the documents by their customer's key modulo 4, what is wrong in them on purpose.
@@ -84,4 +87,104 @@ def documents_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues(tables(spark, sf_dir), numbers=(4, 7, 9, 12, 22)).select("file_id", "id")
 
 
+def _metabolites(header: str, *rows: str) -> tuple[str, str]:
+    return r"(?s)metabolite_name\tpubchem_id\n.*\nMETABOLITES_END", "\n".join((header, *rows, "METABOLITES_END"))
+
+
+def _extended(*rows: str) -> tuple[str, str]:
+    return "\nMS_METABOLITE_DATA_END\n", "\n".join(("\nMS_METABOLITE_DATA_END", "EXTENDED_MS_METABOLITE_DATA_START", *rows, "EXTENDED_MS_METABOLITE_DATA_END\n"))
+
+
+_JSON = '{"MS": {"MS_TYPE": "ESI"}, "MS_METABOLITE_DATA": {"Units": "count", "Data": [{"Metabolite": "m1", "s1": "1"}, {"Metabolite": "m2", "s2": "2"}]}}'
+_DATA, _SSF, _LIST = r"(\nSamples\t[^\n]*\n)", r"(MORE\n)(SUBJECT_SAMPLE_FACTORS\t[^\n]*\n)", r"(\nmetabolite_name\tpubchem_id\n)([^\n]*\n)"
+_END = r"\nMETABOLITES_END"
+#: By the number of an issue, what is replaced by what in a right document so that it has the issue.
+FAULTS: dict[int, tuple[str, str]] = {
+    1: (r"(\nMS:MS_TYPE\tESI)", "$1$1"), 2: (_DATA + r"([^\n]*)", "$1$2\t1\t2"), 3: (_DATA, "$1Factors\tSegment:other\n"), 4: (_SSF, "$1$2$2"),
+    5: (r"(MORE\n[^\n]*Segment:[^\t\n]*)", "$1 | Segment:x"), 6: (r"(MORE\n[^\n]*Segment:[^\t\n]*\t)", "$1A=1; A=2"), 7: (_SSF, "$1"), 8: (r"(\nSamples)(\t[^\t\n]*)", "$1$2$2"),
+    9: (_LIST, "$1"), 10: (_DATA + r"P\d+", "$1N/A"), 11: (_DATA + r"([^\n]*\n)", "$1$2$2"), 12: (_END, "\nnot in the data\t1\nMETABOLITES_END"), 13: (_END, "\nN/A\t1\nMETABOLITES_END"),
+    14: (_LIST, "$1$2$2"), 15: ("\tpubchem_id", "\tPubChem CID"), 16: (_END, "\nP0\tnothing like it\nMETABOLITES_END"), 17: ("\tpubchem_id", "\tretention_index"),
+    18: _metabolites("metabolite_name\tother_id\tother_id_type", "P1\t1\tNA", "P2\t2\tx"), 19: ("\tpubchem_id", "\tother_id"), 20: ("\tpubchem_id", "\thmdb lipidmaps"),
+    21: _extended("metabolite_name\tx", "P1\t1"), 22: _extended("metabolite_name\tsample_id\tx", "P1\tnone\t1"), 23: (_END, "\nsamples\t1\nMETABOLITES_END"),
+    24: ("\n#MS\n", "\n#PROJECT\nPR:EMAIL\tat home\n#MS\n"), 25: (r"(?s)\A.*\z", _JSON), 26: (r"(\nmetabolite_name\t)(pubchem_id)", "$1\t$2"),
+    27: _metabolites("metabolite_name\tpubchem_id", "P1\tNA", "P2\t"), 28: _metabolites("metabolite_name\tpubchem_id", *(f"P{i}\t{i // 11}" for i in range(12))),
+    29: _metabolites("metabolite_name\tpubchem_id", "P1\t1", "P1\t1"), 30: ("\tpubchem_id", "\tpubchem_id\tpubchem_id"), 31: _metabolites("metabolite_name\tpolarity", "P1\tpositive", "P2\tnegative"),
+    32: (r"#MS\nMS:MS_TYPE\tESI\n", ""), 33: (r"(?s)#METABOLITES\n.*\nMETABOLITES_END\n", ""), 34: ("\nSamples\t", "\nNames\t"),
+    35: _extended("metabolite_name\tsample_id\tx", "P1\tNA\t1"), 36: _extended("metabolite_name\tsample_id\tx", "N/A\tS1\t1"),
+}
+
+
+def with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents(), and the right document of the least customer once for each fault, as `customer-number`."""
+    docs = documents(spark, sf_dir)
+    right = docs.filter("cast(file_id AS long) % 4 = 0").agg(F.min_by(F.struct("file_id", "text"), F.col("file_id").cast("long")).alias("d"))
+    faults = spark.createDataFrame([(n, *x) for n, x in FAULTS.items()], "n int, old string, new string")
+    made = right.filter("d IS NOT NULL").crossJoin(F.broadcast(faults))
+    made = made.select(F.concat_ws("-", "d.file_id", "n").alias("file_id"), F.regexp_replace("d.text", F.col("old"), F.col("new")).alias("text"), F.lit(None).cast("string").alias("error"))
+    return docs.unionByName(made)
+
+
+def _all_issues(spark: SparkSession, sf_dir: str) -> tuple[Tables, DataFrame]:
+    t = to_tables(with_faults(spark, sf_dir)).kept()
+    return t, issues(t, extra=[schema_issues(t)])
+
+
+@query("q50_documents_all_issues")
+def documents_all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks and the schema rules over the documents and those with faults."""
+    return _all_issues(spark, sf_dir)[1].select("file_id", "id", "name", "severity", "section", "sub_section", "message")
+
+
+@query(
+    "q60_documents_faults",
+    f"""
+    WITH {_CELLS}, r AS (SELECT min(c_custkey) AS k FROM m WHERE c_custkey % 4 = 0)
+    SELECT k || '-' || id AS file_id, id FROM r, (VALUES {", ".join(f"({n})" for n in FAULTS)}) f(id) WHERE k IS NOT NULL
+    """,
+)
+def documents_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all issues, the ones that a document was given on purpose."""
+    found = _all_issues(spark, sf_dir)[1]
+    return found.filter(F.get(F.split("file_id", "-"), F.lit(1)) == F.col("id").cast("string")).select("file_id", "id").distinct()
+
+
+@query("q54_documents_summary")
+def documents_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of each document, its issues and warnings, and their tags."""
+    t, found = _all_issues(spark, sf_dir)
+    return summary(t.files, found)
+
+
+#: Names of columns: some of each kind, and the driver's own.
+COLUMNS = (
+    "m/z", "calc mz", "mz id", "exact mass", "quantmass", "mw structure", "m meas.", "parent", "mass spectrum", "composite spectrum", "species", "is_species", "inchikey", "inchi", "smiles", "formula",
+    "compound", "compound name", "metabolite_name", "refmet name", "refmet", "class", "pathway", "pathway sort", "ion", "ions", "adduct", "pubchem cid", "kegg id", "hmdb", "hmdb lipidmaps", "lm_id",
+    "chemspider", "metlin", "cas", "cas number", "binbase", "bb id", "chebi", "regno", "mz cloud id", "identifier", "other", "other id", "other_id_type", "id", "rt", "ret time", "time of ret", "delta rt",
+    "deltart", "ri", "ret index", "retention index", "retention index type", "abbreviation", "assignment certainty", "comment", "assignment method", "isotope count", "isotopologue", "isotope", "peak description",
+    "peak pattern", "transient peak", "transient peak type", "fish coverage", "msicategory", "annotation", "internal standard", "istd", "platform", "method", "polarity", "esi mode", "pos neg", "ionization mode",
+    "mode", "frequency", "p_name", "p_type", "p_brand", "p_size", "l_comment", "o_orderkey", "c_mktsegment", "doc_id", "n_chars", "url", "",
+)
+
+
+def _names_sql() -> str:
+    """The finders' rules as SQL; RE2 has no look-aheads, so a set of words is a pattern for each."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    has = lambda x: f"contains(c, {text(x)})"
+    word = lambda x: f"regexp_matches(c, {text(f'([^a-zA-Z0-9]|^)({x})([^a-zA-Z0-9]|$)')})"
+    every = lambda xs: "(" + " AND ".join(xs) + ")"
+    parts = []
+    for name, f in FINDERS.items():
+        ways = [*map(word, f.words), *(every(map(word, x)) for x in f.all_words), *map(has, f.has), *(every(map(has, x)) for x in f.all_has), *(f"c = {text(x)}" for x in f.is_)]
+        bars = [f"NOT {x}" for x in (*map(word, f.not_words), *map(has, f.not_has))]
+        parts.append(f"SELECT c AS column_name, {text(name)} AS standard FROM columns WHERE " + every([every([" OR ".join(ways)]), *bars]))
+    return f"WITH columns(c) AS (VALUES {', '.join(f'({text(c)})' for c in COLUMNS)}) " + " UNION ALL ".join(parts)
+
+
+@query("q20_name_finder", _names_sql())
+def name_finder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which standard columns each name could mean, by all finders."""
+    columns = spark.createDataFrame([(c,) for c in COLUMNS], "column_name string")
+    return columns.select("column_name", standard_names_of(F.col("column_name")).alias("standard"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "documents", "tables"]

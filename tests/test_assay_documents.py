@@ -18,7 +18,8 @@ from assayspark.operators.extract import matchers, measurements, metabolite_coun
 from assayspark.operators.read import to_tables
 from assayspark.operators.render import to_json, to_text
 from assayspark.operators.schema import from_json_schema, schema_issues
-from assayspark.operators.validate import issues, summary
+from assayspark.operators.validate import CATALOGUE, issues, summary
+from assayspark.plans import document_queries
 from assayspark.sources import rest
 from assayspark.sources.files import read_documents
 from assayspark.sources.sinks import write_documents
@@ -199,3 +200,25 @@ def test_addresses(spark):
     assert [r[0] for r in rows.select(rest.document_urls("b/", F.col("id"), "whole")).collect()] == [
         "b/study/analysis_id/AN000001/whole/txt", "b/study/analysis_id/AN000002/whole/txt", "b/study/study_id/ST3/whole/txt", None,
     ]
+
+
+def test_registered_queries_reach_every_check(spark, tmp_path):
+    """Each fault is found in the document that was given it, and the summary counts what the query gives."""
+    rows = {
+        "customer": ("c_custkey long, c_mktsegment string, c_nationkey int", [(4, "BUILDING", 1), (5, "MACHINERY", 2)]),
+        "orders": ("o_orderkey long, o_custkey long", [(1, 4), (2, 4), (3, 5), (6, 5)]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_discount double, l_quantity double", [(1, 7, 0.1, 3.0), (2, 7, 0.1, 4.0), (1, 8, 0.1, 5.0), (2, 9, 0.1, 6.0), (3, 7, 0.1, 1.0), (6, 8, 0.1, 2.0)]),
+    }
+    for name, (schema, data) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = document_queries.QUERIES["q50_documents_all_issues"](spark, str(tmp_path)).collect()
+    ids: dict[str, set[int]] = {}
+    for r in got:
+        ids.setdefault(r.file_id, set()).add(r.id)
+    wrong = {n for n in document_queries.FAULTS if n not in ids.get(f"4-{n}", ())}
+    assert set(document_queries.FAULTS) == {*CATALOGUE, 24} and not wrong, wrong
+    assert ids["4"] == {24} and ids["5"] - {24} == {7}
+    assert any("at home" in r.message or r.sub_section == "EMAIL" for r in got if r.file_id == "4-24")
+    assert all(r.section is not None and r.message for r in got)
+    counts = {r.file_id: (r.n_issues, r.n_warnings) for r in document_queries.QUERIES["q54_documents_summary"](spark, str(tmp_path)).collect()}
+    assert counts == {i: (sum(r.file_id == i for r in got), sum(r.file_id == i and r.severity == "Warning" for r in got)) for i in ids}
