@@ -1,4 +1,5 @@
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -54,20 +55,71 @@ def test_queries(spark):
     assert P.round_trip(docs.limit(0)).collect() == []
 
 
+def brute(word, v, key, rate):
+    """Merge-dropout by its definition: of all candidates that were not skipped, the best by score, then place, is drawn for."""
+    symbols, out_of = [(c, i) for i, c in enumerate(word)], set()
+    while True:
+        found = [(-v.scores[a + b], i, a + b, k) for k, ((a, i), (b, _)) in enumerate(zip(symbols, symbols[1:], strict=False)) if a + b in v.scores and (i, a + b) not in out_of]
+        if not found:
+            return [v.ids[s] if s in v.ids else v.bytes[b] for s, _ in symbols for b in (s.encode() if s not in v.ids else b"x")]
+        _, i, joined, k = min(found)
+        if rate and P.skipped(key, i, v.ids[joined], int(rate * 2**32)):
+            out_of.add((i, joined))
+        else:
+            symbols[k : k + 2] = [(joined, i)]
+
+
+def runs(text):
+    """Runs of a text by their rule: letters, other characters, and the text's own U+2581 are apart; spaces lead."""
+    return re.findall(r" *(?:[^\W\d_²³¹]+|(?:(?![^\W\d_²³¹])[^ ▁])+)|▁| +", " " + text if text else "")
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.6])
+def test_against_brute_force(v, rate):
+    """Whole texts, with runs of every width and of more than the widest, against the definition."""
+    rnd = random.Random(8)
+    odd = ["a ▁ b", "x" * 64 + " " * 70 + "y" * 65, "漢字" * 40 + "é" * 30, "of▁ the", *TEXTS]
+    texts = odd + [words(rnd, 60) for _ in range(20)] + ["".join(rnd.choice("abcdeioru .,9é") for _ in range(900))]
+    for text, got in zip(texts, P.Encoder(v, 3, rate).encode(texts), strict=True):
+        units = runs(text)
+        keys = P.occurrence_keys(3, text, 0, len(units)).tolist()
+        want = []
+        for u, k in zip(units, keys, strict=True):
+            want += [v.bytes[b] for b in u.encode()] if u == "▁" else brute(u.replace(" ", "▁"), v, k, rate)
+        assert got.tolist() == want, text[:80]
+
+
+def test_long_texts_are_cut_where_runs_end(v):
+    """A text longer than a window has the ids of its runs drawn one by one; the windows leave no trace."""
+    rnd = random.Random(9)
+    text = words(rnd, 150_000) + "  " + "z" * 700
+    assert len(list(P.windows(text))) > 1 and "".join(P.windows(text)) == " " + text
+    encode = P.Encoder(v, 5, 0.2)
+    whole = encode(text)
+    assert P.decode(whole, v) == text
+    small, P.WINDOW = P.WINDOW, 1000
+    try:
+        assert (encode(text) == whole).all()
+    finally:
+        P.WINDOW = small
+
+
 def test_each_occurrence_is_drawn_anew(v):
-    """A word of one merge is split in a tenth of its occurrences, and longer words have all their segmentations."""
-    merges = lambda w: (d := [], P.encode_word(w, v, 1, 1e-9, d))[0]
+    """A word of one merge is split in a tenth of its occurrences, and a longer one has many segmentations."""
     pairs = sorted(p for p in v.ids if len(p) == 2 and p.isalpha() and p.isascii())
-    assert all(len(merges(p)) == 1 for p in pairs[:20])
     for word in pairs[:20]:
-        counts = [len(P.Encoder(v, seed=4)._drawn(word, k)) // 4 for k in P.occurrence_keys(4, "text " + word, 2000)]
-        assert 0.07 < counts.count(2) / 2000 < 0.13, word
-    encode = P.Encoder(v, seed=4)
-    keys = P.occurrence_keys(4, "another text", 5000)
-    for word in (P.SPACE + "segmentation", P.SPACE + "the", P.SPACE + "x" * 30):
-        got = [encode._drawn(word, k) for k in keys]
-        assert got == [P.array("i", P.encode_word(word, v, k, P.RATE)).tobytes() for k in keys]
-    assert len({encode._drawn(P.SPACE + "segmentation", k) for k in keys}) > 20
+        ids = P.Encoder(v, seed=4)("\n".join([word] * 2000)).tolist()
+        assert 0.07 < 1 - ids.count(v.ids[word]) / 2000 < 0.13, word
+    ids = P.Encoder(v, seed=4)("\n".join(["segmentation"] * 3000)).tolist()
+    line = v.bytes[10]
+    found, now = set(), []
+    for i in ids:
+        if i == line:
+            found.add(tuple(now))
+            now = []
+        else:
+            now.append(i)
+    assert len(found) > 20
     text = "the house " * 300
-    ids = encode(text)
-    assert ids == P.Encoder(v, seed=4)(text) and P.decode(ids, v) == text and encode(text + ".")[:50] != ids[:50]
+    ids = P.Encoder(v, seed=4)(text).tolist()
+    assert ids == P.Encoder(v, seed=4)(text).tolist() and P.Encoder(v, seed=4)(text + ".").tolist()[:50] != ids[:50]
