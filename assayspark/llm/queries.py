@@ -9,7 +9,7 @@ from assayspark.llm.shared import table
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("text_hash")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "stays")
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

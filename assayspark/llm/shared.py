@@ -15,17 +15,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. On one machine it may be unset: then one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints").rstrip("/")
+    if not folder:
+        if not (spark.conf.get("spark.master", None) or "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    return folder.rstrip("/")
+
+
+class Scratch:
+    """Tables that one run writes to the shared folder and reads back: what follows reads files, which outlive lost
+    executors. drop() takes away those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.paths[name] = f"{self.folder}/{name}-{len(self.paths)}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: what follows reads files, which outlive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df, written to the shared folder and read back."""
+    return Scratch(df.sparkSession).keep(df, name)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
