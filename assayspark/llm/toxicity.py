@@ -1,17 +1,17 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Learning. Labelled texts give each token (a word, or the first letters of words) its log-odds of standing in toxic
-texts, shrunk by a Dirichlet prior: half a text for each token, and PRIOR texts in proportion to the token's share of all
-texts. Tokens whose likelihood ratio (its signed root, which acts as a normal deviate) is large enough make the
-lexicon. Near copies of a text count once.
+texts, with a Dirichlet prior: half a text for each token, and PRIOR texts in proportion to the token's share of all
+texts. Log-odds that chance could give (the signed root of the likelihood ratio, which acts as a normal deviate, is below
+LEAST_Z) count as 0; all others are the tokens' scores, below 0 for tokens of clean texts. Near copies of a text count once.
 
-Search. A text is a sequence of scores: that of the lexicon for its tokens, a small loss for all others. One pass
+Search. A text is the sequence of its tokens' scores, each less a small DRIFT, so that by chance sums fall. One pass
 (Ruzzo and Tompa) finds all maximal scoring segments in linear time.
 
-Calibration. By the extreme-value law of segment scores, a text of m tokens has exp(-l S) m segments of score S or
-more by chance, where l solves sum p exp(l s) = 1 over the scores in texts that are not toxic. The best sum statistic
-over a text's segments is turned into a probability by a logistic curve, fitted to labelled texts that the lexicon
-has not seen.
+Calibration. By the extreme-value law of segment scores, a text of m tokens has m exp(-l S) segments of score S or
+more by chance, where l solves sum p exp(l s) = 1 over the scores in texts that are not toxic. Segments of which there
+would be SIGNIFICANT or fewer are the passages. The best sum statistic over a text's segments is turned into a
+probability by a logistic curve, fitted to labelled texts that the scores were not learnt from.
 """
 
 from __future__ import annotations
@@ -29,14 +29,16 @@ from pyspark.sql import functions as F
 
 from assayspark.llm.shared import keep, map_rows
 
-#: At most so many labelled rows are learnt from (those whose hashed doc_id is smallest), and so many tokens kept.
-LABELLED_ROWS, LEXICON_TOKENS = 40_000, 50_000
+#: At most so many labelled rows are learnt from: those whose hashed doc_id is smallest.
+LABELLED_ROWS = 40_000
 PREFIXES = (4, 5, 6)
 PRIOR = 10.0  # in texts
-LEAST_Z, LEAST_TEXTS = 5.0, 3
-LOSS = -0.25  # of a token that is not in the lexicon
+LEAST_Z = 5.0
+DRIFT = 0.25
+SIGNIFICANT = 0.01
 THRESHOLD = 0.7
 COUNTED = 400_000  # tokens that a task counts before it hands them on
+BINS = 100  # scores to 1 are counted in so many steps
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 Segment = tuple[int, int, float]  # first and last token, score
@@ -53,24 +55,25 @@ def prefixes(word: bytes) -> list[bytes]:
     return [f"{letters[:n]}*".encode() for n in PREFIXES if n < len(letters)]
 
 
-def segments(hits: list[tuple[int, float]], loss: float) -> list[Segment]:
-    """All maximal scoring segments of a sequence that scores `loss` everywhere but at the hits (place, score).
+def segments(sums: np.ndarray, places: np.ndarray) -> list[Segment]:
+    """All maximal scoring segments. sums: the running sums of all scores, with 0 before the first; places: of scores above 0.
 
-    Each candidate is kept with the running sums left of it and up to its end. A new hit joins back over earlier
-    candidates for as long as one starts lower and ends no higher than it does.
+    Each candidate is kept with the sums left of it and up to its end, and the last one before it that starts lower. A
+    new score joins back over earlier candidates for as long as one starts lower and ends no higher than it does.
     """
-    held: list[tuple[int, int, float, float]] = []
-    for place, score in hits:
-        before = loss * place if not held else held[-1][3] + loss * (place - held[-1][1] - 1)
-        first, low, high = place, before, before + score
+    held: list[tuple[int, int, float, float, int]] = []
+    for place, low, high in zip(places.tolist(), sums[places].tolist(), sums[places + 1].tolist(), strict=True):
+        first, j = place, len(held) - 1
         while True:
-            j = next((k for k in range(len(held) - 1, -1, -1) if held[k][2] < low), None)
-            if j is None or held[j][3] >= high:
+            while j >= 0 and held[j][2] >= low:
+                j = held[j][4]
+            if j < 0 or held[j][3] >= high:
                 break
-            first, low = held[j][0], held[j][2]
+            first, _, low, _, before = held[j]
             del held[j:]
-        held.append((first, place, low, high))
-    return [(first, last, high - low) for first, last, low, high in held]
+            j = before
+        held.append((first, place, low, high, j))
+    return [(first, last, high - low) for first, last, low, high, _ in held]
 
 
 @dataclass
@@ -85,7 +88,7 @@ class Model:
         return self.__dict__ | {"_seen": None}
 
     def seen(self) -> dict:
-        """Word to score, 0 where neither the word nor a prefix is in the lexicon; the word itself goes before."""
+        """Word to score, less the drift; the word itself goes before its prefixes, of which the strongest counts."""
         if self._seen is None:
             scores = self.scores
 
@@ -95,16 +98,25 @@ class Model:
                         self.clear()
                     value = scores.get(word)
                     if value is None:
-                        value = max((scores[p] for p in prefixes(word) if p in scores), default=0.0)
-                    self[word] = value
+                        value = max((scores[p] for p in prefixes(word) if p in scores), key=abs, default=0.0)
+                    self[word] = value = value - DRIFT
                     return value
 
             self._seen = Seen()
         return self._seen
 
-    def passages(self, tokens: list[bytes]) -> list[Segment]:
-        found = list(map(self.seen().__getitem__, tokens))
-        return segments([(i, s) for i, s in enumerate(found) if s > 0], LOSS) if any(found) else []
+    def token_scores(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.seen().__getitem__, tokens), dtype=np.float64, count=len(tokens))
+
+    def segments(self, tokens: list[bytes]) -> list[Segment]:
+        scores = self.token_scores(tokens)
+        places = np.flatnonzero(scores > 0)
+        return segments(np.concatenate([[0.0], np.cumsum(scores)]), places) if len(places) else []
+
+    def passages(self, n_tokens: int, found: list[Segment]) -> list[Segment]:
+        """The significant segments: chance would give SIGNIFICANT of their score, or fewer, in the whole text."""
+        least = math.log(max(1, n_tokens) / SIGNIFICANT)
+        return [s for s in found if self.rate * s[2] >= least]
 
     def statistic(self, n_tokens: int, found: list[Segment]) -> float:
         """The best of the sum statistics over the r highest segments, for any r; without segments that of score 0."""
@@ -123,21 +135,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic and family (the least hash of the text's word pairs, which near copies share) of the rows to learn from."""
+    """text, toxic and family (the least hash of the text's word pairs, which near copies share) of the rows to learn from; of a
+    family, the text with the smallest doc_id."""
     few = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     few = few.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)  # 12 bytes a row
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(few), "doc_id").select("text", "toxic")
+    rows = rows.join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic")
 
     def work(rows: pa.RecordBatch) -> dict:
         out = []
         for text in rows.column("text").to_pylist():
             ws = words(text or "")
             out.append(min((xxhash.xxh3_64_intdigest(a + b" " + b) for a, b in zip(ws, ws[1:] or ws, strict=False)), default=0) >> 1)
-        return {"text": rows.column("text"), "toxic": rows.column("toxic"), "family": out}
+        return {"doc_id": rows.column("doc_id"), "text": rows.column("text"), "toxic": rows.column("toxic"), "family": out}
 
-    return map_rows(rows, "text", "text string, toxic int, family long", work).dropDuplicates(["family", "toxic"])
+    rows = map_rows(rows, "text", "doc_id long, text string, toxic int, family long", work)
+    return rows.groupBy("family", "toxic").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,38 +190,44 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         prior = 0.5 + PRIOR * here / whole
         odds.append(F.log((F.col(c) + prior) / (n + PRIOR + 1 - F.col(c) - prior + 1e-9)))
     surprise = sum(F.when(F.col(c) > 0, 2 * F.col(c) * F.log(F.col(c) / here / (n / whole))).otherwise(0.0) for c, n in (("toxic", n_toxic), ("clean", n_clean)))
-    counts = counts.withColumns({"score": odds[0] - odds[1], "z": F.sqrt(F.greatest(F.lit(0.0), surprise))})
-    lexicon = counts.filter((F.col("toxic") >= LEAST_TEXTS) & (F.col("z") >= LEAST_Z) & (F.col("score") >= 1)).orderBy(F.desc("z"), "token").limit(LEXICON_TOKENS).collect()
-    model = Model({bytes(r["token"]): float(r["score"]) for r in lexicon})
-    if not lexicon:
-        return model
+    z, delta = F.sqrt(F.greatest(F.lit(0.0), surprise)), odds[0] - odds[1]
+    scored = counts.filter(z >= LEAST_Z).select("token", delta.alias("score")).filter("score <> 0")
+    model = Model({bytes(r["token"]): float(r["score"]) for r in scored.orderBy("token").collect()})
+    if not any(s > DRIFT for s in model.scores.values()):
+        return Model()
 
+    tried = rows.filter("family % 3 = 0")
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
-    def work(rows: pa.RecordBatch) -> dict:
-        seen, found = sent.value.seen(), {"toxic": rows.column("toxic"), "tokens": [], "hits": [], "segments": []}
-        for text in rows.column("text").to_pylist():
-            tokens = words(text or "")
-            found["tokens"].append(len(tokens))
-            found["hits"].append([s for s in map(seen.__getitem__, tokens) if s > 0])
-            found["segments"].append([s for _, _, s in sent.value.passages(tokens)])
-        return found
-
-    tried = map_rows(rows.filter("family % 3 = 0"), "text", "toxic int, tokens long, hits array<double>, segments array<double>", work).collect()
-    model.rate = _rate([s for r in tried if not r["toxic"] for s in r["hits"]], sum(r["tokens"] for r in tried if not r["toxic"]), model)
-    x = np.array([model.statistic(r["tokens"], [(0, 0, s) for s in r["segments"]]) for r in tried])
-    model.offset, model.slope = _logistic(x, np.array([float(r["toxic"]) for r in tried]))
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                counts.update(np.rint(sent.value.token_scores(words(text or "")) * BINS).astype(int).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["bin", "n"])
+
+    found = tried.filter("toxic = 0").select("text").mapInArrow(bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    model.rate = _rate({r["bin"] / BINS: r["n"] for r in found.collect()}, model)  # as many rows as scores have bins
+    again = rows.sparkSession.sparkContext.broadcast(model)
+
+    def statistics(rows: pa.RecordBatch) -> dict:
+        tokens = [words(t or "") for t in rows.column("text").to_pylist()]
+        return {"toxic": rows.column("toxic"), "x": [again.value.statistic(len(t), again.value.segments(t)) for t in tokens]}
+
+    xy = sorted((r["x"], r["toxic"]) for r in map_rows(tried, "text", "toxic int, x double", statistics).collect())  # 12 bytes for each of a third of LABELLED_ROWS
+    model.offset, model.slope = _logistic(np.array([x for x, _ in xy]), np.array([float(y) for _, y in xy]))
     return model
 
 
-def _rate(hits: list[float], tokens: int, model: Model) -> float:
-    """l: by bisection. Texts that are not toxic may show no hit at all, so one of the mean score is added."""
-    scores = np.array([*hits, float(np.mean(list(model.scores.values())))])
-    others = max(1, tokens - len(hits))
+def _rate(counts: dict[float, int], model: Model) -> float:
+    """l, by bisection, from how often each score stands in texts that are not toxic. They may hold no score above 0 at all, so
+    one of the mean is added."""
+    up = [s - DRIFT for s in model.scores.values() if s > DRIFT]
+    scores, n = (np.array(x, dtype=np.float64) for x in zip(*sorted([*counts.items(), (float(np.mean(up)), 1), (-DRIFT, 1)]), strict=True))
     low, high = 1e-3, 20.0
     for _ in range(60):
         middle = (low + high) / 2
-        total = (np.exp(np.minimum(middle * scores, 300)).sum() + others * math.exp(middle * LOSS)) / (others + len(scores))
+        total = (n * np.exp(np.minimum(middle * scores, 300))).sum() / n.sum()
         low, high = (middle, high) if total < 1 else (low, middle)
     return low
 
@@ -232,8 +252,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def score_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted and passages.
 
-    score is the probability of the label 1; passages are the maximal scoring segments (first and last word from 0, and
-    their score). A null or empty text has no passage and the score that goes with that. Rows with a null doc_id are
+    score is the probability of the label 1; passages are the significant maximal scoring segments (first and last word
+    from 0, and their score). A null or empty text has no passage and the score that goes with that. Rows with a null doc_id are
     scored and not held out; repeated rows are scored each. Labels that repeat are averaged, null labels are left out;
     without labels of both kinds all scores are below the threshold. An empty table gives an empty result; further
     columns are ignored. Only the texts enter a score.
@@ -245,9 +265,9 @@ def score_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         score, passages = [], []
         for text in rows.column("text").to_pylist():
             tokens = words(text or "")
-            found = model.passages(tokens)
+            found = model.segments(tokens)
             score.append(model.probability(model.statistic(len(tokens), found)))
-            passages.append([{"first": a, "last": b, "score": s} for a, b, s in found])
+            passages.append([{"first": a, "last": b, "score": s} for a, b, s in model.passages(len(tokens), found)])
         return {"doc_id": rows.column("doc_id"), "score": score, "passages": passages}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -256,7 +276,11 @@ def score_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text is not predicted as toxic; nothing is shuffled for it."""
+    """The rows of docs, all columns as they are, whose text is not predicted as toxic; nothing is shuffled for it.
+
+    Null and empty texts have the score of a text without segments. Repeated rows go or stay each; null doc_ids are as
+    others; an empty table gives an empty result; further columns stay as they are.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +289,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             good = []
             for text in batch.column("text").to_pylist():
                 tokens = words(text or "")
-                good.append(model.probability(model.statistic(len(tokens), model.passages(tokens))) < THRESHOLD)
+                good.append(model.probability(model.statistic(len(tokens), model.segments(tokens))) < THRESHOLD)
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
