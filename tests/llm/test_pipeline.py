@@ -39,5 +39,25 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert left["exact_dedup"].keys() == {min(g)[1] for g in groups.values()}
     kept = {d for d, _, _, k in brute(list(left["exact_dedup"].items()), 5) if k}
     assert left["near_dedup"].keys() == kept
+    assert P.drop_near_copies(spark, docs.limit(0), str(tmp_path)).collect() == P.drop_toxic(spark, docs.limit(0), str(tmp_path)).collect() == []
     packed = P.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == kept
+
+
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    """A copy goes and a text that shares its doc_id stays; copies without a doc_id go; equal rows become one; clashing and missing columns."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, "a  text of five words", 1), (7, "a text of five words", 2), (7, "quite another one", 3), (None, "atextoffivewords", 4), (8, "same", 5), (8, "same", 5), (8, "same", 6)]
+    rows += [(None, "lost", 1), (None, "lost", 1), (20, long, 0), (21, long + " more", 0), (21, "unlike anything", 0), (None, long + " end", 0), (30, None, 0), (31, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumns({"text_hash": P.F.lit("x"), "stays": P.F.lit(1), "entry": P.F.lit(2)}).repartition(3)
+    got = P.drop_copies(spark, docs, str(tmp_path))
+    assert got.columns == list(P.DOCUMENTS)
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    texts = [(3, "a  text of five words"), (7, "quite another one"), (8, "same"), (None, "lost"), (20, long), (21, long + " more"), (21, "unlike anything"), (None, long + " end"), (30, None)]
+    assert kept == sorted(texts, key=str)
+    kept = sorted(((r.doc_id, r.text) for r in P.drop_near_copies(spark, docs, str(tmp_path)).collect()), key=str)
+    near = [r[:2] for r in rows if r[:2] not in {(7, "a text of five words"), (21, long + " more"), (None, long + " end")}]
+    assert kept == sorted(set(near), key=str)
+    assert len(P.drop_toxic(spark, docs, str(tmp_path)).collect()) == len(rows)
+    assert {r.doc_id for r in P.pack(spark, docs, str(tmp_path)).collect()} == {r[0] for r in rows}
