@@ -1,4 +1,5 @@
 import random
+import time
 
 from assayspark.llm import url_filter as U
 
@@ -44,6 +45,29 @@ def test_many_arrays(spark, monkeypatch):
     check(spark, ["http://a.example.net/de/8", "http://example.com/en/7", "http://x.net/de/", "http://q.org/es/"])
 
 
+def test_rules_as_a_table_in_passes(spark, monkeypatch):
+    """A table of rules, some of them twice or with both actions, gives what its rows give; passes leave no trace."""
+    monkeypatch.setattr(U, "ARRAY_RULES", 3)
+    rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "net", "/de/"), ("block", "b.example.net", ""), ("allow", "org", "/"), ("allow", "org", "/")]
+    table = spark.createDataFrame([*rules, (None, "com", "/"), ("block", None, "/")], "action string, host string, path string")
+    urls = ["http://x.com/en/1", "http://example.com/en/77", "http://q.net/de/1", "http://a.b.example.net/z", "http://w.org/", "http://w.org", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted(map(tuple, U.judge_urls(pages, table, []).collect()))
+    assert got == sorted(map(tuple, U.judge_urls(pages, rules, []).collect()))
+    assert [(r, v) for *_, r, v in got] == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("b.example.net", "block"), ("org/", "allow"), (None, "allow"), (None, "allow")]
+
+
+def test_long_urls_take_linear_time(spark):
+    array = U.DigestArray([*U.RULES, ("block", "a.b.c.d", "/")])
+    times = []
+    for n in (4_000, 32_000):
+        start = time.process_time()
+        assert array.longest([(b"x." * n + b"example.com", b"/en/7" + b"y" * n)] * 5)[0][:2] == (b"example.com", b"/en/7")
+        times.append(time.process_time() - start)
+    assert times[1] < 16 * times[0] + 0.2
+    check(spark, ["http://" + "x." * 50_000 + "example.com/en/" + "z" * 300_000, "http://" + "/" * 100_000 + "#" * 1000])
+
+
 def test_empty_table(spark):
     assert U.judge_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
