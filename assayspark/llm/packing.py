@@ -3,8 +3,10 @@
 Pieces of one length are alike, so a packing of all pieces is a packing of the histogram of their lengths, which has at
 most `size` entries however many rows there are. It is planned on the driver: around the largest length left, the
 undominated fillings are searched by branch and bound, and the filling found is repeated as often as the counts allow.
-Whole plans compete the same way: the plan by best fit is the first incumbent, a plan that cannot need fewer sequences
-than the incumbent is cut off, and one that meets the lower bound ends the search.
+The search for a filling ends after STEPS (None: never, so the filling found is the best). Whole plans are restarts: the
+plan by best fit is the first incumbent, then up to TRIES plans that pass over some full fillings; a plan that cannot need
+fewer sequences than the incumbent is cut off, and one that meets the lower bound ends the search. Plans are not searched
+exhaustively, so one that misses the bound may not be the best; sequences used and the bound are in report().
 
 Each piece then finds its place by its rank among the pieces of its length: ranks are counted in the tasks that write
 the pieces and shifted by the counts of the tasks before, so no length needs to be gathered anywhere.
@@ -13,6 +15,7 @@ the pieces and shifted by the counts of the tasks before, so no length needs to
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -28,7 +31,8 @@ from assayspark.llm.shared import keep, slices
 
 SIZE = 1024
 END_ID = 2
-VOCABULARY = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json: equal ids
+#: The ranks of byte_bpe_50k.json, read by a faster library; the tests hold its ids against the other's on random texts.
+VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Search steps for one filling, and tries of whole plans.
 STEPS, TRIES = 4_000, 6
 
@@ -87,8 +91,8 @@ def best_fit(room: int, lengths: list[int], counts: dict[int, int]) -> list[tupl
     return filling
 
 
-def complete(room: int, lengths: list[int], counts: dict[int, int], skip: int = 0) -> list[tuple[int, int]]:
-    """An undominated filling of room with the least waste; lengths from large to small, all with counts.
+def complete(room: int, lengths: list[int], counts: dict[int, int], skip: int = 0, steps: int | None = STEPS) -> list[tuple[int, int]]:
+    """A filling of room with the least waste, or after so many steps the best found; lengths from large to small, all with counts.
 
     Branch and bound from large to small: the best-fit filling is the incumbent, `reach` bounds the waste of every
     branch from below (sums that the smaller lengths can make, were there enough of each), and a filling with no waste
@@ -106,11 +110,11 @@ def complete(room: int, lengths: list[int], counts: dict[int, int], skip: int =
         reach[i] = sums
     best = best_fit(room, lengths, counts)
     least = room - sum(x * k for x, k in best)
-    steps = STEPS
+    left_steps = math.inf if steps is None else steps
 
     def search(i: int, left: int, filling: list[tuple[int, int]]) -> bool:
-        nonlocal best, least, steps, skip
-        steps -= 1
+        nonlocal best, least, left_steps, skip
+        left_steps -= 1
         if left < least or (left == least == 0):
             if left == 0 and skip:
                 skip -= 1
@@ -118,7 +122,7 @@ def complete(room: int, lengths: list[int], counts: dict[int, int], skip: int =
             best, least = list(filling), left
             if left == 0:
                 return True
-        if steps <= 0:
+        if left_steps <= 0:
             return True
         while i < len(lengths):
             within = reach[i] & ((1 << (left + 1)) - 1)
@@ -150,11 +154,11 @@ def least_sequences(counts: dict[int, int], size: int) -> int:
     return bound
 
 
-def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[Filling, int]]:
+def plan(counts: dict[int, int], size: int = SIZE, tries: int = TRIES, steps: int | None = STEPS) -> list[tuple[Filling, int]]:
     """Fillings of sequences with how often each is used; together they hold every length as often as counts says."""
     bound = least_sequences(counts, size)
     best, fewest = None, float("inf")
-    for attempt in range(TRIES + 1):
+    for attempt in range(tries + 1):
         left = {x: n for x, n in sorted(counts.items(), reverse=True) if n}
         found, used, volume = [], 0, sum(x * n for x, n in left.items())
         while left:
@@ -163,7 +167,7 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[Filling, int]]:
             left[top] -= 1
             room = size - top
             rest = [x for x in lengths if left[x]]
-            fill = best_fit(room, rest, left) if attempt == 0 else complete(room, rest, left, skip=(attempt - 1) if len(found) % attempt == 0 else 0)
+            fill = best_fit(room, rest, left) if attempt == 0 else complete(room, rest, left, skip=(attempt - 1) if len(found) % attempt == 0 else 0, steps=steps)
             left[top] += 1
             filling: dict[int, int] = {top: 1}
             for x, k in fill:
@@ -185,6 +189,15 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[Filling, int]]:
     return best or []
 
 
+def report(fillings: list[tuple[Filling, int]], size: int = SIZE) -> tuple[int, int]:
+    """Sequences that a plan uses, and the fewest that any plan could."""
+    counts: dict[int, int] = {}
+    for filling, times in fillings:
+        for x, k in filling:
+            counts[x] = counts.get(x, 0) + k * times
+    return sum(times for _, times in fillings), least_sequences(counts, size)
+
+
 def _slots(fillings: list[tuple[Filling, int]]) -> dict[str, np.ndarray]:
     """Where the pieces of each length go: rows sorted by length and first rank. At most size * ln(size) fillings of at
     most sqrt(2 * size) lengths each, so under 330,000 rows for 1024, whatever the input."""

@@ -58,6 +58,39 @@ def test_completion_wastes_least():
     assert P.complete(0, [3], {3: 1}) == []
 
 
+def test_exact_completion_against_all_fillings():
+    """Without a limit of steps, no filling of the room wastes less, and none of its lengths can be swapped for a larger one."""
+    rnd = random.Random(7)
+    for _ in range(200):
+        room, counts = rnd.randrange(1, 60), Counter(rnd.randrange(1, 30) for _ in range(rnd.randrange(1, 9)))
+        sums = {0}
+        for x in counts.elements():
+            sums |= {s + x for s in sums if s + x <= room}
+        fill = P.complete(room, sorted(counts, reverse=True), counts, steps=None)
+        assert sum(x * k for x, k in fill) == max(sums) and all(k <= counts[x] for x, k in fill)
+        held_now = Counter(dict(fill))
+        for x, k in fill:
+            free = [y for y in counts if y > x and counts[y] > held_now[y] and y - x <= room - max(sums)]
+            assert not free and k
+
+
+def test_report():
+    assert P.report(P.plan({1024: 3, 512: 4, 100: 1})) == (6, 6)
+
+
+def test_ids_are_those_of_the_named_tokenizer():
+    """Random Unicode, white space, digits, contractions and special strings, by the thousand."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    rnd = random.Random(11)
+    bits = [" ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u2028", "\u3000", "\u0301", "'s", "'LL", "’t", "ſ", "İ", "ß", "12", "²", "Ⅷ", "日本", "🙂", "\u200d", "\x00", "\x85", "<|endoftext|>", "the", "Über"]
+    char = lambda: chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(160, 0x2FF), rnd.randrange(0x300, 0xD7FF), rnd.randrange(0xE000, 0x10FFFF)]))
+    texts = ["".join(rnd.choice(bits) if rnd.random() < 0.5 else char() for _ in range(rnd.randrange(1, 40))) for _ in range(5000)]
+    encode = P.encoder(None)
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text) == want.ids, ascii(text)
+
+
 def test_whole_query(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
