@@ -7,8 +7,8 @@ store() writes bytes as a grey JPEG in which each byte is the sample value of on
 quantised DC coefficient is the byte less 128, and so its DC-only thumbnail is the bytes themselves. The Huffman table
 gives category c a code of 9 - c bits, so code and value bits take 9 bits for every difference; with an end-of-block
 code of 7 bits a block takes two bytes. Such scans (all blocks equally long, as the tables show) are decoded in one
-numpy step. Other scans are decoded bit position by bit position: numpy finds for all positions at once how long a
-symbol that starts there is, and a walk links them.
+numpy step. Other scans are decoded bit position by bit position: numpy finds for all positions of a part of PART bytes
+how long a symbol that starts there is, and a walk links them.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ UNIT = 64
 MOST_BLOCKS = 8191  # on a side: 65535 samples
 #: Zigzag index of a coefficient is not needed for DC; quantisation of all coefficients.
 STEP = 8
+PART = 1 << 20
 
 
 @dataclass
@@ -223,6 +224,8 @@ def _differences(run: bytes, units: int, order: list, tables: dict[int, Table])
         bits, end = totals.pop(), ac.lengths[0]
         if bits + end == 16:  # a block is a two-byte word
             words = np.frombuffer(run, dtype=">u2", count=units).astype(np.int64)
+            if (ac.size[(words << 16 - end) & 0xFFFF] != end).any():
+                raise ValueError("a block doesn't end where it should")
             sizes = dc.symbol[words].astype(np.int64)
             return {pairs[0][0]: _values(words >> end & ((1 << sizes) - 1), sizes)}
     return _walk(run, units, pairs)
@@ -241,34 +244,52 @@ def _windows(run: bytes) -> np.ndarray:
 
 
 def _walk(run: bytes, units: int, pairs: list) -> dict[int, np.ndarray]:
-    windows = _windows(run)
-    steps = {}
-    for dc, ac in {(id(d), id(a)): (d, a) for _, d, a in pairs}.values():
-        first = dc.size[windows].astype(np.int64) + dc.symbol[windows]
-        symbols = ac.symbol[windows]
-        later = ac.size[windows].astype(np.int64) + (symbols & 15)
-        skip = np.where(symbols == 0, 64, (symbols >> 4).astype(np.int64) + 1)
-        steps[id(dc), id(ac)] = first.tolist(), later.tolist(), skip.tolist()
-    starts: list[list[int]] = [[] for _ in pairs]
+    """DC differences by following symbol after symbol; what is known of a part's bit positions is 6 bytes for each."""
+    tables = {(id(d), id(a)): (d, a) for _, d, a in pairs}
+    total, steps, low, high = 8 * len(run), {}, 0, 0
+    windows = np.zeros(0, dtype=np.uint32)
+
+    def load(at: int) -> None:
+        nonlocal low, high, windows
+        low = at // 8 * 8
+        windows = _windows(run[low // 8 : low // 8 + PART + 16])
+        high = low + min(len(windows), 8 * PART)
+        for key, (dc, ac) in tables.items():
+            symbols = ac.symbol[windows]
+            first = np.where(dc.size[windows] > 0, dc.size[windows] + dc.symbol[windows], 0)
+            later = np.where(ac.size[windows] > 0, ac.size[windows] + (symbols & 15), 0)
+            steps[key] = tuple(x.astype(np.uint8).tobytes() for x in (first, later, np.where(symbols == 0, 64, (symbols >> 4) + 1)))
+
+    order = [(i, id(dc), id(ac), dc) for i, (_, dc, ac) in enumerate(pairs)]
+    values: list[list[tuple[int, int]]] = [[] for _ in pairs]
     at = 0
     for _ in range(units):
-        for kept, (_, dc, ac) in zip(starts, pairs, strict=True):
-            first, later, skip = steps[id(dc), id(ac)]
-            kept.append(at)
-            at += first[at]
+        for i, d, a, dc in order:
+            if at >= high or not steps:
+                load(at)
+            window = int(windows[at - low])
+            size = int(dc.symbol[window])
+            start = at + int(dc.size[window])
+            step = steps[d, a][0][at - low]
+            values[i].append((start, size))
             k = 1
-            while k < 64:
-                k += skip[at]
-                at += later[at]
+            while step and (at := at + step) <= total and k < 64:
+                if at >= high:
+                    load(at)
+                later, skip = steps[d, a][1], steps[d, a][2]
+                k += skip[at - low]
+                step = later[at - low]
+            if not step or at > total:
+                raise ValueError("the scan ends early, or holds a code that no table has")
     out: dict[int, list[np.ndarray]] = {}
-    bits = np.unpackbits(np.frombuffer(run + b"\xff" * 8, dtype=np.uint8)).astype(np.int64)
-    for kept, (c, dc, _) in zip(starts, pairs, strict=True):
-        places = np.array(kept, dtype=np.int64)
-        sizes, places = dc.symbol[windows[places]].astype(np.int64), places + dc.size[windows[places]]
+    bits = np.frombuffer(run + b"\xff" * 8, dtype=np.uint8)
+    for kept, (c, _, _) in zip(values, pairs, strict=True):
+        places, sizes = (np.array(x, dtype=np.int64) for x in zip(*kept, strict=True))
         value = np.zeros(len(places), dtype=np.int64)
-        for i in range(int(sizes.max(initial=0))):
-            more = i < sizes
-            value[more] = value[more] << 1 | bits[places[more] + i]
+        for n in range(int(sizes.max(initial=0))):
+            more = n < sizes
+            p = places[more] + n
+            value[more] = value[more] << 1 | (bits[p >> 3] >> (7 - (p & 7)) & 1)
         out.setdefault(c, []).append(_values(value, sizes))
     return {c: np.stack(v, axis=1).reshape(-1) for c, v in out.items()}
 
@@ -306,25 +327,31 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return map_rows(rows, "text", "doc_id long, n_bytes long, media binary", work)
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
 def read_features(media: DataFrame) -> DataFrame:
     """Features of a media column (doc_id, n_bytes, media), all from the stored bytes: FEATURES.
 
     feature is width x height of each image and the hash of its thumbnail. Rows whose media is null have null features.
+    Media that can't be read (cut off, progressive, no image of store() and so on) have their bytes and hash, null for
+    the rest, and say why in error, which is null for all others.
     """
 
     def one(data: bytes | None) -> tuple:
         if data is None:
-            return (None,) * 6
-        payload, pictures = restore(data)
+            return (None,) * 7
+        stored = len(data), hashlib.sha256(data).hexdigest()
+        try:
+            payload, pictures = restore(data)
+        except (ValueError, IndexError, KeyError, struct.error) as error:
+            return None, None, None, *stored, None, f"{type(error).__name__}: {error}"
         feature = ",".join(f"{p.width}x{p.height}:{thumbnail_hash(p.thumbnail)}" for p in pictures)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *stored, feature, None
 
     def work(rows: pa.RecordBatch) -> dict:
-        found = list(zip(*map(one, rows.column("media").to_pylist()), strict=True)) or [()] * 6
-        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+        found = list(zip(*map(one, rows.column("media").to_pylist()), strict=True)) or [()] * 7
+        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
         return {"doc_id": rows.column("doc_id"), "n_bytes": rows.column("n_bytes")} | {n: list(v) for n, v in zip(names, found, strict=True)}
 
     return map_rows(media, "media", FEATURES, work)

@@ -73,7 +73,9 @@ def write(width, height, parts, interval, rnd):
 
 @pytest.mark.parametrize("parts", [[(1, 1)], [(1, 1)] * 3, [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)]])
 @pytest.mark.parametrize("interval", [0, 3])
-def test_any_baseline_image(parts, interval):
+@pytest.mark.parametrize("part", [1 << 20, 40])
+def test_any_baseline_image(parts, interval, part, monkeypatch):
+    monkeypatch.setattr(M, "PART", part)
     rnd = random.Random(len(parts) + interval)
     data, want = write(70, 45, parts, interval, rnd)
     got = M.decode_dc(data)
@@ -105,6 +107,41 @@ def test_thumbnail_hash():
     assert M.thumbnail_hash(np.full((1, 64), 9, dtype=np.uint8)) == "0" * 16
 
 
+def test_bad_images_are_rows_with_an_error(spark):
+    good, data = M.store(b"good"), write(70, 45, [(2, 2), (1, 1), (1, 1)], 0, random.Random(1))[0]
+    eob = bytearray(good)
+    at = good.rindex(b"\x00\x3f\x00") + 3
+    eob[at + 1] ^= 1
+    bad = [b"", b"GIF89a", good[:-40], data[:-60], data.replace(b"\xff\xc0", b"\xff\xc2"), good[:20], bytes(eob), data, b"\xff\xd8\xff\xd9"]
+    rows = spark.createDataFrame([(i, 4, b) for i, b in enumerate([good, None, *bad])], "doc_id long, n_bytes long, media binary").repartition(3)
+    got = {r.doc_id: r for r in M.read_features(rows).collect()}
+    assert len(got) == 2 + len(bad)
+    assert got[0].error is None and got[0].payload_bytes == 64 and got[1].error is None and got[1].media_bytes is None
+    for i, b in enumerate(bad, 2):
+        assert got[i].media_bytes == len(b)
+        assert b == b"" or (got[i].error and got[i].feature is None), i
+
+
+def brute_thumbnail_hash(light):
+    """An 8 x 8 grid of means by plain loops."""
+    rows, columns = ([int(n * k / 8) for k in range(9)] for n in light.shape)
+    means = []
+    for r in range(8):
+        for c in range(8):
+            cell = [int(light[y, x]) for y in range(rows[r], min(max(rows[r + 1], rows[r] + 1), light.shape[0])) for x in range(columns[c], min(max(columns[c + 1], columns[c] + 1), light.shape[1]))]
+            means.append(sum(cell) / max(1, len(cell)))
+    bits = "".join("1" if m > np.mean(means) else "0" for m in means)
+    return f"{int(bits, 2):016x}"
+
+
+def test_feature_against_brute_force():
+    rnd = random.Random(4)
+    for n in (1, 64, 200, 3000, 64 * 70):
+        media = M.store(rnd.randbytes(n))
+        picture = M.restore(media)[1][0]
+        assert M.thumbnail_hash(picture.thumbnail) == brute_thumbnail_hash(picture.thumbnail)
+
+
 def test_whole_query(spark):
     texts = [None, "", "abc", "é" * 33, "日本\n" * 30000, "x" * 64, "abc"]
     rows = spark.createDataFrame([(i if i != 2 else None, t, b"z") for i, t in enumerate(texts)], "doc_id long, text string, media binary").repartition(3)
