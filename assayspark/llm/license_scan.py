@@ -3,15 +3,18 @@
 All rolling k-grams of a text's words are joined by their hash to the places of the templates' k-grams. A hit votes
 for a diagonal: the place in the text less the place in the template. Votes are summed by diagonal; neighbouring
 diagonals of a template (words put in or left out move the later hits to another one) are merged into spans; a span is
-verified by the share of the template's k-grams that it shows at their places. The words of each hit are compared with
-the template's, so a vote never rests on a hash alone.
+verified by the share of the template's k-grams that it shows, of all that the template has and of all words that the
+span covers. The words of each hit are compared with the template's, so a vote never rests on a hash alone.
 
-The templates are a fixed table of this module, a few hundred rows, and are sent to all executors. A text's hits are
-the only rows that are shuffled, dealt out by document, template and diagonal.
+The templates are given by label: notices in common use and whole licence texts here, or the caller's own. They are sent
+to all executors; more than MOST_WORDS are refused. A text's hits are the only rows that are shuffled, dealt out by
+document, template and diagonal.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +38,26 @@ NOTICES = {
     "proprietary": "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means",
     "public-domain": "this is free and unencumbered software released into the public domain",
 }
+#: Whole licence texts and headers; public texts in common use. The names of holders and dates stand outside of them.
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_END = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+TEXTS = {
+    "mit-text": f"{NOTICES['mit-terms']} including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software {_AS_IS} in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc-text": f"{NOTICES['isc-terms']} the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-2-clause-text": f"{_BSD} {_BSD_END}",
+    "bsd-3-clause-text": f"{_BSD} 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_END}",
+    "apache-2.0-header": f"{NOTICES['apache-2.0-notice']} http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl-3.0-header": f"{NOTICES['gpl-notice']} either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses",
+    "mpl-2.0-header": f"{NOTICES['mpl-2.0-notice']} if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "unlicense-text": f"{NOTICES['public-domain']} anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+}
+MOST_WORDS = 200_000
 #: Words in a k-gram of a notice; a phrase is one gram of all its words.
 K = 3
 #: Diagonals up to so many words apart, whose hits are at most so many words apart, are merged.
 DRIFT, GAP = 4, 12
-#: Share of a notice's k-grams, and of hits within the span, that make a label.
+#: Share of a template's k-grams, and of the span's, that hits must make up for a label.
 LEAST_SHARE = 0.7
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,39 +68,45 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _NO_WORD), lambda w: w != "")
 
 
-def template_grams(spark: SparkSession) -> DataFrame:
+def template_grams(spark: SparkSession, notices: dict[str, str]) -> DataFrame:
     """template, grams (how many it has), place, k and gram of every gram of every template."""
-    rows = []
-    for kind, templates in (("phrase", PHRASES), ("notice", {label: text for label, text in NOTICES.items()})):
+    rows, lower = [], str.maketrans(_UPPER, _LOWER)
+    if sum(len(x.split()) for x in notices.values()) > MOST_WORDS:
+        raise ValueError(f"the templates have more than {MOST_WORDS} words")
+    for kind, templates in (("phrase", PHRASES), ("notice", notices)):
         for key, value in templates.items():
-            w = (key if kind == "phrase" else value).split()
-            k = len(w) if kind == "phrase" else K
+            w = [x for x in re.split(_NO_WORD, (key if kind == "phrase" else value).translate(lower)) if x]
+            k = len(w) if kind == "phrase" else min(K, len(w))
             label = value if kind == "phrase" else key
+            if not w:
+                continue
             rows += [(kind, label, len(w) - k + 1, i, k, w[i : i + k]) for i in range(len(w) - k + 1)]
     made = spark.createDataFrame(rows, "kind string, label string, grams int, place int, k int, gram array<string>")
     return made.withColumn("hash", F.xxhash64(F.col("k"), F.concat_ws(" ", "gram")))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans.
 
     n_base counts all places of PHRASES; first_word and last_word are the smallest and largest of their first words
-    (from 0). base_labels are the phrases' labels, labels those and the labels of verified NOTICES; both distinct, sorted
-    and joined by commas, empty if there are none. score is the largest verified share of a notice, 1 where a phrase
-    stands, else 0. spans lists the verified notices (label, first word, last word, share). A null or empty text has no
+    (from 0). base_labels are the phrases' labels, labels those and the labels of verified notices (text by label: where
+    none are given, NOTICES and TEXTS); both distinct, sorted and joined by commas, empty if there are none. score is the
+    largest verified share of a notice, 1 where a phrase stands, else 0. spans lists the verified notices (label, first
+    word, last word, share). A notice of fewer than K words is one gram; one without words is left out. A null or empty text has no
     words and no labels. Null doc_ids stay null; rows with one doc_id and text have the same result. An empty table gives an
     empty result; further columns are ignored.
     """
     spark = docs.sparkSession
+    notices = NOTICES | TEXTS if notices is None else notices
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w")).withColumn("row", F.monotonically_increasing_id())
     place = F.col("at")
     word = lambda i: F.get("w", place + i)
-    grams = [(k, F.xxhash64(F.lit(k), F.concat_ws(" ", *(word(i) for i in range(k))))) for k in sorted({K, *(len(p.split()) for p in PHRASES)})]
+    grams = [(k, F.xxhash64(F.lit(k), F.concat_ws(" ", *(word(i) for i in range(k))))) for k in sorted({K, *(len(p.split()) for p in PHRASES), *(n for n in (1, 2) if any(len(t.split()) <= n for t in notices.values()))})]
     # one gram of length 0 stands for the text itself, so that texts without hits and their numbers of words stay
     each = rows.select("row", "doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w"))).alias("at"))
     head = F.when(place == F.size("w"), F.array(F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("hash"))))
     each = each.select("row", "doc_id", "w", "at", F.explode(F.coalesce(head, F.array(*(F.struct(F.lit(k).alias("k"), h.alias("hash")) for k, h in grams)))).alias("g"))
-    table = template_grams(spark)
+    table = template_grams(spark, notices)
     own = spark.createDataFrame([("text", "", 1, 0, 0, [], 0)], "kind string, label string, grams int, place int, k int, gram array<string>, hash long")
     table = F.broadcast(table.unionByName(own).withColumnsRenamed({"k": "t_k", "hash": "t_hash"}))
     same = (F.col("t_hash") == F.col("g.hash")) & (F.col("t_k") == F.col("g.k")) & (F.col("gram") == F.slice("w", place + 1, F.col("t_k")))
@@ -99,7 +123,7 @@ def scan(docs: DataFrame) -> DataFrame:
     spans = diagonals.groupBy("row", "doc_id", "kind", "label", "grams", "span").agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("n_words").alias("n_words")
     )
-    share = F.size("places") / F.col("grams")
+    share = F.size("places") / F.greatest(F.col("grams"), F.col("high") - F.col("low") + 1)
     kept = spans.withColumn("share", share).filter((F.col("kind") != "notice") | (share >= LEAST_SHARE))
     phrase, notice = F.col("kind") == "phrase", F.col("kind") == "notice"
     out = kept.groupBy("row", "doc_id").agg(

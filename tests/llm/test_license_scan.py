@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from assayspark.llm import license_scan as L
 
 
@@ -46,6 +48,57 @@ def test_notices(spark):
     assert got[5].labels == "apache,apache-2.0-line" and got[6].labels == "cc-by-nc-4.0"
 
 
+def brute_spans(words, label, text):
+    """Spans of one template by their definition: hits by diagonal, neighbouring diagonals in order of their first hits merged."""
+    w = text.split()
+    grams = {}
+    for i in range(len(w) - L.K + 1):
+        grams.setdefault(tuple(w[i : i + L.K]), []).append(i)
+    votes = {}
+    for at in range(len(words) - L.K + 1):
+        for place in grams.get(tuple(words[at : at + L.K]), ()):
+            votes.setdefault(at - place, []).append((at, place))
+    spans, last = [], None
+    for d, hits in sorted(votes.items(), key=lambda x: (min(x[1])[0], x[0])):
+        low, high = min(a for a, _ in hits), max(a for a, _ in hits)
+        if last is None or low - last[1] > L.GAP or abs(d - last[0]) > L.DRIFT:
+            spans.append([low, high, set()])
+        spans[-1][0], spans[-1][1] = min(spans[-1][0], low), max(spans[-1][1], high)
+        spans[-1][2].update(p for _, p in hits)
+        last = (d, high)
+    n = len(w) - L.K + 1
+    found = [(low, label, high + L.K - 1, len(places) / max(n, high - low + 1)) for low, high, places in spans]
+    return [x for x in found if x[3] >= L.LEAST_SHARE]
+
+
+def test_spans_labels_and_score_against_brute_force(spark):
+    """Whole licence texts with words put in, left out and swapped, among others; every template, whole texts."""
+    rnd = random.Random(12)
+    all_notices, texts = L.NOTICES | L.TEXTS, []
+    for label in (*L.TEXTS, "mit-terms", "gpl-notice", "proprietary"):
+        for rate in (0.0, 0.02, 0.06):
+            w = [x for x in all_notices[label].split() if rnd.random() >= rate]
+            w = [y for x in w for y in ((x, "inserted") if rnd.random() < rate else (x,))]
+            lead = ["word"] * rnd.randrange(30)
+            texts.append(" ".join([*lead, *w, *["tail"] * 5, *(w if rate else [])]))
+    got = run(spark, texts)
+    for i, text in enumerate(texts):
+        want = sorted(x for label, notice in all_notices.items() for x in brute_spans(text.split(), label, notice))
+        assert [(s.low, s.label, s.last) for s in got[i].spans] == [x[:3] for x in want], i
+        labels = {x[1] for x in want} | set(filter(None, got[i].base_labels.split(",")))
+        assert got[i].labels == ",".join(sorted(labels))
+        assert abs(got[i].score - (1.0 if got[i].n_base else max((x[3] for x in want), default=0.0))) < 1e-9
+    assert "bsd-3-clause-text" in got[9].labels and "bsd-2-clause-text" not in got[9].labels
+
+
+def test_own_templates(spark):
+    rows = spark.createDataFrame([(1, "Licensed as: My Terms!"), (2, "one two three four five six"), (3, "single")], "doc_id long, text string")
+    own = {"short": "my terms", "one": "single", "long": "One two-three four, five six", "none": " .,"}
+    assert {r.doc_id: r.labels for r in L.scan(rows, own).collect()} == {1: "short", 2: "long", 3: "one"}
+    with pytest.raises(ValueError):
+        L.scan(rows, {"big": "x " * (L.MOST_WORDS + 1)})
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     rows = spark.createDataFrame([(1, "mit license"), (1, "mit license"), (None, "mit license"), (None, None)], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.n_base) for r in L.scan(rows).collect()) == [("1", 1), ("1", 1), ("None", 0), ("None", 1)]
