@@ -46,17 +46,41 @@ _PARTS = re.compile(r"[^a-z]+")
 PATH, WORDS, NUMBERS = 96, 32, 8
 SIZE = PATH + WORDS + NUMBERS
 HIDDEN = 16
-LEVELS = 12  # outermost and innermost elements of a tag path that are read
 PAGES, EPOCHS, BATCH = 800, 8, 16
 BATCH_BLOCKS = 40_000  # of one run of the network; a longer page is a run of its own
 
-Block = tuple[tuple[str, ...], str, int, int]  # path, text, words, words in links
+
+
+class Path:
+    """The open block-level elements: those above, the names of the innermost, and the sums of all names' hashed vectors."""
+
+    __slots__ = ("above", "names", "sums")
+
+    def __init__(self, above: Path | None, names: tuple[str, ...]):
+        self.above, self.names = above, names
+        self.sums = above.sums.copy() if above else np.zeros(PATH, dtype=np.float32)
+        for name in names:
+            at, sign = _paths[name]
+            self.sums[at] += sign
+
+    def last(self, n: int) -> list[str]:
+        """The n innermost names, or all there are."""
+        out: list[str] = []
+        path: Path | None = self
+        while path and len(out) < n:
+            out = [*path.names, *out]
+            path = path.above
+        return out[-n:]
+
+
+Block = tuple[Path, str, int, int]  # path, text, words, words in links
 
 
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order: references decoded, white space runs as one space, trimmed, none empty."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path]] = []
+    root = Path(None, ())
     still_open: Counter[str] = Counter()
     texts: list[str] = []
     links = linked = 0
@@ -67,8 +91,7 @@ def blocks(page: str) -> list[Block]:
         if texts:
             words = "".join(texts).split()
             if words:
-                levels = stack if len(stack) <= 2 * LEVELS else stack[:LEVELS] + stack[-LEVELS:]
-                out.append((tuple(n for _, names in levels for n in names), " ".join(words), len(words), min(linked, len(words))))
+                out.append((stack[-1][1] if stack else root, " ".join(words), len(words), min(linked, len(words))))
             texts.clear()
         linked = 0
 
@@ -115,7 +138,7 @@ def blocks(page: str) -> list[Block]:
                     break
             if tag not in VOID:
                 marks = [f"{a.lower()}:{part}" for a, *v in _NAMES.findall(names) for part in _PARTS.split("".join(v).lower()) if part] if "=" in names else []
-                stack.append((tag, (tag, *marks)))
+                stack.append((tag, Path(stack[-1][1] if stack else root, (tag, *marks))))
                 still_open[tag] += 1
         elif not tag and m[1]:
             texts.append(" ")
@@ -148,12 +171,10 @@ _paths, _words = _Hashed(PATH), _Hashed(WORDS)
 def vectors(found: list[Block]) -> np.ndarray:
     out = np.zeros((len(found), SIZE), dtype=np.float32)
     for i, (path, text, n, linked) in enumerate(found):
-        for depth, name in enumerate(path):
-            at, sign = _paths[name]
+        out[i, :PATH] = path.sums
+        for name in path.last(2):  # the innermost names once more, as such
+            at, sign = _paths["<" + name]
             out[i, at] += sign
-            if depth >= len(path) - 2:  # the innermost names once more, as such
-                at, sign = _paths["<" + name]
-                out[i, at] += sign
         places = [_words[w] for w in text.lower().split()]
         scale = 1 / np.sqrt(n)
         np.add.at(out[i], [PATH + p for p, _ in places], [s * scale for _, s in places])

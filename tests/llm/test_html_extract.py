@@ -1,3 +1,8 @@
+import html
+import re
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -16,13 +21,37 @@ def test_blocks():
     assert texts("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>") == ["a", "b", "c", "d"]
     assert texts("a < b &lt;p&gt; <3") == ["a < b <p> <3"]
     assert texts("") == texts("<p> </p>") == texts("<!-- open") == texts("<script>x") == []
-    assert H.blocks("<article class='post big'><p><b>x<a href=y>one two</a> three")[0][0] == ("article", "class:post", "class:big", "p")
+    assert H.blocks("<article class='post big'><p><b>x<a href=y>one two</a> three")[0][0].last(9) == ["article", "class:post", "class:big", "p"]
     assert H.blocks("<p>a <a>one two</a> b")[0][2:] == (4, 2)
 
 
 def test_odd_pages_take_linear_time():
-    for page in ("<" * 200_000, "<p " * 100_000, '<p a="' * 50_000, "<p>" * 50_000, "<!--" * 50_000, "&" * 200_000, "<div>" * 3000 + "x"):
-        H.blocks(page)
+    for bit in ("<", "<p ", '<p a="', "<p>", "<!--", "&", "<div>x", "<svg>", "<x-y>", "</div>", "<li>a", "<a>b"):
+        times = []
+        for n in (3_000, 24_000):
+            start = time.process_time()
+            H.blocks(bit * n)
+            times.append(time.process_time() - start)
+        assert times[1] < 20 * times[0] + 0.3, (bit, times)
+
+
+def test_every_level_of_a_path_is_read():
+    a, b = (H.vectors(H.blocks("<div class='x'>" * 15 + f"<section class='{c}'>" + "<div>" * 40 + "<p>text"))[0] for c in ("comments", "story"))
+    assert (a[: H.PATH] != b[: H.PATH]).any() and (a[H.PATH :] == b[H.PATH :]).all()
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01/pages.parquet").exists(), reason="the driver's tables are not there")
+def test_pages_table_against_its_articles(spark):
+    """Of each page, the text is that of the blocks of its article element, found by plain searches."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        article = re.search(r"(?s)<article>(.*?)</article>", r.html)[1]
+        parts = [re.sub(r"<[^>]*>", "", part.replace("<br>", " ")) for part in re.split(r"</?(?:p|h1|h2|ul|li|blockquote|div)\b[^>]*>", article)]
+        want[r.page_id] = "\n\n".join(t for t in (" ".join(html.unescape(p).split()) for p in parts) if t)
+    got = {r.page_id: r.text for r in H.extract(pages).collect()}
+    assert got.keys() == want.keys()
+    assert [i for i in want if got[i] != want[i]] == []
 
 
 def test_gradients():
