@@ -76,6 +76,11 @@ def is_url(path: Column) -> Column:
     return path.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/[^?#]*")
 
 
+def url_part(url: Column, part: str) -> Column:
+    """PROTOCOL, HOST or PATH of an address; null where it is none."""
+    return F.parse_url(url, F.lit(part))
+
+
 def results_file(line: Column) -> Column:
     """A results-file line as a struct; what it doesn't name is null."""
     keys = ("UNITS", "Has m/z", "Has RT", "RT units")

@@ -133,6 +133,26 @@ def re2_full_match(pattern: str):
     return match
 
 
+def may_hold(standard: Column, value: Column, finders: dict[str, Finder], na: tuple[str, ...] = COLUMN_NA) -> Column:
+    """Whether a value may stand in the standard column of that name: Finder.values() for many finders in one pass."""
+    patterns = {n: (f.pattern or f.inverse, f.pattern is not None) for n, f in finders.items() if f.pattern is not None or f.inverse is not None}
+
+    @F.pandas_udf("boolean")
+    def fits(names: pd.Series, values: pd.Series) -> pd.Series:
+        out = pd.Series(True, index=values.index)
+        for name, part in values.groupby(names):
+            if name in patterns:
+                pattern, wanted = patterns[name]
+                found = pc.match_substring_regex(pa.array(part, pa.string(), from_pandas=True), rf"\A(?:{pattern})\z").to_pandas()
+                out[part.index] = (found if wanted else ~found.astype(bool)).to_numpy()
+        return out
+
+    v = stripped(value)
+    of = lambda kind: standard.isin(*[n for n, f in finders.items() if f.kind == kind])
+    kind = F.when(of("integer"), is_integer(v)).when(of("numeric"), is_numeric(v)).when(of("non-numeric"), ~is_numeric(v)).otherwise(F.lit(True))
+    return missing(v, na) | (F.coalesce(fits(standard, F.coalesce(v, F.lit(""))), F.lit(False)) & F.coalesce(kind, F.lit(False)))
+
+
 NON = "non-numeric"
 _NUMBERS = (NUM, listed(NUM, ","))
 FINDERS: dict[str, Finder] = {
@@ -163,7 +183,7 @@ FINDERS: dict[str, Finder] = {
         Finder("pubchem_id", words=("cid",), has=("pubchem",), not_has=("formula", "kegg"), pattern=any_of(*IDS)),
         Finder("kegg_id", has=("kegg",), not_has=("name",), pattern=any_of(*lists(KEGG, ",", ";", "/", "//", "_", "-", "(/|,)", " ", r"(\|)"), f"{KEGG}-{FORMULA}", rf"{KEGG};\d+")),
         Finder("hmdb_id", has=("hmdb", "human metabolome"), all_has=(("hmp", "id"),), not_has=("class",),
-               pattern=any_of(*lists(HMDB, ",", "/", "&", ";", " ", "_"), *lists(HMDB_INT, ",", "/"), r"Sum \(HMDB\d+ \+ HMDB\d+\)", r"METPA\d+")),
+               pattern=any_of(HMDB, HMDB_INT, listed(HMDB, ","), listed(HMDB, "/"), listed(HMDB_INT, ","), listed(HMDB_INT, "/"), r"Sum \(HMDB\d+ \+ HMDB\d+\)", listed(HMDB, "&"), listed(HMDB, ";"), listed(HMDB, " "), r"METPA\d+", listed(HMDB, "_"))),
         Finder("lm_id", has=("lipidmaps", "lmid"), all_has=(("lmp", "id"), ("lipid", "map"), ("lm", "id")), pattern=any_of(*lists(LIPID, "_", ",", "/"), INT)),
         Finder("chemspider_id", has=("chemspider",), pattern=any_of(*IDS, "CSID" + INT, *lists(r"[CD]\d{5}", r"\|"))),
         Finder("metlin_id", has=("metlin",), pattern=any_of(INT, "METLIN:" + INT)),

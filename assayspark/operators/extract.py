@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assayspark.functions.columns import positive
 from assayspark.model import HEADER, Tables
+from assayspark.operators.rules import value_sets
 
 #: Two-letter codes of conditions such as `SU:SUBJECT_TYPE`. Fixed values.
 SECTIONS = {
@@ -86,7 +87,7 @@ def metabolite_samples(found: DataFrame) -> DataFrame:
 def metadata(t: Tables, keys: list[str]) -> DataFrame:
     """key and the sorted set of its values over all documents and sections."""
     rows = t.items.filter(F.col("key").isin(*keys)).join(t.files.filter("error IS NULL"), "file_id", "left_semi")
-    return rows.groupBy("key").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    return value_sets(rows)
 
 
 def write_metabolites_csv(counts: DataFrame, path: str, header: bool = True) -> None:

@@ -25,7 +25,8 @@ def lines(documents: DataFrame) -> DataFrame:
 
 
 def numbered(pairs: Column) -> Column:
-    """An array of key and value with the number of equal keys before each."""
+    """An array of key and value with the number of equal keys before each; for the few pairs of a sample (a table's columns are
+    numbered by a window)."""
     before = lambda i, x: F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda y: y["key"] == x["key"]))
     return F.transform(pairs, lambda x, i: F.struct(x["key"].alias("key"), x["value"].alias("value"), before(i, x).alias("dup")))
 
@@ -98,6 +99,7 @@ def text_tables(documents: DataFrame) -> Tables:
     key = F.when(coded & F.col("k").contains(":UNITS"), "Units").when(coded, F.expr("substring(trim(k), 4)")).otherwise(F.trim("k"))
     item = item.select("file_id", "section", "line_no", F.lit(0).alias("at"), key.alias("key"), F.when(coded, F.col("v")).otherwise(F.trim("v")).alias("value"), F.col("v").isNull().alias("bad"))
     every = words.unionByName(item)
+    lines_of = rows.filter("kind IN ('header', 'item')").select("file_id", "line_no", F.col("line").alias("text"))
     values = F.sort_array(F.collect_list(F.struct("line_no", "at", "value")))
     joined = every.filter("NOT bad").groupBy("file_id", "section", "key").agg(values.alias("held"), F.min(F.struct("line_no", "at")).alias("first"))
     start = F.struct(F.lit(None).cast("string").alias("value"), F.lit(False).alias("repeated"))
@@ -151,9 +153,10 @@ def text_tables(documents: DataFrame) -> Tables:
     )
     cells = body.select("file_id", "tbl", "row", F.posexplode(each).alias("pos", "x")).select("file_id", "tbl", "row", "pos", F.col("x.key").alias("column"), F.col("x.value").alias("value"))
     # the number of equal names before a column follows from the header alone; cells beyond it have the empty name
-    heads = block.filter("place = 0").select("file_id", "tbl", "header", F.posexplode(numbered(F.transform("names", lambda n: F.struct(n.alias("key"), n.alias("value"))))).alias("pos", "x"))
-    heads = heads.select("file_id", "tbl", "pos", F.get("header", F.col("pos")).alias("raw"), F.col("x.key").alias("column"), F.col("x.dup").alias("dup"), F.lit(True).alias("named"))
-    heads = heads.dropDuplicates(["file_id", "tbl", "pos"])
+    columns = F.arrays_zip(F.col("names").alias("column"), F.slice("header", F.lit(1), F.size("names")).alias("raw"))
+    heads = block.filter("place = 0").select("file_id", "tbl", F.posexplode(columns).alias("pos", "x")).groupBy("file_id", "tbl", "pos").agg(F.min("x").alias("x"))
+    equal = Window.partitionBy("file_id", "tbl", "x.column").orderBy("pos")
+    heads = heads.select("file_id", "tbl", "pos", "x.raw", "x.column", (F.row_number().over(equal) - 1).alias("dup"), F.lit(True).alias("named"))
     beyond = cells.join(heads.select("file_id", "tbl", "pos"), ["file_id", "tbl", "pos"], "left_anti").select("file_id", "tbl", "pos").distinct()
     count = F.row_number().over(Window.partitionBy("file_id", "tbl").orderBy("pos")) - 1
     beyond = beyond.select("file_id", "tbl", "pos", F.lit("").alias("raw"), F.lit("").alias("column"), count.alias("dup"), F.lit(False).alias("named"))
@@ -168,7 +171,7 @@ def text_tables(documents: DataFrame) -> Tables:
     to = F.when(~F.col("section").isin(*DATA_SECTIONS), F.col("section")).when(F.col("data_section").startswith("MS"), "MS").otherwise("NM")
     results = rows.filter("kind = 'results'").select("file_id", to.alias("section"), results_file(F.get(F.split("line", "\t", 2), F.lit(1))).alias("r")).select("file_id", "section", "r.*")
 
-    faults = every.filter("bad").select("file_id", F.lit("Expected a tab in the line.").alias("bad"))
+    faults = every.filter("bad").join(lines_of, ["file_id", "line_no"]).select("file_id", F.concat(F.lit("No tab, or not one value, in: "), F.substring("text", 1, 80)).alias("bad"))
     faults = faults.unionByName(bad_ssf.filter("bad IS NOT NULL").select("file_id", F.concat(F.lit("A separator is missing or doubled near: "), "bad").alias("bad")))
     faults = faults.groupBy("file_id").agg(F.min("bad").alias("error"))
     files = documents.select("file_id", F.lit("text").alias("input_format")).join(data, "file_id", "left").join(faults, "file_id", "left")

@@ -62,7 +62,7 @@ def text_lines(t: Tables) -> DataFrame:
     present = body.select("file_id", "section").unionByName(t.results.select("file_id", "section")).unionByName(t.items.filter("key = 'Units'").select("file_id", "section"))
     present = present.unionByName(_data_section(t, t.cells.select("file_id")).select("file_id", "section")).distinct()
     out = out.unionByName(lines(present, F.concat(F.lit("#"), F.when(section == "NM", "NMR").otherwise(section)), _place(section)))
-    padded = F.concat(_code(section),F.when(F.length(key) < KEY, F.rpad(key, KEY, " ")).otherwise(key), F.lit("\t"))
+    padded = F.concat(_code(section), F.when(F.length(key) < KEY, F.rpad(key, KEY, " ")).otherwise(key), F.lit("\t"))
     long = (F.length("value") > WIDTH) & ~key.endswith("_FILENAME")
     wrapped = body.select("file_id", "section", "key", "ord", F.posexplode(F.when(long, wrap(F.col("value"), WIDTH)).otherwise(F.array("value"))).alias("i", "part"))
     out = out.unionByName(lines(wrapped.filter("part <> '' OR i = 0"), F.concat(padded, F.coalesce("part", F.lit(""))), _place(section), F.lit(1), F.col("ord"), F.col("i")))
@@ -151,7 +151,8 @@ def to_json(t: Tables) -> DataFrame:
     section, tbl = F.col("section"), F.col("tbl")
     binned = (section == "NMR_BINNED_DATA") & (tbl == "Data") & (F.col("column") == "Metabolite")
     cells = _data_section(t, t.cells).withColumn("part", _member(F.when(binned, "Bin range(ppm)").otherwise(F.col("column")), _quoted(F.col("value"))))
-    rows = cells.groupBy("file_id", "section", "tbl", "row").agg(_braced(_sorted("part", "pos"), 3).alias("part"))
+    cells = cells.withColumn("behind", (F.col("column") != "Metabolite").cast("int"))  # the name comes first
+    rows = cells.groupBy("file_id", "section", "tbl", "row").agg(_braced(_sorted("part", "behind", "pos"), 3).alias("part"))
     tables = rows.groupBy("file_id", "section", "tbl").agg(_braced(_sorted("part", "row"), 2, "[]").alias("rows"))
     at = F.array_position(F.array(*map(F.lit, TABLES)), tbl).cast("int")
     parts = tables.select("file_id", "section", (at - 10).alias("ord"), _member(tbl, F.col("rows")).alias("part"))
@@ -173,7 +174,9 @@ def to_json(t: Tables) -> DataFrame:
     return whole.groupBy("file_id").agg(_braced(_sorted("part", "at", "section"), 0).alias("text"))
 
 
-def output_name(file_id: Column, extension: str) -> Column:
-    """The last part of a document's path without its ending, with another one."""
-    return F.concat(F.regexp_replace(F.regexp_extract(file_id, r"([^/]+)$", 1), r"(?i)(\.(txt|json|csv))?(\.(gz|bz2))?$", ""), F.lit(f".{extension}"))
-
+def output_name(file_id: Column, folder: str, extension: str) -> Column:
+    """A document's path below the folder, with the extension behind it if it doesn't end so."""
+    name = F.when(file_id.startswith(folder), F.substring(file_id, len(folder) + 1, 1_000_000)).otherwise(file_id)
+    name = F.regexp_replace(name, "^[A-Za-z][A-Za-z0-9+.-]*:/*|^/+", "")
+    name = F.array_join(F.filter(F.split(name, "/"), lambda x: ~x.isin("", ".", "..")), "/")
+    return F.when(name.endswith(f".{extension}"), name).otherwise(F.concat(name, F.lit(f".{extension}")))

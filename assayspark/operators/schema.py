@@ -17,51 +17,51 @@ from assayspark.model import HEADER, Tables
 
 RULE = "method string, section string, key string, keyword string, argument string, severity string, message string"
 ANY, MS, NMR = "any", "MS", "NMR"
-_RANGE = rf"{NUM}( to |-|−){NUM}"
+_RANGE = rf"{NUM}(-|\sto\s|−){NUM}"
 #: The tags of each keyword. Fixed values.
-TAGS = {"additionalProperties": "format", "required": "format", "minLength": "value", "enum": "value", "format": "value", "pattern": "value", "not": "value"}
+TAGS = {"additionalProperties": "format", "required": "format", "minProperties": "format", "minLength": "value", "maxLength": "value", "enum": "value", "format": "value", "pattern": "value", "minimum": "value", "maximum": "value", "not": "value"}
 EMAIL = r"@"
-_MORE = " Ignore this when more complicated descriptions are required."
+_MORE = " A longer description may say what a number can't."
 
 # What follows down to CHOICES are fixed values.
 #: Sections that a document must have, with the keys that they must have.
 REQUIRED = {
-    HEADER: "VERSION CREATED_ON",
-    "PROJECT": "PROJECT_TITLE PROJECT_SUMMARY INSTITUTE LAST_NAME FIRST_NAME ADDRESS EMAIL PHONE",
-    "STUDY": "STUDY_TITLE STUDY_SUMMARY INSTITUTE LAST_NAME FIRST_NAME ADDRESS EMAIL PHONE",
-    "SUBJECT": "SUBJECT_TYPE SUBJECT_SPECIES",
-    "COLLECTION": "COLLECTION_SUMMARY",
-    "TREATMENT": "TREATMENT_SUMMARY",
-    "SAMPLEPREP": "SAMPLEPREP_SUMMARY",
-    "ANALYSIS": "ANALYSIS_TYPE",
+    HEADER: ("VERSION", "CREATED_ON"),
+    "PROJECT": ("PROJECT_TITLE", "PROJECT_SUMMARY", "INSTITUTE", "LAST_NAME", "FIRST_NAME", "ADDRESS", "EMAIL", "PHONE"),
+    "STUDY": ("STUDY_TITLE", "STUDY_SUMMARY", "INSTITUTE", "LAST_NAME", "FIRST_NAME", "ADDRESS", "EMAIL", "PHONE"),
+    "SUBJECT": ("SUBJECT_TYPE", "SUBJECT_SPECIES"),
+    "COLLECTION": ("COLLECTION_SUMMARY",),
+    "TREATMENT": ("TREATMENT_SUMMARY",),
+    "SAMPLEPREP": ("SAMPLEPREP_SUMMARY",),
+    "ANALYSIS": ("ANALYSIS_TYPE",),
 }
 #: The same for documents of one method; CHROMATOGRAPHY may be missing as a whole.
 REQUIRED_BY_METHOD = {
-    MS: {"MS": "INSTRUMENT_NAME INSTRUMENT_TYPE MS_TYPE ION_MODE"},
-    NMR: {"NM": "INSTRUMENT_NAME INSTRUMENT_TYPE NMR_EXPERIMENT_TYPE SPECTROMETER_FREQUENCY"},
+    MS: {"MS": ("INSTRUMENT_NAME", "INSTRUMENT_TYPE", "MS_TYPE", "ION_MODE")},
+    NMR: {"NM": ("INSTRUMENT_NAME", "INSTRUMENT_TYPE", "NMR_EXPERIMENT_TYPE", "SPECTROMETER_FREQUENCY")},
 }
 REQUIRED_IF_THERE = {
-    "CHROMATOGRAPHY": "CHROMATOGRAPHY_TYPE INSTRUMENT_NAME COLUMN_NAME FLOW_GRADIENT FLOW_RATE COLUMN_TEMPERATURE SOLVENT_A SOLVENT_B",
-    "MS_METABOLITE_DATA": "Units", "NMR_METABOLITE_DATA": "Units", "NMR_BINNED_DATA": "Units",
+    "CHROMATOGRAPHY": ("CHROMATOGRAPHY_TYPE", "INSTRUMENT_NAME", "COLUMN_NAME", "FLOW_GRADIENT", "FLOW_RATE", "COLUMN_TEMPERATURE", "SOLVENT_A", "SOLVENT_B"),
+    "MS_METABOLITE_DATA": ("Units",), "NMR_METABOLITE_DATA": ("Units",), "NMR_BINNED_DATA": ("Units",),
 }
 #: Keys whose values are a number and one of the units.
 UNITS = {
-    "SUBJECT": {"AGE_OR_AGE_RANGE": "weeks|days|months|years", "WEIGHT_OR_WEIGHT_RANGE": "g|mg|kg|lbs", "HEIGHT_OR_HEIGHT_RANGE": "cm|in"},
-    "TREATMENT": {"TREATMENT_DOSEDURATION": "h|weeks|days", "PLANT_TEMP": "°C|C"},
+    "SUBJECT": {"AGE_OR_AGE_RANGE": ("weeks", "days", "months", "years"), "WEIGHT_OR_WEIGHT_RANGE": ("g", "mg", "kg", "lbs"), "HEIGHT_OR_HEIGHT_RANGE": ("cm", "in")},
+    "TREATMENT": {"TREATMENT_DOSEDURATION": ("h", "weeks", "days"), "PLANT_TEMP": ("°C", "C")},
     "CHROMATOGRAPHY": {
-        "FLOW_RATE": "mL/min|uL/min|μL/min", "COLUMN_TEMPERATURE": "°C|C", "SAMPLE_INJECTION": "μL|uL", "COLUMN_PRESSURE": "psi|bar", "ANALYTICAL_TIME": "min",
-        "CAPILLARY_VOLTAGE": "V|kV", "RUNNING_VOLTAGE": "V|kV", "TRANSFERLINE_TEMPERATURE": "°C|C", "WEAK_WASH_VOLUME": "μL|uL", "STRONG_WASH_VOLUME": "μL|uL",
-        "TARGET_SAMPLE_TEMPERATURE": "°C|C", "SAMPLE_LOOP_SIZE": "μL|uL", "SAMPLE_SYRINGE_SIZE": "μL|uL",
+        "FLOW_RATE": ("mL/min", "uL/min", "μL/min"), "COLUMN_TEMPERATURE": ("°C", "C"), "SAMPLE_INJECTION": ("μL", "uL"), "COLUMN_PRESSURE": ("psi", "bar"), "ANALYTICAL_TIME": ("min",),
+        "CAPILLARY_VOLTAGE": ("V", "kV"), "RUNNING_VOLTAGE": ("V", "kV"), "TRANSFERLINE_TEMPERATURE": ("°C", "C"), "WEAK_WASH_VOLUME": ("μL", "uL"), "STRONG_WASH_VOLUME": ("μL", "uL"),
+        "TARGET_SAMPLE_TEMPERATURE": ("°C", "C"), "SAMPLE_LOOP_SIZE": ("μL", "uL"), "SAMPLE_SYRINGE_SIZE": ("μL", "uL"),
     },
     "MS": {
-        "CAPILLARY_TEMPERATURE": "°C|C", "CAPILLARY_VOLTAGE": "V|kV", "DRY_GAS_FLOW": "L/hr|L/min", "DRY_GAS_TEMP": "°C|C", "FRAGMENT_VOLTAGE": "V",
-        "GAS_PRESSURE": "psi|psig|bar|kPa", "HELIUM_FLOW": "mL/min", "ION_SOURCE_TEMPERATURE": "°C|C", "ION_SPRAY_VOLTAGE": "V|kV", "IONIZATION_ENERGY": "eV",
-        "SOURCE_TEMPERATURE": "°C|C", "SPRAY_VOLTAGE": "kV", "ACTIVATION_TIME": "ms", "DESOLVATION_GAS_FLOW": "L/hr|L/min", "DESOLVATION_TEMPERATURE": "°C|C",
-        "OCTPOLE_VOLTAGE": "V", "SKIMMER_VOLTAGE": "V",
+        "CAPILLARY_TEMPERATURE": ("°C", "C"), "CAPILLARY_VOLTAGE": ("V", "kV"), "DRY_GAS_FLOW": ("L/hr", "L/min"), "DRY_GAS_TEMP": ("°C", "C"), "FRAGMENT_VOLTAGE": ("V",),
+        "GAS_PRESSURE": ("psi", "psig", "bar", "kPa"), "HELIUM_FLOW": ("mL/min",), "ION_SOURCE_TEMPERATURE": ("°C", "C"), "ION_SPRAY_VOLTAGE": ("V", "kV"), "IONIZATION_ENERGY": ("eV",),
+        "SOURCE_TEMPERATURE": ("°C", "C"), "SPRAY_VOLTAGE": ("kV",), "ACTIVATION_TIME": ("ms",), "DESOLVATION_GAS_FLOW": ("L/hr", "L/min"), "DESOLVATION_TEMPERATURE": ("°C", "C"),
+        "OCTPOLE_VOLTAGE": ("V",), "SKIMMER_VOLTAGE": ("V",),
     },
     "NM": {
-        "STANDARD_CONCENTRATION": "mM", "SPECTROMETER_FREQUENCY": "MHz", "POWER_LEVEL": "W|dB", "OFFSET_FREQUENCY": "ppm|Hz", "PRESATURATION_POWER_LEVEL": "W|dB",
-        "TEMPERATURE": "°C|C|K", "ACQUISITION_TIME": "s", "RELAXATION_DELAY": "s|ms|us|μs", "SPECTRAL_WIDTH": "ppm|Hz", "LINE_BROADENING": "Hz", "BINNED_INCREMENT": "ppm",
+        "STANDARD_CONCENTRATION": ("mM",), "SPECTROMETER_FREQUENCY": ("MHz",), "POWER_LEVEL": ("W", "dB"), "OFFSET_FREQUENCY": ("ppm", "Hz"), "PRESATURATION_POWER_LEVEL": ("W", "dB"),
+        "TEMPERATURE": ("°C", "C", "K"), "ACQUISITION_TIME": ("s",), "RELAXATION_DELAY": ("s", "ms", "us", "μs"), "SPECTRAL_WIDTH": ("ppm", "Hz"), "LINE_BROADENING": ("Hz",), "BINNED_INCREMENT": ("ppm",),
     },
 }
 #: Those of them that may hold a range too.
@@ -81,7 +81,7 @@ PATTERNS = {
 }
 #: Keys whose values may not match.
 NOT_PATTERNS = {"MS": {"IONIZATION": r"(?i)^(pos|neg|positive|negative|postive|both)$"}}
-CHOICES = {"ANALYSIS": {"ANALYSIS_TYPE": "MS|NMR"}}
+CHOICES = {"ANALYSIS": {"ANALYSIS_TYPE": ("MS", "NMR")}}
 EMAILS = {"PROJECT": "EMAIL", "STUDY": "EMAIL"}
 
 
@@ -92,26 +92,27 @@ def default_rules() -> list[tuple]:
     for method, sections in {ANY: REQUIRED, **REQUIRED_BY_METHOD}.items():
         for section, keys in sections.items():
             add(method, section, None, "required", None, None)
-            for key in keys.split():
+            for key in keys:
                 add(method, section, key, "required", None, None)
     add(ANY, "SUBJECT_SAMPLE_FACTORS", None, "required", None, None)
     for section, keys in REQUIRED_IF_THERE.items():
-        for key in keys.split():
+        for key in keys:
             add(ANY, section, key, "required", None, None)
     for section, units in UNITS.items():
         for key, unit in units.items():
             number = f"({_RANGE}|{NUM})" if key in RANGES else NUM
-            kind = 'number or range (ex. "5-6")' if key in RANGES else "number"
-            add(ANY, section, key, "pattern", f"^{number} ({unit})$", f' should be a {kind} followed by a space with a unit (ex. "5 V") from: {unit.replace("|", ", ")}.{_MORE}')
+            kind = "number or range" if key in RANGES else "number"
+            add(ANY, section, key, "pattern", f"^{number} ({'|'.join(unit)})$", f" is no {kind} with a space and one of the units {', '.join(unit)}.{_MORE}")
     for section, patterns in PATTERNS.items():
         for key, pattern in patterns.items():
-            add(ANY, section, key, "pattern", pattern, f" does not match {pattern}")
+            said = " is no number without a unit." if key == "RECEIVER_GAIN" else " is no integer without a unit." if pattern == r"^\d+$" else f" does not match {pattern}"
+            add(ANY, section, key, "pattern", pattern, said)
     for section, patterns in NOT_PATTERNS.items():
         for key, pattern in patterns.items():
-            add(ANY, section, key, "not pattern", pattern, ' should not be a polarity. "ION_MODE" is where that should be indicated.')
+            add(ANY, section, key, "not pattern", pattern, " is a polarity, which belongs in ION_MODE.")
     for section, choices in CHOICES.items():
         for key, choice in choices.items():
-            add(ANY, section, key, "enum", choice, f" is not one of {choice.replace('|', ', ')}.")
+            add(ANY, section, key, "enum", "|".join(choice), f" is not one of {', '.join(choice)}.")
     for section, key in EMAILS.items():
         add(ANY, section, key, "format", EMAIL, " is not a valid email.")
     return out
@@ -120,22 +121,25 @@ def default_rules() -> list[tuple]:
 def from_json_schema(schema: dict, method: str = ANY) -> list[tuple]:
     """The rules of a JSON Schema of a document, whose properties are sections and theirs are keys.
 
-    Read are required, additionalProperties (false), pattern, enum, minLength, format (email) and not with an enum or
-    pattern, and a `<keyword>_custom_message` beside a keyword; others are left out.
+    Read are required, additionalProperties (false), minProperties, pattern, enum, minLength, maxLength, minimum, maximum,
+    format (email) and not with an enum or pattern, and a `<keyword>_custom_message` beside a keyword; others are left out.
     """
     out: list[tuple] = [(method, section, None, "required", None, "Error", None) for section in schema.get("required", ())]
     for section, body in schema.get("properties", {}).items():
         out += [(method, section, key, "required", None, "Error", None) for key in body.get("required", ())]
         if body.get("additionalProperties") is False and body.get("properties"):
             out.append((method, section, None, "additionalProperties", "|".join(body["properties"]), "Error", None))
+        if "minProperties" in body:
+            out.append((method, section, None, "minProperties", str(body["minProperties"]), "Error", None))
         for key, rule in body.get("properties", {}).items():
             say = lambda keyword, default, rule=rule: rule.get(f"{keyword}_custom_message", default)
             if "pattern" in rule:
                 out.append((method, section, key, "pattern", rule["pattern"], "Error", say("pattern", f" does not match {rule['pattern']}")))
             if "enum" in rule:
                 out.append((method, section, key, "enum", "|".join(rule["enum"]), "Error", say("enum", " is not one of " + ", ".join(rule["enum"]) + ".")))
-            if "minLength" in rule:
-                out.append((method, section, key, "minLength", str(rule["minLength"]), "Error", say("minLength", " is too short.")))
+            for word, told in (("minLength", " is too short."), ("maxLength", " is too long."), ("minimum", " is too small."), ("maximum", " is too large.")):
+                if word in rule:
+                    out.append((method, section, key, word, str(rule[word]), rule.get(f"{word}_prefix", "Error").rstrip(": "), say(word, told)))
             if rule.get("format") == "email":
                 out.append((method, section, key, "format", EMAIL, "Error", " is not a valid email."))
             for no in rule.get("not", {}).get("oneOf", [rule["not"]] if "not" in rule else []):
@@ -146,6 +150,35 @@ def from_json_schema(schema: dict, method: str = ANY) -> list[tuple]:
     return out
 
 
+def broken(keyword: Column, argument: Column, value: Column) -> Column:
+    """Whether a value breaks a rule; null counts as empty. A value that is no number breaks a bound."""
+    value = F.coalesce(value, F.lit(""))
+    size, bound, number = F.length(value), argument.try_cast("double"), value.try_cast("double")
+    return (
+        F.when(keyword.isin("pattern", "format"), ~F.rlike(value, argument))
+        .when(keyword == "not pattern", F.rlike(value, argument))
+        .when(keyword == "enum", ~F.array_contains(F.split(argument, r"\|"), value))
+        .when(keyword == "not", F.array_contains(F.split(argument, r"\|"), value))
+        .when(keyword == "minLength", size < bound)
+        .when(keyword == "maxLength", size > bound)
+        .when(keyword == "minimum", F.coalesce(number < bound, F.lit(True)))
+        .when(keyword == "maximum", F.coalesce(number > bound, F.lit(True)))
+        .otherwise(False)
+    )
+
+
+def broken_rules(items: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """items joined with the rules(on, keyword, argument, ...) that their value breaks; the table of rules is small."""
+    return items.join(F.broadcast(table), on).filter(broken(F.col("keyword"), F.col("argument"), F.col("value")))
+
+
+def lacking(owners: DataFrame, items: DataFrame, wanted: DataFrame, owner: str, on: list[str]) -> DataFrame:
+    """owners with the wanted(on) keys that they have no item of; owners share some columns of on, or none."""
+    shared = [c for c in on if c in owners.columns]
+    each = owners.join(F.broadcast(wanted), shared) if shared else owners.crossJoin(F.broadcast(wanted))
+    return each.join(items.select(owner, *on).distinct(), [owner, *on], "left_anti")
+
+
 def _methods(t: Tables) -> DataFrame:
     """file_id and method of readable documents: NMR with an NM section, else MS."""
     nmr = t.items.filter("section = 'NM'").select("file_id").unionByName(t.results.filter("section = 'NM'").select("file_id")).distinct().withColumn("method", F.lit(NMR))
@@ -159,11 +192,12 @@ def _issue(rows: DataFrame, keyword: str, section: Column, key: Column, severity
     )
 
 
-def schema_issues(t: Tables, rules: list[tuple] | None = None) -> DataFrame:
-    """Rows of the issues table for every rule that a document breaks; rules: default_rules() where none are given."""
+def schema_issues(t: Tables, rules: list[tuple] | None = None, more: list[tuple] | None = None) -> DataFrame:
+    """Rows of the issues table for every rule that a document breaks; rules: default_rules() where none are given; more: rules
+    beside them, such as the known keys of sections (additionalProperties) by from_json_schema()."""
     spark: SparkSession = t.files.sparkSession
     given = rules is not None
-    held = rules if given else default_rules()
+    held = (rules if given else default_rules()) + (more or [])
     table = F.broadcast(spark.createDataFrame(held, RULE))
     methods = _methods(t)
     error, section, key = F.lit("Error"), F.col("section"), F.col("key")
@@ -174,22 +208,14 @@ def schema_issues(t: Tables, rules: list[tuple] | None = None) -> DataFrame:
 
     # values
     one = table.filter("key IS NOT NULL AND keyword <> 'required'").withColumnRenamed("method", "of")
-    value, arg, keyword = F.coalesce("value", F.lit("")), F.col("argument"), F.col("keyword")
-    broken = (
-        F.when(keyword.isin("pattern", "format"), ~F.rlike(value, arg))
-        .when(keyword == "not pattern", F.rlike(value, arg))
-        .when(keyword == "enum", ~F.array_contains(F.split(arg, r"\|"), value))
-        .when(keyword == "not", F.array_contains(F.split(arg, r"\|"), value))
-        .when(keyword == "minLength", F.length(value) < F.expr("try_cast(argument AS int)"))
-        .otherwise(False)
-    )
-    bad = items.join(one, ["section", "key"]).filter(fits(F.col("method"), "of")).filter(broken)
+    value, keyword = F.coalesce("value", F.lit("")), F.col("keyword")
+    bad = broken_rules(items, one, ["section", "key"]).filter(fits(F.col("method"), "of"))
     shown = F.when(F.length(value) < 50, F.concat(F.lit('The value, "'), value, F.lit('", in '), where)).otherwise(F.concat(F.lit("The value in "), where))
     out = None
-    for name, words in (("pattern", ("pattern", "not pattern")), ("format", ("format",)), ("enum", ("enum",)), ("minLength", ("minLength",))):
+    for name, words in (("pattern", ("pattern", "not pattern")), *((w, (w,)) for w in ("format", "enum", "minLength", "maxLength", "minimum", "maximum"))):
         part = _issue(bad.filter(keyword.isin(*words)), name, section, key, F.col("severity"), F.concat(shown, F.coalesce("message", F.lit(""))))
         out = part if out is None else out.unionByName(part)
-    empty = F.concat(F.lit("An empty value or a null value was detected in "), where, F.lit("."))
+    empty = F.concat(F.lit("A missing value stands in "), where, F.lit("."))
     out = out.unionByName(_issue(bad.filter("keyword = 'not'"), "not", section, key, F.col("severity"), empty))
     if not given:  # in the format's own rules, that holds for all keys without a pattern or choice, and for TAXONOMY_ID
         known = items.filter(missing(F.col("value"), SCHEMA_NA) & ~(key == "filename"))
@@ -199,9 +225,9 @@ def schema_issues(t: Tables, rules: list[tuple] | None = None) -> DataFrame:
     # keys and sections that should be there, or should not
     present = items.select("file_id", "section", "method").unionByName(t.ssf.select("file_id", F.lit("SUBJECT_SAMPLE_FACTORS").alias("section")).join(methods.select("file_id", "method"), "file_id")).distinct()
     wanted = table.filter("keyword = 'required' AND key IS NOT NULL").select(F.col("method").alias("of"), "section", "key")
-    lacking = present.join(wanted, "section").filter(fits(F.col("method"), "of")).join(items.select("file_id", "section", "key"), ["file_id", "section", "key"], "left_anti")
-    needed = F.concat(F.lit('The required property, "'), key, F.lit('", in ["'), section, F.lit('"] is missing.'))
-    out = out.unionByName(_issue(lacking, "required", section, key, error, needed))
+    absent = lacking(present, items, wanted, "file_id", ["section", "key"]).filter(fits(F.col("method"), "of"))
+    needed = F.concat(F.lit('The key "'), key, F.lit('" is needed in ["'), section, F.lit('"] and is not there.'))
+    out = out.unionByName(_issue(absent, "required", section, key, error, needed))
     names: dict[str, list[str]] = {ANY: [], MS: [], NMR: []}
     for method, name, k, word, *_ in held:
         if word == "required" and k is None:
@@ -209,10 +235,14 @@ def schema_issues(t: Tables, rules: list[tuple] | None = None) -> DataFrame:
     all_of = {m: F.array(*map(F.lit, [*names[ANY], *names[m]])).cast("array<string>") for m in (MS, NMR)}
     each = methods.select("file_id", F.explode(F.when(F.col("method") == NMR, all_of[NMR]).otherwise(all_of[MS])).alias("section"))
     absent = each.join(present.select("file_id", "section"), ["file_id", "section"], "left_anti")
-    out = out.unionByName(_issue(absent, "required", section, F.lit(""), error, F.concat(F.lit('The required property, "'), section, F.lit('" is missing.'))))
+    out = out.unionByName(_issue(absent, "required", section, F.lit(""), error, F.concat(F.lit('The section "'), section, F.lit('" is needed and is not there.'))))
     closed = table.filter("keyword = 'additionalProperties'").select(F.col("method").alias("of"), "section", F.split("argument", r"\|").alias("may"))
     more = items.join(closed, "section").filter(fits(F.col("method"), "of")).filter(~F.array_contains("may", key))
-    out = out.unionByName(_issue(more, "additionalProperties", section, key, error, F.concat(F.lit('Unknown or invalid subsection, "'), key, F.lit('", in ["'), section, F.lit('"].'))))
+    out = out.unionByName(_issue(more, "additionalProperties", section, key, error, F.concat(F.lit('The key "'), key, F.lit('" is not known in ["'), section, F.lit('"].'))))
+    least = table.filter("keyword = 'minProperties'").select(F.col("method").alias("of"), "section", F.col("argument").cast("int").alias("least"))
+    kinds = present.join(items.groupBy("file_id", "section").agg(F.countDistinct("key").alias("n")), ["file_id", "section"], "left")
+    scarce = kinds.join(least, "section").filter(fits(F.col("method"), "of") & (F.coalesce("n", F.lit(0)) < F.col("least")))
+    out = out.unionByName(_issue(scarce, "minProperties", section, F.lit(""), error, F.concat(F.lit('["'), section, F.lit('"] has too few keys.'))))
     if given:
         return out
 
@@ -222,9 +252,17 @@ def schema_issues(t: Tables, rules: list[tuple] | None = None) -> DataFrame:
     own = F.when(F.col("method") == NMR, "NM").otherwise("MS")
     told = F.lit("There must be either a section of data or a file of results. Neither was found.")
     out = out.unionByName(_issue(no_data.join(has, "file_id", "left_semi"), "required", own, F.lit(""), error, told))
+    # files of results
+    parts = F.explode(F.map_from_arrays(F.array(*map(F.lit, ("filename", "UNITS", "Has m/z", "Has RT", "RT units"))), F.array("filename", "units", "has_mz", "has_rt", "rt_units")))
+    told = t.results.select("file_id", "section", parts.alias("part", "value")).select("file_id", "section", F.concat(F.when(section == "NM", "NMR").otherwise(section), F.lit("_RESULTS_FILE")).alias("key"), "part", "value")
+    place = F.concat(F.lit('["'), section, F.lit('"]["'), key, F.lit('"]'))
+    unnamed = told.filter("part IN ('filename', 'UNITS') AND value IS NULL")
+    out = out.unionByName(_issue(unnamed, "required", section, key, error, F.concat(F.lit('"'), "part", F.lit('" is needed in '), place, F.lit(" and is not there."))))
+    void = told.filter("part <> 'filename' AND value IS NOT NULL").filter(missing(F.col("value"), SCHEMA_NA))
+    out = out.unionByName(_issue(void, "not", section, key, error, F.concat(F.lit("A missing value stands in "), place, F.lit(" for "), "part", F.lit("."))))
     # samples
     sample = F.concat(F.lit("row "), F.col("idx") + 1)
     at = F.lit("SUBJECT_SAMPLE_FACTORS")
-    out = out.unionByName(_issue(t.ssf.filter(missing(F.col("sample_id"), SCHEMA_NA)), "not", at, sample, error, F.concat(F.lit("An empty value or a null value was detected for the sample ID in "), sample)))
+    out = out.unionByName(_issue(t.ssf.filter(missing(F.col("sample_id"), SCHEMA_NA)), "not", at, sample, error, F.concat(F.lit("No sample ID stands in "), sample)))
     pairs = t.ssf.select("file_id", "idx", F.explode(F.concat("factors", "additional")).alias("p")).filter("p.value = ''")
     return out.unionByName(_issue(pairs, "minLength", at, sample, F.lit("Warning"), F.concat(F.lit('"'), "p.key", F.lit('" is missing a value in '), sample)))

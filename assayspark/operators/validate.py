@@ -8,17 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayspark.functions.columns import missing
-from assayspark.functions.finders import FINDERS, Finder
+from assayspark.functions.finders import FINDERS, Finder, may_hold
 from assayspark.functions.na import COLUMN_NA, METABOLITE_NA, SCHEMA_NA
 from assayspark.model import Tables
+from assayspark.operators import rules
 
 #: Names of headers that turn up as metabolite names. Fixed values.
 HEADER_LIKE = ("metabolite_name", "metabolite name", "samples", "factors", "bin range(ppm)")
 #: Columns that another column must go with. Fixed values.
 IMPLIED = {"other_id": "other_id_type", "retention_index": "retention_index_type"}
 POSITIVE, NEGATIVE = ("pos", "positive", "+"), ("neg", "negative", "-")
-#: Share of one value above which a column is reported.
-ONE_VALUE = 0.9
 
 #: Number: name, severity and tags. Fixed values.
 CATALOGUE: dict[int, tuple[str, str, tuple[str, ...]]] = {
@@ -62,13 +61,16 @@ CATALOGUE: dict[int, tuple[str, str, tuple[str, ...]]] = {
 ORDER = (24, 32, 4, 5, 6, 3, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 33, 21, 22, 35, 36, 23, 34, 25, 26, 27, 28, 29, 30, 31, 2, 1)
 ISSUE = "file_id string, id int, name string, severity string, tags array<string>, section string, sub_section string, message string"
 
-CHECKS: dict[int, Callable[[Tables], DataFrame]] = {}
+CHECKS: dict[int, Callable[..., DataFrame]] = {}
+#: Checks that also take the column finders.
+BY_FINDERS: set[int] = set()
 
 
-def check(*numbers: int):
+def check(number: int, by_finders: bool = False):
     def register(function):
-        for n in numbers:
-            CHECKS[n] = function
+        CHECKS[number] = function
+        if by_finders:
+            BY_FINDERS.add(number)
         return function
 
     return register
@@ -97,8 +99,18 @@ def listed(rows: DataFrame, value: str) -> DataFrame:
 
 def repeated(rows: DataFrame, value: str, order: str) -> DataFrame:
     """Every occurrence of a value after its first in the document."""
-    w = Window.partitionBy("file_id", value).orderBy(order)
-    return rows.withColumn("n", F.row_number().over(w)).filter("n > 1")
+    return rules.repeated(rows, ["file_id", value], order)
+
+
+def column_text(column: str | Column, position: Column, dup: Column | None = None) -> Column:
+    """How messages name a column: which of several of its name it is, and its position from 1."""
+    name = F.col(column) if isinstance(column, str) else column
+    which = F.lit("")
+    if dup is not None:
+        n = dup + 1
+        ends = F.when((n % 100).between(10, 20), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+        which = F.when(dup > 0, F.concat(n.cast("string"), ends, F.lit(" "))).otherwise("")
+    return F.concat(F.lit("The "), which, F.lit('column "'), name, F.lit('" at position '), position.cast("string"))
 
 
 @check(1)
@@ -119,7 +131,7 @@ def factor_mismatch(t: Tables) -> DataFrame:
     ssf = ssf.select("file_id", "sample_id", F.col("f.key").alias("key"), F.col("f.value").alias("ssf_value"))
     samples = t.factors.select("file_id", "sample_id").distinct()
     ssf = ssf.join(samples, ["file_id", "sample_id"], "left_semi")
-    both = t.factors.join(ssf, ["file_id", "sample_id", "key"], "full_outer").filter(~F.col("value").eqNullSafe(F.col("ssf_value")))
+    both = rules.mismatched(t.factors, ssf, ["file_id", "sample_id", "key"], "value", "ssf_value")
     return issue(both.select("file_id").distinct(), 3, "SUBJECT_SAMPLE_FACTORS", "Factors", "The factors in the data table differ from those of the samples.")
 
 
@@ -147,7 +159,7 @@ def _data_samples(t: Tables) -> DataFrame:
 
 @check(7)
 def samples_not_in_ssf(t: Tables) -> DataFrame:
-    rows = _data_samples(t).join(t.ssf.select("file_id", "sample_id"), ["file_id", "sample_id"], "left_anti")
+    rows = rules.not_in(_data_samples(t), t.ssf, ["file_id", "sample_id"])
     return issue(listed(rows, "sample_id"), 7, "Data", "Data", F.concat(F.lit("Sample IDs without factors: "), "found"))
 
 
@@ -160,13 +172,13 @@ def duplicate_data_samples(t: Tables) -> DataFrame:
 def data_not_in_metabolites(t: Tables) -> DataFrame:
     data = names(t, "Data").select("file_id", F.trim("name").alias("name"))
     data = data.join(t.files.filter("data_section <> 'NMR_BINNED_DATA'"), "file_id", "left_semi")
-    rows = data.join(names(t, "Metabolites").select("file_id", F.trim("name").alias("name")), ["file_id", "name"], "left_anti")
+    rows = rules.not_in(data, names(t, "Metabolites").withColumn("name", F.trim("name")), ["file_id", "name"])
     return issue(listed(rows, "name"), 9, "Data", "Data", F.concat(F.lit("Metabolites that METABOLITES doesn't have: "), "found"))
 
 
 @check(10)
 def blank_in_data(t: Tables) -> DataFrame:
-    return issue(names(t, "Data").filter(missing(F.col("name"), METABOLITE_NA)).select("file_id").distinct(), 10, "Data", "Data", "A metabolite has no name.")
+    return issue(rules.blank(names(t, "Data"), "name", METABOLITE_NA).select("file_id").distinct(), 10, "Data", "Data", "A metabolite has no name.")
 
 
 @check(11)
@@ -177,13 +189,13 @@ def repeated_in_data(t: Tables) -> DataFrame:
 @check(12)
 def metabolites_not_in_data(t: Tables) -> DataFrame:
     rows = names(t, "Metabolites").select("file_id", F.trim("name").alias("name"))
-    rows = rows.join(names(t, "Data").select("file_id", F.trim("name").alias("name")), ["file_id", "name"], "left_anti")
+    rows = rules.not_in(rows, names(t, "Data").withColumn("name", F.trim("name")), ["file_id", "name"])
     return issue(listed(rows, "name"), 12, "Data", "Metabolites", F.concat(F.lit("Metabolites that the data doesn't have: "), "found"))
 
 
 @check(13)
 def blank_in_metabolites(t: Tables) -> DataFrame:
-    rows = names(t, "Metabolites").filter(missing(F.col("name"), METABOLITE_NA)).select("file_id").distinct()
+    rows = rules.blank(names(t, "Metabolites"), "name", METABOLITE_NA).select("file_id").distinct()
     return issue(rows, 13, "Data", "Metabolites", "A metabolite has no name.")
 
 
@@ -199,62 +211,73 @@ def standard_names_of(name: Column, finders: dict[str, Finder] | None = None) ->
 
 
 def standard_columns(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
-    """file_id, column, pos and standard: which columns of METABOLITES tables mean which standard column."""
+    """file_id, column, dup, pos, c and standard: which columns of METABOLITES tables mean which standard column. Each name is
+    held against the finders once, however many documents have it."""
     heads = t.headers.filter("tbl = 'Metabolites' AND column <> 'Metabolite'").withColumn("c", F.lower(F.trim("column")))
-    return heads.select("file_id", "column", "dup", "pos", "c", standard_names_of(F.col("c"), finders).alias("standard"))
+    found = heads.select("c").distinct().select("c", standard_names_of(F.col("c"), finders).alias("standard"))
+    return heads.select("file_id", "column", "dup", "pos", "c").join(found, "c")
+
 
+def first_columns(found: DataFrame) -> DataFrame:
+    """file_id, standard, column and pos: the leftmost column that means each standard column."""
+    first = found.groupBy("file_id", "standard").agg(F.min_by(F.struct("column", "pos"), "pos").alias("x"))
+    return first.select("file_id", "standard", "x.column", "x.pos")
 
-@check(15)
-def standard_names(t: Tables) -> DataFrame:
-    found = standard_columns(t)
-    has = t.headers.filter("tbl = 'Metabolites'").select("file_id", F.lower(F.trim("column")).alias("standard"))
-    rows = found.filter("c <> standard").join(has, ["file_id", "standard"], "left_anti")
-    return issue(rows, 15, "Data", "Metabolites", F.concat(F.lit('The column "'), "column", F.lit('" looks like the standard column "'), "standard", F.lit('".')))
 
+@check(15, by_finders=True)
+def standard_names(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
+    found = standard_columns(t, finders)
+    has = t.headers.filter("tbl = 'Metabolites'").select("file_id", F.col("column").alias("standard"))
+    rows = rules.not_in(found.filter("lower(column) <> standard"), has, ["file_id", "standard"])
+    return issue(rows, 15, "Data", "Metabolites", F.concat(column_text("column", F.col("pos") + 1, F.col("dup")), F.lit(' looks like the standard column "'), "standard", F.lit('".')))
 
-@check(16)
-def standard_values(t: Tables) -> DataFrame:
-    """Values are tested once for each finder and distinct value, then counted for their columns."""
-    cells = t.cells.filter("tbl = 'Metabolites'").join(standard_columns(t).select("file_id", "pos", "standard"), ["file_id", "pos"])
+
+@check(16, by_finders=True)
+def standard_values(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
+    """Each distinct value of a standard column is tested once, all of them in one pass; then they are counted for their columns."""
+    cells = t.cells.filter("tbl = 'Metabolites'").join(standard_columns(t, finders).select("file_id", "pos", "standard"), ["file_id", "pos"])
     values = cells.select("standard", "value").distinct()
-    out = None
-    for n, f in FINDERS.items():
-        bad = values.filter(F.col("standard") == n).filter(~f.values(F.col("value")))
-        out = bad if out is None else out.unionByName(bad)
-    rows = cells.join(out, ["standard", "value"]).groupBy("file_id", "column", "standard").agg(F.array_join(F.sort_array(F.collect_set("value")), ", ").alias("found"))
-    return issue(rows, 16, "Data", "Metabolites", F.concat(F.lit('The column "'), "column", F.lit('" has values that "'), "standard", F.lit('" should not have: '), "found"))
+    bad = values.filter(~may_hold(F.col("standard"), F.col("value"), finders or FINDERS))
+    rows = cells.join(bad, ["standard", "value"]).groupBy("file_id", "column", "dup", "pos", "standard").agg(F.array_join(F.sort_array(F.collect_set("value")), ", ").alias("found"))
+    return issue(rows, 16, "Data", "Metabolites", F.concat(column_text("column", F.col("pos") + 1, F.col("dup")), F.lit(' has values that "'), "standard", F.lit('" should not have: '), "found"))
 
 
-@check(20)
-def several_standards(t: Tables) -> DataFrame:
-    rows = standard_columns(t).groupBy("file_id", "column").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("standard")), ", ").alias("found")).filter("n > 1")
-    return issue(rows, 20, "Data", "Metabolites", F.concat(F.lit('The column "'), "column", F.lit('" could be several standard columns: '), "found"))
+@check(20, by_finders=True)
+def several_standards(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
+    rows = standard_columns(t, finders).groupBy("file_id", "column", "dup", "pos").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("standard")), ", ").alias("found")).filter("n > 1")
+    return issue(rows, 20, "Data", "Metabolites", F.concat(column_text("column", F.col("pos") + 1, F.col("dup")), F.lit(" could be several standard columns: "), "found"))
 
 
-@check(17)
-def implied_columns(t: Tables) -> DataFrame:
-    columns = t.headers.filter("tbl = 'Metabolites'").groupBy("file_id").agg(F.collect_set(F.lower(F.trim("column"))).alias("c"))
-    pair = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in IMPLIED.items())))
-    rows = columns.select("file_id", "c", pair.alias("p")).filter("array_contains(c, p.a) AND NOT array_contains(c, p.b)")
-    return issue(rows, 17, "Data", "Metabolites", F.concat(F.lit('The column "'), "p.a", F.lit('" needs the column "'), "p.b", F.lit('".')))
+def _implied(t: Tables, finders: dict[str, Finder] | None) -> DataFrame:
+    """file_id, a, b (standard columns), column_a, pos_a, column_b and pos_b (null without one): pairs of which the first is there."""
+    first = first_columns(standard_columns(t, finders))
+    pairs = F.create_map(*(F.lit(x) for pair in IMPLIED.items() for x in pair))
+    left = first.filter(F.col("standard").isin(*IMPLIED)).select("file_id", F.col("standard").alias("a"), pairs[F.col("standard")].alias("b"), F.col("column").alias("column_a"), F.col("pos").alias("pos_a"))
+    return left.join(first.select("file_id", F.col("standard").alias("b"), F.col("column").alias("column_b"), F.col("pos").alias("pos_b")), ["file_id", "b"], "left")
 
 
-@check(18)
-def paired_values(t: Tables) -> DataFrame:
-    cells = t.cells.filter("tbl = 'Metabolites'").select("file_id", "row", F.lower(F.trim("column")).alias("c"), missing(F.col("value"), COLUMN_NA).alias("na"))
-    out = None
-    for a, b in IMPLIED.items():
-        rows = cells.filter(F.col("c").isin(a, b)).groupBy("file_id", "row").agg(F.first(F.when(F.col("c") == a, F.col("na")), True).alias("x"), F.first(F.when(F.col("c") == b, F.col("na")), True).alias("y"))
-        rows = rows.filter("x <> y").select("file_id").distinct()
-        part = issue(rows, 18, "Data", "Metabolites", f'The columns "{a}" and "{b}" should have values in the same rows.')
-        out = part if out is None else out.unionByName(part)
-    return out
+@check(17, by_finders=True)
+def implied_columns(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
+    rows = _implied(t, finders).filter("pos_b IS NULL")
+    return issue(rows, 17, "Data", "Metabolites", F.concat(F.lit('The column "'), "column_a", F.lit('" needs a column "'), "b", F.lit('".')))
+
+
+@check(18, by_finders=True)
+def paired_values(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
+    """Rows in which one of a pair of columns has a value and the other has none; a cell that is not there has none."""
+    pairs = _implied(t, finders).filter("pos_b IS NOT NULL")
+    at = pairs.select("file_id", "a", "column_a", "column_b", F.explode(F.map_from_arrays(F.array("pos_a", "pos_b"), F.array(F.lit(True), F.lit(False)))).alias("pos", "first"))
+    cells = t.cells.filter("tbl = 'Metabolites'").select("file_id", "row", "pos", missing(F.col("value"), COLUMN_NA).alias("na")).join(at, ["file_id", "pos"])
+    side = lambda first: F.coalesce(F.bool_and(F.when(F.col("first") == first, F.col("na"))), F.lit(True))
+    masks = cells.groupBy("file_id", "a", "column_a", "column_b", "row").agg(side(True).alias("x"), side(False).alias("y"))
+    rows = rules.unlike_masks(masks, F.col("x"), F.col("y")).select("file_id", "column_a", "column_b").distinct()
+    return issue(rows, 18, "Data", "Metabolites", F.concat(F.lit('Values of the columns "'), "column_a", F.lit('" and "'), "column_b", F.lit('" should stand in the same rows.')))
 
 
-@check(19)
-def other_id(t: Tables) -> DataFrame:
-    rows = t.headers.filter("tbl = 'Metabolites'").filter(F.lower(F.trim("column")) == "other_id").select("file_id").distinct()
-    return issue(rows, 19, "Data", "Metabolites", 'The column "other_id" should be named after the database that its values are from.')
+@check(19, by_finders=True)
+def other_id(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
+    rows = first_columns(standard_columns(t, finders)).filter("standard = 'other_id'")
+    return issue(rows, 19, "Data", "Metabolites", F.concat(F.lit('The column "'), "column", F.lit('" should be named after the database that its values are from.')))
 
 
 def _has_table(t: Tables, table: str) -> DataFrame:
@@ -273,7 +296,7 @@ def _extended_samples(t: Tables) -> DataFrame:
 
 @check(22)
 def extended_samples(t: Tables) -> DataFrame:
-    rows = _extended_samples(t).join(t.ssf.select("file_id", "sample_id"), ["file_id", "sample_id"], "left_anti")
+    rows = rules.not_in(_extended_samples(t), t.ssf, ["file_id", "sample_id"])
     return issue(listed(rows, "sample_id"), 22, "Data", "Extended", F.concat(F.lit("Sample IDs without factors: "), "found"))
 
 
@@ -281,7 +304,7 @@ def extended_samples(t: Tables) -> DataFrame:
 def header_like_names(t: Tables) -> DataFrame:
     out = None
     for table in ("Metabolites", "Data", "Extended"):
-        rows = names(t, table).filter(F.lower("name").isin(*HEADER_LIKE))
+        rows = rules.header_like(names(t, table), "name", HEADER_LIKE)
         part = issue(rows, 23, "Data", table, F.concat(F.lit("The name in row "), F.col("row") + 1, F.lit(" looks like a header: "), "name"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -305,29 +328,28 @@ def nameless_columns(t: Tables) -> DataFrame:
     return issue(rows, 26, "Data", F.col("tbl"), "A column has no name.")
 
 
-def _columns(t: Tables) -> DataFrame:
-    return t.cells.filter("column <> 'Metabolite'").withColumn("place", F.col("pos") + 1)
+def _profile(t: Tables) -> DataFrame:
+    by = ["file_id", "tbl", "column", "dup"]
+    places = t.headers.groupBy(*by).agg(F.min("pos").alias("pos"))
+    return rules.column_profile(t.cells.filter("column <> 'Metabolite'"), by, COLUMN_NA).join(places, by)
 
 
 @check(27)
 def null_columns(t: Tables) -> DataFrame:
-    empty = F.bool_and(F.col("value").isNull()) | F.bool_and(F.coalesce(F.col("value").isin(*COLUMN_NA), F.lit(False)))
-    rows = _columns(t).groupBy("file_id", "tbl", "column", "dup").agg(empty.alias("empty"), F.min("place").alias("place")).filter("empty")
-    return issue(rows, 27, "Data", F.col("tbl"), F.concat(F.lit("No value in column "), "place", F.lit(": "), "column"))
+    rows = rules.null_columns(_profile(t))
+    return issue(rows, 27, "Data", F.col("tbl"), F.concat(column_text("column", F.col("pos") + 1, F.col("dup")), F.lit(" has no value.")))
 
 
 @check(28)
 def one_value_columns(t: Tables) -> DataFrame:
-    counts = _columns(t).groupBy("file_id", "tbl", "column", "dup", "value").agg(F.count("*").alias("n"))
-    rows = counts.groupBy("file_id", "tbl", "column", "dup").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("k"))
-    rows = rows.filter((F.col("most") / F.col("all") > ONE_VALUE) & (F.col("k") > 1))
-    return issue(rows, 28, "Data", F.col("tbl"), F.concat(F.lit("Nearly all values are the same in column "), "column"))
+    rows = rules.one_value_columns(_profile(t))
+    return issue(rows, 28, "Data", F.col("tbl"), F.concat(column_text("column", F.col("pos") + 1, F.col("dup")), F.lit(" has nearly always the same value.")))
 
 
 @check(29)
 def equal_rows(t: Tables) -> DataFrame:
     rows = t.cells.groupBy("file_id", "tbl", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("v"))
-    rows = rows.groupBy("file_id", "tbl", "v").agg(F.count("*").alias("n")).filter("n > 1").select("file_id", "tbl").distinct()
+    rows = rules.equal_rows(rows, ["file_id", "tbl", "v"]).select("file_id", "tbl").distinct()
     return issue(rows, 29, "Data", F.col("tbl"), "Some rows are equal.")
 
 
@@ -337,13 +359,14 @@ def repeated_columns(t: Tables) -> DataFrame:
     return issue(rows, 30, "Data", F.col("tbl"), F.concat(F.lit("Several columns are named "), "column"))
 
 
-@check(31)
-def polarities(t: Tables) -> DataFrame:
-    cells = t.cells.filter("tbl IN ('Metabolites', 'Extended')").filter(F.lower("column").rlike("polarity|ion(ization)?[ _]?mode|esi[ _]?mode"))
-    value = F.lower(F.trim("value"))
-    found = cells.groupBy("file_id", "tbl", "column", "dup").agg(F.bool_or(value.isin(*POSITIVE)).alias("p"), F.bool_or(value.isin(*NEGATIVE)).alias("n"), F.min("pos").alias("pos"))
-    rows = found.filter("p AND n").groupBy("file_id").agg(F.min_by(F.struct("tbl", "column"), F.struct("tbl", "pos")).alias("c"))
-    return issue(rows, 31, "Data", F.col("c.tbl"), F.concat(F.lit("Both polarities stand in column "), "c.column"))
+@check(31, by_finders=True)
+def polarities(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
+    """The leftmost column of METABOLITES that the finder of polarities names and that holds both."""
+    columns = standard_columns(t, finders).filter("standard = 'polarity'").select("file_id", "pos", "column")
+    cells = t.cells.filter("tbl = 'Metabolites'").select("file_id", "pos", F.lower("value").alias("value")).join(columns, ["file_id", "pos"])
+    found = rules.both_values(cells, ["file_id", "pos", "column"], F.col("value").isin(*POSITIVE), F.col("value").isin(*NEGATIVE))
+    rows = found.groupBy("file_id").agg(F.min_by("column", "pos").alias("column"))
+    return issue(rows, 31, "Data", "Metabolites", F.concat(F.lit('Both polarities stand in the column "'), "column", F.lit('".')))
 
 
 @check(32)
@@ -369,19 +392,20 @@ def first_headers(t: Tables) -> DataFrame:
 
 @check(35)
 def blank_extended_samples(t: Tables) -> DataFrame:
-    rows = _extended_samples(t).filter(missing(F.col("sample_id"), SCHEMA_NA)).select("file_id").distinct()
+    rows = rules.blank(_extended_samples(t), "sample_id", SCHEMA_NA).select("file_id").distinct()
     return issue(rows, 35, "Data", "Extended", "A row has no sample ID.")
 
 
 @check(36)
 def blank_in_extended(t: Tables) -> DataFrame:
-    rows = names(t, "Extended").filter(missing(F.col("name"), METABOLITE_NA)).select("file_id").distinct()
+    rows = rules.blank(names(t, "Extended"), "name", METABOLITE_NA).select("file_id").distinct()
     return issue(rows, 36, "Data", "Extended", "A metabolite has no name.")
 
 
-def issues(t: Tables, numbers: tuple[int, ...] | None = None, extra: list[DataFrame] | None = None) -> DataFrame:
-    """All issues: ISSUE and ord, the place in a document's report. numbers: only these checks; extra: further issues."""
-    parts = [CHECKS[n](t) for n in ORDER if n in CHECKS and (numbers is None or n in numbers)] + (extra or [])
+def issues(t: Tables, numbers: tuple[int, ...] | None = None, extra: list[DataFrame] | None = None, finders: dict[str, Finder] | None = None) -> DataFrame:
+    """All issues: ISSUE and ord, the place in a document's report. numbers: only these checks; extra: further issues; finders:
+    the caller's own, in place of FINDERS."""
+    parts = [CHECKS[n](t, finders) if n in BY_FINDERS else CHECKS[n](t) for n in ORDER if n in CHECKS and (numbers is None or n in numbers)] + (extra or [])
     out = t.files.sparkSession.createDataFrame([], ISSUE)
     for part in parts:
         out = out.unionByName(part)
@@ -393,8 +417,7 @@ def issues(t: Tables, numbers: tuple[int, ...] | None = None, extra: list[DataFr
 def summary(files: DataFrame, found: DataFrame) -> DataFrame:
     """file_id, status, n_issues, n_warnings and the counts of tags for every readable document."""
     counts = found.groupBy("file_id").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "Warning").alias("w"))
-    tags = found.select("file_id", F.explode("tags").alias("tag")).groupBy("file_id", "tag").agg(F.count("*").alias("n"))
-    tags = tags.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("tag", "n"))).alias("tags"))
+    tags = rules.tag_counts(found, ["file_id"]).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("tag", "n"))).alias("tags"))
     out = files.filter("error IS NULL").select("file_id").join(counts, "file_id", "left").join(tags, "file_id", "left")
     status = F.when(F.col("n").isNull(), "Passing").otherwise("Contains Validation Issues")
     return out.select("file_id", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n_issues"), F.coalesce("w", F.lit(0)).alias("n_warnings"), "tags")

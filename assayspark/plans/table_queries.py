@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayspark.functions.columns import compression, full_id, full_match, id_kind, is_integer, is_numeric, raw_key, results_file, wrap
-from assayspark.functions.na import COLUMN_NA
+from assayspark.functions.columns import compression, full_id, id_kind, is_numeric, is_url, positive, results_file, url_part, wrap
+from assayspark.functions.finders import Finder
+from assayspark.functions.na import COLUMN_NA, METABOLITE_NA, SCHEMA_NA
+from assayspark.operators import rules, schema
+from assayspark.operators.extract import ItemIs, ItemLike, metabolite_counts, metabolite_samples
+from assayspark.operators.parse_text import lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,20 +49,17 @@ def query(name: str, sql: str | None = None):
 )
 def extract_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts studies, analyses and samples with a positive measurement, for each metabolite (here: part)."""
+    counts = metabolite_counts(_measured(spark, sf_dir).select("metabolite", "study_id", "analysis_id", "sample_id").distinct())
+    return counts.withColumnsRenamed({"metabolite_name": "metabolite", "num-studies": "num_studies"})
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive values: parts are metabolites, nations studies, orders analyses and suppliers samples."""
     line, orders, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
-    value = F.expr("try_cast(cast(l_discount AS string) AS double)")
-    rows = (
-        line.filter((value > 0) & ~F.isnan(value))
-        .join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-        .join(customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-        .select(F.col("l_partkey").alias("metabolite"), F.col("c_nationkey").alias("study"), F.col("l_orderkey").alias("analysis"), F.col("l_suppkey").alias("sample"))
-        .distinct()
-    )
-    analyses = rows.groupBy("metabolite", "study", "analysis").agg(F.count("*").alias("samples"))
-    studies = analyses.groupBy("metabolite", "study").agg(F.count("*").alias("analyses"), F.sum("samples").alias("samples"))
-    return studies.groupBy("metabolite").agg(
-        F.count("*").alias("num_studies"), F.sum("analyses").alias("num_analyses"), F.sum("samples").alias("num_samples")
-    )
+    rows = line.filter(positive(F.col("l_discount").cast("string"))).join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    rows = rows.join(customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    names = {"l_partkey": "metabolite", "c_nationkey": "study_id", "l_orderkey": "analysis_id", "l_suppkey": "sample_id"}
+    return rows.select(*(F.col(c).alias(n) for c, n in names.items()))
 
 
 #: The driver's dimension tables as (key, value) items.
@@ -76,12 +77,8 @@ ITEMS = (("nation", "n_name"), ("region", "r_name"), ("customer", "c_mktsegment"
 )
 def extract_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The samples with a positive measurement, by metabolite and study, as sorted sets."""
-    line, orders, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
-    value = F.expr("try_cast(cast(l_discount AS string) AS double)")
-    rows = line.filter((value > 0) & ~F.isnan(value)).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    return rows.groupBy(F.col("l_partkey").alias("metabolite"), F.col("c_nationkey").alias("study")).agg(
-        F.array_join(F.sort_array(F.collect_set(F.col("l_suppkey").cast("string"))), ",").alias("samples")
-    )
+    rows = _measured(spark, sf_dir).select("metabolite", "study_id", F.lit(None).alias("analysis_id"), F.col("sample_id").cast("string").alias("sample_id"))
+    return metabolite_samples(rows).select("metabolite", F.col("study_id").alias("study"), F.array_join("samples", ",").alias("samples"))
 
 
 @query(
@@ -96,19 +93,25 @@ def metadata_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = parts[0]
     for part in parts[1:]:
         items = items.unionByName(part)
-    return items.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("value")), "|").alias("values_found"), F.countDistinct("value").alias("n_values"))
+    return rules.value_sets(items).select("key", F.array_join("values", "|").alias("values_found"), F.size("values").cast("long").alias("n_values"))
 
 
 @query("q04_item_matcher_eq", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def item_matcher_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    match = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(match, "o_custkey", "left_semi")
+    return _matched(spark, sf_dir, ItemIs("SU:c_mktsegment", "BUILDING"))
+
+
+def _matched(spark: SparkSession, sf_dir: str, condition: ItemIs) -> DataFrame:
+    """The orders of the customers whose item fulfils the condition."""
+    items = rules.to_cells(table(spark, sf_dir, "customer"), ["c_custkey"], ["c_mktsegment", "c_name"])
+    items = items.select(F.col("c_custkey").alias("file_id"), F.lit("SUBJECT").alias("section"), F.col("column").alias("key"), "value")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return orders.join(condition.files(items).withColumnRenamed("file_id", "o_custkey"), "o_custkey", "left_semi")
 
 
 @query("q05_item_matcher_regex", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE regexp_matches(c_mktsegment, '^(AUTO|MACH)'))")
 def item_matcher_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    match = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").rlike("^(AUTO|MACH)")).select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(match, "o_custkey", "left_semi")
+    return _matched(spark, sf_dir, ItemLike("SU:c_mktsegment", "^(AUTO|MACH)"))
 
 
 @query(
@@ -116,8 +119,8 @@ def item_matcher_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     " UNION ALL ".join(f"SELECT p_partkey AS row_id, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM part" for c in ("p_name", "p_brand", "p_type", "p_size")),
 )
 def unpivot_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), "p_name", "p_brand", "p_type", F.col("p_size").cast("string").alias("p_size"))
-    return part.unpivot(["row_id"], ["p_name", "p_brand", "p_type", "p_size"], "column_name", "value")
+    part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "row_id")
+    return rules.to_cells(part, ["row_id"], ["p_name", "p_brand", "p_type", "p_size"]).withColumnRenamed("column", "column_name")
 
 
 EVENT_TYPES = ("click", "purchase", "view", "signup", "logout")
@@ -128,36 +131,39 @@ EVENT_TYPES = ("click", "purchase", "view", "signup", "logout")
     "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{e}') AS n_{e}" for e in EVENT_TYPES) + " FROM events GROUP BY user_id",
 )
 def pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", list(EVENT_TYPES)).count()
+    counts = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("column")).agg(F.count("*").alias("value"))
+    wide = rules.to_wide(counts, ["user_id"], list(EVENT_TYPES))
     return wide.select("user_id", *(F.coalesce(F.col(e), F.lit(0)).alias(f"n_{e}") for e in EVENT_TYPES))
 
 
 @query("q08_anti_data_not_in_ssf", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def data_not_in_ssf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left_anti")
+    return rules.not_in(table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"])
 
 
 @query("q09_anti_documents_without_labels", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def documents_without_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return rules.not_in(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 @query(
     "q10_anti_names_both_directions",
     """
-    WITH a AS (SELECT DISTINCT trim(p_name) AS name FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_returnflag = 'A' AND l_linenumber = 1 AND l_quantity > 45),
-         r AS (SELECT DISTINCT trim(p_name) AS name FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_linenumber = 1 AND l_quantity > 45)
+    WITH a AS (SELECT DISTINCT trim(p_name) AS name FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_returnflag = 'A'),
+         r AS (SELECT DISTINCT trim(p_name) AS name FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_returnflag = 'R')
     SELECT 'only_a' AS side, name FROM a WHERE name NOT IN (SELECT name FROM r)
     UNION ALL SELECT 'only_r', name FROM r WHERE name NOT IN (SELECT name FROM a)
     """,
 )
 def names_both_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names on one side only, in both directions, by one aggregation over both sides."""
-    line = table(spark, sf_dir, "lineitem").filter("l_returnflag IN ('A', 'R') AND l_linenumber = 1 AND l_quantity > 45")
+    """Names on one side only, in both directions, over all lines of either flag."""
+    line = table(spark, sf_dir, "lineitem").filter("l_returnflag IN ('A', 'R')")
     names = line.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.trim("p_name").alias("name"), "l_returnflag")
-    sides = names.groupBy("name").agg(F.bool_or(F.col("l_returnflag") == "A").alias("a"), F.bool_or(F.col("l_returnflag") == "R").alias("r"))
-    return sides.filter("a <> r").select(F.when(F.col("a"), "only_a").otherwise("only_r").alias("side"), "name")
+    return _sides(rules.one_side(names, ["name"], F.col("l_returnflag") == "A", F.col("l_returnflag") == "R"))
+
+
+def _sides(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("side", F.when(F.col("side") == "left", "only_a").otherwise("only_r"))
 
 
 @query(
@@ -170,18 +176,17 @@ def names_both_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def items_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names and orders on one side only, in both directions, over all lines (q10 takes names of a part of the lines)."""
+    """Part names and orders on one side only, in both directions, over all lines."""
     line = table(spark, sf_dir, "lineitem").filter("l_returnflag IN ('A', 'R')")
     rows = line.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     both = F.explode(F.array(F.struct(F.lit("name").alias("item"), F.trim("p_name").alias("value")), F.struct(F.lit("order").alias("item"), F.col("l_orderkey").cast("string").alias("value"))))
-    sides = rows.select("l_returnflag", both.alias("i")).groupBy("i.item", "i.value").agg(F.bool_or(F.col("l_returnflag") == "A").alias("a"), F.bool_or(F.col("l_returnflag") == "R").alias("r"))
-    return sides.filter("a <> r").select(F.when(F.col("a"), "only_a").otherwise("only_r").alias("side"), "item", "value")
+    items = rows.select("l_returnflag", both.alias("i")).select("l_returnflag", "i.item", "i.value")
+    return _sides(rules.one_side(items, ["item", "value"], F.col("l_returnflag") == "A", F.col("l_returnflag") == "R"))
 
 
 @query("q11_dup_after_first", "SELECT p_partkey, p_name, n FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part) WHERE n > 1")
 def dup_after_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("p_name").orderBy("p_partkey")
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name", F.row_number().over(order).cast("long").alias("n")).filter("n > 1")
+    return rules.repeated(table(spark, sf_dir, "part").select("p_partkey", "p_name"), ["p_name"], "p_partkey")
 
 
 @query(
@@ -192,9 +197,7 @@ def dup_after_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def dup_key_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type", (F.row_number().over(order) - 1).alias("dup"))
-    return rows.select("event_id", raw_key(F.col("event_type"), F.col("dup")).alias("raw_key"))
+    return rules.numbered_keys(table(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id").select("event_id", "raw_key")
 
 
 NA_SQL = ", ".join("'" + v.replace("'", "''") + "'" for v in COLUMN_NA)
@@ -211,8 +214,7 @@ NA_SQL = ", ".join("'" + v.replace("'", "''") + "'" for v in COLUMN_NA)
 )
 def null_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus").unpivot(["l_orderkey"], ["l_returnflag", "l_linestatus"], "column_name", "value")
-    missing = F.coalesce(F.col("value").isin(*COLUMN_NA), F.lit(False))
-    return cells.groupBy("l_orderkey", "column_name").agg(F.bool_and(F.col("value").isNull()).alias("n"), F.bool_and(missing).alias("m")).filter("n OR m").select("l_orderkey", "column_name")
+    return rules.null_columns(rules.column_profile(cells, ["l_orderkey", "column_name"], COLUMN_NA)).select("l_orderkey", "column_name")
 
 
 @query(
@@ -231,24 +233,43 @@ def overbalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = customer.select(F.lit("c_negative").alias("column_name"), (F.col("c_acctbal") <= 0).cast("string").alias("value"))
     cells = cells.unionByName(table(spark, sf_dir, "labels").select(F.lit("toxic").alias("column_name"), F.col("toxic").cast("string").alias("value")))
     cells = cells.unionByName(customer.select(F.lit("c_mktsegment").alias("column_name"), F.col("c_mktsegment").alias("value")))
-    counts = cells.groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    return counts.groupBy("column_name").agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("k")).filter("most / total > 0.9 AND k > 1").drop("k")
+    return rules.one_value_columns(rules.column_profile(cells, ["column_name"], COLUMN_NA)).select("column_name", "most", "total")
 
 
 @query("q15_dup_rows", "SELECT l_orderkey, l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def dup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_linestatus").agg(F.count("*").alias("n")).filter("n > 1")
+    return rules.equal_rows(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_returnflag", "l_linestatus"])
+
+
+def _na_sql(values: tuple[str, ...]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-@query("q16_blank_names", f"SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag IS NULL OR l_returnflag IN ({NA_SQL})")
+#: The lists of what stands for a missing value, by their use.
+NA_LISTS = {"column": COLUMN_NA, "schema": SCHEMA_NA, "metabolite": METABOLITE_NA}
+
+
+@query(
+    "q16_blank_names",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS na, l_orderkey, l_linenumber, coalesce(nullif(l_returnflag, 'A'), 'NA') AS flag FROM lineitem WHERE coalesce(nullif(l_returnflag, 'A'), 'NA') IN ({_na_sql(v)})"
+        for n, v in NA_LISTS.items()
+    ),
+)
 def blank_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag = F.col("l_returnflag")
-    return table(spark, sf_dir, "lineitem").filter(flag.isNull() | flag.isin(*COLUMN_NA)).select("l_orderkey", "l_linenumber", "l_returnflag")
+    """Lines whose flag (NA in place of A) stands for a missing value, by each of the lists."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "A", F.col("l_returnflag")).otherwise("NA").alias("flag"))
+    out = None
+    for name, values in NA_LISTS.items():
+        part = rules.blank(rows, "flag", values).withColumn("na", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("q17_header_like_names", "SELECT conv_id, turn, role FROM conversations WHERE lower(trim(role)) IN ('user', 'samples', 'factors', 'system')")
 def header_like_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").filter(F.lower(F.trim("role")).isin("user", "samples", "factors", "system")).select("conv_id", "turn", "role")
+    roles = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.trim("role").alias("name"))
+    return rules.header_like(roles, "name", ("user", "samples", "factors", "system")).drop("name")
 
 
 @query(
@@ -261,31 +282,34 @@ def header_like_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def factor_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = F.min("l_linestatus") == F.max("l_linestatus")
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(same, F.min("l_linestatus")).otherwise("P").alias("status"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return orders.join(lines, "o_orderkey", "left").filter(~F.col("o_orderstatus").eqNullSafe(F.col("status")))
+    found = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(same, F.min("l_linestatus")).otherwise("P").alias("status"))
+    return rules.mismatched(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), found, ["o_orderkey"], "o_orderstatus", "status", "left")
 
 
 @query("q19_pair_mask", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_returnflag = 'N') <> (l_linestatus = 'O')")
 def pair_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").filter((F.col("l_returnflag") == "N") != (F.col("l_linestatus") == "O")).select("l_orderkey", "l_linenumber")
+    return rules.unlike_masks(table(spark, sf_dir, "lineitem"), F.col("l_returnflag") == "N", F.col("l_linestatus") == "O").select("l_orderkey", "l_linenumber")
 
 
 @query(
     "q21_value_integer",
-    "SELECT p_partkey, p_size FROM part WHERE NOT contains(CAST(p_size AS VARCHAR), '.') AND TRY_CAST(CAST(p_size AS VARCHAR) AS DOUBLE) IS NOT NULL AND p_size > 25",
+    "SELECT p_partkey, p_size FROM part WHERE NOT contains(CAST(p_size AS VARCHAR), '.') AND TRY_CAST(CAST(p_size AS VARCHAR) AS DOUBLE) IS NOT NULL",
 )
 def value_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter(is_integer(F.col("p_size").cast("string")) & (F.col("p_size") > 25)).select("p_partkey", "p_size")
+    return table(spark, sf_dir, "part").filter(Finder("size", kind="integer").values(F.col("p_size").cast("string"), na_matches=False)).select("p_partkey", "p_size")
 
 
 @query(
     "q48_value_integer_all",
-    "SELECT p_partkey, p_size FROM part WHERE NOT contains(CAST(p_size AS VARCHAR), '.') AND TRY_CAST(CAST(p_size AS VARCHAR) AS DOUBLE) IS NOT NULL",
+    "SELECT 'size' AS item, p_partkey AS id, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT 'key', c_custkey, CAST(c_custkey AS VARCHAR) FROM customer",
 )
 def value_integer_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All integers (q21 gives those above 25)."""
-    return table(spark, sf_dir, "part").filter(is_integer(F.col("p_size").cast("string"))).select("p_partkey", "p_size")
+    """Of several kinds of values (sizes, keys, names and balances), all that are integers; balances have a point."""
+    part, customer = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
+    kinds = ((part, "size", "p_partkey", "p_size"), (part, "name", "p_partkey", "p_name"), (customer, "key", "c_custkey", "c_custkey"), (customer, "balance", "c_custkey", "c_acctbal"))
+    values = [t.select(F.lit(n).alias("item"), F.col(k).cast("long").alias("id"), F.col(c).cast("string").alias("value")) for t, n, k, c in kinds]
+    rows = values[0].unionByName(values[1]).unionByName(values[2]).unionByName(values[3])
+    return rows.filter(Finder("any", kind="integer").values(F.col("value"), na_matches=False))
 
 
 @query(
@@ -298,7 +322,7 @@ def value_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q23_value_regex", r"SELECT p_partkey, p_brand FROM part WHERE regexp_full_match(p_brand, 'Brand#(\d)[12]')")
 def value_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter(full_match(F.col("p_brand"), r"Brand#(\d)[12]")).select("p_partkey", "p_brand")
+    return table(spark, sf_dir, "part").filter(Finder("brand", pattern=r"Brand#(\d)[12]").values(F.col("p_brand"))).select("p_partkey", "p_brand")
 
 
 @query(
@@ -325,8 +349,7 @@ def ids_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def lines_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.filter("line <> ''")
+    return lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")).withColumnRenamed("file_id", "doc_id")
 
 
 @query(
@@ -338,25 +361,20 @@ def lines_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def section_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    along = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.when(F.col("role") == "user", F.col("turn"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.last(opens, ignorenulls=True).over(along), F.lit(-1)).alias("section"))
+    turns = table(spark, sf_dir, "conversations")
+    section = rules.carried(turns, ["conv_id"], "turn", F.when(F.col("role") == "user", F.col("turn")))
+    return turns.select("conv_id", "turn", F.coalesce(section, F.lit(-1)).alias("section"))
 
 
-@query("q27_concat_items", "SELECT conv_id, role, string_agg(substr(text, 1, 20), ' ' ORDER BY turn) AS value FROM conversations GROUP BY 1, 2")
+@query("q27_concat_items", "SELECT conv_id, role, string_agg(text, ' ' ORDER BY turn NULLS FIRST, text) AS value FROM conversations GROUP BY 1, 2")
 def concat_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.substring("text", 1, 20).alias("t"))
-    parts = F.sort_array(F.collect_list(F.struct("turn", "t")))
-    return rows.groupBy("conv_id", "role").agg(F.array_join(parts["t"], " ").alias("value"))
+    return rules.joined_values(table(spark, sf_dir, "conversations"), ["conv_id", "role"], "turn", "text").withColumnRenamed("text", "value")
 
 
-@query("q44_concat_whole_items", "SELECT conv_id, role, string_agg(text, ' ' ORDER BY turn NULLS FIRST, text) AS value FROM conversations GROUP BY 1, 2")
+@query("q44_concat_whole_items", "SELECT lang, source, string_agg(text, chr(10) ORDER BY doc_id NULLS FIRST, text) AS value FROM documents GROUP BY 1, 2")
 def concat_whole_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole texts of each role in a conversation, joined by turn (q27 joins their first 20 characters)."""
-    part = F.when(F.col("text").isNotNull(), F.struct("turn", "text"))
-    parts = F.sort_array(F.collect_list(part))
-    value = F.when(F.size(parts) > 0, F.array_join(parts["text"], " "))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(value.alias("value"))
+    """The whole texts of each language and source, joined in the order of their ids."""
+    return rules.joined_values(table(spark, sf_dir, "documents"), ["lang", "source"], "doc_id", "text", "\n").withColumnRenamed("text", "value")
 
 
 @query("q28_json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -365,40 +383,59 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: (column, keyword, argument) over the customer and part tables as items.
-RULES = (("c_mktsegment", "enum", "BUILDING|MACHINERY"), ("c_name", "pattern", r"0[0-4]$"), ("p_brand", "pattern", r"^Brand#[1-3]"), ("p_type", "minLength", "12"), ("p_comment", "required", ""))
+RULES = (
+    ("c_mktsegment", "enum", "BUILDING|MACHINERY"), ("c_name", "pattern", r"0[0-4]$"), ("p_brand", "pattern", r"^Brand#[1-3]"), ("p_brand", "not pattern", r"[45]$"),
+    ("p_type", "minLength", "12"), ("p_type", "maxLength", "16"), ("p_type", "not", "ECONOMY|PROMO"), ("p_size", "minimum", "5"), ("p_size", "maximum", "44"), ("p_comment", "required", ""),
+)
 _RULE_SQL = " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS keyword, '{a}' AS argument" for c, k, a in RULES)
+_ITEMS_SQL = "items AS (" + " UNION ALL ".join(f"SELECT '{t[0]}' || {k} AS owner, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {t}" for t, k, cs in (("customer", "c_custkey", ("c_mktsegment", "c_name")), ("part", "p_partkey", ("p_brand", "p_type", "p_size"))) for c in cs) + ")"
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Items(owner, column_name, value) of customers and parts, and the table of RULES."""
+    customer, part = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
+    items = rules.to_cells(customer.withColumn("owner", F.concat(F.lit("c"), "c_custkey")), ["owner"], ["c_mktsegment", "c_name"])
+    items = items.unionByName(rules.to_cells(part.withColumn("owner", F.concat(F.lit("p"), "p_partkey")), ["owner"], ["p_brand", "p_type", "p_size"]))
+    return items.withColumnRenamed("column", "column_name"), spark.createDataFrame(list(RULES), "column_name string, keyword string, argument string")
 
 
 @query(
     "q29_schema_rules",
     f"""
-    WITH rules AS ({_RULE_SQL}), items AS (
-      SELECT 'c' || c_custkey AS owner, 'c_mktsegment' AS column_name, c_mktsegment AS value FROM customer
-      UNION ALL SELECT 'c' || c_custkey, 'c_name', c_name FROM customer
-      UNION ALL SELECT 'p' || p_partkey, 'p_brand', p_brand FROM part UNION ALL SELECT 'p' || p_partkey, 'p_type', p_type FROM part
-    )
+    WITH rules AS ({_RULE_SQL}), {_ITEMS_SQL}
     SELECT column_name, keyword, count(*) AS n FROM items JOIN rules USING (column_name)
     WHERE (keyword = 'enum' AND NOT list_contains(string_split(argument, '|'), value)) OR (keyword = 'pattern' AND NOT regexp_matches(value, argument))
-       OR (keyword = 'minLength' AND length(value) < TRY_CAST(argument AS INTEGER)) GROUP BY 1, 2
+       OR (keyword = 'not pattern' AND regexp_matches(value, argument)) OR (keyword = 'not' AND list_contains(string_split(argument, '|'), value))
+       OR (keyword = 'minLength' AND length(value) < TRY_CAST(argument AS INTEGER)) OR (keyword = 'maxLength' AND length(value) > TRY_CAST(argument AS INTEGER))
+       OR (keyword = 'minimum' AND TRY_CAST(value AS DOUBLE) < TRY_CAST(argument AS DOUBLE)) OR (keyword = 'maximum' AND TRY_CAST(value AS DOUBLE) > TRY_CAST(argument AS DOUBLE))
+    GROUP BY 1, 2
     UNION ALL SELECT 'p_comment', 'required', count(*) FROM part
     """,
 )
 def schema_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many items break each rule of a table of rules; a required key that no item has counts for every owner."""
-    customer, part = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
-    items = customer.select(F.concat(F.lit("c"), "c_custkey").alias("owner"), "c_mktsegment", "c_name").unpivot(["owner"], ["c_mktsegment", "c_name"], "column_name", "value")
-    items = items.unionByName(part.select(F.concat(F.lit("p"), "p_partkey").alias("owner"), "p_brand", "p_type").unpivot(["owner"], ["p_brand", "p_type"], "column_name", "value"))
-    rules = spark.createDataFrame(list(RULES), "column_name string, keyword string, argument string")
-    value, arg = F.col("value"), F.col("argument")
-    broken = (
-        F.when(F.col("keyword") == "enum", ~F.array_contains(F.split(arg, r"\|"), value))
-        .when(F.col("keyword") == "pattern", ~F.rlike(value, arg))
-        .when(F.col("keyword") == "minLength", F.length(value) < F.expr("try_cast(argument AS int)"))
-        .otherwise(False)
-    )
-    found = items.join(F.broadcast(rules), "column_name").filter(broken).groupBy("column_name", "keyword").agg(F.count("*").alias("n"))
-    required = part.agg(F.count("*").alias("n")).select(F.lit("p_comment").alias("column_name"), F.lit("required").alias("keyword"), "n")
-    return found.unionByName(required)
+    items, held = _ruled(spark, sf_dir)
+    found = schema.broken_rules(items, held, ["column_name"]).groupBy("column_name", "keyword").agg(F.count("*").alias("n"))
+    owners = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("owner"))
+    needed = schema.lacking(owners, items, held.filter("keyword = 'required'").select("column_name"), "owner", ["column_name"])
+    return found.unionByName(needed.groupBy("column_name").agg(F.count("*").alias("n")).withColumn("keyword", F.lit("required")))
+
+
+@query(
+    "q30_schema_pattern",
+    f"WITH {_ITEMS_SQL} SELECT owner, column_name, value FROM items WHERE (column_name = 'c_name' AND NOT regexp_matches(value, '0[0-4]$')) OR (column_name = 'p_brand' AND NOT regexp_matches(value, '^Brand#[1-3]'))",
+)
+def schema_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that don't match the pattern of their column."""
+    items, held = _ruled(spark, sf_dir)
+    return schema.broken_rules(items, held.filter("keyword = 'pattern'"), ["column_name"]).select("owner", "column_name", "value")
+
+
+@query("q31_schema_enum", f"WITH {_ITEMS_SQL} SELECT owner, value FROM items WHERE column_name = 'c_mktsegment' AND value NOT IN ('BUILDING', 'MACHINERY')")
+def schema_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that are none of their column's choices."""
+    items, held = _ruled(spark, sf_dir)
+    return schema.broken_rules(items, held.filter("keyword = 'enum'"), ["column_name"]).select("owner", "value")
 
 
 @query(
@@ -413,14 +450,16 @@ def schema_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.when(F.col("l_linestatus") == "O", F.array(F.lit("value"), F.lit("consistency"))).otherwise(F.array(F.lit("value")))
     severity = F.when(F.col("l_returnflag") == "R", "Error").otherwise("Warning")
-    rows = table(spark, sf_dir, "lineitem").select(severity.alias("severity"), F.explode(tags).alias("tag"))
-    return rows.groupBy("tag").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "Warning").alias("n_warnings"))
+    return rules.tag_counts(table(spark, sf_dir, "lineitem").select(severity.alias("severity"), tags.alias("tags")))
 
 
-@query("q33_url_parts", r"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/?#]+(/[^?#]*)', 1) AS path FROM pages")
+@query(
+    "q33_url_parts",
+    r"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/?#]+(/[^?#]*)', 1) AS path, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/') AS is_url FROM pages",
+)
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = lambda name: F.parse_url("url", F.lit(name))
-    return table(spark, sf_dir, "pages").select("page_id", part("PROTOCOL").alias("scheme"), part("HOST").alias("host"), part("PATH").alias("path"))
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", url_part(url, "PROTOCOL").alias("scheme"), url_part(url, "HOST").alias("host"), url_part(url, "PATH").alias("path"), is_url(url).alias("is_url"))
 
 
 @query(
@@ -453,10 +492,8 @@ def render_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = spark.createDataFrame([("1-URGENT", 0), ("3-MEDIUM", 1), ("2-HIGH", 2)], "o_orderpriority string, ord int")
-    rows = table(spark, sf_dir, "orders").join(F.broadcast(order), "o_orderpriority", "left")
-    along = Window.partitionBy("o_custkey").orderBy(F.coalesce("ord", F.lit(999)), "o_orderkey")
-    return rows.select("o_orderkey", "o_orderpriority", F.row_number().over(along).cast("long").alias("pos"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    return rules.in_order(orders, "o_orderpriority", ("1-URGENT", "3-MEDIUM", "2-HIGH"), ["o_custkey"], "o_orderkey").drop("o_custkey")
 
 
 @query(
@@ -465,8 +502,7 @@ def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def polarity_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    both = F.bool_or(F.col("l_returnflag") == "A") & F.bool_or(F.col("l_returnflag") == "R")
-    return rows.groupBy("o_custkey").agg(both.alias("both")).filter("both").select("o_custkey")
+    return rules.both_values(rows, ["o_custkey"], F.col("l_returnflag") == "A", F.col("l_returnflag") == "R")
 
 
 @query(

@@ -12,18 +12,18 @@ from assayspark.functions.columns import full_id, id_kind
 
 # What each context takes and gives.
 INPUTS = {
-    "study": "study_id study_title institute last_name analysis_id metabolite_id",
-    "compound": "regno formula inchi_key lm_id pubchem_cid hmdb_id kegg_id chebi_id metacyc_id abbrev",
-    "refmet": "all match name inchi_key regno pubchem_cid formula main_class sub_class",
-    "gene": "mgp_id gene_id gene_name gene_symbol taxid",
-    "protein": "mgp_id gene_id gene_name gene_symbol taxid mrna_id refseq_id protein_gi uniprot_id protein_entry protein_name",
+    "study": ("study_id", "study_title", "institute", "last_name", "analysis_id", "metabolite_id"),
+    "compound": ("regno", "formula", "inchi_key", "lm_id", "pubchem_cid", "hmdb_id", "kegg_id", "chebi_id", "metacyc_id", "abbrev"),
+    "refmet": ("all", "match", "name", "inchi_key", "regno", "pubchem_cid", "formula", "main_class", "sub_class"),
+    "gene": ("mgp_id", "gene_id", "gene_name", "gene_symbol", "taxid"),
+    "protein": ("mgp_id", "gene_id", "gene_name", "gene_symbol", "taxid", "mrna_id", "refseq_id", "protein_gi", "uniprot_id", "protein_entry", "protein_name"),
 }
 OUTPUTS = {
-    "study": "summary factors analysis metabolites source species disease number_of_metabolites data datatable untarg_studies untarg_factors untarg_data",
-    "compound": "all regno formula exactmass inchi_key name sys_name smiles lm_id pubchem_cid hmdb_id kegg_id chebi_id metacyc_id classification molfile png",
-    "refmet": "all name inchi_key regno pubchem_cid exactmass formula synonyms sys_name main_class sub_class",
-    "gene": "all lmp_id mgp_id gene_name gene_symbol gene_synonyms alt_names chromosome map_location summary taxid species species_long",
-    "protein": "all mgp_id gene_id gene_name gene_symbol taxid species species_long mrna_id refseq_id protein_gi uniprot_id protein_entry protein_name seqlength seq is_identical_to",
+    "study": ("summary", "factors", "analysis", "metabolites", "source", "species", "disease", "number_of_metabolites", "data", "datatable", "untarg_studies", "untarg_factors", "untarg_data"),
+    "compound": ("all", "regno", "formula", "exactmass", "inchi_key", "name", "sys_name", "smiles", "lm_id", "pubchem_cid", "hmdb_id", "kegg_id", "chebi_id", "metacyc_id", "classification", "molfile", "png"),
+    "refmet": ("all", "name", "inchi_key", "regno", "pubchem_cid", "exactmass", "formula", "synonyms", "sys_name", "main_class", "sub_class"),
+    "gene": ("all", "lmp_id", "mgp_id", "gene_name", "gene_symbol", "gene_synonyms", "alt_names", "chromosome", "map_location", "summary", "taxid", "species", "species_long"),
+    "protein": ("all", "mgp_id", "gene_id", "gene_name", "gene_symbol", "taxid", "species", "species_long", "mrna_id", "refseq_id", "protein_gi", "uniprot_id", "protein_entry", "protein_name", "seqlength", "seq", "is_identical_to"),
 }
 ID_FORMS = {
     "study_id": r"ST[0-9]{0,6}", "analysis_id": r"AN[0-9]{6}", "metabolite_id": r"ME[0-9]{6}", "inchi_key": r"[A-Z,\-]{27}", "lm_id": r"LM[A-Z]{2}[0-9]{8,10}",
@@ -39,14 +39,14 @@ def url(base: str, context: str, input_item: str, input_value: str, output_item:
     """An address of one of the contexts in INPUTS; a ValueError says which part is wrong. more: further output items."""
     if context not in INPUTS:
         raise ValueError(f"Unknown context {context}")
-    if input_item not in INPUTS[context].split():
+    if input_item not in INPUTS[context]:
         raise ValueError(f"{context} has no input item {input_item}")
     if input_item in ID_FORMS and not re.fullmatch(ID_FORMS[input_item], input_value):
         raise ValueError(f"{input_value} is no {input_item}")
     items = [output_item] if isinstance(output_item, str) else output_item
     if context == "study" and len(items) > 1:
         raise ValueError("study takes a single output item")
-    if wrong := [x for x in items if x not in OUTPUTS[context].split() and x not in more]:
+    if wrong := [x for x in items if x not in OUTPUTS[context] and x not in more]:
         raise ValueError(f"{context} has no output items {', '.join(wrong)}")
     return base + "/".join([context, input_item, input_value, ",".join(items), *([output_format] if output_format else [])])
 

@@ -23,20 +23,33 @@ ARCHIVES = {"zip": None, "tar": "w", "tar.gz": "w:gz", "tar.bz2": "w:bz2"}
 
 def _put(path: Path, data: bytes) -> None:
     """A whole file or none: a task that is run again replaces what it wrote."""
+    path.parent.mkdir(parents=True, exist_ok=True)
     new = path.with_name(f".{path.name}.{os.getpid()}")
     new.write_bytes(data)
     new.replace(path)
 
 
+def common_folder(rows: DataFrame) -> str:
+    """The longest folder that all file_ids lie in, with its slash: what the first and the last of them have in common."""
+    ends = rows.agg(F.min("file_id").alias("low"), F.max("file_id").alias("high")).first()
+    common = os.path.commonprefix([ends["low"] or "", ends["high"] or ""])
+    return common[: common.rfind("/") + 1]
+
+
 def write_documents(texts: DataFrame, folder: str, extension: str = "txt", compression: str = "") -> None:
     """A file for each row of texts(file_id, text), in a folder that all executors see under the same path.
 
-    compression: gz or bz2 for single files; zip, tar, tar.gz or tar.bz2 for one archive of each task's documents.
+    Files are named by the documents' paths below the folder that all of them have in common; names that clash raise an
+    error before anything is written. compression: gz or bz2 for single files; zip, tar, tar.gz or tar.bz2 for one
+    archive of each task's documents.
     """
     if compression not in PACKERS and compression not in ARCHIVES:
         raise ValueError(f"Unknown compression {compression}")
+    named = texts.select(output_name(F.col("file_id"), common_folder(texts), extension).alias("name"), "text")
+    clash = named.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").first()
+    if clash:
+        raise ValueError(f"{clash['n']} documents would be written to {clash['name']}")
     Path(folder).mkdir(parents=True, exist_ok=True)
-    named = texts.select(output_name(F.col("file_id"), extension).alias("name"), "text")
 
     def single(rows: Iterator[Row]) -> None:
         for row in rows:
