@@ -231,7 +231,7 @@ class _Search:
 def _spread(many: DataFrame, one: DataFrame) -> DataFrame:
     """many(hub, entry, ...) with the columns of one, which has a row for each of some hubs. A hub's entries are dealt out to SALTS
     parts, and its row goes to each of them."""
-    salted = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")  # not sent: it grows with the hubs
     return many.withColumn("salt", F.pmod(F.xxhash64("entry"), F.lit(SALTS)).cast("int")).join(salted, ["hub", "salt"]).drop("salt")
 
 
