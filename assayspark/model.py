@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: The format's own marker and names, with the two-letter codes of its item lines. Fixed values.
 MARKER = "#METABOLOMICS WORKBENCH"
@@ -57,7 +57,22 @@ class Tables:
         return Tables(*out)
 
     def kept(self) -> Tables:
-        """save() to a new folder in spark.checkpoint.dir, or in the warehouse where that is unset."""
-        conf = self.files.sparkSession.conf
-        folder = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        return self.save(f"{folder.rstrip('/')}/tables-{uuid.uuid4().hex}")
+        """save() to a new folder of shared_folder()."""
+        return self.save(f"{shared_folder(self.files.sparkSession)}/tables-{uuid.uuid4().hex}")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. On one machine it may be unset: then one in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not (spark.conf.get("spark.master", None) or "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back, so that what several plans read is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayspark.functions.columns import results_file
-from assayspark.model import DATA_SECTIONS, PAIRS, TABLES, Tables
+from assayspark.model import DATA_SECTIONS, PAIRS, TABLES, Tables, stored
 
 PART = f"file_id string, kind string, section string, tbl string, row int, pos int, dup int, key string, value string, factors {PAIRS}, additional {PAIRS}"
 _RESULTS = ("filename", "UNITS", "Has m/z", "Has RT", "RT units")
@@ -69,7 +69,8 @@ def parts(text: str, force: bool) -> list[tuple]:
 
 
 def json_tables(documents: DataFrame, force: bool = False) -> Tables:
-    """All tables of those of documents(file_id, text, error) that are JSON; force: rows that are no objects are left out."""
+    """All tables of those of documents(file_id, text, error) that are JSON; force: rows that are no objects are left out. The
+    documents' parts are listed once and written to the shared folder."""
     documents = documents.filter(F.col("error").isNull() & is_json(F.col("text")))
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,7 +84,8 @@ def json_tables(documents: DataFrame, force: bool = False) -> Tables:
             frame = pd.DataFrame(rows, columns=[f.split()[0] for f in PART.split(f", factors {PAIRS}")[0].split(", ")] + ["factors", "additional"])
             yield frame.astype({"row": "Int32", "pos": "Int32", "dup": "Int32"})
 
-    rows = documents.select("file_id", "text").mapInPandas(listed, PART)
+    rows = stored(documents.select("file_id", "text").mapInPandas(listed, PART), "parts")
+    documents = documents.select("file_id")
     of = lambda kind: rows.filter(F.col("kind") == kind)
     data = rows.filter(F.col("section").isin(*DATA_SECTIONS)).groupBy("file_id").agg(F.min("section").alias("data_section"))
     errors = of("error").groupBy("file_id").agg(F.min("value").alias("error"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from assayspark.functions.columns import results_file
-from assayspark.model import DATA_SECTIONS, HEADER, MARKER, Tables
+from assayspark.model import DATA_SECTIONS, HEADER, MARKER, Tables, stored
 
 
 def along() -> WindowSpec:
@@ -82,9 +82,11 @@ def located(rows: DataFrame) -> DataFrame:
 
 
 def text_tables(documents: DataFrame) -> Tables:
-    """All tables of documents(file_id, text, error); those that are not text are left out."""
+    """All tables of documents(file_id, text, error); those that are not text are left out. Their lines, which all tables are
+    made of, are located once, and the rows of their data tables read once; both are written to the shared folder."""
     documents = documents.filter(F.col("error").isNull() & is_text(F.col("text")))
-    rows = located(lines(documents))
+    rows = stored(located(lines(documents)), "lines")
+    documents = documents.select("file_id")
     line, key_part = F.col("line"), F.split("line", "\t", 2)[0]
     data = rows.filter(F.col("section").isin(*DATA_SECTIONS)).groupBy("file_id").agg(F.min_by("section", "line_no").alias("data_section"))
     rows = rows.join(data, "file_id", "left")  # METABOLITES belong to the document's data section
@@ -144,7 +146,8 @@ def text_tables(documents: DataFrame) -> Tables:
     )
     block = block.withColumn("is_header", F.coalesce(is_header, F.lit(False)))
     names = F.concat(F.array(F.lit("Metabolite")), F.slice("header", F.lit(2), F.greatest(F.size("header"), F.lit(1))))
-    block = block.withColumn("names", names)
+    block = block.withColumn("names", names).select("file_id", "section", "line_no", "place", "tbl", "tokens", "header", "names", "is_header")
+    block = stored(block, "rows")
     body = block.filter("NOT is_header").withColumn("row", F.row_number().over(Window.partitionBy("file_id", "tbl").orderBy("line_no")) - 1)
     width = F.greatest(F.size("names"), F.size("tokens"))
     each = F.transform(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayspark.functions.finders import FINDERS
-from assayspark.model import Tables
+from assayspark.model import Tables, stored
 from assayspark.operators.extract import matchers, measurements, metabolite_counts
 from assayspark.operators.parse_text import text_tables
 from assayspark.operators.read import to_tables
@@ -49,7 +49,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return text_tables(documents(spark, sf_dir)).kept()
+    return text_tables(stored(documents(spark, sf_dir), "documents")).kept()
 
 
 _CELLS = """
@@ -116,7 +116,7 @@ FAULTS: dict[int, tuple[str, str]] = {
 
 def with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents(), and the right document of the least customer once for each fault, as `customer-number`."""
-    docs = documents(spark, sf_dir)
+    docs = stored(documents(spark, sf_dir), "documents")
     right = docs.filter("cast(file_id AS long) % 4 = 0").agg(F.min_by(F.struct("file_id", "text"), F.col("file_id").cast("long")).alias("d"))
     faults = spark.createDataFrame([(n, *x) for n, x in FAULTS.items()], "n int, old string, new string")
     made = right.filter("d IS NOT NULL").crossJoin(F.broadcast(faults))
@@ -125,7 +125,7 @@ def with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all_issues(spark: SparkSession, sf_dir: str) -> tuple[Tables, DataFrame]:
-    t = to_tables(with_faults(spark, sf_dir)).kept()
+    t = to_tables(stored(with_faults(spark, sf_dir), "with-faults")).kept()
     return t, issues(t, extra=[schema_issues(t)])
 
 
