@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayspark.llm import exact_dedup, near_dedup, packing, toxicity
-from assayspark.llm.shared import keep, table
+from assayspark.llm.shared import Scratch, keep, table
 
 #: Rows (of 16 bytes each) that are sent to the texts; more are shuffled.
 SENT_ROWS = 1_000_000
@@ -82,7 +82,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table of documents; what a stage left is taken away once the next one has been written."""
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark), None
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
