@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from assayspark.operators import extract, render
 from assayspark.operators.read import read_tables
 from assayspark.operators.schema import from_json_schema, schema_issues
-from assayspark.operators.validate import issues, summary
+from assayspark.operators.validate import issues, reports, summary
 from assayspark.sources.rest import document_urls
 from assayspark.sources.sinks import ARCHIVES, write_documents
 
@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     convert.add_argument("--force", action="store_true")
     validate = commands.add_parser("validate", help="issues of documents, and a summary")
     validate.add_argument("source"), validate.add_argument("--to-path"), validate.add_argument("--silent", action="store_true")
+    validate.add_argument("--per-file", action="store_true", help="a file of issues for each document that has some, in place of one table")
     validate.add_argument("--schema", help="a JSON Schema file, whose rules are added: known keys of sections, for one")
     metadata = commands.add_parser("extract-metadata", help="the values of keys")
     metadata.add_argument("source"), metadata.add_argument("to_path"), metadata.add_argument("keys", nargs="+")
@@ -50,8 +51,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         write_documents(render.to_text(t) if args.to_format == "txt" else render.to_json(t), args.folder, args.to_format, args.compression)
     elif args.command == "validate":
         more = from_json_schema(json.loads(spark.read.text(args.schema, wholetext=True).first()[0])) if args.schema else None
-        found = issues(t, extra=[schema_issues(t, more=more)])
-        if args.to_path:
+        found = issues(t, extra=[schema_issues(t, more=more)], store=True)
+        if args.to_path and args.per_file:
+            write_documents(reports(found), args.to_path, "json")
+        elif args.to_path:
             found.write.mode("overwrite").json(args.to_path)
         if not args.silent:
             summary(t.files, found).orderBy("file_id").show(1000, False)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayspark.functions.columns import positive
@@ -42,9 +43,19 @@ class ItemLike(ItemIs):
         return F.col("value").rlike(self.value)
 
 
-def matchers(conditions: list[tuple[str, str | re.Pattern]]) -> list[ItemIs]:
-    """A compiled pattern makes a search, a string an equality."""
-    return [ItemLike(k, v.pattern) if isinstance(v, re.Pattern) else ItemIs(k, v) for k, v in conditions]
+@dataclass(frozen=True)
+class ItemWhere(ItemIs):
+    """As ItemIs, for values that a condition of the caller's own holds for: a function of the value's column."""
+
+    value: Callable[[Column], Column]
+
+    def _holds(self):
+        return self.value(F.col("value"))
+
+
+def matchers(conditions: list[tuple[str, str | re.Pattern | Callable[[Column], Column]]]) -> list[ItemIs]:
+    """A compiled pattern makes a search, a string an equality, a function a condition of its own."""
+    return [ItemLike(k, v.pattern) if isinstance(v, re.Pattern) else ItemWhere(k, v) if callable(v) else ItemIs(k, v) for k, v in conditions]
 
 
 def parse_condition(text: str) -> tuple[str, str | re.Pattern]:

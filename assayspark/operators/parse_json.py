@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from assayspark.functions.columns import results_file
 from assayspark.model import DATA_SECTIONS, PAIRS, TABLES, Tables, stored
 
-PART = f"file_id string, kind string, section string, tbl string, row int, pos int, dup int, key string, value string, factors {PAIRS}, additional {PAIRS}"
+PART = f"file_id string, kind string, section string, tbl string, row int, pos int, dup int, key string, value string, raw boolean, factors {PAIRS}, additional {PAIRS}"
 _RESULTS = ("filename", "UNITS", "Has m/z", "Has RT", "RT units")
 
 
@@ -26,12 +26,25 @@ class Pairs(list):
             seen[key] = seen.get(key, 0) + 1
 
 
+def _text(value: object) -> str:
+    """JSON text of a parsed value; keys that repeat stay."""
+    if isinstance(value, Pairs):
+        return "{" + ", ".join(f"{json.dumps(k)}: {_text(v)}" for k, v in value) + "}"
+    if isinstance(value, list):
+        return "[" + ", ".join(map(_text, value)) + "]"
+    return json.dumps(value)
+
+
 def _plain(value: object) -> str | None:
-    return value if isinstance(value, str) or value is None else json.dumps(value)
+    return value if isinstance(value, str) or value is None else _text(value)
+
+
+def _raw(value: object) -> bool:
+    return not isinstance(value, str) and value is not None
 
 
 def parts(text: str, force: bool) -> list[tuple]:
-    """The parts of one document: (kind, section, tbl, row, pos, dup, key, value, factors, additional)."""
+    """The parts of one document: (kind, section, tbl, row, pos, dup, key, value, raw, factors, additional)."""
     top = json.loads(text, object_pairs_hook=Pairs)
     if not isinstance(top, Pairs):
         raise TypeError("Expected an object at the top of the document.")
@@ -46,7 +59,7 @@ def parts(text: str, force: bool) -> list[tuple]:
         if section == "SUBJECT_SAMPLE_FACTORS" and not isinstance(body, Pairs):
             for i, sample in enumerate(body or []):
                 held = dict(sample)
-                out.append(("ssf", section, None, i, None, None, held.get("Subject ID"), held.get("Sample ID"), pairs(held.get("Factors")), pairs(held.get("Additional sample data"))))
+                out.append(("ssf", section, None, i, None, None, held.get("Subject ID"), held.get("Sample ID"), False, pairs(held.get("Factors")), pairs(held.get("Additional sample data"))))
             continue
         if not isinstance(body, Pairs):
             raise TypeError(f"Expected an object in section {section}.")
@@ -58,13 +71,13 @@ def parts(text: str, force: bool) -> list[tuple]:
                 for r, row in enumerate(row for row in value if isinstance(row, Pairs)):
                     for pos, (column, cell, dup) in enumerate(row.numbered()):
                         name = "Metabolite" if column == "Bin range(ppm)" else column
-                        out.append(("cell", section, key, r, pos, dup, name, _plain(cell), [], []))
+                        out.append(("cell", section, key, r, pos, dup, name, _plain(cell), _raw(cell), [], []))
             elif key.endswith("_RESULTS_FILE"):
                 held = dict(value) if isinstance(value, Pairs) else None
                 line = value if held is None else "".join(f"{held[k]}" if k == "filename" else f"\t{k}:{held[k]}" for k in _RESULTS if k in held)
-                out.append(("results", section, None, None, None, None, key, line, [], []))
+                out.append(("results", section, None, None, None, None, key, line, False, [], []))
             else:
-                out.append(("item", section, None, None, len(out), None, key, _plain(value), [], []))
+                out.append(("item", section, None, None, len(out), None, key, _plain(value), _raw(value), [], []))
     return out
 
 
@@ -80,7 +93,7 @@ def json_tables(documents: DataFrame, force: bool = False) -> Tables:
                 try:
                     rows += [(file_id, *p) for p in parts(text, force)]
                 except (ValueError, TypeError, KeyError, AttributeError) as error:
-                    rows.append((file_id, "error", None, None, None, None, None, None, f"{type(error).__name__}: {error}", [], []))
+                    rows.append((file_id, "error", None, None, None, None, None, None, f"{type(error).__name__}: {error}", False, [], []))
             frame = pd.DataFrame(rows, columns=[f.split()[0] for f in PART.split(f", factors {PAIRS}")[0].split(", ")] + ["factors", "additional"])
             yield frame.astype({"row": "Int32", "pos": "Int32", "dup": "Int32"})
 
@@ -91,9 +104,9 @@ def json_tables(documents: DataFrame, force: bool = False) -> Tables:
     errors = of("error").groupBy("file_id").agg(F.min("value").alias("error"))
     files = documents.select("file_id", F.lit("json").alias("input_format")).join(data, "file_id", "left").join(errors, "file_id", "left")
     files = files.select("file_id", "input_format", "data_section", "error")
-    items = of("item").select("file_id", "section", F.col("pos").alias("ord"), "key", "value", F.lit(False).alias("repeated"))
+    items = of("item").select("file_id", "section", F.col("pos").alias("ord"), "key", "value", F.lit(False).alias("repeated"), "raw")
     ssf = of("ssf").select("file_id", F.col("row").alias("idx"), F.col("key").alias("subject_id"), F.col("value").alias("sample_id"), "factors", "additional")
-    cells = of("cell").select("file_id", "tbl", "row", "pos", F.col("key").alias("column"), "dup", "value")
+    cells = of("cell").select("file_id", "tbl", "row", "pos", F.col("key").alias("column"), "dup", "value", "raw")
     headers = cells.groupBy("file_id", "tbl", "column", "dup").agg(F.min("pos").alias("pos"))
     headers = headers.select("file_id", "tbl", "pos", F.col("column").alias("raw"), "column", "dup", F.lit(True).alias("named"))
     blocks = of("cell").select("file_id", "section", "tbl", F.lit(False).alias("overflow")).distinct()

@@ -114,7 +114,7 @@ def text_tables(documents: DataFrame) -> Tables:
 
     place = Window.partitionBy("file_id", "section").orderBy("first")
     items = joined.select("file_id", "section", (F.row_number().over(place) - 1).alias("ord"), "key", F.aggregate("held", start, add).alias("x"))
-    items = items.select("file_id", "section", "ord", "key", "x.value", "x.repeated")
+    items = items.select("file_id", "section", "ord", "key", "x.value", "x.repeated", F.lit(False).alias("raw"))
 
     # samples
     part = lambda i: F.get(F.split("line", "\t"), F.lit(i))
@@ -164,7 +164,7 @@ def text_tables(documents: DataFrame) -> Tables:
     count = F.row_number().over(Window.partitionBy("file_id", "tbl").orderBy("pos")) - 1
     beyond = beyond.select("file_id", "tbl", "pos", F.lit("").alias("raw"), F.lit("").alias("column"), count.alias("dup"), F.lit(False).alias("named"))
     headers = heads.unionByName(beyond)
-    cells = cells.join(headers.select("file_id", "tbl", "pos", "dup"), ["file_id", "tbl", "pos"]).select("file_id", "tbl", "row", "pos", "column", "dup", "value")
+    cells = cells.join(headers.select("file_id", "tbl", "pos", "dup"), ["file_id", "tbl", "pos"]).select("file_id", "tbl", "row", "pos", "column", "dup", "value", F.lit(False).alias("raw"))
     blocks = block.groupBy("file_id", "section", "tbl").agg(F.bool_or(~F.col("is_header") & (F.size("tokens") > F.size("names"))).alias("overflow"))
     of_sample = block.filter(F.col("is_header") & (first == "Factors")).select("file_id", F.posexplode(F.arrays_zip(F.slice("header", 2, 1_000_000).alias("s"), F.slice("tokens", 2, 1_000_000).alias("f"))).alias("i", "z"))
     pair = of_sample.select("file_id", F.col("z.s").alias("sample_id"), F.posexplode(F.split("z.f", r"\| ")).alias("ord", "p"))

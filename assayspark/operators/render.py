@@ -129,6 +129,11 @@ def to_text(t: Tables) -> DataFrame:
     return lines.select("file_id", F.concat(F.array_join("lines", "\n"), F.lit("\n")).alias("text"))
 
 
+def _written(value: str = "value") -> Column:
+    """An item's or cell's value as it stood in JSON: text that is no string as it is."""
+    return F.when(F.col("raw"), F.col(value)).otherwise(_quoted(F.col(value)))
+
+
 def _quoted(value: Column) -> Column:
     """The value as a JSON string, or null as null."""
     held = F.to_json(F.array(value))
@@ -147,17 +152,17 @@ def _member(key: Column | str, value: Column) -> Column:
 
 
 def to_json(t: Tables) -> DataFrame:
-    """file_id and text of every readable document, as JSON; keys that repeat are written again. All values are strings."""
+    """file_id and text of every readable document, as JSON; keys that repeat are written again."""
     section, tbl = F.col("section"), F.col("tbl")
     binned = (section == "NMR_BINNED_DATA") & (tbl == "Data") & (F.col("column") == "Metabolite")
-    cells = _data_section(t, t.cells).withColumn("part", _member(F.when(binned, "Bin range(ppm)").otherwise(F.col("column")), _quoted(F.col("value"))))
+    cells = _data_section(t, t.cells).withColumn("part", _member(F.when(binned, "Bin range(ppm)").otherwise(F.col("column")), _written()))
     cells = cells.withColumn("behind", (F.col("column") != "Metabolite").cast("int"))  # the name comes first
     rows = cells.groupBy("file_id", "section", "tbl", "row").agg(_braced(_sorted("part", "behind", "pos"), 3).alias("part"))
     tables = rows.groupBy("file_id", "section", "tbl").agg(_braced(_sorted("part", "row"), 2, "[]").alias("rows"))
     at = F.array_position(F.array(*map(F.lit, TABLES)), tbl).cast("int")
     parts = tables.select("file_id", "section", (at - 10).alias("ord"), _member(tbl, F.col("rows")).alias("part"))
     item_at = F.when(F.col("key") == "Units", -100).otherwise(F.col("ord")).cast("int")
-    parts = parts.unionByName(t.items.select("file_id", "section", item_at.alias("ord"), _member(F.col("key"), _quoted(F.col("value"))).alias("part")))
+    parts = parts.unionByName(t.items.select("file_id", "section", item_at.alias("ord"), _member(F.col("key"), _written()).alias("part")))
     results = t.results.select("file_id", "section", F.lit(1_000_000).alias("ord"), _member(_results_key(section), _quoted(results_line(" "))).alias("part"))
     whole = parts.unionByName(results).groupBy("file_id", "section").agg(_member(section, _braced(_sorted("part", "ord"), 1)).alias("part"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assayspark.functions.columns import missing
 from assayspark.functions.finders import FINDERS, Finder, may_hold
 from assayspark.functions.na import COLUMN_NA, METABOLITE_NA, SCHEMA_NA
-from assayspark.model import Tables
+from assayspark.model import Tables, stored
 from assayspark.operators import rules
 
 #: Names of headers that turn up as metabolite names. Fixed values.
@@ -402,18 +402,39 @@ def blank_in_extended(t: Tables) -> DataFrame:
     return issue(rows, 36, "Data", "Extended", "A metabolite has no name.")
 
 
-def issues(t: Tables, numbers: tuple[int, ...] | None = None, extra: list[DataFrame] | None = None, finders: dict[str, Finder] | None = None) -> DataFrame:
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+#: Checks that are one plan where issues are stored.
+STORED_TOGETHER = 6
+
+
+def issues(
+    t: Tables, numbers: tuple[int, ...] | None = None, extra: list[DataFrame] | None = None, finders: dict[str, Finder] | None = None, store: bool = False
+) -> DataFrame:
     """All issues: ISSUE and ord, the place in a document's report. numbers: only these checks; extra: further issues; finders:
-    the caller's own, in place of FINDERS."""
+    the caller's own, in place of FINDERS; store: run a few checks at a time and write what they find to the shared
+    folder, which keeps plans (and the driver's memory) small where all checks run."""
     parts = [CHECKS[n](t, finders) if n in BY_FINDERS else CHECKS[n](t) for n in ORDER if n in CHECKS and (numbers is None or n in numbers)] + (extra or [])
-    out = t.files.sparkSession.createDataFrame([], ISSUE)
-    for part in parts:
-        out = out.unionByName(part)
+    if store:
+        parts = [stored(_together(parts[i : i + STORED_TOGETHER]), "issues") for i in range(0, len(parts), STORED_TOGETHER)]
+    out = _together([t.files.sparkSession.createDataFrame([], ISSUE), *parts])
     place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("id"))
     w = Window.partitionBy("file_id").orderBy(place, "section", "sub_section", "message")
     return out.withColumn("ord", F.row_number().over(w))
 
 
+def reports(found: DataFrame) -> DataFrame:
+    """file_id and text of each document with issues: a JSON array of them, in order, named as the document with _validations."""
+    fields = ("id", "name", "severity", "tags", "section", "sub_section", "message")
+    listed_issues = F.transform(F.sort_array(F.collect_list(F.struct("ord", F.struct(*fields).alias("issue")))), lambda x: x["issue"])
+    return found.groupBy("file_id").agg(F.to_json(listed_issues).alias("text")).select(F.concat("file_id", F.lit("_validations")).alias("file_id"), "text")
+
+
 def summary(files: DataFrame, found: DataFrame) -> DataFrame:
     """file_id, status, n_issues, n_warnings and the counts of tags for every readable document."""
     counts = found.groupBy("file_id").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "Warning").alias("w"))

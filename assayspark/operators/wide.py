@@ -35,7 +35,7 @@ def with_table(t: Tables, file_id: str, table: str, wide: DataFrame, order: str)
     each = F.posexplode(F.array(*(F.coalesce(F.col(f"`{c.replace('`', '``')}`").cast("string"), F.lit("")) for c in columns)).cast("array<string>"))
     rows = wide.withColumn("row", (F.row_number().over(Window.partitionBy(F.lit(file_id)).orderBy(order)) - 1).cast("int"))  # one document's
     cells = rows.select("row", each.alias("pos", "value")).select(
-        F.lit(file_id).alias("file_id"), F.lit(table).alias("tbl"), "row", "pos", F.get(F.array(*map(F.lit, names)).cast("array<string>"), F.col("pos")).alias("column"), F.lit(0).alias("dup"), "value"
+        F.lit(file_id).alias("file_id"), F.lit(table).alias("tbl"), "row", "pos", F.get(F.array(*map(F.lit, names)).cast("array<string>"), F.col("pos")).alias("column"), F.lit(0).alias("dup"), "value", F.lit(False).alias("raw")
     )
     heads = spark.createDataFrame([(file_id, table, i, c, n, 0, True) for i, (c, n) in enumerate(zip(columns, names, strict=True))], t.headers.schema)
     others = ~((F.col("file_id") == file_id) & (F.col("tbl") == table))

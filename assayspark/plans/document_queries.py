@@ -126,7 +126,7 @@ def with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all_issues(spark: SparkSession, sf_dir: str) -> tuple[Tables, DataFrame]:
     t = to_tables(stored(with_faults(spark, sf_dir), "with-faults")).kept()
-    return t, issues(t, extra=[schema_issues(t)])
+    return t, issues(t, extra=[stored(schema_issues(t), "schema-issues")], store=True)
 
 
 @query("q50_documents_all_issues")

@@ -153,6 +153,7 @@ def test_extract(parsed):
     found = measurements(t, matchers([parse_condition("SU:SUBJECT_TYPE=Mouse")]))
     assert {tuple(r)[:3] + (tuple(r.samples),) for r in metabolite_samples(found).collect()} == {("m1", "ST000002", "AN000002", ("s1", "s2")), ("m2", "ST000002", "AN000002", ("s2",))}
     assert measurements(t, matchers([("SU:SUBJECT_TYPE", re.compile("^H"))])).select("study_id").distinct().collect()[0][0] == "ST000001"
+    assert measurements(t, matchers([("SU:SUBJECT_TYPE", lambda v: F.lower(v) == "mouse")])).select("study_id").distinct().collect()[0][0] == "ST000002"
     assert [tuple(r) for r in metadata(t, ["SUBJECT_TYPE"]).collect()] == [("SUBJECT_TYPE", ["Human", "Mouse"])]
 
 
@@ -206,8 +207,11 @@ def test_many_paths_are_two_scans(spark, tmp_path):
 
 
 def test_other_sources_and_readers(spark, tmp_path):
-    t = to_tables(from_dicts(spark, {"mine": AS_JSON}))
-    assert json.loads(to_json(t).first().text) == AS_JSON
+    typed = AS_JSON | {"MS": {"MS_TYPE": 5, "ION_MODE": None, "OTHER": {"a": [1, True]}}, "MS_METABOLITE_DATA": {"Units": "count", "Data": [{"s1": 1.5, "Metabolite": "m1", "s2": "1"}]}}
+    t = to_tables(from_dicts(spark, {"mine": AS_JSON, "typed": typed}))
+    got = {r.file_id: r.text for r in to_json(t).collect()}
+    assert json.loads(got["mine"]) == AS_JSON and json.loads(got["typed"]) == typed
+    assert list(json.loads(got["typed"])["MS_METABOLITE_DATA"]["Data"][0]) == ["Metabolite", "s1", "s2"]
     (tmp_path / "ids.json").write_text('["AN000001", "ST000002", null, "7"]')
     assert [r.id for r in read_ids(spark, str(tmp_path / "ids.json")).collect()] == ["AN000001", "ST000002", "7"]
     docs = from_texts(spark, {"a": "1,2\n3,4", "b": "what"}).unionByName(spark.createDataFrame([("c", None, "gone")], "file_id string, text string, error string"))
@@ -276,6 +280,9 @@ def test_commands(spark, tmp_path):
     cli.main(["validate", source, "--to-path", str(out / "issues"), "--silent", "--schema", str(tmp_path / "schema.json")], spark)
     names = {(r.file_id.rsplit("/", 1)[1], r["name"].split(": ")[-1]) for r in spark.read.json(str(out / "issues")).filter("id = 24").collect()}
     assert {("a.txt", "additionalProperties"), ("a.txt", "minProperties"), ("a.txt", "maxLength"), ("b.json", "additionalProperties"), ("b.json", "required")} <= names
+    cli.main(["validate", source, "--to-path", str(out / "reports"), "--per-file", "--silent"], spark)
+    assert {str(p.relative_to(out / "reports")) for p in (out / "reports").rglob("*.json")} == {"a.txt_validations.json", "deep/b.json_validations.json"}
+    assert json.loads((out / "reports/a.txt_validations.json").read_text())[0]["id"] == 24
     cli.main(["extract-metabolites", source, str(out / "counts"), "--to-format", "csv", "--where", "SU:SUBJECT_TYPE=r'Hu.*'"], spark)
     assert {tuple(r) for r in spark.read.option("header", True).csv(str(out / "counts")).collect()} == {("m1", "1", "1", "2"), ("m2", "1", "1", "1")}
     cli.main(["extract-metadata", source, str(out / "values"), "SUBJECT_TYPE", "MS_TYPE"], spark)
