@@ -224,7 +224,7 @@ def _differences(run: bytes, units: int, order: list, tables: dict[int, Table])
         bits, end = totals.pop(), ac.lengths[0]
         if bits + end == 16:  # a block is a two-byte word
             words = np.frombuffer(run, dtype=">u2", count=units).astype(np.int64)
-            if (ac.size[(words << 16 - end) & 0xFFFF] != end).any():
+            if (words & ((1 << end) - 1)).any():  # the code of a table's only symbol is all zeros
                 raise ValueError("a block doesn't end where it should")
             sizes = dc.symbol[words].astype(np.int64)
             return {pairs[0][0]: _values(words >> end & ((1 << sizes) - 1), sizes)}
