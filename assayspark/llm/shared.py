@@ -9,21 +9,13 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
+from assayspark.model import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. On one machine it may be unset: then one in the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not (spark.conf.get("spark.master", None) or "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-    return folder.rstrip("/")
-
-
 class Scratch:
     """Tables that one run writes to the shared folder and reads back: what follows reads files, which outlive lost
     executors. drop() takes away those that nothing reads any more."""
