@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayspark.llm import chat, exact_dedup, html_extract, license_scan, media, near_dedup, packing, pieces, toxicity, url_filter
+from assayspark.llm import chat, exact_dedup, html_extract, license_scan, media, near_dedup, packing, pieces, source_audit, toxicity, url_filter
 from assayspark.llm.shared import table
 
 
@@ -48,7 +48,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_license_scan, op4_media, op5_chat, op6_html_extract, op7_exact_dedup, op8_pieces, op9_best_fit_packing, op10_url_filter)}
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_license_scan, op4_media, op5_chat, op6_html_extract, op7_exact_dedup, op8_pieces, op9_best_fit_packing, op10_url_filter, op11_source_audit)}
 
 ORACLE_SQL = {
     "op5_chat": r"""
@@ -97,4 +101,35 @@ ORACLE_SQL = {
                                              AND starts_with(r.path, '/')) THEN 'block' ELSE 'allow' END) AS verdict
     FROM r WHERE n = 1
     """,
+    "op11_source_audit": r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+      FROM documents
+    ), x AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+    ), kept AS (SELECT lang, term, count(*) AS n FROM x GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+    ), c AS (SELECT x.lang, x.source, x.term, count(*) AS n FROM x JOIN kept USING (lang, term) GROUP BY ALL
+    ), g AS (SELECT DISTINCT lang, source FROM d
+    ), v AS (SELECT lang, count(*) AS v, sum(n) AS n_lang FROM kept GROUP BY lang
+    ), t AS (
+      SELECT g.lang, g.source, coalesce(v.v, 0) AS v, coalesce(v.n_lang, 0) AS n_lang, coalesce(sum(c.n), 0) AS n_all
+      FROM g LEFT JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL
+    ), p AS (
+      SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (t.n_all + t.v) AS p,
+             1 + (1000000000 * (k.n + 1)::HUGEINT) // (t.n_lang + t.v) AS q
+      FROM t JOIN kept AS k USING (lang) LEFT JOIN c USING (lang, source, term)
+    ), pairs AS (
+      SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ), parts AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0) AS value
+      FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+    )
+    SELECT lang, source, part, item, value::BIGINT AS value,
+           row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+    FROM parts QUALIFY part = 'pair' OR rank <= 200
+    """,
 }
