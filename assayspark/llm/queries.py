@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayspark.llm import chat, exact_dedup, html_extract, license_scan, media, near_dedup, packing, pieces, source_audit, toxicity, url_filter
+from assayspark.llm import chat, exact_dedup, html_extract, lexical_search, license_scan, media, near_dedup, packing, pieces, source_audit, toxicity, url_filter
 from assayspark.llm.shared import table
 
 
@@ -52,7 +52,11 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_license_scan, op4_media, op5_chat, op6_html_extract, op7_exact_dedup, op8_pieces, op9_best_fit_packing, op10_url_filter, op11_source_audit)}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_license_scan, op4_media, op5_chat, op6_html_extract, op7_exact_dedup, op8_pieces, op9_best_fit_packing, op10_url_filter, op11_source_audit, op13_lexical_search)}
 
 ORACLE_SQL = {
     "op5_chat": r"""
@@ -132,4 +136,25 @@ ORACLE_SQL = {
            row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
     FROM parts QUALIFY part = 'pair' OR rank <= 200
     """,
+    "op13_lexical_search": r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS row, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+      FROM documents
+    ), s AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0
+    ), tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY ALL
+    ), q AS (
+      SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM benchmark
+    ), w AS (
+      SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM tf, s WHERE term IN (SELECT term FROM q) GROUP BY term, n_docs
+    ), m AS (SELECT row, doc_id, 100 - 50 + (50 * len(terms) * n_docs) // n_terms AS m FROM d, s WHERE len(terms) > 0
+    ), x AS (
+      SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (row) GROUP BY ALL
+    )
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM x WHERE score > 0 QUALIFY rank <= 50
+    """,
 }

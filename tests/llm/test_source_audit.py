@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from assayspark.llm import source_audit as A
 
 
@@ -60,10 +62,24 @@ def test_ranks_are_cut_at_200_with_ties_by_item(spark):
     assert [x[3] for x in sorted(got, key=lambda x: x[5]) if x[1:3] == ("a", "term")] == many[:200]
 
 
-def test_counts_handed_on_early_and_long_texts(spark, monkeypatch):
-    rows = [("en", f"s{i % 3}", f"hot {i} " + "w" * (i % 5 + 1) + " hot") for i in range(40)] + [("en", "s0", "long tail " * 200_000), ("en", "s1", "x" * 1_000_000)]
+def test_counts_handed_on_early(monkeypatch):
+    rows = [("en", f"s{i % 3}", f"hot {i} " + "w" * (i % 5 + 1) + " hot") for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["lang", "source", "text"])
+
+    def summed():
+        total = Counter()
+        for out in A._counts(iter([batch, batch])):
+            for r in out.to_pylist():
+                total[r["lang"], r["source"], r["term"]] += complex(r["n"], r["df"])
+        return total
+
+    whole = summed()
     monkeypatch.setattr(A, "COUNTED", 2)
-    check(spark, rows, 3)
+    assert summed() == whole and whole["en", "s0", "hot"] == complex(56, 28)
+
+
+def test_long_texts(spark):
+    check(spark, [("en", f"s{i % 3}", f"tail long word{i}") for i in range(9)] + [("en", "s0", "long tail " * 200_000), ("en", "s1", "x" * 1_000_000)], 3)
 
 
 def test_empty_table(spark):
