@@ -36,7 +36,7 @@ MIXED = 20.0
 ENDING = 3  # bytes
 COUNTED = 500_000  # words that a task counts before it hands them on
 JOINED = 4_000_000  # tokens whose pairs a task counts before it hands them on
-LEAST_GAIN = 2e-4  # of the log-likelihood, for another round
+LEAST_GAIN = 2e-3  # of the log-likelihood, for another round
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -44,7 +44,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 class Sizes:
     """words: clustered by themselves. known: whose counts are sent to the tasks. The rest bound the model, not the data."""
 
-    words: int = 32_768
+    words: int = 16_384
     known: int = 131_072
     endings: int = 4_096
     classes: int = 64
@@ -97,6 +97,7 @@ class Model:
         # tokens of items; endings have half a token more, so that none is impossible
         of_items = np.zeros(1 + s.words + s.endings)
         of_items[: min(len(self.counts), 1 + s.words)] = self.counts[: 1 + s.words]
+        of_items[0] = max(of_items[0], 1.0)  # the end is all of its class
         of_items[1 + s.words :] = self.ending_tokens + 0.5
         whole = np.bincount(self.classes, of_items, s.classes)
         with np.errstate(divide="ignore"):

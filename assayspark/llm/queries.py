@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayspark.llm import chat, exact_dedup, html_extract, lexical_search, license_scan, media, near_dedup, packing, pieces, source_audit, toxicity, url_filter
+from assayspark.llm import chat, class_lm, exact_dedup, html_extract, lexical_search, license_scan, media, near_dedup, packing, pieces, source_audit, toxicity, url_filter
 from assayspark.llm.shared import table
 
 
@@ -52,11 +52,15 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_license_scan, op4_media, op5_chat, op6_html_extract, op7_exact_dedup, op8_pieces, op9_best_fit_packing, op10_url_filter, op11_source_audit, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_license_scan, op4_media, op5_chat, op6_html_extract, op7_exact_dedup, op8_pieces, op9_best_fit_packing, op10_url_filter, op11_source_audit, op12_class_lm, op13_lexical_search)}
 
 ORACLE_SQL = {
     "op5_chat": r"""
