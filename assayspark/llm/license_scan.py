@@ -1,10 +1,12 @@
 """Licence texts found by diagonal voting, with DataFrame operations only.
 
 All rolling k-grams of a text's words are joined by their hash to the places of the templates' k-grams. A hit votes
-for a diagonal: the place in the text less the place in the template. Votes are summed by diagonal; neighbouring
-diagonals of a template (words put in or left out move the later hits to another one) are merged into spans; a span is
-verified by the share of the template's k-grams that it shows, of all that the template has and of all words that the
-span covers. The words of each hit are compared with the template's, so a vote never rests on a hash alone.
+for a diagonal: the place in the text less the place in the template. Votes are summed by diagonal and stretch of text.
+Words put in or left out move the later hits to another diagonal, so neighbouring diagonals are merged: bands of 2 * DRIFT
+diagonals begin every DRIFT, so hits whose diagonals differ by up to DRIFT are together in one of them, whatever else hits
+between them. In a band, hits with no gap over GAP words make up a span, which is verified by the share of the template's words that its
+hits cover, of all that the template has and of all that the span has. Of overlapping spans of a template, which neighbouring bands and repeated
+phrases give, the one with the largest share counts. The words of each hit are compared with the template's, so a vote never rests on a hash alone.
 
 The templates are given by label: notices in common use and whole licence texts here, or the caller's own. They are sent
 to all executors; more than MOST_WORDS are refused. A text's hits are the only rows that are shuffled, dealt out by
@@ -55,9 +57,10 @@ TEXTS = {
 MOST_WORDS = 200_000
 #: Words in a k-gram of a notice; a phrase is one gram of all its words.
 K = 3
-#: Diagonals up to so many words apart, whose hits are at most so many words apart, are merged.
-DRIFT, GAP = 4, 12
-#: Share of a template's k-grams, and of the span's, that hits must make up for a label.
+#: So many words put in or left out, on balance, can't break a span; a gap of more words without a hit does. BSD texts differ by a
+#: clause of more than 2 * DRIFT words, and so stay apart.
+DRIFT, GAP = 12, 12
+#: Share of a template's words, and of the span's, that hits must cover for a label.
 LEAST_SHARE = 0.7
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -110,21 +113,35 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
     own = spark.createDataFrame([("text", "", 1, 0, 0, [], 0)], "kind string, label string, grams int, place int, k int, gram array<string>, hash long")
     table = F.broadcast(table.unionByName(own).withColumnsRenamed({"k": "t_k", "hash": "t_hash"}))
     same = (F.col("t_hash") == F.col("g.hash")) & (F.col("t_k") == F.col("g.k")) & (F.col("gram") == F.slice("w", place + 1, F.col("t_k")))
-    hits = each.join(table, same).select("row", "doc_id", "kind", "label", "grams", "place", "at", F.when(F.col("kind") == "text", F.size("w")).alias("n_words"))
+    hits = each.join(table, same).select("row", "doc_id", "kind", "label", "grams", "place", "at", F.col("t_k").alias("k"), F.when(F.col("kind") == "text", F.size("w")).alias("n_words"))
 
-    # votes by diagonal; hits of one diagonal that are far apart are different places
-    diagonals = hits.groupBy("row", "doc_id", "kind", "label", "grams", (F.col("at") - F.col("place")).alias("diagonal")).agg(
+    # votes by diagonal and stretch of text
+    diagonal = F.col("at") - F.col("place")
+    stretch = F.when(F.col("kind") == "notice", F.floor(F.col("at") / GAP)).otherwise(F.col("at"))
+    votes = hits.groupBy("row", "doc_id", "kind", "label", "grams", "k", diagonal.alias("diagonal"), stretch.alias("stretch")).agg(
         F.collect_set("place").alias("places"), F.min("at").alias("low"), F.max("at").alias("high"), F.max("n_words").alias("n_words")
     )
-    along = Window.partitionBy("row", "label", "kind").orderBy("low", "diagonal")
-    apart = (F.col("kind") != "notice") | (F.col("low") - F.lag("high").over(along) > GAP) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(along)) > DRIFT)
-    diagonals = diagonals.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
-    diagonals = diagonals.withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = diagonals.groupBy("row", "doc_id", "kind", "label", "grams", "span").agg(
-        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("n_words").alias("n_words")
-    )
-    share = F.size("places") / F.greatest(F.col("grams"), F.col("high") - F.col("low") + 1)
-    kept = spans.withColumn("share", share).filter((F.col("kind") != "notice") | (share >= LEAST_SHARE))
+    found = votes.filter("kind <> 'notice'").select("row", "doc_id", "kind", "label", "low", "high", "k", "n_words", F.lit(1.0).alias("share"))
+
+    # neighbouring diagonals; a band holds no more votes than its template has places and 2 * DRIFT diagonals
+    band = F.floor(F.col("diagonal") / DRIFT)
+    votes = votes.filter("kind = 'notice'").withColumn("band", F.explode(F.array(band, band - 1)))
+    along = Window.partitionBy("row", "label", "band").orderBy("low", "diagonal")
+    apart = F.col("low") - F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1)) > GAP
+    votes = votes.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
+    votes = votes.withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = votes.groupBy("row", "doc_id", "kind", "label", "grams", "k", "band", "span").agg(F.flatten(F.collect_list("places")).alias("places"), F.min("low").alias("low"), F.max("high").alias("high"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("k") - 1)))))
+    share = covered / F.greatest(F.col("grams") + F.col("k") - 1, F.col("high") - F.col("low") + F.col("k"))
+    spans = spans.select("row", "doc_id", "kind", "label", "low", "high", "k", share.alias("share")).filter(F.col("share") >= LEAST_SHARE)
+
+    # the best of spans that overlap
+    along = Window.partitionBy("row", "label").orderBy("low", "high")
+    apart = F.col("low") > F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("place", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    best = F.max_by(F.struct("low", "high", "share"), F.struct("share", -F.col("low"), -F.col("high"))).alias("s")
+    spans = spans.groupBy("row", "doc_id", "kind", "label", "k", "place").agg(best).select("row", "doc_id", "kind", "label", "s.low", "s.high", "k", F.lit(None).cast("int").alias("n_words"), "s.share")
+    kept = found.unionByName(spans)
     phrase, notice = F.col("kind") == "phrase", F.col("kind") == "notice"
     out = kept.groupBy("row", "doc_id").agg(
         F.max("n_words").cast("long").alias("n_words"),
@@ -134,6 +151,6 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set(F.when(phrase, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set(F.when(phrase | notice, F.col("label")))), ",").alias("labels"),
         F.coalesce(F.max(F.when(phrase, 1.0).when(notice, F.col("share"))), F.lit(0.0)).alias("score"),
-        F.sort_array(F.collect_list(F.when(notice, F.struct("low", "label", (F.col("high") + K - 1).alias("last"), "share")))).alias("spans"),
+        F.sort_array(F.collect_list(F.when(notice, F.struct("low", "label", (F.col("high") + F.col("k") - 1).alias("last"), "share")))).alias("spans"),
     )
     return out.drop("row")
