@@ -29,7 +29,7 @@ class Tables:
     items:    file_id, section, ord, key, value, repeated (an equal value was given again), raw (no string: the value is JSON text)
     ssf:      file_id, idx, subject_id, sample_id, factors, additional (both PAIRS; dup counts repeats of a key from 0)
     headers:  file_id, tbl, pos, raw, column, dup, named (false: cells beyond the header)
-    cells:    file_id, tbl, row, pos, column, dup, value, raw (as in items)
+    cells:    file_id, tbl, row, pos (of the column in the table), at (in the row), column, dup, value, raw (as in items)
     factors:  file_id, sample_id, ord, key, value      the factors that a data table repeats
     blocks:   file_id, section, tbl, overflow (a row is longer than the header)
     results:  file_id, section, filename, units, has_mz, has_rt, rt_units

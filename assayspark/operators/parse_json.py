@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayspark.functions.columns import results_file
@@ -49,7 +49,7 @@ def parts(text: str, force: bool) -> list[tuple]:
     if not isinstance(top, Pairs):
         raise TypeError("Expected an object at the top of the document.")
     if len({k for k, _ in top}) < len(top):
-        raise KeyError("Given JSON contains duplicate keys at the highest level.")
+        raise KeyError("A section is given more than once.")
     out: list[tuple] = []
 
     def pairs(value: object) -> list[dict]:
@@ -106,14 +106,25 @@ def json_tables(documents: DataFrame, force: bool = False) -> Tables:
     files = files.select("file_id", "input_format", "data_section", "error")
     items = of("item").select("file_id", "section", F.col("pos").alias("ord"), "key", "value", F.lit(False).alias("repeated"), "raw")
     ssf = of("ssf").select("file_id", F.col("row").alias("idx"), F.col("key").alias("subject_id"), F.col("value").alias("sample_id"), "factors", "additional")
-    cells = of("cell").select("file_id", "tbl", "row", "pos", F.col("key").alias("column"), "dup", "value", "raw")
-    headers = cells.groupBy("file_id", "tbl", "column", "dup").agg(F.min("pos").alias("pos"))
-    headers = headers.select("file_id", "tbl", "pos", F.col("column").alias("raw"), "column", "dup", F.lit(True).alias("named"))
+    cells = of("cell").select("file_id", "tbl", "row", F.col("pos").alias("at"), F.col("key").alias("column"), "dup", "value", "raw")
+    cells, headers = placed(cells)
     blocks = of("cell").select("file_id", "section", "tbl", F.lit(False).alias("overflow")).distinct()
     factors = of("none").select("file_id", F.col("key").alias("sample_id"), F.col("pos").alias("ord"), "key", "value")
     results = of("results").select("file_id", "section", results_file(F.col("value")).alias("r")).select("file_id", "section", "r.*")
     return Tables(files, items, ssf, headers, cells, factors, blocks, results)
 
 
+def placed(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """cells with pos, and headers. Rows may lack columns and have them in an order of their own, so a table's columns are the union
+    of those of its rows: the name of the metabolite first, then in the order in which they first turn up. Each has one place."""
+    first = F.min(F.struct("row", "at")).alias("first")
+    behind = (F.col("column") != "Metabolite") | (F.col("dup") > 0)
+    along = Window.partitionBy("file_id", "tbl").orderBy(behind, "first")  # a table's columns
+    headers = cells.groupBy("file_id", "tbl", "column", "dup").agg(first).withColumn("pos", F.row_number().over(along) - 1)
+    headers = headers.select("file_id", "tbl", "pos", F.col("column").alias("raw"), "column", "dup", F.lit(True).alias("named"))
+    cells = cells.join(headers.select("file_id", "tbl", "column", "dup", "pos"), ["file_id", "tbl", "column", "dup"])
+    return cells.select("file_id", "tbl", "row", "pos", "at", "column", "dup", "value", "raw"), headers
+
+
 def is_json(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+", "").startswith("{")

@@ -57,10 +57,15 @@ def bad_pair(text: Column, sign: str, bar: str) -> Column:
     return F.get(F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: ~x.rlike(bar)), F.lit(0))
 
 
+def _rest(array: str) -> Column:
+    """All elements but the first."""
+    return F.slice(array, F.lit(2), F.greatest(F.size(array), F.lit(1)))
+
+
 def located(rows: DataFrame) -> DataFrame:
     """lines() with kind, section, block (its number in the document), block_name and place (the line's place in it)."""
     line = F.col("line")
-    name = F.when(line.startswith(MARKER), HEADER).when(line.startswith("#SUBJECT_SAMPLE_FACTORS:"), "SUBJECT_SAMPLE_FACTORS").otherwise(F.trim(F.substring(line, 2, 1_000_000)))
+    name = F.when(line.startswith(MARKER), HEADER).when(line.startswith("#SUBJECT_SAMPLE_FACTORS:"), "SUBJECT_SAMPLE_FACTORS").otherwise(F.trim(F.expr("substring(line, 2)")))
     name = F.when(name == "NMR", "NM").otherwise(name)
     ends = F.when(line.endswith("_START"), F.expr("substring(line, 1, length(line) - 6)")).when(line.endswith("_END"), "")
     so_far = along().rowsBetween(Window.unboundedPreceding, 0)
@@ -164,9 +169,9 @@ def text_tables(documents: DataFrame) -> Tables:
     count = F.row_number().over(Window.partitionBy("file_id", "tbl").orderBy("pos")) - 1
     beyond = beyond.select("file_id", "tbl", "pos", F.lit("").alias("raw"), F.lit("").alias("column"), count.alias("dup"), F.lit(False).alias("named"))
     headers = heads.unionByName(beyond)
-    cells = cells.join(headers.select("file_id", "tbl", "pos", "dup"), ["file_id", "tbl", "pos"]).select("file_id", "tbl", "row", "pos", "column", "dup", "value", F.lit(False).alias("raw"))
+    cells = cells.join(headers.select("file_id", "tbl", "pos", "dup"), ["file_id", "tbl", "pos"]).select("file_id", "tbl", "row", "pos", F.col("pos").alias("at"), "column", "dup", "value", F.lit(False).alias("raw"))
     blocks = block.groupBy("file_id", "section", "tbl").agg(F.bool_or(~F.col("is_header") & (F.size("tokens") > F.size("names"))).alias("overflow"))
-    of_sample = block.filter(F.col("is_header") & (first == "Factors")).select("file_id", F.posexplode(F.arrays_zip(F.slice("header", 2, 1_000_000).alias("s"), F.slice("tokens", 2, 1_000_000).alias("f"))).alias("i", "z"))
+    of_sample = block.filter(F.col("is_header") & (first == "Factors")).select("file_id", F.posexplode(F.arrays_zip(_rest("header").alias("s"), _rest("tokens").alias("f"))).alias("i", "z"))
     pair = of_sample.select("file_id", F.col("z.s").alias("sample_id"), F.posexplode(F.split("z.f", r"\| ")).alias("ord", "p"))
     factors = pair.select("file_id", "sample_id", "ord", F.trim(F.split("p", ":")[0]).alias("key"), F.trim(F.get(F.split("p", ":"), F.lit(1))).alias("value"))
 
@@ -174,7 +179,7 @@ def text_tables(documents: DataFrame) -> Tables:
     to = F.when(~F.col("section").isin(*DATA_SECTIONS), F.col("section")).when(F.col("data_section").startswith("MS"), "MS").otherwise("NM")
     results = rows.filter("kind = 'results'").select("file_id", to.alias("section"), results_file(F.get(F.split("line", "\t", 2), F.lit(1))).alias("r")).select("file_id", "section", "r.*")
 
-    faults = every.filter("bad").join(lines_of, ["file_id", "line_no"]).select("file_id", F.concat(F.lit("No tab, or not one value, in: "), F.substring("text", 1, 80)).alias("bad"))
+    faults = every.filter("bad").join(lines_of, ["file_id", "line_no"]).select("file_id", F.concat(F.lit("No tab, or not one value, in: "), "text").alias("bad"))
     faults = faults.unionByName(bad_ssf.filter("bad IS NOT NULL").select("file_id", F.concat(F.lit("A separator is missing or doubled near: "), "bad").alias("bad")))
     faults = faults.groupBy("file_id").agg(F.min("bad").alias("error"))
     files = documents.select("file_id", F.lit("text").alias("input_format")).join(data, "file_id", "left").join(faults, "file_id", "left")

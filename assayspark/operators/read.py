@@ -21,7 +21,7 @@ def to_tables(documents: DataFrame, force: bool = False, on_error: str = "row")
     on_error="raise", reading the table of files fails at the first of them."""
     blank = F.coalesce(F.trim(F.regexp_replace("text", r"\s", "")), F.lit("")) == ""
     known = is_text(F.col("text")) | is_json(F.col("text"))
-    why = F.coalesce("error", F.when(blank, "Blank input string retrieved from source.").otherwise("Unknown file format."))
+    why = F.coalesce("error", F.when(blank, "Blank document.").otherwise("Unknown file format."))
     bad = documents.filter(F.col("error").isNotNull() | blank | ~known)
     bad = bad.select("file_id", F.lit(None).cast("string").alias("input_format"), F.lit(None).cast("string").alias("data_section"), why.alias("error"))
     good = text_tables(documents).union(json_tables(documents, force))

@@ -93,7 +93,7 @@ def text_lines(t: Tables) -> DataFrame:
     names = tables.join(names, ["file_id", "tbl"], "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     out = out.unionByName(lines(names, F.array_join(F.concat(F.array(first), "names"), "\t"), _place(section), k + 2))
     out = out.unionByName(lines(_factor_lines(t, names.filter("tbl = 'Data' AND section <> 'NMR_BINNED_DATA'")), F.col("line"), _place(section), F.lit(13)))
-    rows = t.cells.groupBy("file_id", "tbl", "row").agg(F.array_join(F.transform(_sorted("value", "pos"), lambda v: F.coalesce(v, F.lit(""))), "\t").alias("line"))
+    rows = filled(t).groupBy("file_id", "tbl", "row").agg(F.array_join(F.transform(_sorted("value", "pos"), lambda v: F.coalesce(v, F.lit(""))), "\t").alias("line"))
     out = out.unionByName(lines(_data_section(t, rows), F.col("line"), _place(section), k + 4, F.col("row")))
     return out.unionByName(lines(heads, F.lit("#END"), F.lit(LAST + 1)))
 
@@ -123,6 +123,16 @@ def _factor_lines(t: Tables, names: DataFrame) -> DataFrame:
     return whole.filter("whole").select("file_id", "section", F.array_join(F.concat(F.array(F.lit("Factors")), "texts"), "\t").alias("line"))
 
 
+def filled(t: Tables) -> DataFrame:
+    """file_id, tbl, row, pos and value: the cells, and an empty one for each column that a row lacks."""
+    width = t.headers.groupBy("file_id", "tbl").agg((F.max("pos") + 1).alias("width"))
+    cells = t.cells.select("file_id", "tbl", "row", "pos", "value")
+    short = cells.groupBy("file_id", "tbl", "row").agg(F.count("*").alias("n")).join(width, ["file_id", "tbl"]).filter("n < width")
+    held = cells.join(short, ["file_id", "tbl", "row"]).groupBy("file_id", "tbl", "row", "width").agg(F.collect_list("pos").alias("held"))
+    lacks = F.array_except(F.sequence(F.lit(0), F.col("width") - 1), "held")
+    return cells.unionByName(held.select("file_id", "tbl", "row", F.explode(lacks).alias("pos"), F.lit("").alias("value")))
+
+
 def to_text(t: Tables) -> DataFrame:
     """file_id and text of every readable document, in the text form."""
     lines = text_lines(t).groupBy("file_id").agg(_sorted("line", *PLACE).alias("lines"))
@@ -157,7 +167,7 @@ def to_json(t: Tables) -> DataFrame:
     binned = (section == "NMR_BINNED_DATA") & (tbl == "Data") & (F.col("column") == "Metabolite")
     cells = _data_section(t, t.cells).withColumn("part", _member(F.when(binned, "Bin range(ppm)").otherwise(F.col("column")), _written()))
     cells = cells.withColumn("behind", (F.col("column") != "Metabolite").cast("int"))  # the name comes first
-    rows = cells.groupBy("file_id", "section", "tbl", "row").agg(_braced(_sorted("part", "behind", "pos"), 3).alias("part"))
+    rows = cells.groupBy("file_id", "section", "tbl", "row").agg(_braced(_sorted("part", "behind", "at"), 3).alias("part"))
     tables = rows.groupBy("file_id", "section", "tbl").agg(_braced(_sorted("part", "row"), 2, "[]").alias("rows"))
     at = F.array_position(F.array(*map(F.lit, TABLES)), tbl).cast("int")
     parts = tables.select("file_id", "section", (at - 10).alias("ord"), _member(tbl, F.col("rows")).alias("part"))
@@ -181,7 +191,7 @@ def to_json(t: Tables) -> DataFrame:
 
 def output_name(file_id: Column, folder: str, extension: str) -> Column:
     """A document's path below the folder, with the extension behind it if it doesn't end so."""
-    name = F.when(file_id.startswith(folder), F.substring(file_id, len(folder) + 1, 1_000_000)).otherwise(file_id)
+    name = F.when(file_id.startswith(folder), F.substring(file_id, F.lit(len(folder) + 1), F.length(file_id))).otherwise(file_id)
     name = F.regexp_replace(name, "^[A-Za-z][A-Za-z0-9+.-]*:/*|^/+", "")
     name = F.array_join(F.filter(F.split(name, "/"), lambda x: ~x.isin("", ".", "..")), "/")
     return F.when(name.endswith(f".{extension}"), name).otherwise(F.concat(name, F.lit(f".{extension}")))

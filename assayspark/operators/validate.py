@@ -314,7 +314,7 @@ def header_like_names(t: Tables) -> DataFrame:
 def inconsistent_columns(t: Tables) -> DataFrame:
     """A row whose columns are not those of the first row (of JSON documents)."""
     rows = t.cells.join(t.files.filter("input_format = 'json'"), "file_id", "left_semi").groupBy("file_id", "tbl", "row").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "column", "dup"))).alias("c")
+        F.sort_array(F.collect_list(F.struct("at", "column", "dup"))).alias("c")
     )
     rows = rows.select("file_id", "tbl", "row", F.transform("c", lambda x: F.struct(x["column"], x["dup"])).alias("c"))
     first = rows.groupBy("file_id", "tbl").agg(F.min_by("c", "row").alias("first"))
@@ -348,8 +348,7 @@ def one_value_columns(t: Tables) -> DataFrame:
 
 @check(29)
 def equal_rows(t: Tables) -> DataFrame:
-    rows = t.cells.groupBy("file_id", "tbl", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("v"))
-    rows = rules.equal_rows(rows, ["file_id", "tbl", "v"]).select("file_id", "tbl").distinct()
+    rows = rules.equal_rows_of_cells(t.cells, ["file_id", "tbl"], "row", "pos", "value").select("file_id", "tbl").distinct()
     return issue(rows, 29, "Data", F.col("tbl"), "Some rows are equal.")
 
 

@@ -27,7 +27,8 @@ def table_of(t: Tables, file_id: str, table: str) -> DataFrame:
 
 def with_table(t: Tables, file_id: str, table: str, wide: DataFrame, order: str) -> Tables:
     """The tables, with a document's table replaced by a wide DataFrame: its rows in the order of one column (which is left
-    out), its first other column as the name, all values as strings and null as empty."""
+    out), its first other column as the name, all values as strings and null as empty. The document may lack the table; it stands in
+    its data section, so it needs one."""
     if table not in TABLES:
         raise ValueError(f"{table} is none of {', '.join(TABLES)}")
     spark, columns = wide.sparkSession, [c for c in wide.columns if c != order]
@@ -35,8 +36,10 @@ def with_table(t: Tables, file_id: str, table: str, wide: DataFrame, order: str)
     each = F.posexplode(F.array(*(F.coalesce(F.col(f"`{c.replace('`', '``')}`").cast("string"), F.lit("")) for c in columns)).cast("array<string>"))
     rows = wide.withColumn("row", (F.row_number().over(Window.partitionBy(F.lit(file_id)).orderBy(order)) - 1).cast("int"))  # one document's
     cells = rows.select("row", each.alias("pos", "value")).select(
-        F.lit(file_id).alias("file_id"), F.lit(table).alias("tbl"), "row", "pos", F.get(F.array(*map(F.lit, names)).cast("array<string>"), F.col("pos")).alias("column"), F.lit(0).alias("dup"), "value", F.lit(False).alias("raw")
+        F.lit(file_id).alias("file_id"), F.lit(table).alias("tbl"), "row", "pos", F.col("pos").alias("at"), F.get(F.array(*map(F.lit, names)).cast("array<string>"), F.col("pos")).alias("column"), F.lit(0).alias("dup"), "value", F.lit(False).alias("raw")
     )
     heads = spark.createDataFrame([(file_id, table, i, c, n, 0, True) for i, (c, n) in enumerate(zip(columns, names, strict=True))], t.headers.schema)
     others = ~((F.col("file_id") == file_id) & (F.col("tbl") == table))
-    return replace(t, cells=t.cells.filter(others).unionByName(cells), headers=t.headers.filter(others).unionByName(heads))
+    block = t.files.filter((F.col("file_id") == file_id) & F.col("data_section").isNotNull())
+    block = block.select("file_id", F.col("data_section").alias("section"), F.lit(table).alias("tbl"), F.lit(False).alias("overflow"))
+    return replace(t, cells=t.cells.filter(others).unionByName(cells), headers=t.headers.filter(others).unionByName(heads), blocks=t.blocks.filter(others).unionByName(block))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from assayspark.functions.finders import FINDERS
 from assayspark.model import Tables, stored
+from assayspark.operators import rules
 from assayspark.operators.extract import matchers, measurements, metabolite_counts
 from assayspark.operators.parse_text import text_tables
 from assayspark.operators.read import to_tables
+from assayspark.operators.render import to_text
 from assayspark.operators.schema import schema_issues
 from assayspark.operators.validate import issues, standard_names_of, summary
 from assayspark.plans.table_queries import ORACLE_SQL, QUERIES, query, table
@@ -87,6 +89,51 @@ def documents_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues(tables(spark, sf_dir), numbers=(4, 7, 9, 12, 22)).select("file_id", "id")
 
 
+_RAGGED = """
+    r AS (
+      SELECT c_custkey, l_partkey, o_orderkey, sum(l_quantity)::BIGINT AS v
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL
+    ), own AS (
+      SELECT *, dense_rank() OVER (PARTITION BY c_custkey ORDER BY l_partkey) - 1 AS row,
+             row_number() OVER (PARTITION BY c_custkey, l_partkey ORDER BY o_orderkey * CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE -1 END) AS at
+      FROM r
+    ), c AS (
+      SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY min((row, at))) AS pos FROM own GROUP BY ALL
+    )
+"""
+
+
+def ragged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, text and error: a JSON document for each customer; a part's row has only the orders that it stands in, rows of odd parts
+    in descending order."""
+    line, orders = (table(spark, sf_dir, t) for t in ("lineitem", "orders"))
+    values = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey", "o_orderkey").agg(F.sum("l_quantity").cast("long").alias("v"))
+    values = values.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    at = F.when(F.col("l_partkey") % 2 == 0, F.col("o_orderkey")).otherwise(-F.col("o_orderkey"))
+    cell = F.format_string('"S%d": "%d"', "o_orderkey", "v")
+    rows = values.groupBy("c_custkey", "l_partkey").agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), cell.alias("cell")))).alias("cells"))
+    row = F.concat(F.format_string('{"Metabolite": "P%d", ', "l_partkey"), F.array_join("cells.cell", ", "), F.lit("}"))
+    docs = rows.groupBy("c_custkey").agg(F.sort_array(F.collect_list(F.struct("l_partkey", row.alias("row")))).alias("rows"))
+    text = F.concat(F.lit('{"MS": {"MS_TYPE": "ESI"}, "MS_METABOLITE_DATA": {"Units": "count", "Data": ['), F.array_join("rows.row", ", "), F.lit("]}}"))
+    return docs.select(F.col("c_custkey").cast("string").alias("file_id"), text.alias("text"), F.lit(None).cast("string").alias("error"))
+
+
+@query(
+    "q62_ragged_rows",
+    f"""
+    WITH {_RAGGED}, m AS (SELECT DISTINCT c_custkey, l_partkey, row FROM own)
+    SELECT CAST(m.c_custkey AS VARCHAR) AS file_id, m.row::INTEGER AS row, c.pos::INTEGER AS pos, 'S' || c.o_orderkey AS column_name, coalesce(CAST(own.v AS VARCHAR), '') AS value
+    FROM m JOIN c ON m.c_custkey = c.c_custkey LEFT JOIN own ON own.c_custkey = m.c_custkey AND own.row = m.row AND own.o_orderkey = c.o_orderkey
+    UNION ALL SELECT CAST(c_custkey AS VARCHAR), row::INTEGER, 0, 'Metabolite', 'P' || l_partkey FROM m
+    """,
+)
+def ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON rows that lack columns or have them in another order, written as text and read again: each value in its column."""
+    read = to_tables(stored(ragged_documents(spark, sf_dir), "ragged")).kept()
+    again = text_tables(stored(to_text(read).withColumn("error", F.lit(None).cast("string")), "as-text"))
+    return again.cells.select("file_id", "row", "pos", F.col("column").alias("column_name"), "value")
+
+
 def _metabolites(header: str, *rows: str) -> tuple[str, str]:
     return r"(?s)metabolite_name\tpubchem_id\n.*\nMETABOLITES_END", "\n".join((header, *rows, "METABOLITES_END"))
 
@@ -155,6 +202,24 @@ def documents_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(t.files, found)
 
 
+@query(
+    "q64_equal_rows_of_cells",
+    """
+    WITH r AS (
+      SELECT o_custkey, o_orderkey, string_agg(l_linenumber || l_returnflag || l_linestatus || l_shipmode, ' ' ORDER BY l_linenumber) AS cells
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL
+    ), f AS (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey, cells) AS first FROM r)
+    SELECT o_custkey, o_orderkey, first FROM f WHERE o_orderkey > first
+    """,
+)
+def equal_rows_of_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rows and lines as columns: a customer's orders whose lines have the flags and modes of an earlier one's."""
+    line, orders = (table(spark, sf_dir, t) for t in ("lineitem", "orders"))
+    cells = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    cells = cells.select("o_custkey", "o_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus", "l_shipmode").alias("value"))
+    return rules.equal_rows_of_cells(cells, ["o_custkey"], "o_orderkey", "l_linenumber", "value")
+
+
 #: Names of columns: some of each kind, and the driver's own.
 COLUMNS = (
     "m/z", "calc mz", "mz id", "exact mass", "quantmass", "mw structure", "m meas.", "parent", "mass spectrum", "composite spectrum", "species", "is_species", "inchikey", "inchi", "smiles", "formula",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from assayspark import cli
 from assayspark.operators.extract import matchers, measurements, metabolite_counts, metabolite_samples, metadata, parse_condition
 from assayspark.functions.finders import Finder
+from assayspark.operators import rules
 from assayspark.operators.read import read_with, to_tables
 from assayspark.operators.render import to_json, to_text
 from assayspark.operators.schema import from_json_schema, schema_issues
@@ -232,6 +233,55 @@ def test_wide_tables_both_ways(parsed):
     assert table_of(new, "plain", "Data").count() == 2 and table_of(new, "8", "Data").columns[-1] == "new `x`"
 
 
+RAGGED = [{"Metabolite": "m1", "s1": "1", "s2": "2"}, {"Metabolite": "m2", "s2": "5"}, {"s2": "7", "s3": "9", "Metabolite": "m3", "s1": "8"}, {"Metabolite": "m4"}]
+
+
+def _ragged(spark, rows, table="Data"):
+    body = {"MS": {"MS_TYPE": "ESI"}, "MS_METABOLITE_DATA": {"Units": "count", "Data": [{"Metabolite": r["Metabolite"], "s1": "1"} for r in rows], table: rows}}
+    return to_tables(from_dicts(spark, {"a": body, "b": {"MS": {}, "MS_METABOLITE_DATA": {"Units": "x", "Data": rows[:1]}}}))
+
+
+def test_ragged_rows_keep_their_values(spark):
+    """JSON to text to JSON: every value stays in its column; what a row lacks becomes empty. JSON to JSON changes nothing."""
+    t = _ragged(spark, RAGGED).kept()
+    assert json.loads({r.file_id: r.text for r in to_json(t).collect()}["a"])["MS_METABOLITE_DATA"]["Data"] == RAGGED
+    texts = {r.file_id: r.text for r in to_text(t).collect()}
+    assert "m2\t\t5\t\nm3\t8\t7\t9\nm4\t\t\t\n" in texts["a"]
+    again = to_tables(from_texts(spark, texts)).kept()
+    back = {r.file_id: json.loads(r.text)["MS_METABOLITE_DATA"]["Data"] for r in to_json(again).collect()}
+    assert back["a"] == [{c: row.get(c, "") for c in ("Metabolite", "s1", "s2", "s3")} for row in RAGGED] and back["b"] == RAGGED[:1]
+    assert {r.file_id for r in issues(t, numbers=(25,)).collect()} == {"a"}
+
+
+def test_checks_of_ragged_rows_read_the_right_cells(spark):
+    """Checks 16, 18 and 31 join columns to cells by place, which rows in another order don't change."""
+    rows = [{"Metabolite": "m1", "kegg_id": "C00001", "polarity": "positive", "other_id": "x", "other_id_type": "db"}, {"Metabolite": "m2", "polarity": "negative", "kegg_id": "C00002"}, {"other_id_type": "db", "Metabolite": "m3", "other_id": "y"}]
+    found = {(r.file_id, r.id) for r in issues(_ragged(spark, rows, "Metabolites").kept(), numbers=(16, 18, 31)).collect()}
+    assert found == {("a", 31)}
+    rows[2].pop("other_id")
+    rows[1]["kegg_id"] = "nothing like it"
+    found = {(r.file_id, r.id) for r in issues(_ragged(spark, rows, "Metabolites").kept(), numbers=(16, 18, 31)).collect()}
+    assert found == {("a", 16), ("a", 18), ("a", 31)}
+
+
+def test_a_new_table_is_written_and_read_again(spark):
+    t = to_tables(from_texts(spark, {"a": text().split("#METABOLITES")[0] + "#END\n", "b": text()})).kept()
+    wide = spark.createDataFrame([(1, "m1", "11"), (2, "m2", None)], "n int, name string, pubchem_id string")
+    again = to_tables(from_texts(spark, {r.file_id: r.text for r in to_text(with_table(t, "a", "Metabolites", wide, "n")).collect()})).kept()
+    assert [r.asDict() for r in table_of(again, "a", "Metabolites").collect()] == [{"row": 0, "Metabolite": "m1", "pubchem_id": "11"}, {"row": 1, "Metabolite": "m2", "pubchem_id": ""}]
+    assert [r.error for r in again.files.collect()] == [None, None] and len(table_of(again, "b", "Metabolites").collect()) == 2
+
+
+def test_equal_rows_with_many_columns(spark):
+    """Rows of 10,000 columns, compared without gathering any of them; nulls are values."""
+    rows = [(0, 0), (1, 1), (2, 0), (3, 2), (4, 1), (5, 0)]
+    cells = spark.createDataFrame(rows, "row int, kind int").select("row", F.explode(F.sequence(F.lit(0), F.lit(9999))).alias("pos"), "kind")
+    value = F.when((F.col("kind") == 1) & (F.col("pos") == 77), None).when((F.col("kind") == 2) & (F.col("pos") == 77), "").otherwise((F.col("pos") * 7 % 13).cast("string"))
+    cells = cells.select(F.lit("f").alias("file_id"), "row", "pos", value.alias("value"))
+    got = rules.equal_rows_of_cells(cells, ["file_id"], "row", "pos", "value").collect()
+    assert {(r.row, r.first) for r in got} == {(2, 0), (5, 0), (4, 1)}
+
+
 def test_checks_of_standard_columns(spark):
     """Columns are found by the finders, not by their standard names, and the leftmost of several counts; own finders replace them."""
     def doc(header, *rows):
