@@ -1,7 +1,7 @@
 """Schema rules as a table: which sections and keys a document must have and what their values may be (check 24).
 
 Rules are rows of (section, key, keyword, argument, severity, message), so other rules are other rows; from_json_schema()
-makes them from a JSON Schema of a document. A document is held against the rules of its method (MS, or NMR with an NM
+makes them from a JSON Schema of a document; one of any depth is read by schema_tree. A document is held against the rules of its method (MS, or NMR with an NM
 section) and of any method.
 """
 
@@ -84,6 +84,57 @@ NOT_PATTERNS = {"MS": {"IONIZATION": r"(?i)^(pos|neg|positive|negative|postive|b
 CHOICES = {"ANALYSIS": {"ANALYSIS_TYPE": ("MS", "NMR")}}
 EMAILS = {"PROJECT": "EMAIL", "STUDY": "EMAIL"}
 
+#: Keys that a section may have beside those above; what is in neither is not known.
+FREE = {
+    HEADER: "HEADER filename",
+    "PROJECT": "PROJECT_TYPE DEPARTMENT LABORATORY FUNDING_SOURCE PROJECT_COMMENTS PUBLICATIONS CONTRIBUTORS",
+    "STUDY": "STUDY_TYPE DEPARTMENT LABORATORY SUBMIT_DATE NUM_GROUPS TOTAL_SUBJECTS NUM_MALES NUM_FEMALES STUDY_COMMENTS PUBLICATIONS",
+    "SUBJECT": """GENOTYPE_STRAIN HUMAN_RACE HUMAN_ETHNICITY HUMAN_TRIAL_TYPE HUMAN_LIFESTYLE_FACTORS HUMAN_MEDICATIONS HUMAN_PRESCRIPTION_OTC HUMAN_SMOKING_STATUS
+        HUMAN_ALCOHOL_DRUG_USE HUMAN_NUTRITION HUMAN_INCLUSION_CRITERIA HUMAN_EXCLUSION_CRITERIA ANIMAL_ANIMAL_SUPPLIER ANIMAL_HOUSING ANIMAL_LIGHT_CYCLE ANIMAL_FEED ANIMAL_WATER
+        ANIMAL_INCLUSION_CRITERIA CELL_BIOSOURCE_OR_SUPPLIER CELL_STRAIN_DETAILS SUBJECT_COMMENTS CELL_PRIMARY_IMMORTALIZED CELL_PASSAGE_NUMBER CELL_COUNTS SPECIES_GROUP""",
+    "COLLECTION": """SAMPLE_TYPE COLLECTION_METHOD COLLECTION_LOCATION COLLECTION_FREQUENCY COLLECTION_DURATION COLLECTION_TIME VOLUMEORAMOUNT_COLLECTED STORAGE_CONDITIONS
+        COLLECTION_VIALS STORAGE_VIALS COLLECTION_TUBE_TEMP ADDITIVES TISSUE_CELL_IDENTIFICATION TISSUE_CELL_QUANTITY_TAKEN""",
+    "TREATMENT": """TREATMENT TREATMENT_COMPOUND TREATMENT_ROUTE TREATMENT_DOSE TREATMENT_DOSEVOLUME TREATMENT_VEHICLE ANIMAL_VET_TREATMENTS ANIMAL_ANESTHESIA
+        ANIMAL_ACCLIMATION_DURATION ANIMAL_FASTING ANIMAL_ENDP_EUTHANASIA ANIMAL_ENDP_TISSUE_COLL_LIST ANIMAL_ENDP_TISSUE_PROC_METHOD ANIMAL_ENDP_CLINICAL_SIGNS HUMAN_FASTING
+        HUMAN_ENDP_CLINICAL_SIGNS CELL_STORAGE CELL_GROWTH_CONTAINER CELL_GROWTH_CONFIG CELL_GROWTH_RATE CELL_INOC_PROC CELL_MEDIA CELL_ENVIR_COND CELL_HARVESTING PLANT_GROWTH_SUPPORT
+        PLANT_GROWTH_LOCATION PLANT_PLOT_DESIGN PLANT_LIGHT_PERIOD PLANT_HUMIDITY PLANT_WATERING_REGIME PLANT_NUTRITIONAL_REGIME PLANT_ESTAB_DATE PLANT_HARVEST_DATE PLANT_GROWTH_STAGE
+        PLANT_METAB_QUENCH_METHOD PLANT_HARVEST_METHOD PLANT_STORAGE CELL_PCT_CONFLUENCE CELL_MEDIA_LASTCHANGED""",
+    "SAMPLEPREP": """PROCESSING_METHOD PROCESSING_STORAGE_CONDITIONS EXTRACTION_METHOD EXTRACT_CONCENTRATION_DILUTION EXTRACT_ENRICHMENT EXTRACT_CLEANUP EXTRACT_STORAGE SAMPLE_RESUSPENSION
+        SAMPLE_DERIVATIZATION SAMPLE_SPIKING ORGAN ORGAN_SPECIFICATION CELL_TYPE SUBCELLULAR_LOCATION""",
+    "CHROMATOGRAPHY": """CHROMATOGRAPHY_SUMMARY METHODS_FILENAME METHODS_ID INTERNAL_STANDARD INTERNAL_STANDARD_MT RETENTION_INDEX RETENTION_TIME SAMPLING_CONE MIGRATION_TIME
+        OVEN_TEMPERATURE PRECONDITIONING RUNNING_BUFFER SHEATH_LIQUID TIME_PROGRAM WASHING_BUFFER WEAK_WASH_SOLVENT_NAME STRONG_WASH_SOLVENT_NAME RANDOMIZATION_ORDER CHROMATOGRAPHY_COMMENTS""",
+    "ANALYSIS": """LABORATORY_NAME ACQUISITION_DATE SOFTWARE_VERSION OPERATOR_NAME DETECTOR_TYPE ANALYSIS_PROTOCOL_FILE ACQUISITION_PARAMETERS_FILE PROCESSING_PARAMETERS_FILE DATA_FORMAT
+        ACQUISITION_ID ACQUISITION_TIME ANALYSIS_COMMENTS ANALYSIS_DISPLAY INSTRUMENT_NAME INSTRUMENT_PARAMETERS_FILE NUM_FACTORS NUM_METABOLITES PROCESSED_FILE RANDOMIZATION_ORDER RAW_FILE""",
+    "MS": """COLLISION_ENERGY FRAGMENTATION_METHOD IONIZATION_POTENTIAL MASS_ACCURACY PRECURSOR_TYPE REAGENT_GAS ACTIVATION_PARAMETER ATOM_GUN_CURRENT AUTOMATIC_GAIN_CONTROL BOMBARDMENT
+        CDL_SIDE_OCTOPOLES_BIAS_VOLTAGE CDL_TEMPERATURE DATAFORMAT INTERFACE_VOLTAGE IT_SIDE_OCTOPOLES_BIAS_VOLTAGE LASER MATRIX NEBULIZER PROBE_TIP RESOLUTION_SETTING SAMPLE_DRIPPING
+        SCAN_RANGE_MOVERZ SCANNING SCANNING_CYCLE SCANNING_RANGE TUBE_LENS_VOLTAGE MS_COMMENTS MS_RESULTS_FILE""",
+    "NM": """NMR_COMMENTS FIELD_FREQUENCY_LOCK NMR_PROBE NMR_SOLVENT NMR_TUBE_SIZE SHIMMING_METHOD PULSE_SEQUENCE WATER_SUPPRESSION PULSE_WIDTH CHEMICAL_SHIFT_REF_CPD DUMMY_SCANS
+        REAL_DATA_POINTS ZERO_FILLING APODIZATION BASELINE_CORRECTION_METHOD CHEMICAL_SHIFT_REF_STD BINNED_DATA_NORMALIZATION_METHOD BINNED_DATA_PROTOCOL_FILE
+        BINNED_DATA_CHEMICAL_SHIFT_RANGE BINNED_DATA_EXCLUDED_RANGE NMR_RESULTS_FILE""",
+}
+#: Sections that name a protocol, its file and comments.
+WITH_PROTOCOL = ("COLLECTION", "TREATMENT", "SAMPLEPREP")
+#: Sections that a document of one method may have beside those that it must have.
+MAY_HAVE = {MS: ("MS_METABOLITE_DATA", "CHROMATOGRAPHY"), NMR: ("NMR_METABOLITE_DATA", "NMR_BINNED_DATA")}
+
+
+def known_keys() -> dict[str, list[str]]:
+    """The keys that each section may have: all that a rule speaks of, and FREE."""
+    out: dict[str, set[str]] = {section: set(keys.split()) for section, keys in FREE.items()}
+    for keys in (REQUIRED, *REQUIRED_BY_METHOD.values(), REQUIRED_IF_THERE, UNITS, PATTERNS, NOT_PATTERNS, CHOICES):
+        for section, names in keys.items():
+            out.setdefault(section, set()).update(names)
+    for section, key in EMAILS.items():
+        out[section].add(key)
+    for section in WITH_PROTOCOL:
+        out[section] |= {f"{section}_PROTOCOL_{x}" for x in ("ID", "FILENAME", "COMMENTS")}
+    return {section: sorted(keys) for section, keys in out.items()}
+
+
+def known_sections() -> dict[str, list[str]]:
+    """The sections that documents of each method may have."""
+    return {m: [*REQUIRED, "SUBJECT_SAMPLE_FACTORS", *REQUIRED_BY_METHOD[m], *MAY_HAVE[m]] for m in (MS, NMR)}
+
 
 def default_rules() -> list[tuple]:
     """The format's own rules. Every key that has no pattern and is no choice may not stand for a missing value."""
@@ -115,6 +166,10 @@ def default_rules() -> list[tuple]:
             add(ANY, section, key, "enum", "|".join(choice), f" is not one of {', '.join(choice)}.")
     for section, key in EMAILS.items():
         add(ANY, section, key, "format", EMAIL, " is not a valid email.")
+    for section, keys in known_keys().items():
+        add(ANY, section, None, "additionalProperties", "|".join(keys), None)
+    for method, sections in known_sections().items():
+        add(method, None, None, "additionalProperties", "|".join(sections), None)
     return out
 
 
@@ -125,6 +180,8 @@ def from_json_schema(schema: dict, method: str = ANY) -> list[tuple]:
     format (email) and not with an enum or pattern, and a `<keyword>_custom_message` beside a keyword; others are left out.
     """
     out: list[tuple] = [(method, section, None, "required", None, "Error", None) for section in schema.get("required", ())]
+    if schema.get("additionalProperties") is False and schema.get("properties"):
+        out.append((method, None, None, "additionalProperties", "|".join(schema["properties"]), "Error", None))
     for section, body in schema.get("properties", {}).items():
         out += [(method, section, key, "required", None, "Error", None) for key in body.get("required", ())]
         if body.get("additionalProperties") is False and body.get("properties"):
@@ -236,9 +293,14 @@ def schema_issues(t: Tables, rules: list[tuple] | None = None, more: list[tuple]
     each = methods.select("file_id", F.explode(F.when(F.col("method") == NMR, all_of[NMR]).otherwise(all_of[MS])).alias("section"))
     absent = each.join(present.select("file_id", "section"), ["file_id", "section"], "left_anti")
     out = out.unionByName(_issue(absent, "required", section, F.lit(""), error, F.concat(F.lit('The section "'), section, F.lit('" is needed and is not there.'))))
-    closed = table.filter("keyword = 'additionalProperties'").select(F.col("method").alias("of"), "section", F.split("argument", r"\|").alias("may"))
+    closed = table.filter("keyword = 'additionalProperties' AND section IS NOT NULL").select(F.col("method").alias("of"), "section", F.split("argument", r"\|").alias("may"))
     more = items.join(closed, "section").filter(fits(F.col("method"), "of")).filter(~F.array_contains("may", key))
     out = out.unionByName(_issue(more, "additionalProperties", section, key, error, F.concat(F.lit('The key "'), key, F.lit('" is not known in ["'), section, F.lit('"].'))))
+    may = table.filter("keyword = 'additionalProperties' AND section IS NULL").select(F.col("method").alias("of"), F.split("argument", r"\|").alias("may"))
+    may = F.broadcast(may.groupBy("of").agg(F.array_distinct(F.flatten(F.collect_list("may"))).alias("may")))  # a rule or two for each method
+    with_tables = present.unionByName(t.blocks.select("file_id", "section").distinct().join(methods.select("file_id", "method"), "file_id")).filter("section IS NOT NULL").distinct()
+    odd = with_tables.join(may, (F.col("of") == ANY) | (F.col("of") == F.col("method"))).filter(~F.array_contains("may", section))
+    out = out.unionByName(_issue(odd.select("file_id", "section").distinct(), "additionalProperties", section, F.lit(""), error, F.concat(F.lit('The section "'), section, F.lit('" is not known.'))))
     least = table.filter("keyword = 'minProperties'").select(F.col("method").alias("of"), "section", F.col("argument").cast("int").alias("least"))
     kinds = present.join(items.groupBy("file_id", "section").agg(F.countDistinct("key").alias("n")), ["file_id", "section"], "left")
     scarce = kinds.join(least, "section").filter(fits(F.col("method"), "of") & (F.coalesce("n", F.lit(0)) < F.col("least")))

@@ -13,6 +13,7 @@ from assayspark.operators.parse_text import text_tables
 from assayspark.operators.read import to_tables
 from assayspark.operators.render import to_text
 from assayspark.operators.schema import schema_issues
+from assayspark.operators.schema_tree import broken
 from assayspark.operators.validate import issues, standard_names_of, summary
 from assayspark.plans.table_queries import ORACLE_SQL, QUERIES, query, table
 
@@ -94,11 +95,12 @@ _RAGGED = """
       SELECT c_custkey, l_partkey, o_orderkey, sum(l_quantity)::BIGINT AS v
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL
     ), own AS (
-      SELECT *, dense_rank() OVER (PARTITION BY c_custkey ORDER BY l_partkey) - 1 AS row,
-             row_number() OVER (PARTITION BY c_custkey, l_partkey ORDER BY o_orderkey * CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE -1 END) AS at
+      SELECT *, dense_rank() OVER (PARTITION BY c_custkey ORDER BY l_partkey) - 1 AS row_no,
+             row_number() OVER (PARTITION BY c_custkey, l_partkey ORDER BY o_orderkey * CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE -1 END) AS at_no
       FROM r
     ), c AS (
-      SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY min((row, at))) AS pos FROM own GROUP BY ALL
+      SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY f) AS pos
+      FROM (SELECT c_custkey, o_orderkey, min(row_no * 1000000 + at_no) AS f FROM own GROUP BY c_custkey, o_orderkey)
     )
 """
 
@@ -121,10 +123,10 @@ def ragged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "q62_ragged_rows",
     f"""
-    WITH {_RAGGED}, m AS (SELECT DISTINCT c_custkey, l_partkey, row FROM own)
-    SELECT CAST(m.c_custkey AS VARCHAR) AS file_id, m.row::INTEGER AS row, c.pos::INTEGER AS pos, 'S' || c.o_orderkey AS column_name, coalesce(CAST(own.v AS VARCHAR), '') AS value
-    FROM m JOIN c ON m.c_custkey = c.c_custkey LEFT JOIN own ON own.c_custkey = m.c_custkey AND own.row = m.row AND own.o_orderkey = c.o_orderkey
-    UNION ALL SELECT CAST(c_custkey AS VARCHAR), row::INTEGER, 0, 'Metabolite', 'P' || l_partkey FROM m
+    WITH {_RAGGED}, m AS (SELECT DISTINCT c_custkey, l_partkey, row_no FROM own)
+    SELECT CAST(m.c_custkey AS VARCHAR) AS file_id, m.row_no::INTEGER AS row, c.pos::INTEGER AS pos, 'S' || c.o_orderkey AS column_name, coalesce(CAST(own.v AS VARCHAR), '') AS value
+    FROM m JOIN c ON m.c_custkey = c.c_custkey LEFT JOIN own ON own.c_custkey = m.c_custkey AND own.row_no = m.row_no AND own.o_orderkey = c.o_orderkey
+    UNION ALL SELECT CAST(c_custkey AS VARCHAR), row_no::INTEGER, 0, 'Metabolite', 'P' || l_partkey FROM m
     """,
 )
 def ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +136,71 @@ def ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.cells.select("file_id", "row", "pos", F.col("column").alias("column_name"), "value")
 
 
+#: A schema of ragged depth for documents of customers: every kind of keyword that a tree of rules has.
+CUSTOMER_SCHEMA = {
+    "type": "object", "required": ["CUSTOMER", "CONTACT"], "properties": {
+        "MS": {}, "CUSTOMER": {
+            "type": "object", "additionalProperties": False, "required": ["NAME", "VIP"], "properties": {
+                "NAME": {"type": "string", "pattern": "[05]$", "minLength": 5}, "NATION": {"type": "integer", "minimum": 5, "maximum": 20}, "BALANCE": {"type": "number", "minimum": 0},
+                "SEGMENT": {"type": ["string", "null"], "not": {"oneOf": [{"enum": ["BUILDING"]}, {"pattern": "^M", "pattern_custom_message": " begins with M."}]}},
+                "STATUSES": {"type": "array", "uniqueItems": True}, "ORDERS": {
+                    "type": "array", "minItems": 8, "items": {
+                        "type": "object", "additionalProperties": False, "properties": {
+                            "KEY": {"type": "string"}, "STATUS": {"anyOf": [{"enum": ["O"]}, {"allOf": [{"enum": ["F", "P"]}, {"not": {"enum": ["P"]}}]}]}, "PRIORITY": {"pattern": "^[1-3]"},
+                        },
+                    },
+                },
+            },
+        },
+    },
+}
+
+
+def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, text and error: a JSON document for each customer with orders."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    order = F.struct(F.col("o_orderkey").alias("KEY"), F.col("o_orderstatus").alias("STATUS"), F.col("o_orderpriority").alias("PRIORITY"), F.col("o_orderdate").cast("string").alias("DATED"))
+    held = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(order)).alias("ORDERS")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    body = F.struct(
+        F.col("c_name").alias("NAME"), F.col("c_nationkey").alias("NATION"), F.col("c_acctbal").cast("double").alias("BALANCE"), F.col("c_mktsegment").alias("SEGMENT"),
+        F.transform("ORDERS", lambda o: o["STATUS"]).alias("STATUSES"), "ORDERS",
+    )
+    text = F.to_json(F.struct(F.struct(F.lit("ESI").alias("MS_TYPE")).alias("MS"), body.alias("CUSTOMER")))
+    return held.select(F.col("c_custkey").cast("string").alias("file_id"), text.alias("text"), F.lit(None).cast("string").alias("error"))
+
+
+@query(
+    "q66_schema_tree",
+    """
+    WITH o AS (
+      SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders JOIN customer ON o_custkey = c_custkey
+    ), d AS (
+      SELECT c_custkey, any_value(c_name) AS name, any_value(c_nationkey) AS nation, any_value(c_acctbal) AS balance, any_value(c_mktsegment) AS segment,
+             count(*) AS n, count(DISTINCT o_orderstatus) AS kinds
+      FROM o GROUP BY c_custkey
+    ), found AS (
+      SELECT c_custkey, '' AS path, 'required' AS keyword, NULL AS branch FROM d
+      UNION ALL SELECT c_custkey, '/CUSTOMER', 'required', NULL FROM d
+      UNION ALL SELECT c_custkey, '/CUSTOMER/NAME', 'pattern', NULL FROM d WHERE NOT regexp_matches(name, '[05]$')
+      UNION ALL SELECT c_custkey, '/CUSTOMER/NATION', CASE WHEN nation < 5 THEN 'minimum' ELSE 'maximum' END, NULL FROM d WHERE nation NOT BETWEEN 5 AND 20
+      UNION ALL SELECT c_custkey, '/CUSTOMER/BALANCE', 'minimum', NULL FROM d WHERE balance < 0
+      UNION ALL SELECT c_custkey, '/CUSTOMER/SEGMENT', 'not', CASE WHEN segment = 'BUILDING' THEN 'enum' ELSE 'pattern' END FROM d WHERE segment = 'BUILDING' OR starts_with(segment, 'M')
+      UNION ALL SELECT c_custkey, '/CUSTOMER/STATUSES', 'uniqueItems', NULL FROM d WHERE kinds < n
+      UNION ALL SELECT c_custkey, '/CUSTOMER/ORDERS', 'minItems', NULL FROM d WHERE n < 8
+      UNION ALL SELECT c_custkey, '/CUSTOMER/ORDERS/' || i || '/KEY', 'type', NULL FROM o
+      UNION ALL SELECT c_custkey, '/CUSTOMER/ORDERS/' || i || '/DATED', 'additionalProperties', NULL FROM o
+      UNION ALL SELECT c_custkey, '/CUSTOMER/ORDERS/' || i || '/STATUS', 'anyOf', NULL FROM o WHERE o_orderstatus NOT IN ('O', 'F')
+      UNION ALL SELECT c_custkey, '/CUSTOMER/ORDERS/' || i || '/PRIORITY', 'pattern', NULL FROM o WHERE NOT regexp_matches(o_orderpriority, '^[1-3]')
+    )
+    SELECT CAST(c_custkey AS VARCHAR) AS file_id, path, keyword, branch FROM found
+    """,
+)
+def documents_schema_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents held against a schema of several levels, with combinations of rules."""
+    t = to_tables(stored(customer_documents(spark, sf_dir), "customers")).kept()
+    return broken(t, CUSTOMER_SCHEMA).select("file_id", "path", "keyword", "branch")
+
+
 def _metabolites(header: str, *rows: str) -> tuple[str, str]:
     return r"(?s)metabolite_name\tpubchem_id\n.*\nMETABOLITES_END", "\n".join((header, *rows, "METABOLITES_END"))
 
@@ -206,17 +273,17 @@ def documents_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     "q64_equal_rows_of_cells",
     """
     WITH r AS (
-      SELECT o_custkey, o_orderkey, string_agg(l_linenumber || l_returnflag || l_linestatus || l_shipmode, ' ' ORDER BY l_linenumber) AS cells
+      SELECT o_custkey, o_orderkey, string_agg(l_linenumber || l_returnflag, ' ' ORDER BY l_linenumber) AS cells
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL
     ), f AS (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey, cells) AS first FROM r)
     SELECT o_custkey, o_orderkey, first FROM f WHERE o_orderkey > first
     """,
 )
 def equal_rows_of_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as rows and lines as columns: a customer's orders whose lines have the flags and modes of an earlier one's."""
+    """Orders as rows and lines as columns: a customer's orders whose lines have the flags of an earlier one's."""
     line, orders = (table(spark, sf_dir, t) for t in ("lineitem", "orders"))
     cells = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    cells = cells.select("o_custkey", "o_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus", "l_shipmode").alias("value"))
+    cells = cells.select("o_custkey", "o_orderkey", "l_linenumber", F.col("l_returnflag").alias("value"))
     return rules.equal_rows_of_cells(cells, ["o_custkey"], "o_orderkey", "l_linenumber", "value")
 
 

@@ -19,7 +19,8 @@ from assayspark.functions.finders import Finder
 from assayspark.operators import rules
 from assayspark.operators.read import read_with, to_tables
 from assayspark.operators.render import to_json, to_text
-from assayspark.operators.schema import from_json_schema, schema_issues
+from assayspark.operators.schema import from_json_schema, known_keys, schema_issues
+from assayspark.operators.schema_tree import broken, tree_issues
 from assayspark.operators.validate import CATALOGUE, issues, summary
 from assayspark.plans import document_queries
 from assayspark.sources import rest
@@ -148,6 +149,65 @@ def test_schema_rules(parsed):
     }
 
 
+def test_unknown_keys_and_sections(spark):
+    """Every user's misspelt key is an issue; a section of the other method is not known."""
+    docs = {"key": text(items=("PR:PROJECT_TITEL                 \ttitle",)), "section": text().replace("#MS\n", "#BADSECTION\nXX:KEY\tvalue\n#MS\n"), "right": text(items=("PR:PUBLICATIONS                  \tnone yet",)), "nmr": text().replace("#MS\nMS:MS_TYPE", "#NM\nNM:INSTRUMENT_NAME")}
+    t = to_tables(from_texts(spark, docs)).kept()
+    found = {(r.file_id, r.section, r.sub_section) for r in schema_issues(t).filter("name = 'JSON Schema Error: additionalProperties'").collect()}
+    assert found == {("key", "PROJECT", "PROJECT_TITEL"), ("section", "BADSECTION", ""), ("nmr", "MS_METABOLITE_DATA", "")}
+    known = known_keys()
+    assert {"PROJECT_TITLE", "EMAIL", "DOI"} <= set(known["PROJECT"]) and "COLLECTION_PROTOCOL_ID" in known["COLLECTION"] and len(known["MS"]) == 51
+
+
+TREE = {
+    "type": "object", "additionalProperties": False, "required": ["NEEDED"], "properties": {
+        "FOR_TEST": {
+            "type": "object", "additionalProperties": False, "required": ["GONE"], "properties": {
+                "MIN_PROPERTIES": {"type": "object", "minProperties": 1}, "TEXT": {"type": "string", "minLength": 3, "maxLength": 5}, "LONG": {"maxLength": 2}, "MIN_ITEMS": {"type": "array", "minItems": 1},
+                "MIN_ITEMS2": {"type": "array", "minItems": 2}, "TYPES": {"type": ["string", "null"]}, "ENUM": {"enum": ["a", "b"]}, "PATTERN": {"pattern": "^a$"}, "MIN": {"type": "integer", "minimum": 15},
+                "MAX": {"type": "integer", "maximum": 5}, "UNIQUE": {"type": "array", "uniqueItems": True}, "NOT": {"not": {"oneOf": [{"enum": ["q"]}, {"pattern": "asdf", "pattern_custom_message": " holds asdf."}]}},
+                "ANY": {"anyOf": [{"enum": ["x"]}, {"minLength": 10}]}, "ALL": {"allOf": [{"minLength": 1}, {"maxLength": 2}]}, "ONE": {"oneOf": [{"minLength": 1}, {"maxLength": 2}]}, "MAIL": {"format": "email"},
+                "NEST": {"type": "array", "items": {"properties": {"k": {"type": "number"}}, "additionalProperties": {"minLength": 1, "minLength_prefix": "Warning: "}}}, "a/b": {"minLength": 2},
+            },
+        },
+        "SUBJECT_SAMPLE_FACTORS": {"type": "array", "items": {"properties": {"Sample ID": {"not": {"enum": ["", "NA"]}}, "Factors": {"additionalProperties": {"minLength": 1}}}, "required": ["Subject ID"]}},
+    },
+}
+
+
+def test_schema_trees(spark):
+    """Every keyword, at every depth, and which branch of a combination decided."""
+    bad = {
+        "MIN_PROPERTIES": {}, "TEXT": "ab", "LONG": "abc", "MIN_ITEMS": [], "MIN_ITEMS2": ["a"], "TYPES": 1, "ENUM": "z", "PATTERN": "z", "MIN": 10, "MAX": 10, "UNIQUE": ["a", {"b": 1}, {"b": 1}], "NOT": "asdf", "ANY": "y",
+        "ALL": "abc", "ONE": "a", "NEST": [{"k": 1.5, "o": ""}, {"k": "x", "p": "y"}], "MAIL": "x", "ODD": 1, "a/b": "c",
+    }
+    good = {
+        "GONE": None, "MIN_PROPERTIES": {"a": 1}, "TEXT": "abcd", "LONG": "", "MIN_ITEMS": [1], "MIN_ITEMS2": ["a", "a"], "TYPES": None, "ENUM": "b", "PATTERN": "a", "MIN": 15, "MAX": -1, "UNIQUE": [1, "1", 2], "NOT": "q asd",
+        "ANY": "x", "ALL": "ab", "ONE": "abc", "NEST": [{"k": 1}, {"o": "y"}], "MAIL": "x@y", "a/b": "cc",
+    }
+    good.pop("GONE")
+    docs = {
+        "bad": {"FOR_TEST": bad, "SUBJECT_SAMPLE_FACTORS": [{"Subject ID": "-", "Sample ID": "NA", "Factors": {"T": "", "U": "v"}}], "BAD": {"A": "b"}},
+        "good": {"NEEDED": {"A": "b"}, "FOR_TEST": {"GONE": "is here", **good}, "SUBJECT_SAMPLE_FACTORS": [{"Subject ID": "-", "Sample ID": "s", "Factors": {"T": "v"}}]},
+    }
+    schema = json.loads(json.dumps(TREE))
+    schema["properties"] |= {"NEEDED": {}}
+    schema["properties"]["FOR_TEST"]["properties"] |= {"GONE": {}}
+    t = to_tables(from_dicts(spark, docs)).kept()
+    got = {(r.file_id, r.path.replace("/FOR_TEST", ".."), r.keyword, r.branch) for r in broken(t, schema).collect()}
+    single = {"MIN_PROPERTIES": "minProperties", "TEXT": "minLength", "LONG": "maxLength", "MIN_ITEMS": "minItems", "MIN_ITEMS2": "minItems", "TYPES": "type", "ENUM": "enum", "PATTERN": "pattern", "MIN": "minimum", "MAX": "maximum", "UNIQUE": "uniqueItems", "MAIL": "format", "a//b": "minLength", "ODD": "additionalProperties"}
+    want = {("bad", f"../{k}", word, None) for k, word in single.items()} | {("bad", "../ANY", "anyOf", None), ("bad", "../ALL", "allOf", "minLength"), ("bad", "../ONE", "oneOf", "minLength"), ("bad", "../NOT", "not", "pattern")}
+    want |= {("bad", "", "required", None), ("bad", "..", "required", None), ("bad", "/BAD", "additionalProperties", None), ("bad", "../NEST/0/o", "minLength", None), ("bad", "../NEST/1/k", "type", None)}
+    want |= {("bad", "/SUBJECT_SAMPLE_FACTORS/0/Factors/T", "minLength", None), ("bad", "/SUBJECT_SAMPLE_FACTORS/0/Sample ID", "not", "enum")}
+    assert {g for g in got if g[:2] != ("good", "") and g[0] == "bad"} == want
+    assert not {g for g in got if g[0] == "good"}
+    found = {(r.sub_section, r.name.split(": ")[1], r.severity, r.message) for r in tree_issues(t, schema).collect()}
+    assert ("NOT", "pattern", "Error", 'Error: The value, "asdf", at /FOR_TEST/NOT holds asdf.') in found
+    assert ("a/b", "minLength", "Error", 'Error: The value, "c", at /FOR_TEST/a//b is shorter than 2.') in found
+    assert any(f[:3] == ("NEST", "minLength", "Warning") for f in found) and len(found) == len(want)
+    assert broken(t.union(to_tables(from_texts(spark, {"junk": "what"}))), schema).filter("file_id = 'junk'").collect() == []
+
+
 def test_extract(parsed):
     t = only(parsed, "plain", "mouse")
     assert {r[0]: tuple(r)[1:] for r in metabolite_counts(measurements(t)).collect()} == {"m1": (2, 2, 4), "m2": (2, 2, 2)}
