@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayspark.functions.finders import FINDERS
-from assayspark.model import Tables, stored
+from assayspark.functions.table_function import AssayRows
+from assayspark.model import Tables, shared_folder, stored
 from assayspark.operators import rules
 from assayspark.operators.extract import matchers, measurements, metabolite_counts
 from assayspark.operators.parse_text import text_tables
@@ -16,6 +19,7 @@ from assayspark.operators.schema import schema_issues
 from assayspark.operators.schema_tree import broken
 from assayspark.operators.validate import issues, standard_names_of, summary
 from assayspark.plans.table_queries import ORACLE_SQL, QUERIES, query, table
+from assayspark.sources.assaytab import AssayTab
 
 #: Of the documents by their customer's key modulo 4, what is wrong in them on purpose.
 SAMPLE_LEFT_OUT, METABOLITE_LEFT_OUT, SAMPLE_TWICE = 1, 2, 3
@@ -201,6 +205,47 @@ def documents_schema_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken(t, CUSTOMER_SCHEMA).select("file_id", "path", "keyword", "branch")
 
 
+_EXTRACT_SQL = f"""
+    WITH {_CELLS}
+    SELECT metabolite_name, count(DISTINCT c_nationkey) AS "num-studies", count(DISTINCT c_custkey) AS num_analyses,
+           count(DISTINCT (c_custkey, o_orderkey)) AS num_samples
+    FROM m WHERE v > 0 AND c_mktsegment = 'BUILDING' GROUP BY 1
+"""
+
+
+@query("q68_source_extract", _EXTRACT_SQL)
+def source_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extraction of q40 through the data source: documents are written as one archive, and two of its tables are read from it."""
+    spark.dataSource.register(AssayTab)
+    path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}.zip"
+    named = documents(spark, sf_dir).select(F.concat("file_id", F.lit(".txt")).alias("name"), "text")
+    named.write.format("assaytab").option("archive", "zip").mode("overwrite").save(path)
+    items, cells = (spark.read.format("assaytab").options(table=t, **only).load(path) for t, only in (("items", {}), ("cells", {"tbl": "Data"})))
+    items = stored(items, "items")  # read twice, for conditions and for ids
+    files = items.select("file_id", F.lit("text").alias("input_format"), F.lit(None).cast("string").alias("data_section"), F.lit(None).cast("string").alias("error")).distinct()
+    return metabolite_counts(measurements(Tables(files, items, *[None] * 2, cells, *[None] * 3), matchers([("SU:SUBJECT_TYPE", "BUILDING")])))
+
+
+@query("q70_table_function", _EXTRACT_SQL)
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extraction of q40 in SQL, with the table function."""
+    spark.udtf.register("assay_rows", AssayRows)
+    return spark.sql(
+        """
+        WITH items AS (SELECT * FROM assay_rows(TABLE(SELECT file_id, text FROM {docs}) PARTITION BY (file_id), 'items')),
+        cells AS (SELECT * FROM assay_rows(TABLE(SELECT file_id, text FROM {docs}) PARTITION BY (file_id), 'cells') WHERE tbl = 'Data' AND dup = 0),
+        ids AS (
+          SELECT file_id, max(CASE WHEN key = 'STUDY_ID' THEN value END) AS study, max(CASE WHEN key = 'ANALYSIS_ID' THEN value END) AS analysis
+          FROM items GROUP BY file_id HAVING bool_or(section = 'SUBJECT' AND key = 'SUBJECT_TYPE' AND value = 'BUILDING')
+        )
+        SELECT n.value AS metabolite_name, count(DISTINCT study) AS `num-studies`, count(DISTINCT analysis) AS num_analyses, count(DISTINCT analysis, c.column) AS num_samples
+        FROM cells AS n JOIN cells AS c ON n.file_id = c.file_id AND n.row = c.row JOIN ids ON ids.file_id = n.file_id
+        WHERE n.column = 'Metabolite' AND c.column <> 'Metabolite' AND try_cast(c.value AS double) > 0 GROUP BY n.value
+        """,
+        docs=stored(documents(spark, sf_dir), "documents"),
+    )
+
+
 def _metabolites(header: str, *rows: str) -> tuple[str, str]:
     return r"(?s)metabolite_name\tpubchem_id\n.*\nMETABOLITES_END", "\n".join((header, *rows, "METABOLITES_END"))
 
