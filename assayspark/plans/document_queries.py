@@ -343,8 +343,8 @@ COLUMNS = (
 )
 
 
-def _names_sql() -> str:
-    """The finders' rules as SQL; RE2 has no look-aheads, so a set of words is a pattern for each."""
+def _names_sql(columns: str) -> str:
+    """The finders' rules as SQL over columns(c); RE2 has no look-aheads, so a set of words is a pattern for each."""
     text = lambda x: "'" + x.replace("'", "''") + "'"
     has = lambda x: f"contains(c, {text(x)})"
     word = lambda x: f"regexp_matches(c, {text(f'([^a-zA-Z0-9]|^)({x})([^a-zA-Z0-9]|$)')})"
@@ -354,14 +354,34 @@ def _names_sql() -> str:
         ways = [*map(word, f.words), *(every(map(word, x)) for x in f.all_words), *map(has, f.has), *(every(map(has, x)) for x in f.all_has), *(f"c = {text(x)}" for x in f.is_)]
         bars = [f"NOT {x}" for x in (*map(word, f.not_words), *map(has, f.not_has))]
         parts.append(f"SELECT c AS column_name, {text(name)} AS standard FROM columns WHERE " + every([every([" OR ".join(ways)]), *bars]))
-    return f"WITH columns(c) AS (VALUES {', '.join(f'({text(c)})' for c in COLUMNS)}) " + " UNION ALL ".join(parts)
+    return f"WITH columns(c) AS ({columns}) " + " UNION ALL ".join(parts)
 
 
-@query("q20_name_finder", _names_sql())
+@query("q20_name_finder", _names_sql("VALUES " + ", ".join(f"('{c}')" for c in COLUMNS)))
 def name_finder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which standard columns each name could mean, by all finders."""
     columns = spark.createDataFrame([(c,) for c in COLUMNS], "column_name string")
     return columns.select("column_name", standard_names_of(F.col("column_name")).alias("standard"))
 
 
+_NAMES_SQL = r"""
+    SELECT DISTINCT unnest(string_split_regex(translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r.,]+')) FROM (
+      SELECT text AS name FROM documents UNION ALL SELECT source FROM documents UNION ALL SELECT p_name FROM part UNION ALL SELECT p_type FROM part
+      UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT n_name FROM nation UNION ALL SELECT url FROM pages
+    )
+    UNION SELECT translate(p_type, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM part
+"""
+
+
+@query("q72_name_finder_words", _names_sql(_NAMES_SQL))
+def name_finder_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every word of the tables' texts and names, each held against the finders once."""
+    low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    names = [("documents", "text"), ("documents", "source"), ("part", "p_name"), ("part", "p_type"), ("orders", "o_orderpriority"), ("nation", "n_name"), ("pages", "url")]
+    out = table(spark, sf_dir, "part").select(low(F.col("p_type")).alias("column_name"))
+    for name, column in names:
+        out = out.unionByName(table(spark, sf_dir, name).select(F.explode(F.split(low(F.col(column)), r"[ \t-\r.,]+")).alias("column_name")))
+    return out.distinct().select("column_name", standard_names_of(F.col("column_name")).alias("standard"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "documents", "tables"]
