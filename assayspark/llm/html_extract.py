@@ -1,10 +1,11 @@
 """Main text of HTML pages by a recurrent block labeller.
 
 A page is cut into leaf blocks: runs of text between block-level tags. Each block is a vector: its tag path (tags,
-classes and ids of all open block-level elements, hashed), its words (hashed) and a few numbers (length, share of link
-words, place). A bidirectional LSTM in numpy reads the sequence of a page's blocks and labels each with the whole page
+classes and ids of all open block-level elements, hashed; names that training has not seen count as one), its words (hashed) and a few numbers (length, share of link
+words, place, and how much of the page's text stands in the elements around it). A bidirectional LSTM in numpy reads the sequence of a page's blocks and labels each with the whole page
 in view. It is trained on the driver, on pages made from a seed whose parts are known, and sent to the tasks (its size
-is fixed: under 200 kB).
+is fixed: under 200 kB). Those pages have known names, names that say nothing, or none, and layouts of articles, plain boxes, grids and
+tables, so that the network also goes by where the page's text is.
 """
 
 from __future__ import annotations
@@ -43,10 +44,11 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[^a-z]+")
 
-PATH, WORDS, NUMBERS = 96, 32, 8
+PATH, WORDS, NUMBERS = 96, 32, 17
+AROUND = 4  # elements around a block whose text is counted
 SIZE = PATH + WORDS + NUMBERS
 HIDDEN = 16
-PAGES, EPOCHS, BATCH = 800, 8, 16
+PAGES, EPOCHS, BATCH = 1200, 8, 16
 BATCH_BLOCKS = 40_000  # of one run of the network; a longer page is a run of its own
 
 
@@ -73,6 +75,20 @@ class Path:
         return out[-n:]
 
 
+def _marks(attributes: str) -> list[str]:
+    """The names that an element's attributes give it; those that say nothing to the network are one, `~`."""
+    found = dict.fromkeys(f"{a.lower()}:{part}" for a, *v in _NAMES.findall(attributes) for part in _PARTS.split("".join(v).lower()) if part)
+    told = [x for x in found if x in _telling()]
+    return [*told, "~"] if len(told) < len(found) else told
+
+
+@lru_cache(maxsize=1)
+def _telling() -> frozenset[str]:
+    """The names that pages to learn from have: all that training can give a meaning."""
+    made = [*(part for parts in _MAIN for part in parts), *(part for parts in _REST.values() for part in parts)]
+    return frozenset(f"{a.lower()}:{x}" for part in made for a, *v in _NAMES.findall(part) for x in _PARTS.split("".join(v).lower()) if x)
+
+
 Block = tuple[Path, str, int, int]  # path, text, words, words in links
 
 
@@ -137,7 +153,7 @@ def blocks(page: str) -> list[Block]:
                 if stack[i][0] in ("ul", "ol", "dl", "table", "select", "div", "article", "section"):
                     break
             if tag not in VOID:
-                marks = [f"{a.lower()}:{part}" for a, *v in _NAMES.findall(names) for part in _PARTS.split("".join(v).lower()) if part] if "=" in names else []
+                marks = _marks(names) if "=" in names else []
                 stack.append((tag, Path(stack[-1][1] if stack else root, (tag, *marks))))
                 still_open[tag] += 1
         elif not tag and m[1]:
@@ -168,8 +184,25 @@ class _Hashed(dict):
 _paths, _words = _Hashed(PATH), _Hashed(WORDS)
 
 
+def _around(path: Path) -> Iterator[Path]:
+    """The element that a block stands in and those around it, AROUND of them at most."""
+    at: Path | None = path
+    for _ in range(AROUND):
+        if at is None or at.above is None:  # all of the page
+            return
+        yield at
+        at = at.above
+
+
 def vectors(found: list[Block]) -> np.ndarray:
     out = np.zeros((len(found), SIZE), dtype=np.float32)
+    plain: dict[Path, int] = {}  # words outside of links, by element
+    every: dict[Path, int] = {}
+    for path, _, n, linked in found:
+        for p in _around(path):
+            plain[p] = plain.get(p, 0) + n - linked
+            every[p] = every.get(p, 0) + n
+    whole = max(1, sum(n - linked for _, _, n, linked in found))
     for i, (path, text, n, linked) in enumerate(found):
         out[i, :PATH] = path.sums
         for name in path.last(2):  # the innermost names once more, as such
@@ -178,7 +211,11 @@ def vectors(found: list[Block]) -> np.ndarray:
         places = [_words[w] for w in text.lower().split()]
         scale = 1 / np.sqrt(n)
         np.add.at(out[i], [PATH + p for p, _ in places], [s * scale for _, s in places])
-        out[i, PATH + WORDS :] = (np.log1p(n) / 4, linked / n, i / len(found), 1 / (1 + i), 1 / (len(found) - i), text[-1] in ".!?", text.count(",") / n, 1.0)
+        around = list(_around(path))
+        shares = [plain[p] / whole for p in around] + [0.0] * (AROUND - len(around))
+        links = [1 - plain[p] / every[p] for p in around] + [0.0] * (AROUND - len(around))
+        same = float(i > 0 and found[i - 1][0].above is path.above)
+        out[i, PATH + WORDS :] = (np.log1p(n) / 4, linked / n, i / len(found), 1 / (1 + i), 1 / (len(found) - i), text[-1] in ".!?", text.count(",") / n, 1.0, *shares, *links, same)
     return out
 
 
@@ -286,12 +323,24 @@ _PHRASES = {
 }
 
 
-def made_page(rng: np.random.Generator) -> tuple[str, list[str]]:
-    """A page and the texts of its article's blocks."""
+#: Wrappers of articles that don't say so; `~` stands for a word of the page's own.
+_PLAIN = (
+    ["div"], ["div", "div"], ["div class='~'"], ["div id='~'", "div class='~ ~'"], ["section class='~'"], ["div class='wrapper'", "div class='~'", "div"], ["table", "tr", "td"], ["table class='layout'", "tr", "td class='~'"],
+)
+_PLAIN_REST = {
+    "menu": ("nav", "div", "div class='~'", "ul", "ul class='~'"), "header": ("header", "div class='~'"), "footer": ("footer", "div class='~'", "div id='foot'"), "sidebar": ("aside", "div", "div class='~'"),
+    "notice": ("div class='~'", "div role='dialog'"), "advert": ("div class='~'", "aside"), "form": ("form", "form class='~'"), "comments": ("section", "div class='~'", "ol"), "share": ("div class='~'", "ul"),
+}
+
+
+def made_page(rng: np.random.Generator, named: float = 0.55) -> tuple[str, list[str]]:
+    """A page and the texts of its article's blocks. named: the share of pages whose parts have names that tell what they are."""
     syllables = ["".join(rng.choice(list("abcdefghiklmnoprstuvwzäéñ"), rng.integers(1, 4))) for _ in range(30)]
     pick = lambda of: of[int(rng.integers(len(of)))]
     word = lambda: "".join(pick(syllables) for _ in range(rng.integers(1, 4)))
     noise = ["", "", "", "***", "%%%", "&amp;&amp;"] if rng.random() < 0.15 else [""]
+    tells = rng.random() < named
+    own = [re.sub("[^a-z]", "x", word()) for _ in range(6)]
 
     def sentence(n: int) -> str:
         words = [word() + pick(noise) + ("," if rng.random() < 0.08 else "") for _ in range(n)]
@@ -299,7 +348,7 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[str]]:
 
     def wrap(parts: list[str], inner: str) -> str:
         for p in reversed(parts):
-            inner = f"<{p}>{inner}</{p.split()[0]}>"
+            inner = f"<{re.sub('~', lambda _: pick(own), p)}>{inner}</{p.split()[0]}>"
         return inner
 
     texts: list[str] = []
@@ -315,31 +364,68 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[str]]:
             body = f"<a href='/x'>{first}</a> <i>{rest}</i>"
         return wrap(["ul", "li"], body) if tag == "li" else f"<{tag}>{body}</{tag}>" if tag != "p" or r < 0.85 else f"<p>{body}"
 
-    def rest(kind: str) -> str:
+    def piece() -> str:
+        """A table, code, caption, list or definitions: short blocks of the article."""
+        short = lambda: pick([word(), str(rng.integers(1, 9999)), f"{rng.integers(1, 99)}.{rng.integers(10)}", f"{word()} {word()}", sentence(3)])
+        n = int(rng.integers(2, 5))
+        kind = pick(["table", "table", "pre", "figure", "ul", "dl"])
+        if kind == "table":
+            rows = [[short() for _ in range(n)] for _ in range(rng.integers(1, 4))]
+            texts.extend(c for row in rows for c in row)
+            return "<table>" + "".join("<tr>" + "".join(f"<{'th' if i == 0 and n == 3 else 'td'}>{c}</{'th' if i == 0 and n == 3 else 'td'}>" for c in row) + "</tr>" for i, row in enumerate(rows)) + "</table>"
+        held = [short() for _ in range(n)]
+        if kind == "pre":
+            texts.append("; ".join(f"{h} = {i}" for i, h in enumerate(held)))
+            return f"<pre><code>{texts[-1]}</code></pre>"
+        if kind == "figure":
+            texts.append(sentence(5))
+            return f"<figure><img src='x.png'><figcaption>{texts[-1]}</figcaption></figure>"
+        texts.extend(held)
+        return "<dl>" + "".join(f"<{'dd' if i % 2 else 'dt'}>{h}</{'dd' if i % 2 else 'dt'}>" for i, h in enumerate(held)) + "</dl>" if kind == "dl" else "<ul>" + "".join(f"<li>{h}</li>" for h in held) + "</ul>"
+
+    def rest(kind: str, inside: bool = False) -> str:
+        outer = pick(_REST[kind] if tells or inside else _PLAIN_REST[kind])
         if kind == "menu" or (kind in ("sidebar", "footer", "share") and rng.random() < 0.4):
-            items = "".join(f"<li><a href='/{i}'>{word() if rng.random() < 0.7 else pick(_PHRASES[kind].split())}</a></li>" for i in range(rng.integers(2, 9)))
-            return wrap([pick(_REST[kind])], items if rng.random() < 0.2 else f"<ul>{items}</ul>")
+            items = "".join(f"<li><a href='/{i}'>{word() if rng.random() < 0.7 else pick(_PHRASES[kind].split())}</a></li>" for i in range(rng.integers(1, 9)))
+            return wrap([outer], items if rng.random() < 0.2 or outer.startswith("ul") else f"<ul>{items}</ul>")
+        if kind == "sidebar" and not inside and rng.random() < 0.6:  # a heading and links to other pages
+            head = f"<{pick(['h3', 'h4', 'div', 'p'])}>{pick(_PHRASES[kind].split()).capitalize() if rng.random() < 0.7 else sentence(2)}"
+            links = "".join(f"<li><a href='/{i}'>{sentence(int(rng.integers(2, 7)))}</a></li>" for i in range(rng.integers(1, 6)))
+            return wrap([outer], f"{head}</{head[1 : head.index('>')]}><ul>{links}</ul>")
         inner = []
-        for _ in range(rng.integers(1, 4)):
-            s = " ".join(sentence(int(rng.integers(2, 15))) for _ in range(rng.integers(1, 4)))
-            s = f"{pick(_PHRASES[kind].split())} {s}" if rng.random() < 0.5 else s
+        for _ in range(1 if inside else rng.integers(1, 4)):
+            s = " ".join(sentence(int(rng.integers(2, 15 if tells else 9))) for _ in range(rng.integers(1, 4 if tells else 2)))
+            s = pick(["Sign up today", "Subscribe now", "Advertisement", "Buy now", "Read more"]) if inside and rng.random() < 0.4 else f"{pick(_PHRASES[kind].split())} {s}" if rng.random() < (0.5 if tells else 0.9) else s
             inner.append(pick([f"<p>{s}</p>", s + "<br>", f"<div>{s}</div>", f"<h3>{s}</h3>", f"<label>{s}</label><input name='q'>"]) if len(inner) or rng.random() < 0.4 else s)
-        return wrap([pick(_REST[kind])], "".join(inner))
+        return wrap([outer], "".join(inner))
 
     title = sentence(int(rng.integers(2, 9)))
     article = []
     if rng.random() < 0.85:
         texts.append(title)
         article.append(f"<h1>{title}</h1>")
-    for _ in range(int(rng.choice([1, 2, 4, 8, 16]))):
-        article.append(paragraph())
-        if rng.random() < 0.05:
-            article.append(rest(pick(["advert", "sidebar", "share", "form"])))
+    for _ in range(int(rng.choice([1, 2, 4, 8, 16] if tells else [2, 4, 8, 16]))):
+        article.append(piece() if rng.random() < 0.08 else paragraph())
+        if rng.random() < 0.06:
+            article.append(rest(pick(["advert", "sidebar", "share", "form", "notice"]), inside=True))
+    main = pick(_MAIN) if tells else pick(_PLAIN)
+    if not tells and len(texts) < 3:
+        main = pick([["article"], ["main"]])  # so little text must be named
     before = [rest(k) for k in ("header", "menu", "notice", "advert", "form", "sidebar") if rng.random() < 0.4]
     after = [rest(k) for k in ("share", "comments", "sidebar", "advert", "form", "notice", "menu", "footer") if rng.random() < 0.35]
     if rng.random() < 0.5:
         after.append(rest("footer"))
-    body = "".join(before) + wrap(pick(_MAIN), "".join(article)) + "".join(after)
+    inner = wrap(main, "".join(article))
+    if not tells and rng.random() < 0.4:  # the page is a table or grid, a cell for each part
+        cells = [rest(pick(["menu", "sidebar"])) if rng.random() < 0.5 else "", "".join(article), rest(pick(["sidebar", "advert", "form"])) if rng.random() < 0.7 else ""]
+        row, cell = pick([("<table><tr>", "td"), (f"<div class='{pick(own)}'><div class='{pick(own)}'>", f"div class='{pick(own)}'"), ("<div><div>", "div")])
+        inner = row + "".join(f"<{cell}>{c}</{cell.split()[0]}>" for c in cells if c) + ("</tr></table>" if "tr" in row else "</div></div>")
+    body = "".join(before) + inner + "".join(after)
+    if not tells:  # boxes around all of it, and around some parts
+        deep = lambda x, n: wrap([pick(["div", "div class='~'", "div class='~ ~'", "div id='~'"]) for _ in range(n)], x)
+        k = int(rng.integers(0, 3))
+        parts = [*before, inner, *after]
+        body = deep("".join(deep(x, int(rng.integers(0, k + 1))) for x in parts), int(rng.integers(0, 4)))
     page = f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{body}"
     return page + ("</body></html>" if rng.random() < 0.9 else ""), [" ".join(html.unescape(t).split()) for t in texts]
 
@@ -402,7 +488,7 @@ def extract(pages: DataFrame, net: Network | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row.
 
     text is the main text's blocks joined by two line ends, empty if there are none. A null or empty html has an empty
-    text. Null page_ids and urls stay null, repeated rows are read each, an empty table gives an empty result, and
+    text; a very long page is one run of the network, in linear time. Null page_ids and urls stay null, repeated rows are read each, an empty table gives an empty result, and
     further columns are ignored.
     """
     sent = pages.sparkSession.sparkContext.broadcast(net or trained())
