@@ -13,7 +13,7 @@ from assayspark.operators.read import read_tables
 from assayspark.operators.schema import from_json_schema, schema_issues
 from assayspark.operators.validate import issues, reports, summary
 from assayspark.sources.rest import document_urls
-from assayspark.sources.sinks import ARCHIVES, write_documents
+from assayspark.sources.sinks import ARCHIVES, write_archive, write_documents
 
 
 def parser() -> argparse.ArgumentParser:
@@ -48,7 +48,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         return
     t = read_tables(spark, args.source, force=getattr(args, "force", False)).kept()
     if args.command == "convert":
-        write_documents(render.to_text(t) if args.to_format == "txt" else render.to_json(t), args.folder, args.to_format, args.compression)
+        texts = render.to_text(t) if args.to_format == "txt" else render.to_json(t)
+        if args.compression in ARCHIVES and args.folder.endswith(f".{args.compression}"):
+            write_archive(texts, args.folder, args.to_format, args.compression)
+        else:
+            write_documents(texts, args.folder, args.to_format, args.compression)
     elif args.command == "validate":
         more = from_json_schema(json.loads(spark.read.text(args.schema, wholetext=True).first()[0])) if args.schema else None
         found = issues(t, extra=[schema_issues(t, more=more)], store=True)
@@ -57,7 +61,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         elif args.to_path:
             found.write.mode("overwrite").json(args.to_path)
         if not args.silent:
-            summary(t.files, found).orderBy("file_id").show(1000, False)
+            for row in summary(t.files, found).orderBy("file_id").toLocalIterator():  # a line for each document, however many there are
+                print(row.file_id, row.status, f"{row.n_issues} issues, {row.n_warnings} of them warnings", *(f"{x.tag}: {x.n}" for x in row.tags or ()), sep="\t")
     elif args.command == "extract-metadata":
         found = extract.metadata(t, args.keys)
         if args.to_format == "csv":

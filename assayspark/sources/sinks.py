@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from assayspark.operators.render import output_name
+from assayspark.sources.assaytab import AssayTab
 
 PACKERS = {"": lambda data: data, "gz": gzip.compress, "bz2": bz2.compress}
 ARCHIVES = {"zip": None, "tar": "w", "tar.gz": "w:gz", "tar.bz2": "w:bz2"}
@@ -36,6 +37,22 @@ def common_folder(rows: DataFrame) -> str:
     return common[: common.rfind("/") + 1]
 
 
+def _named(texts: DataFrame, extension: str) -> DataFrame:
+    """name and text of texts(file_id, text); names that clash raise an error."""
+    named = texts.select(output_name(F.col("file_id"), common_folder(texts), extension).alias("name"), "text")
+    clash = named.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").first()
+    if clash:
+        raise ValueError(f"{clash['n']} documents would be written to {clash['name']}")
+    return named
+
+
+def write_archive(texts: DataFrame, path: str, extension: str = "txt", archive: str = "zip") -> None:
+    """One archive (zip, tar, tar.gz or tar.bz2) of all rows of texts(file_id, text), named as by write_documents. Tasks write its parts; a
+    job that fails leaves neither an archive nor parts."""
+    texts.sparkSession.dataSource.register(AssayTab)
+    _named(texts, extension).write.format("assaytab").option("archive", archive).mode("overwrite").save(path)
+
+
 def write_documents(texts: DataFrame, folder: str, extension: str = "txt", compression: str = "") -> None:
     """A file for each row of texts(file_id, text), in a folder that all executors see under the same path.
 
@@ -45,10 +62,7 @@ def write_documents(texts: DataFrame, folder: str, extension: str = "txt", compr
     """
     if compression not in PACKERS and compression not in ARCHIVES:
         raise ValueError(f"Unknown compression {compression}")
-    named = texts.select(output_name(F.col("file_id"), common_folder(texts), extension).alias("name"), "text")
-    clash = named.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").first()
-    if clash:
-        raise ValueError(f"{clash['n']} documents would be written to {clash['name']}")
+    named = _named(texts, extension)
     Path(folder).mkdir(parents=True, exist_ok=True)
 
     def single(rows: Iterator[Row]) -> None:

@@ -385,6 +385,8 @@ def test_commands(spark, tmp_path):
     cli.main(["convert", source, str(out / "zip"), "--to-format", "txt", "--compression", "zip"], spark)
     held = {n: zipfile.ZipFile(p).read(n).decode() for p in (out / "zip").glob("*.zip") for n in zipfile.ZipFile(p).namelist()}
     assert held.keys() == {"a.txt", "deep/b.json.txt"} and held["a.txt"] == text()
+    cli.main(["convert", source, str(out / "all.zip"), "--to-format", "txt", "--compression", "zip"], spark)  # one archive for all
+    assert {n: zipfile.ZipFile(out / "all.zip").read(n).decode() for n in zipfile.ZipFile(out / "all.zip").namelist()} == held
     schema = {"properties": {"PROJECT": {"additionalProperties": False, "properties": {"OTHER": {}}, "minProperties": 3}, "SUBJECT": {"properties": {"SUBJECT_TYPE": {"maxLength": 3}}}}}
     (tmp_path / "schema.json").write_text(json.dumps(schema))
     cli.main(["validate", source, "--to-path", str(out / "issues"), "--silent", "--schema", str(tmp_path / "schema.json")], spark)
