@@ -8,6 +8,7 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from assayspark.model import run
 from assayspark.operators import extract, render
 from assayspark.operators.read import read_tables
 from assayspark.operators.schema import from_json_schema, schema_issues
@@ -46,6 +47,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if args.command == "urls":
         spark.createDataFrame([(i,) for i in args.ids], "id string").select("id", document_urls(args.base, F.col("id"), args.item, args.extension).alias("url")).show(len(args.ids), False)
         return
+    with run(spark):
+        _work(spark, args)
+
+
+def _work(spark: SparkSession, args: argparse.Namespace) -> None:
     t = read_tables(spark, args.source, force=getattr(args, "force", False)).kept()
     if args.command == "convert":
         texts = render.to_text(t) if args.to_format == "txt" else render.to_json(t)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,22 +50,45 @@ class Tables:
     def union(self, other: Tables) -> Tables:
         return Tables(*(getattr(self, f.name).unionByName(getattr(other, f.name)) for f in fields(self)))
 
-    def save(self, folder: str) -> Tables:
-        """Writes all tables as Parquet and reads them back, so that texts are parsed once."""
+    def save(self, folder: str, *names: str) -> Tables:
+        """Writes all tables, or those that are named, as Parquet and reads them back, so that texts are parsed once. Others stay as they are."""
         spark, out = self.files.sparkSession, []
         for f in fields(self):
             df: DataFrame = getattr(self, f.name)
+            if names and f.name not in names:
+                out.append(df)
+                continue
             df.write.mode("overwrite").parquet(f"{folder}/{f.name}")
             out.append(spark.read.schema(df.schema).parquet(f"{folder}/{f.name}"))
         return Tables(*out)
 
-    def kept(self) -> Tables:
+    def kept(self, *names: str) -> Tables:
         """save() to a new folder of shared_folder()."""
-        return self.save(f"{shared_folder(self.files.sparkSession)}/tables-{uuid.uuid4().hex}")
+        return self.save(f"{shared_folder(self.files.sparkSession)}/tables-{uuid.uuid4().hex}", *names)
+
+
+_run: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+@contextmanager
+def run(spark: SparkSession) -> Iterator[str]:
+    """Takes away at its end all that was written to the shared folder within it, by whatever operators. What they gave must have been read
+    or saved by then; without a run, what they wrote stays, as their results read it."""
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    token = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. On one machine it may be unset: then one in the warehouse."""
+    """The folder that all executors share: spark.checkpoint.dir, or within run() one of the run's own there. On one machine the
+    setting may be unset: then one in the warehouse."""
+    if folder := _run.get():
+        return folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not (spark.conf.get("spark.master", None) or "local").startswith("local"):

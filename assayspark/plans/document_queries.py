@@ -55,8 +55,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("o_custkey").cast("string").alias("file_id"), F.array_join(text, "\n").alias("text"), F.lit(None).cast("string").alias("error"))
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return text_tables(stored(documents(spark, sf_dir), "documents")).kept()
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> Tables:
+    return text_tables(stored(documents(spark, sf_dir), "documents")).kept(*names)
 
 
 _CELLS = """
@@ -79,7 +79,7 @@ _CELLS = """
 )
 def documents_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents are parsed, those that a condition on their items holds for are kept, and their measurements counted."""
-    return metabolite_counts(measurements(tables(spark, sf_dir), matchers([("SU:SUBJECT_TYPE", "BUILDING")])))
+    return metabolite_counts(measurements(tables(spark, sf_dir, "files", "items", "cells"), matchers([("SU:SUBJECT_TYPE", "BUILDING")])))
 
 
 @query(
@@ -91,7 +91,7 @@ def documents_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def documents_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The checks that compare samples and metabolites between a document's parts."""
-    return issues(tables(spark, sf_dir), numbers=(4, 7, 9, 12, 22)).select("file_id", "id")
+    return issues(tables(spark, sf_dir, "files", "ssf", "headers", "cells"), numbers=(4, 7, 9, 12, 22)).select("file_id", "id")
 
 
 _RAGGED = """

@@ -5,10 +5,12 @@ from __future__ import annotations
 import bz2
 import gzip
 import json
+import os
 import re
 import tarfile
 import zipfile
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from assayspark import cli
 from assayspark.operators.extract import matchers, measurements, metabolite_counts, metabolite_samples, metadata, parse_condition
 from assayspark.functions.finders import Finder
+from assayspark.model import run, shared_folder
 from assayspark.operators import rules
 from assayspark.operators.read import read_with, to_tables
 from assayspark.operators.render import to_json, to_text
@@ -402,6 +405,20 @@ def test_commands(spark, tmp_path):
     cli.main(["urls", "b/", "whole", "1", "ST2"], spark)
 
 
+def test_a_run_leaves_nothing(spark):
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    folder.mkdir(parents=True, exist_ok=True)
+    before = sorted(os.listdir(folder))
+    with run(spark) as own:
+        assert shared_folder(spark) == own
+        t = to_tables(from_texts(spark, {"a": text()})).kept("files", "cells")
+        assert len(issues(t, numbers=(7, 11), store=True).collect()) == 0 and len(os.listdir(own.removeprefix("file://"))) >= 3
+    with pytest.raises(ZeroDivisionError), run(spark):
+        to_tables(from_texts(spark, {"a": text()})).kept("files")
+        raise ZeroDivisionError
+    assert sorted(os.listdir(folder)) == before
+
+
 def test_results_files(spark):
     line = "MS:MS_RESULTS_FILE\tr.txt\tHas m/z:NA"
     t = to_tables(from_texts(spark, {"r": text(items=()).replace("MS:MS_TYPE", line + "\nMS:MS_TYPE")}))
