@@ -152,11 +152,11 @@ class _Search:
     def __init__(self, docs: DataFrame, entries: DataFrame, width: int, percent: int, scratch: Scratch):
         self.docs, self.entries, self.width, self.percent, self.scratch = docs, entries, width, percent, scratch
 
-    def close(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose signatures and sizes allow the similarity."""
+    def close(self, pairs: DataFrame, far: int = FAR) -> DataFrame:
+        """The pairs (a, b) whose signatures (up to `far` differences) and sizes allow the similarity."""
         left, right = (self.entries.select(F.col("entry").alias(c), F.struct("n_shingles", *(f"s{i}" for i in range(LONGS))).alias(f"sign_{c}")) for c in "ab")
         small, large = F.least("sign_a.n_shingles", "sign_b.n_shingles"), F.greatest("sign_a.n_shingles", "sign_b.n_shingles")
-        near = (differences("sign_a", "sign_b") <= FAR) & (small * 100 >= large * self.percent)
+        near = (differences("sign_a", "sign_b") <= far) & (small * 100 >= large * self.percent)
         return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b")
 
     def sets(self, wanted: DataFrame, name: str) -> DataFrame:
@@ -181,9 +181,9 @@ class _Search:
         texts = texts.join(find, (texts.text_hash == find.want_hash) & texts.doc_id.eqNullSafe(find.want_id)).select("entry", "set_a", "set_b", "text")
         return self.scratch.keep(texts.mapInArrow(whole, "entry long, set array<long>").dropDuplicates(["entry"]), f"sets-{name}")
 
-    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
+    def confirmed(self, pairs: DataFrame, name: str, far: int = FAR) -> DataFrame:
         """The close pairs whose whole sets are similar enough."""
-        pairs = self.scratch.keep(self.close(pairs), f"pairs-{name}")
+        pairs = self.scratch.keep(self.close(pairs, far), f"pairs-{name}")
         sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("entry")), name)
         left, right = (sets.select(F.col("entry").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
         both = F.size(F.array_intersect("set_a", "set_b"))
@@ -213,7 +213,7 @@ class _Search:
         left, right = (_spread(x, few.filter(small).select("hub")) for x in (attached, side))
         left = left.select("hub", F.col("entry").alias("x"), F.col("component").alias("component_x"))
         pairs = left.join(right, "hub").filter("component <> component_x").select(F.least("x", "entry").alias("a"), F.greatest("x", "entry").alias("b")).distinct()
-        links = self.confirmed(pairs, "rest")
+        links = self.confirmed(pairs, "rest", SYMBOLS)  # as in blocks, only sizes and whole sets decide
 
         parts = lambda n: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(f"{n}_shingles") / BLOCK_SHINGLES))
         cells = few.filter(~small).select("hub", parts("m").alias("blocks"), parts("q").alias("lines"))

@@ -1,6 +1,10 @@
+import os
 import random
+from pathlib import Path
 
 import corpus_pipeline as P
+from assayspark.llm import exact_dedup, near_dedup, packing, source_audit
+from assayspark.model import run, shared_folder
 from tests.llm.test_near_dedup import brute
 
 
@@ -61,3 +65,16 @@ def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
     assert kept == sorted(set(near), key=str)
     assert len(P.drop_toxic(spark, docs, str(tmp_path)).collect()) == len(rows)
     assert {r.doc_id for r in P.pack(spark, docs, str(tmp_path)).collect()} == {r[0] for r in rows}
+
+
+def test_a_run_takes_its_scratch_away(spark):
+    """What the operators write to the shared folder goes with the run that they were in."""
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    folder.mkdir(parents=True, exist_ok=True)
+    before = sorted(os.listdir(folder))
+    docs = spark.createDataFrame([(i, f"some words of text {i % 4}", "en", "s") for i in range(12)], "doc_id long, text string, lang string, source string")
+    with run(spark) as own:
+        assert near_dedup.near_duplicates(docs).count() == 12 and exact_dedup.exact_duplicates(docs).count() == 12
+        assert packing.pack(docs).count() == 12 and source_audit.audit(docs).count() >= 0
+        assert len(os.listdir(own.removeprefix("file://"))) > 3
+    assert sorted(os.listdir(folder)) == before
