@@ -20,6 +20,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayspark.llm.shared import keep
+
 #: Phrases and their labels: each place where the words stand consecutively counts. Fixed values of the contract.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -121,6 +123,7 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
     votes = hits.groupBy("row", "doc_id", "kind", "label", "grams", "k", diagonal.alias("diagonal"), stretch.alias("stretch")).agg(
         F.collect_set("place").alias("places"), F.min("at").alias("low"), F.max("at").alias("high"), F.max("n_words").alias("n_words")
     )
+    votes = keep(votes, "votes")  # a row for each text and a few for its hits; read by what follows, so that texts are read once
     found = votes.filter("kind <> 'notice'").select("row", "doc_id", "kind", "label", "low", "high", "k", "n_words", F.lit(1.0).alias("share"))
 
     # neighbouring diagonals; a band holds no more votes than its template has places and 2 * DRIFT diagonals
