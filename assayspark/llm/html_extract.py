@@ -3,7 +3,7 @@
 A page is cut into leaf blocks: runs of text between block-level tags. Each block is a vector: its tag path (tags,
 classes and ids of all open block-level elements, hashed; names that training has not seen count as one), its words (hashed) and a few numbers (length, share of link
 words, place, and how much of the page's text stands in the elements around it). A bidirectional LSTM in numpy reads the sequence of a page's blocks and labels each with the whole page
-in view. It is trained on the driver, on pages made from a seed whose parts are known, and sent to the tasks (its size
+in view. It is trained in one task, on pages made from a seed whose parts are known, and sent to the tasks (its size
 is fixed: under 200 kB). Those pages have known names, names that say nothing, or none, and layouts of articles, plain boxes, grids and
 tables, so that the network also goes by where the page's text is.
 """
@@ -11,6 +11,7 @@ tables, so that the network also goes by where the page's text is.
 from __future__ import annotations
 
 import html
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayspark.llm.shared import map_rows
@@ -465,6 +466,24 @@ def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 1) -> Network:
     return net
 
 
+_trained: dict[tuple, Network] = {}
+
+
+def trained_in_task(spark: SparkSession) -> Network:
+    """The network, trained in a task of its own, where numpy has one thread: many make these small products slower. Once a driver."""
+    known = (PAGES, EPOCHS)
+    if known not in _trained:
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained().p)])], names=["weights"])
+
+        net = Network()
+        net.p = pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(work, "weights binary").first()[0])
+        _trained[known] = net
+    return _trained[known]
+
+
 def main_texts(pages: list[str], net: Network) -> Iterator[list[str]]:
     """The blocks of each page's main text."""
     found = [blocks(p) for p in pages]
@@ -491,7 +510,7 @@ def extract(pages: DataFrame, net: Network | None = None) -> DataFrame:
     text; a very long page is one run of the network, in linear time. Null page_ids and urls stay null, repeated rows are read each, an empty table gives an empty result, and
     further columns are ignored.
     """
-    sent = pages.sparkSession.sparkContext.broadcast(net or trained())
+    sent = pages.sparkSession.sparkContext.broadcast(net or trained_in_task(pages.sparkSession))
 
     def work(rows: pa.RecordBatch) -> dict:
         texts = ["\n\n".join(b) for b in main_texts([h or "" for h in rows.column("html").to_pylist()], sent.value)]
