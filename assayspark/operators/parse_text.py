@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -62,41 +64,146 @@ def _rest(array: str) -> Column:
     return F.slice(array, F.lit(2), F.greatest(F.size(array), F.lit(1)))
 
 
-def located(rows: DataFrame) -> DataFrame:
-    """lines() with kind, section, block (its number in the document), block_name and place (the line's place in it)."""
-    line = F.col("line")
-    name = F.when(line.startswith(MARKER), HEADER).when(line.startswith("#SUBJECT_SAMPLE_FACTORS:"), "SUBJECT_SAMPLE_FACTORS").otherwise(F.trim(F.expr("substring(line, 2)")))
-    name = F.when(name == "NMR", "NM").otherwise(name)
-    ends = F.when(line.endswith("_START"), F.expr("substring(line, 1, length(line) - 6)")).when(line.endswith("_END"), "")
-    so_far = along().rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("block_name", F.coalesce(F.last(ends, ignorenulls=True).over(so_far), F.lit("")))
-    inside = (F.col("block_name") != "") & ~line.endswith("_START")
-    rows = rows.withColumn("inside", inside).withColumn("block", F.sum(line.endswith("_START").cast("int")).over(so_far))
-    rows = rows.withColumn("section", F.last(F.when(line.startswith("#") & ~F.col("inside"), name), ignorenulls=True).over(so_far))
-    kind = (
-        F.when(F.col("inside"), "row")
-        .when(line.startswith(MARKER), "header")
-        .when(line.startswith("#"), "section")
-        .when(line.startswith("SUBJECT_SAMPLE_FACTORS"), "ssf")
-        .when(line.endswith("_START") | line.endswith("_END"), "edge")
-        .when(line.contains("_RESULTS_FILE"), "results")
-        .otherwise("item")
+def _tokens(line: Column) -> Column:
+    """The cells of a line, without quotes and spaces around them and without empty ones at its end."""
+    used = F.rtrim(line, F.lit('" \t'))
+    trimmed = F.when(used == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(used, "\t"), lambda x: F.btrim(x, F.lit('" '))))
+    return F.when(line.contains('"') | line.contains(" ") | line.endswith("\t"), trimmed).otherwise(F.split(line, "\t"))
+
+
+def _is_header(tokens: Column, block_name: Column, samples: Column) -> Column:
+    """Whether one of the first two lines of a block is a header."""
+    first = F.get(tokens, F.lit(0))
+    known = F.arrays_overlap(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1))), samples)
+    named = first.isin("Samples", "metabolite name", "metabolite_name") & ((F.size(tokens) == 1) | (F.size(samples) == 0))
+    extended, binned, measured = block_name.contains("EXTENDED"), block_name.contains("BINNED_DATA"), block_name.contains("METABOLITE_DATA")
+    is_header = (
+        F.when(binned & ~extended, first == "Bin range(ppm)")
+        .when((first == "Factors") & measured, F.lit(True))
+        .when(measured & ~extended, known | named)
+        .otherwise(F.lower(first) == "metabolite_name")
+    )
+    return F.coalesce(is_header, F.lit(False))
+
+
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being computed once, however often it is used, in lambdas too."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _repeats(names: Column) -> Column:
+    """The number of equal names before each, of an array; only names that repeat are looked for."""
+
+    def numbers(names: Column, again: Column) -> Column:
+        before = lambda x, i: F.size(F.filter(F.slice(names, F.lit(1), i), lambda y: y == x))
+        return F.transform(names, lambda x, i: F.when(F.array_contains(again, x), before(x, i)).otherwise(0))
+
+    again = lambda ordered: F.filter(ordered, lambda x, i: x == F.get(ordered, i - 1))
+    some = lambda names: _held(F.sort_array(names), lambda ordered: _held(again(ordered), lambda x: numbers(names, x)))
+    return _held(names, lambda names: F.when(F.size(F.array_distinct(names)) == F.size(names), F.transform(names, lambda x: F.lit(0))).otherwise(some(names)))
+
+
+REGION = "array<struct<at:int,starts:boolean,section:string,block_name:string>>"
+
+
+def located(documents: DataFrame) -> DataFrame:
+    """A row for each document: file_id, data_section, outside (at, section, kind and line of the lines beside tables) and tables (section, tbl, at,
+    first: its two first lines with is_header, names, body: the rows' cells; and of all blocks of that table in the document: heads, dups, width,
+    whether it is the leading one, and the rows before it).
+
+    A document's lines are found and read within its row, so nothing is shuffled: a few lines mark where sections and blocks begin and
+    end, and all between two marks is alike."""
+    line_of = F.split(F.regexp_replace("text", "\r", "\n"), "\n")
+    rows = documents.select("file_id", F.filter(line_of, lambda x: x != "").alias("lines"))
+    marks = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda m: m["line"].startswith("#") | m["line"].endswith("_START") | m["line"].endswith("_END"))
+
+    def add(held: Column, mark: Column) -> Column:
+        line = mark["line"]
+        starts = line.endswith("_START")
+        edge = starts | line.endswith("_END")
+        block_name = F.when(starts, F.substring(line, F.lit(1), F.length(line) - 6)).when(edge, "").otherwise(held["block_name"])
+        name = F.when(line.startswith(MARKER), HEADER).when(line.startswith("#SUBJECT_SAMPLE_FACTORS:"), "SUBJECT_SAMPLE_FACTORS").otherwise(F.trim(F.substring(line, F.lit(2), F.length(line))))
+        section = F.when(line.startswith("#"), F.when(name == "NMR", "NM").otherwise(name)).otherwise(held["section"])
+        region = F.struct(mark["at"].alias("at"), starts.alias("starts"), section.alias("section"), block_name.alias("block_name"))
+        new = F.struct(block_name.alias("block_name"), section.alias("section"), F.array_append(held["out"], region).alias("out"))
+        return F.when((held["block_name"] != "") & ~edge, held).otherwise(new)  # a row of a table may begin with #
+
+    start = F.struct(F.lit("").alias("block_name"), F.lit(None).cast("string").alias("section"), F.array().cast(REGION).alias("out"))
+    rows = rows.select("file_id", "lines", F.aggregate(marks, start, add, lambda held: held["out"]).alias("r"))
+    held = lambda r, i: F.slice("lines", r["at"] + 1, F.coalesce(F.get("r", i + 1)["at"], F.size("lines")) - r["at"])
+    region = F.transform(
+        "r", lambda r, i: F.struct(r["at"].alias("at"), (r["starts"] & (r["block_name"] != "")).alias("table"), r["section"].alias("section"), r["block_name"].alias("block_name"), held(r, i).alias("lines"))
     )
-    place = F.row_number().over(Window.partitionBy("file_id", "block", "inside").orderBy("line_no")) - 1
-    return rows.withColumns({"kind": kind, "place": place})
+    rows = rows.select("file_id", region.alias("r"), F.get(F.filter("r", lambda r: r["section"].isin(*DATA_SECTIONS)), F.lit(0))["section"].alias("data_section"))
+    # METABOLITES belong to the document's data section
+    rows = rows.withColumn("r", F.filter("r", lambda r: r["section"].isNotNull() & ((r["section"] != "METABOLITES") | F.col("data_section").isNotNull())))
+    section = lambda r: F.when(r["section"] == "METABOLITES", F.col("data_section")).otherwise(r["section"])
+
+    def kind(line: Column) -> Column:
+        return (
+            F.when(line.startswith(MARKER), "header")
+            .when(line.startswith("#"), "section")
+            .when(line.startswith("SUBJECT_SAMPLE_FACTORS"), "ssf")
+            .when(line.endswith("_START") | line.endswith("_END"), "edge")
+            .when(line.contains("_RESULTS_FILE"), "results")
+            .otherwise("item")
+        )
+
+    beside = lambda r: F.slice(r["lines"], F.lit(1), F.when(r["table"], 1).otherwise(F.size(r["lines"])))
+    outside = F.flatten(F.transform("r", lambda r: F.transform(beside(r), lambda x, i: F.struct((r["at"] + i).alias("at"), section(r).alias("section"), kind(x).alias("kind"), x.alias("line")))))
+    rows = rows.withColumn("outside", F.filter(outside, lambda x: ~x["kind"].isin("section", "edge")))
+    sample = F.transform(F.filter("outside", lambda x: x["kind"] == "ssf"), lambda x: F.get(F.split(x["line"], "\t"), F.lit(2)))
+    rows = rows.withColumn("samples", F.array_distinct(F.array_compact(sample)))  # a document's own
+
+    # tables
+    tbl = lambda r: F.when(r["block_name"] == "METABOLITES", "Metabolites").when(r["block_name"].startswith("EXTENDED_"), "Extended").otherwise("Data")
+    table = F.transform(
+        F.filter("r", lambda r: r["table"] & (F.size(r["lines"]) > 1)),
+        lambda r: F.struct(section(r).alias("section"), tbl(r).alias("tbl"), r["at"].alias("at"), r["block_name"].alias("block_name"), F.transform(F.slice(r["lines"], F.lit(2), F.size(r["lines"])), _tokens).alias("rows")),
+    )
+    rows = rows.select("file_id", "data_section", "outside", "samples", table.alias("t"))
+    first = lambda t: F.transform(F.slice(t["rows"], 1, 2), lambda x: F.struct(x.alias("tokens"), _is_header(x, t["block_name"], F.col("samples")).alias("is_header")))
+    table = F.transform("t", lambda t: F.struct(t["section"].alias("section"), t["tbl"].alias("tbl"), t["at"].alias("at"), first(t).alias("first"), t["rows"].alias("rows")))
+    rows = rows.select("file_id", "data_section", "outside", table.alias("t"))
+    top = lambda t: F.get(t["rows"], F.lit(0))
+    names = lambda t: F.concat(F.array(F.lit("Metabolite")), F.slice(top(t), F.lit(2), F.greatest(F.size(top(t)), F.lit(1))))
+    body = lambda t: F.concat(F.transform(F.filter(t["first"], lambda x: ~x["is_header"]), lambda x: x["tokens"]), F.slice(t["rows"], F.lit(3), F.size(t["rows"])))
+    table = F.transform("t", lambda t: F.struct(t["section"].alias("section"), t["tbl"].alias("tbl"), t["at"].alias("at"), t["first"].alias("first"), names(t).alias("names"), body(t).alias("body")))
+    rows = rows.select("file_id", "data_section", "outside", table.alias("t"))
+    table = F.transform(
+        "t",
+        lambda t: F.struct(
+            t["section"].alias("section"), t["tbl"].alias("tbl"), t["at"].alias("at"), t["first"].alias("first"), t["names"].alias("names"), t["body"].alias("body"),
+            F.transform(t["names"], lambda x, i: F.struct(x.alias("column"), F.get(t["first"][0]["tokens"], i).alias("raw"))).alias("heads"),
+            F.when(F.size(t["body"]) > 0, F.greatest(F.size(t["names"]), F.array_max(F.transform(t["body"], F.size)))).otherwise(0).alias("width"),
+        ),
+    )
+    rows = rows.select("file_id", "data_section", "outside", table.alias("t"))
+    # of several blocks of a table, columns stand at the same places, and rows go on
+    peers = lambda t: F.filter("t", lambda x: x["tbl"] == t["tbl"])
+    most = lambda xs: F.array_max(F.transform(xs, lambda x: F.size(x["heads"])))
+    merged = lambda xs: F.transform(F.sequence(F.lit(0), most(xs) - 1), lambda i: F.array_min(F.transform(xs, lambda x: F.get(x["heads"], i))))
+    before = lambda t: F.aggregate(F.filter(peers(t), lambda x: x["at"] < t["at"]), F.lit(0), lambda n, x: n + F.size(x["body"]))
+    heads = lambda t: F.when(F.size(peers(t)) == 1, t["heads"]).otherwise(merged(peers(t)))
+    table = F.transform(
+        "t",
+        lambda t: F.struct(
+            t["section"].alias("section"), t["tbl"].alias("tbl"), t["at"].alias("at"), t["first"].alias("first"), t["names"].alias("names"), t["body"].alias("body"), heads(t).alias("heads"),
+            F.array_max(F.transform(peers(t), lambda x: x["width"])).alias("width"), (F.get(peers(t), F.lit(0))["at"] == t["at"]).alias("leads"), before(t).alias("before"),
+        ),
+    )
+    rows = rows.select("file_id", "data_section", "outside", table.alias("t"))
+    table = F.transform("t", lambda t: t.withField("dups", _repeats(F.transform(t["heads"], lambda x: x["column"]))))
+    return rows.select("file_id", "data_section", "outside", table.alias("tables"))
 
 
 def text_tables(documents: DataFrame) -> Tables:
-    """All tables of documents(file_id, text, error); those that are not text are left out. Their lines, which all tables are
-    made of, are located once, and the rows of their data tables read once; both are written to the shared folder."""
+    """All tables of documents(file_id, text, error); those that are not text are left out. Documents are located() once, which is written to
+    the shared folder; cells follow from it without a shuffle."""
     documents = documents.filter(F.col("error").isNull() & is_text(F.col("text")))
-    rows = stored(located(lines(documents)), "lines")
-    documents = documents.select("file_id")
+    found = stored(located(documents), "located")
+    rows = found.select("file_id", "data_section", F.inline("outside")).withColumnRenamed("at", "line_no")
     line, key_part = F.col("line"), F.split("line", "\t", 2)[0]
-    data = rows.filter(F.col("section").isin(*DATA_SECTIONS)).groupBy("file_id").agg(F.min_by("section", "line_no").alias("data_section"))
-    rows = rows.join(data, "file_id", "left")  # METABOLITES belong to the document's data section
-    section = F.when(F.col("section") == "METABOLITES", F.col("data_section")).otherwise(F.col("section"))
-    rows = rows.withColumn("section", section).filter("section IS NOT NULL")
 
     # items
     words = rows.filter("kind = 'header'").select("file_id", "section", "line_no", F.posexplode(F.split("line", "[ \t]")).alias("at", "word")).filter("word LIKE '%:%'")
@@ -130,48 +237,24 @@ def text_tables(documents: DataFrame) -> Tables:
     ssf = ssf.select("file_id", "idx", "subject_id", "sample_id", numbered(pairs(F.col("f"), ":", r"\| ")).alias("factors"), numbered(pairs(F.col("a"), "=", "; ")).alias("additional"))
 
     # tables
-    tokens = F.transform(F.split("line", "\t"), lambda x: F.btrim(x, F.lit('" ')))
-    used = F.array_max(F.transform(tokens, lambda x, i: F.when(x != "", i + 1).otherwise(0)))
-    table = F.when(F.col("block_name") == "METABOLITES", "Metabolites").when(F.col("block_name").startswith("EXTENDED_"), "Extended").otherwise("Data")
-    block = rows.filter("kind = 'row'").withColumns({"tokens": F.slice(tokens, F.lit(1), used), "tbl": table})
-    samples = ssf.groupBy("file_id").agg(F.collect_set("sample_id").alias("samples"))  # a document's own
-    block = block.join(samples, "file_id", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
-    block = block.withColumn("header", F.first("tokens").over(Window.partitionBy("file_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    first = F.get("tokens", F.lit(0))
-    known = F.arrays_overlap(F.slice("tokens", F.lit(2), F.greatest(F.size("tokens"), F.lit(1))), "samples")
-    named = first.isin("Samples", "metabolite name", "metabolite_name") & ((F.size("tokens") == 1) | (F.size("samples") == 0))
-    extended, binned = F.col("block_name").contains("EXTENDED"), F.col("block_name").contains("BINNED_DATA")
-    measured = F.col("block_name").contains("METABOLITE_DATA")
-    is_header = (
-        F.when(F.col("place") >= 2, F.lit(False))
-        .when(binned & ~extended, first == "Bin range(ppm)")
-        .when((first == "Factors") & measured, F.lit(True))
-        .when(measured & ~extended, known | named)
-        .otherwise(F.lower(first) == "metabolite_name")
-    )
-    block = block.withColumn("is_header", F.coalesce(is_header, F.lit(False)))
-    names = F.concat(F.array(F.lit("Metabolite")), F.slice("header", F.lit(2), F.greatest(F.size("header"), F.lit(1))))
-    block = block.withColumn("names", names).select("file_id", "section", "line_no", "place", "tbl", "tokens", "header", "names", "is_header")
-    block = stored(block, "rows")
-    body = block.filter("NOT is_header").withColumn("row", F.row_number().over(Window.partitionBy("file_id", "tbl").orderBy("line_no")) - 1)
-    width = F.greatest(F.size("names"), F.size("tokens"))
-    each = F.transform(
-        F.sequence(F.lit(0), width - 1),
-        lambda i: F.struct(F.coalesce(F.get("names", i), F.lit("")).alias("key"), F.coalesce(F.get("tokens", i), F.lit("")).alias("value")),
-    )
-    cells = body.select("file_id", "tbl", "row", F.posexplode(each).alias("pos", "x")).select("file_id", "tbl", "row", "pos", F.col("x.key").alias("column"), F.col("x.value").alias("value"))
+    block = found.select("file_id", F.inline("tables"))
+    body = block.select("file_id", "tbl", "before", "names", "dups", F.posexplode("body").alias("i", "tokens"))
+    lacks = F.greatest(F.size("names") - F.size("tokens"), F.lit(0))
+    values = F.when(lacks > 0, F.concat("tokens", F.array_repeat(F.lit(""), lacks))).otherwise(F.col("tokens"))
+    cells = body.select("file_id", "tbl", (F.col("before") + F.col("i")).alias("row"), "names", "dups", F.posexplode(values).alias("pos", "value"))
     # the number of equal names before a column follows from the header alone; cells beyond it have the empty name
-    columns = F.arrays_zip(F.col("names").alias("column"), F.slice("header", F.lit(1), F.size("names")).alias("raw"))
-    heads = block.filter("place = 0").select("file_id", "tbl", F.posexplode(columns).alias("pos", "x")).groupBy("file_id", "tbl", "pos").agg(F.min("x").alias("x"))
-    equal = Window.partitionBy("file_id", "tbl", "x.column").orderBy("pos")
-    heads = heads.select("file_id", "tbl", "pos", "x.raw", "x.column", (F.row_number().over(equal) - 1).alias("dup"), F.lit(True).alias("named"))
-    beyond = cells.join(heads.select("file_id", "tbl", "pos"), ["file_id", "tbl", "pos"], "left_anti").select("file_id", "tbl", "pos").distinct()
-    count = F.row_number().over(Window.partitionBy("file_id", "tbl").orderBy("pos")) - 1
-    beyond = beyond.select("file_id", "tbl", "pos", F.lit("").alias("raw"), F.lit("").alias("column"), count.alias("dup"), F.lit(False).alias("named"))
-    headers = heads.unionByName(beyond)
-    cells = cells.join(headers.select("file_id", "tbl", "pos", "dup"), ["file_id", "tbl", "pos"]).select("file_id", "tbl", "row", "pos", F.col("pos").alias("at"), "column", "dup", "value", F.lit(False).alias("raw"))
-    blocks = block.groupBy("file_id", "section", "tbl").agg(F.bool_or(~F.col("is_header") & (F.size("tokens") > F.size("names"))).alias("overflow"))
-    of_sample = block.filter(F.col("is_header") & (first == "Factors")).select("file_id", F.posexplode(F.arrays_zip(_rest("header").alias("s"), _rest("tokens").alias("f"))).alias("i", "z"))
+    dup = F.coalesce(F.get("dups", F.col("pos")), F.col("pos") - F.size("dups"))
+    cells = cells.select("file_id", "tbl", "row", "pos", F.col("pos").alias("at"), F.coalesce(F.get("names", F.col("pos")), F.lit("")).alias("column"), dup.alias("dup"), "value", F.lit(False).alias("raw"))
+    head = block.filter("leads").select("file_id", "tbl", "heads", "dups", "width")
+    named = F.transform("heads", lambda x, i: F.struct(i.alias("pos"), x["raw"].alias("raw"), x["column"].alias("column"), F.get("dups", i).alias("dup"), F.lit(True).alias("named")))
+    n = F.size("heads")
+    beyond = F.transform(F.sequence(n, F.col("width") - 1), lambda i: F.struct(i.alias("pos"), F.lit("").alias("raw"), F.lit("").alias("column"), (i - n).alias("dup"), F.lit(False).alias("named")))
+    headers = head.select("file_id", "tbl", F.inline(F.when(F.col("width") > n, F.concat(named, beyond)).otherwise(named)))
+    over = F.exists("body", lambda x: F.size(x) > F.size("names"))
+    blocks = block.select("file_id", "section", "tbl", over.alias("overflow")).groupBy("file_id", "section", "tbl").agg(F.bool_or("overflow").alias("overflow"))
+    top = block.select("file_id", F.col("first")[0]["tokens"].alias("header"), F.explode("first").alias("x"))
+    of_sample = top.filter(F.col("x.is_header") & (F.get("x.tokens", F.lit(0)) == "Factors")).select("file_id", "header", "x.tokens")
+    of_sample = of_sample.select("file_id", F.posexplode(F.arrays_zip(_rest("header").alias("s"), _rest("tokens").alias("f"))).alias("i", "z"))
     pair = of_sample.select("file_id", F.col("z.s").alias("sample_id"), F.posexplode(F.split("z.f", r"\| ")).alias("ord", "p"))
     factors = pair.select("file_id", "sample_id", "ord", F.trim(F.split("p", ":")[0]).alias("key"), F.trim(F.get(F.split("p", ":"), F.lit(1))).alias("value"))
 
@@ -182,6 +265,6 @@ def text_tables(documents: DataFrame) -> Tables:
     faults = every.filter("bad").join(lines_of, ["file_id", "line_no"]).select("file_id", F.concat(F.lit("No tab, or not one value, in: "), "text").alias("bad"))
     faults = faults.unionByName(bad_ssf.filter("bad IS NOT NULL").select("file_id", F.concat(F.lit("A separator is missing or doubled near: "), "bad").alias("bad")))
     faults = faults.groupBy("file_id").agg(F.min("bad").alias("error"))
-    files = documents.select("file_id", F.lit("text").alias("input_format")).join(data, "file_id", "left").join(faults, "file_id", "left")
+    files = found.select("file_id", F.lit("text").alias("input_format"), "data_section").join(faults, "file_id", "left")
     files = files.select("file_id", "input_format", "data_section", "error")
     return Tables(files, items, ssf, headers, cells, factors, blocks, results)
