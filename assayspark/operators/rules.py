@@ -45,17 +45,18 @@ def equal_rows_of_cells(cells: DataFrame, by: list[str], row: str, column: str,
     """by, row and first of rows, given as cells, that have the columns and values of an earlier one (the first such).
 
     A row becomes a fingerprint of 128 bits: two sums of hashes of its cells, which tasks add up in any order, so no row is
-    gathered, however many columns it has. Rows that share one are then held against the first of them cell by cell.
+    gathered, however many columns it has. Rows that share one are then held against the first of them cell by cell; a row may hold a
+    column, and a value in it, several times, so equal cells are counted first.
     """
     h = [F.xxhash64(F.lit(seed), F.col(column), F.col(value).isNull(), F.col(value)).cast("decimal(20, 0)") for seed in (0, 1)]
     prints = cells.groupBy(*by, row).agg(F.count("*").alias("n"), F.sum(h[0]).alias("a"), F.sum(h[1]).alias("b"))
     shared = prints.groupBy(*by, "n", "a", "b").agg(F.min(row).alias("first"), F.max(row).alias("last")).filter("first < last").drop("last")
     again = prints.join(shared, [*by, "n", "a", "b"]).filter(F.col(row) > F.col("first")).select(*by, row, "first", "n")
-    held = cells.select(*by, row, column, value)
+    held = cells.groupBy(*by, row, column, value).agg(F.count("*").alias("times"))
     mine = held.join(again, [*by, row])
-    firsts = held.join(again.select(*by, F.col("first").alias(row)).distinct(), [*by, row], "left_semi").withColumnsRenamed({row: "first", value: "other"})
-    same = mine.join(firsts, [*by, "first", column]).filter(F.col(value).eqNullSafe(F.col("other")))
-    return same.groupBy(*by, row, "first", "n").agg(F.count("*").alias("same")).filter("same = n").select(*by, row, "first")
+    firsts = held.join(again.select(*by, F.col("first").alias(row)).distinct(), [*by, row], "left_semi").withColumnsRenamed({row: "first", value: "other", "times": "others"})
+    same = mine.join(firsts, [*by, "first", column]).filter(F.col(value).eqNullSafe(F.col("other")) & (F.col("times") == F.col("others")))
+    return same.groupBy(*by, row, "first", "n").agg(F.sum("times").alias("same")).filter("same = n").select(*by, row, "first")
 
 
 def blank(rows: DataFrame, column: str, na: tuple[str, ...]) -> DataFrame:
