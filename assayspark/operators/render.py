@@ -93,7 +93,7 @@ def text_lines(t: Tables) -> DataFrame:
     names = tables.join(names, ["file_id", "tbl"], "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     out = out.unionByName(lines(names, F.array_join(F.concat(F.array(first), "names"), "\t"), _place(section), k + 2))
     out = out.unionByName(lines(_factor_lines(t, names.filter("tbl = 'Data' AND section <> 'NMR_BINNED_DATA'")), F.col("line"), _place(section), F.lit(13)))
-    rows = filled(t).groupBy("file_id", "tbl", "row").agg(F.array_join(F.transform(_sorted("value", "pos"), lambda v: F.coalesce(v, F.lit(""))), "\t").alias("line"))
+    rows = filled(t).select("file_id", "tbl", "row", F.array_join("values", "\t").alias("line"))
     out = out.unionByName(lines(_data_section(t, rows), F.col("line"), _place(section), k + 4, F.col("row")))
     return out.unionByName(lines(heads, F.lit("#END"), F.lit(LAST + 1)))
 
@@ -124,13 +124,14 @@ def _factor_lines(t: Tables, names: DataFrame) -> DataFrame:
 
 
 def filled(t: Tables) -> DataFrame:
-    """file_id, tbl, row, pos and value: the cells, and an empty one for each column that a row lacks."""
+    """file_id, tbl, row and values: a row's cells in the order of the table's columns, an empty one for each column that it lacks. What a row lacks is
+    filled in within the row."""
     width = t.headers.groupBy("file_id", "tbl").agg((F.max("pos") + 1).alias("width"))
-    cells = t.cells.select("file_id", "tbl", "row", "pos", "value")
-    short = cells.groupBy("file_id", "tbl", "row").agg(F.count("*").alias("n")).join(width, ["file_id", "tbl"]).filter("n < width")
-    held = cells.join(short, ["file_id", "tbl", "row"]).groupBy("file_id", "tbl", "row", "width").agg(F.collect_list("pos").alias("held"))
-    lacks = F.array_except(F.sequence(F.lit(0), F.col("width") - 1), "held")
-    return cells.unionByName(held.select("file_id", "tbl", "row", F.explode(lacks).alias("pos"), F.lit("").alias("value")))
+    rows = t.cells.groupBy("file_id", "tbl", "row").agg(F.collect_list(F.struct("pos", "value")).alias("cells")).join(width, ["file_id", "tbl"], "left")
+    lacks = F.array_except(F.sequence(F.lit(0), F.col("width") - 1), F.transform("cells", lambda x: x["pos"]))
+    whole = F.concat("cells", F.transform(lacks, lambda i: F.struct(i.alias("pos"), F.lit("").alias("value"))))
+    whole = F.sort_array(F.when(F.size("cells") < F.col("width"), whole).otherwise(F.col("cells")))
+    return rows.select("file_id", "tbl", "row", F.transform(whole, lambda x: F.coalesce(x["value"], F.lit(""))).alias("values"))
 
 
 def to_text(t: Tables) -> DataFrame:
