@@ -83,8 +83,17 @@ def measurements(t: Tables, conditions: list[ItemIs] | None = None) -> DataFrame
     return rows.select("metabolite", "study_id", "analysis_id", "sample_id").distinct()
 
 
-def metabolite_counts(found: DataFrame) -> DataFrame:
-    """metabolite_name, num-studies, num_analyses and num_samples; each level sums the one below it."""
+#: Measurements that a task counts, where their number is known.
+COUNTED_AT_ONCE = 250_000
+
+
+def metabolite_counts(found: DataFrame, most: int | None = None) -> DataFrame:
+    """metabolite_name, num-studies, num_analyses and num_samples; each level sums the one below it. most: found may hold measurements
+    several times, about so many rows; they are dealt by metabolite and study, so that a task has about COUNTED_AT_ONCE of them
+    however many there are, and all levels but the last follow there without a further shuffle."""
+    if most is not None:
+        parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), most // COUNTED_AT_ONCE + 1)
+        found = found.select("metabolite", "study_id", "analysis_id", "sample_id").repartition(parts, "metabolite", "study_id").distinct()
     analyses = found.groupBy("metabolite", "study_id", "analysis_id").agg(F.count("*").alias("n"))
     studies = analyses.groupBy("metabolite", "study_id").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
     return studies.groupBy(F.col("metabolite").alias("metabolite_name")).agg(F.count("*").alias("num-studies"), F.sum("k").alias("num_analyses"), F.sum("n").alias("num_samples"))

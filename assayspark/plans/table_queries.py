@@ -49,7 +49,7 @@ def query(name: str, sql: str | None = None):
 )
 def extract_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts studies, analyses and samples with a positive measurement, for each metabolite (here: part)."""
-    counts = metabolite_counts(_measured(spark, sf_dir).select("metabolite", "study_id", "analysis_id", "sample_id").distinct())
+    counts = metabolite_counts(_measured(spark, sf_dir), most=table(spark, sf_dir, "lineitem").count())
     return counts.withColumnsRenamed({"metabolite_name": "metabolite", "num-studies": "num_studies"})
 
 
