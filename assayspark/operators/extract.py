@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayspark.functions.columns import positive
-from assayspark.model import HEADER, Tables
+from assayspark.model import HEADER, Tables, stored
 from assayspark.operators.rules import value_sets
 
 #: Two-letter codes of conditions such as `SU:SUBJECT_TYPE`. Fixed values.
@@ -71,10 +71,16 @@ def matching(files: DataFrame, items: DataFrame, conditions: list[ItemIs]) -> Da
     return files
 
 
-def measurements(t: Tables, conditions: list[ItemIs] | None = None) -> DataFrame:
-    """metabolite, study_id, analysis_id and sample_id of every positive measurement, once each."""
+def measurements(t: Tables, conditions: list[ItemIs] | None = None, values: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """metabolite, study_id, analysis_id and sample_id of every positive measurement, once each. values: gives, of the files with a file_id, the
+    cells beside their rows' metabolites (as parse_text.text_values does), in place of t.cells, which are joined for that; it may then
+    leave all other documents unread."""
     files = matching(t.files.filter("error IS NULL"), t.items, conditions or []).select("file_id")
     ids = t.items.filter(F.col("section") == HEADER).groupBy("file_id").agg(*(F.max(F.when(F.col("key") == k, F.col("value"))).alias(k.lower()) for k in ("STUDY_ID", "ANALYSIS_ID")))
+    if values is not None:
+        wanted = stored(files.distinct().join(ids, "file_id", "left"), "wanted")
+        rows = values(wanted.select("file_id")).filter("tbl = 'Data' AND column <> 'Metabolite' AND dup = 0").filter(positive(F.col("value")))
+        return rows.join(wanted, "file_id").select("metabolite", "study_id", "analysis_id", F.col("column").alias("sample_id")).distinct()
     cells = t.cells.filter("tbl = 'Data'")
     names = cells.filter("column = 'Metabolite' AND dup = 0").select("file_id", "row", F.col("value").alias("metabolite"))
     # of a sample that has several columns, the first is read

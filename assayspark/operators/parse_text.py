@@ -197,11 +197,32 @@ def located(documents: DataFrame) -> DataFrame:
     return rows.select("file_id", "data_section", "outside", table.alias("tables"))
 
 
-def text_tables(documents: DataFrame) -> Tables:
+def _rows_of(block: DataFrame) -> DataFrame:
+    """file_id, tbl, row, names, dups and values: the rows of located() tables, as long as the names at least."""
+    body = block.select("file_id", "tbl", "before", "names", "dups", F.posexplode("body").alias("i", "tokens"))
+    lacks = F.greatest(F.size("names") - F.size("tokens"), F.lit(0))
+    values = F.when(lacks > 0, F.concat("tokens", F.array_repeat(F.lit(""), lacks))).otherwise(F.col("tokens"))
+    return body.select("file_id", "tbl", (F.col("before") + F.col("i")).alias("row"), "names", "dups", values.alias("values"))
+
+
+def text_values(documents: DataFrame) -> DataFrame:
+    """file_id, tbl, row, metabolite, column, dup and value: the cells of documents(file_id, text, error) that are not empty, each beside the
+    metabolite of its row, which is looked up within the row. Those that are not text are left out. Tables are written to the shared folder first."""
+    documents = documents.filter(F.col("error").isNull() & is_text(F.col("text")))
+    rows = _rows_of(stored(located(documents), "located").select("file_id", F.inline("tables")))
+    cell = lambda x, i: F.struct(F.coalesce(F.get("names", i), F.lit("")).alias("column"), F.coalesce(F.get("dups", i), i - F.size("dups")).alias("dup"), x.alias("value"))
+    rows = rows.select("file_id", "tbl", "row", F.filter(F.transform("values", cell), lambda x: (x["value"] != "") | (x["column"] == "Metabolite")).alias("cells"))
+    is_name = lambda x: (x["column"] == "Metabolite") & (x["dup"] == 0)
+    names = F.transform(F.filter("cells", is_name), lambda x: x["value"])
+    rows = rows.select("file_id", "tbl", "row", F.explode(names).alias("metabolite"), F.filter("cells", lambda x: ~is_name(x) & (x["value"] != "")).alias("cells"))
+    return rows.select("file_id", "tbl", "row", "metabolite", F.inline("cells"))
+
+
+def text_tables(documents: DataFrame, store_tables: bool = True) -> Tables:
     """All tables of documents(file_id, text, error); those that are not text are left out. Documents are located() once, which is written to
-    the shared folder; cells follow from it without a shuffle."""
+    the shared folder; cells follow from it without a shuffle. store_tables=False: only the lines beside tables are written, for callers who read few tables."""
     documents = documents.filter(F.col("error").isNull() & is_text(F.col("text")))
-    found = stored(located(documents), "located")
+    found = stored(located(documents) if store_tables else located(documents).drop("tables"), "located")
     rows = found.select("file_id", "data_section", F.inline("outside")).withColumnRenamed("at", "line_no")
     line, key_part = F.col("line"), F.split("line", "\t", 2)[0]
 
@@ -237,11 +258,8 @@ def text_tables(documents: DataFrame) -> Tables:
     ssf = ssf.select("file_id", "idx", "subject_id", "sample_id", numbered(pairs(F.col("f"), ":", r"\| ")).alias("factors"), numbered(pairs(F.col("a"), "=", "; ")).alias("additional"))
 
     # tables
-    block = found.select("file_id", F.inline("tables"))
-    body = block.select("file_id", "tbl", "before", "names", "dups", F.posexplode("body").alias("i", "tokens"))
-    lacks = F.greatest(F.size("names") - F.size("tokens"), F.lit(0))
-    values = F.when(lacks > 0, F.concat("tokens", F.array_repeat(F.lit(""), lacks))).otherwise(F.col("tokens"))
-    cells = body.select("file_id", "tbl", (F.col("before") + F.col("i")).alias("row"), "names", "dups", F.posexplode(values).alias("pos", "value"))
+    block = (found if store_tables else located(documents)).select("file_id", F.inline("tables"))
+    cells = _rows_of(block).select("file_id", "tbl", "row", "names", "dups", F.posexplode("values").alias("pos", "value"))
     # the number of equal names before a column follows from the header alone; cells beyond it have the empty name
     dup = F.coalesce(F.get("dups", F.col("pos")), F.col("pos") - F.size("dups"))
     cells = cells.select("file_id", "tbl", "row", "pos", F.col("pos").alias("at"), F.coalesce(F.get("names", F.col("pos")), F.lit("")).alias("column"), dup.alias("dup"), "value", F.lit(False).alias("raw"))
