@@ -1,9 +1,10 @@
 """A table function for SQL: the rows of a table of each document.
 
     spark.udtf.register("assay_rows", AssayRows)
-    SELECT * FROM assay_rows(TABLE(documents) PARTITION BY (file_id), 'cells')
+    SELECT * FROM assay_rows(TABLE(documents), 'cells')
 
-The table has columns file_id and text; further ones are ignored. Documents are read one at a time, so that PARTITION BY is the caller's choice.
+The table has columns file_id and text; further ones are ignored. Documents are read one at a time, so that PARTITION BY
+is not needed: it would shuffle and sort the texts. Beside the tables there are 'values', the cells that are not empty, each with its row's metabolite.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, Row, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from assayspark.functions.one_document import SCHEMAS, rows_of
+from assayspark.functions.one_document import READ, rows_of
 from assayspark.model import PAIRS
 
 
@@ -35,9 +36,9 @@ class AssayRows:
     def analyze(documents: AnalyzeArgument, table: AnalyzeArgument) -> AnalyzeResult:
         if not documents.isTable or not {"file_id", "text"} <= set(documents.dataType.fieldNames()):
             raise ValueError("the first argument must be a table with file_id and text")
-        if table.value not in SCHEMAS:
-            raise ValueError(f"{table.value} is none of {', '.join(SCHEMAS)}")
-        return AnalyzeResult(_schema(SCHEMAS[table.value]))
+        if table.value not in READ:
+            raise ValueError(f"{table.value} is none of {', '.join(READ)}")
+        return AnalyzeResult(_schema(READ[table.value]))
 
     def eval(self, document: Row, table: str) -> Iterator[tuple]:
         """A document without text, or that can't be read, has no rows."""
