@@ -1,7 +1,7 @@
 """The data source `assaytab`: documents in files and archives, read in tasks of about equal bytes, and written all or not at all.
 
     spark.dataSource.register(AssayTab)
-    spark.read.format("assaytab").option("table", "cells").load("folder")       # documents, items, ssf or cells
+    spark.read.format("assaytab").option("table", "cells").load("folder")       # documents, items, ssf, cells or values
     texts.write.format("assaytab").option("archive", "zip").mode("overwrite").save("all.zip")
 
 Reading. A zip archive's central directory and a tar archive's chain of headers are read first, and their members become ranges of
@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
 
-from assayspark.functions.one_document import SCHEMAS, rows_of
+from assayspark.functions.one_document import READ, rows_of
 from assayspark.sources.files import READ_IN_FOLDERS
 
 DOCUMENTS = "text string, error string"
@@ -140,7 +140,7 @@ class Reader(DataSourceReader):
 
     def chosen_by(self) -> tuple[str, ...]:
         """Columns by whose value files are left unread, or lines unparsed."""
-        return {"items": ("file_id", "section"), "cells": ("file_id", "tbl")}.get(self.table, ("file_id",))
+        return {"items": ("file_id", "section"), "cells": ("file_id", "tbl"), "values": ("file_id", "tbl")}.get(self.table, ("file_id",))
 
     def partitions(self) -> list[Units]:
         only = self.wanted.get("file_id")
@@ -335,12 +335,12 @@ class AssayTab(DataSource):
 
     def _table(self) -> str:
         table = self.options.get("table", "documents")
-        if table != "documents" and table not in SCHEMAS:
-            raise ValueError(f"{table} is none of documents, {', '.join(SCHEMAS)}")
+        if table != "documents" and table not in READ:
+            raise ValueError(f"{table} is none of documents, {', '.join(READ)}")
         return table
 
     def schema(self) -> str:
-        return f"file_id string, {SCHEMAS.get(self._table(), DOCUMENTS)}"
+        return f"file_id string, {READ.get(self._table(), DOCUMENTS)}"
 
     def reader(self, schema: object) -> Reader:
         kind = FilteredReader if self.options.get("filters", "false") == "true" else Reader
