@@ -36,6 +36,10 @@ class Tables:
     factors:  file_id, sample_id, ord, key, value      the factors that a data table repeats
     blocks:   file_id, section, tbl, overflow (a row is longer than the header)
     results:  file_id, section, filename, units, has_mz, has_rt, rt_units
+
+    Beside them, where documents were read as text (else None; lost where tables are replaced or cells are written):
+    grids:    file_id, tbl, names, dups, values      tables of one block without overflow: the columns, and the values of each row, one for each column
+    others:   as cells, those that are in no grid
     """
 
     files: DataFrame
@@ -47,8 +51,17 @@ class Tables:
     blocks: DataFrame
     results: DataFrame
 
+    grids = others = None  # no fields, so that replace() drops them
+
+    def with_grids(self, grids: DataFrame | None, others: DataFrame | None) -> Tables:
+        self.grids, self.others = grids, others
+        return self
+
     def union(self, other: Tables) -> Tables:
-        return Tables(*(getattr(self, f.name).unionByName(getattr(other, f.name)) for f in fields(self)))
+        out = Tables(*(getattr(self, f.name).unionByName(getattr(other, f.name)) for f in fields(self)))
+        grids = [x.grids for x in (self, other) if x.grids is not None]
+        loose = [x.cells if x.others is None else x.others for x in (self, other)]
+        return out.with_grids(grids[0] if len(grids) == 1 else grids[0].unionByName(grids[1]), loose[0].unionByName(loose[1])) if grids else out
 
     def save(self, folder: str, *names: str) -> Tables:
         """Writes all tables, or those that are named, as Parquet and reads them back, so that texts are parsed once. Others stay as they are."""
@@ -60,7 +73,8 @@ class Tables:
                 continue
             df.write.mode("overwrite").parquet(f"{folder}/{f.name}")
             out.append(spark.read.schema(df.schema).parquet(f"{folder}/{f.name}"))
-        return Tables(*out)
+        kept = Tables(*out)
+        return kept.with_grids(self.grids, self.others) if names and "cells" not in names else kept
 
     def kept(self, *names: str) -> Tables:
         """save() to a new folder of shared_folder()."""

@@ -127,4 +127,4 @@ def placed(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def is_json(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+", "").startswith("{")
+    return F.rlike(text, F.lit(r"^\s*\{"))

@@ -17,7 +17,7 @@ def along() -> WindowSpec:
 
 
 def is_text(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\r\n]+", "").startswith(MARKER)
+    return F.rlike(text, F.lit(rf"^[\r\n]*{MARKER}"))
 
 
 def lines(documents: DataFrame) -> DataFrame:
@@ -205,6 +205,14 @@ def _rows_of(block: DataFrame) -> DataFrame:
     return body.select("file_id", "tbl", (F.col("before") + F.col("i")).alias("row"), "names", "dups", values.alias("values"))
 
 
+def _cells_of(block: DataFrame) -> DataFrame:
+    """The cells of located() tables, as in Tables."""
+    cells = _rows_of(block).select("file_id", "tbl", "row", "names", "dups", F.posexplode("values").alias("pos", "value"))
+    # the number of equal names before a column follows from the header alone; cells beyond it have the empty name
+    dup = F.coalesce(F.get("dups", F.col("pos")), F.col("pos") - F.size("dups"))
+    return cells.select("file_id", "tbl", "row", "pos", F.col("pos").alias("at"), F.coalesce(F.get("names", F.col("pos")), F.lit("")).alias("column"), dup.alias("dup"), "value", F.lit(False).alias("raw"))
+
+
 def text_values(documents: DataFrame) -> DataFrame:
     """file_id, tbl, row, metabolite, column, dup and value: the cells of documents(file_id, text, error) that are not empty, each beside the
     metabolite of its row, which is looked up within the row. Those that are not text are left out. Tables are written to the shared folder first."""
@@ -258,11 +266,16 @@ def text_tables(documents: DataFrame, store_tables: bool = True) -> Tables:
     ssf = ssf.select("file_id", "idx", "subject_id", "sample_id", numbered(pairs(F.col("f"), ":", r"\| ")).alias("factors"), numbered(pairs(F.col("a"), "=", "; ")).alias("additional"))
 
     # tables
-    block = (found if store_tables else located(documents)).select("file_id", F.inline("tables"))
-    cells = _rows_of(block).select("file_id", "tbl", "row", "names", "dups", F.posexplode("values").alias("pos", "value"))
-    # the number of equal names before a column follows from the header alone; cells beyond it have the empty name
-    dup = F.coalesce(F.get("dups", F.col("pos")), F.col("pos") - F.size("dups"))
-    cells = cells.select("file_id", "tbl", "row", "pos", F.col("pos").alias("at"), F.coalesce(F.get("names", F.col("pos")), F.lit("")).alias("column"), dup.alias("dup"), "value", F.lit(False).alias("raw"))
+    found_tables = found if store_tables else located(documents)
+    block = found_tables.select("file_id", F.inline("tables"))
+    cells = _cells_of(block)
+    width = F.array_max(F.transform("body", F.size))
+    alone = lambda t: F.size(F.filter("tables", lambda x: x["tbl"] == t["tbl"])) == 1
+    each = found_tables.select("file_id", F.inline(F.transform("tables", lambda t: t.withField("alone", alone(t)))))
+    is_grid = F.col("alone") & F.coalesce(width <= F.size("names"), F.lit(False))
+    filled = lambda x: F.concat(x, F.array_repeat(F.lit(""), F.size("names") - F.size(x)))
+    grids = each.filter(is_grid).select("file_id", "tbl", "names", "dups", F.transform("body", lambda x: F.when(F.size(x) == F.size("names"), x).otherwise(filled(x))).alias("values"))
+    others = _cells_of(each.filter(~is_grid))
     head = block.filter("leads").select("file_id", "tbl", "heads", "dups", "width")
     named = F.transform("heads", lambda x, i: F.struct(i.alias("pos"), x["raw"].alias("raw"), x["column"].alias("column"), F.get("dups", i).alias("dup"), F.lit(True).alias("named")))
     n = F.size("heads")
@@ -285,4 +298,4 @@ def text_tables(documents: DataFrame, store_tables: bool = True) -> Tables:
     faults = faults.groupBy("file_id").agg(F.min("bad").alias("error"))
     files = found.select("file_id", F.lit("text").alias("input_format"), "data_section").join(faults, "file_id", "left")
     files = files.select("file_id", "input_format", "data_section", "error")
-    return Tables(files, items, ssf, headers, cells, factors, blocks, results)
+    return Tables(files, items, ssf, headers, cells, factors, blocks, results).with_grids(grids, others)

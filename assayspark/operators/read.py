@@ -19,7 +19,7 @@ from assayspark.sources.files import read_documents
 def to_tables(documents: DataFrame, force: bool = False, on_error: str = "row") -> Tables:
     """The tables of documents(file_id, text, error). Documents that can't be read are rows of files with an error; with
     on_error="raise", reading the table of files fails at the first of them."""
-    blank = F.coalesce(F.trim(F.regexp_replace("text", r"\s", "")), F.lit("")) == ""
+    blank = ~F.coalesce(F.rlike("text", F.lit(r"\S")), F.lit(False))
     known = is_text(F.col("text")) | is_json(F.col("text"))
     why = F.coalesce("error", F.when(blank, "Blank document.").otherwise("Unknown file format."))
     bad = documents.filter(F.col("error").isNotNull() | blank | ~known)
@@ -28,7 +28,7 @@ def to_tables(documents: DataFrame, force: bool = False, on_error: str = "row")
     files = good.files.unionByName(bad)
     if on_error == "raise":
         files = files.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat("file_id", F.lit(": "), "error")).cast("string")))
-    return replace(good, files=files)
+    return replace(good, files=files).with_grids(good.grids, good.others)
 
 
 def read_tables(spark: SparkSession, *paths: str, force: bool = False, on_error: str = "row") -> Tables:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from assayspark.functions.columns import missing
 from assayspark.functions.finders import FINDERS, Finder, may_hold
 from assayspark.functions.na import COLUMN_NA, METABOLITE_NA, SCHEMA_NA
-from assayspark.model import Tables, stored
+from assayspark.model import TABLES, Tables, stored
 from assayspark.operators import rules
 
 #: Names of headers that turn up as metabolite names. Fixed values.
@@ -64,6 +65,10 @@ ISSUE = "file_id string, id int, name string, severity string, tags array<string
 CHECKS: dict[int, Callable[..., DataFrame]] = {}
 #: Checks that also take the column finders.
 BY_FINDERS: set[int] = set()
+#: Checks of metabolites' names, of standard columns, and all that look at cells. Fixed values.
+OF_LISTS = {9, 10, 11, 12, 13, 14, 21, 23, 33, 36}
+OF_STANDARDS = {15, 16, 17, 18, 19, 20, 31}
+OF_CELLS = OF_LISTS | {16, 18, 22, 25, 27, 28, 29, 31, 35}
 
 
 def check(number: int, by_finders: bool = False):
@@ -86,10 +91,114 @@ def issue(rows: DataFrame, n: int, section: str | Column, sub_section: str | Col
     )
 
 
-def names(t: Tables, table: str) -> DataFrame:
+@dataclass
+class Shared(Tables):
+    """Tables with what several checks read; issues() makes it, and writes it to the shared folder where it stores.
+
+    digest:   file_id, tbl, names, columns, equal_rows    one row for each grid, see digest()
+    lists:    file_id, Data, Metabolites, Extended        the metabolites of each table's rows (row and name, in order); null without the table
+    standard: as standard_columns()
+    """
+
+    digest: DataFrame | None = None
+    lists: DataFrame | None = None
+    standard: DataFrame | None = None
+
+    @property
+    def loose(self) -> DataFrame:
+        """The cells that are in no digest."""
+        return self.cells if self.others is None else self.others
+
+
+def digest(grids: DataFrame) -> DataFrame:
+    """file_id, tbl, names (row and name), columns (pos, column, dup, empty, uniform and the values of rows) and equal_rows of grids: what checks look for in cells,
+    found within a table's row. Of Data, whose columns are samples, only the columns that a check reports are kept, without values."""
+    n = F.size("values")
+    count = lambda ordered, x: F.size(ordered) - F.size(F.array_remove(ordered, x))
+    middle = lambda ordered: F.get(ordered, F.floor(n / 2).cast("int"))
+    last = lambda ordered: F.get(ordered, n - 1)
+    # a value that most rows have stands in the middle, too
+    uniform = lambda ordered: (count(ordered, middle(ordered)) / n > rules.ONE_VALUE) & (F.get(ordered, F.lit(0)) != last(ordered))
+    empty = lambda ordered: last(ordered).isin(*COLUMN_NA) & F.forall(ordered, lambda x: x.isin(*COLUMN_NA))
+
+    def column(name: Column, i: Column) -> Column:
+        values = F.transform("values", lambda row: F.get(row, i))
+        found = lambda values, ordered: F.struct(
+            i.alias("pos"), name.alias("column"), F.get("dups", i).alias("dup"), ((name != "Metabolite") & empty(ordered)).alias("empty"), ((name != "Metabolite") & uniform(ordered)).alias("uniform"),
+            F.when(F.col("tbl") != "Data", values).alias("values"),
+        )
+        return F.transform(F.transform(F.array(values), lambda v: F.struct(v.alias("v"), F.sort_array(v).alias("ordered"))), lambda x: found(x["v"], x["ordered"]))[0]
+
+    columns = F.filter(F.transform("names", column), lambda c: (F.col("tbl") != "Data") | c["empty"] | c["uniform"])
+    names = F.transform("values", lambda row, i: F.struct(i.alias("row"), F.get(row, F.lit(0)).alias("name")))
+    whole = F.transform("values", lambda row: F.array_join(row, "\t"))  # no value holds a tab
+    return grids.select("file_id", "tbl", names.alias("names"), columns.alias("columns"), (F.size(F.array_distinct(whole)) < n).alias("equal_rows"))
+
+
+def _lists(digest: DataFrame | None, loose: DataFrame) -> DataFrame:
+    """Shared.lists."""
+    named = loose.filter(F.col("column").isin("Metabolite", "metabolite_name") & (F.col("dup") == 0)).groupBy("file_id", "tbl", "row").agg(F.min_by("value", "pos").alias("name"))
+    rows = loose.select("file_id", "tbl").distinct().join(named, ["file_id", "tbl"], "left").groupBy("file_id", "tbl")
+    rows = rows.agg(F.sort_array(F.collect_list(F.when(F.col("row").isNotNull(), F.struct("row", "name")))).alias("names"))
+    if digest is not None:
+        rows = rows.unionByName(digest.select("file_id", "tbl", "names"))
+    return rows.groupBy("file_id").agg(*(F.first(F.when(F.col("tbl") == x, F.col("names")), ignorenulls=True).alias(x) for x in TABLES))
+
+
+def shared(t: Tables, finders: dict[str, Finder] | None = None, numbers: tuple[int, ...] | None = None, store: bool = False) -> Shared:
+    """t with what the checks of these numbers share."""
+    keep = stored if store else lambda df, name: df
+    out = Shared(*(getattr(t, f.name) for f in fields(Tables)))
+    out.with_grids(t.grids, t.others)
+    wanted = lambda some: numbers is None or bool(some & set(numbers))
+    if t.grids is not None and wanted(OF_CELLS):
+        out.digest = keep(digest(t.grids), "digest")
+        out.others = keep(t.others, "others")
+    if wanted(OF_LISTS):
+        out.lists = keep(_lists(out.digest, out.loose), "lists")
+    if wanted(OF_STANDARDS):
+        out.standard = keep(standard_columns(t, finders), "standard")
+    return out
+
+
+def cells_of(t: Shared, table: str, places: DataFrame | None = None, on: str = "pos") -> DataFrame:
+    """file_id, row, pos, column, dup and value: the cells of a table that is not Data; places: only those, by file_id and on, with their further columns."""
+    rest = t.loose.filter(F.col("tbl") == table).select("file_id", "row", "pos", "column", "dup", "value")
+    join = lambda df: df if places is None else df.join(places.drop(*({"column", "dup"} - {on})), ["file_id", on])
+    if t.digest is None:
+        return join(rest)
+    grids = join(t.digest.filter(F.col("tbl") == table).select("file_id", F.explode("columns").alias("c")).select("file_id", "c.pos", "c.column", "c.dup", "c.values"))
+    cells = grids.select("*", F.posexplode("values").alias("row", "value")).drop("values")
+    return cells.unionByName(join(rest))
+
+
+def names(t: Shared, table: str) -> DataFrame:
     """file_id, row and name: the metabolite of each row of a table."""
-    rows = t.cells.filter((F.col("tbl") == table) & (F.col("column").isin("Metabolite", "metabolite_name")) & (F.col("dup") == 0))
-    return rows.groupBy("file_id", "row").agg(F.min_by("value", "pos").alias("name"))
+    return t.lists.select("file_id", F.inline(table))
+
+
+def _named(t: Shared, *tables: str) -> DataFrame:
+    """file_id, x and y: the metabolites of one or two tables, for documents that have the first of them."""
+    both = (F.coalesce(F.col(n)["name"], F.array().cast("array<string>")).alias(a) for n, a in zip(tables, "xy", strict=False))
+    return t.lists.filter(F.col(tables[0]).isNotNull()).select("file_id", *both)
+
+
+def _absent(rows: DataFrame) -> DataFrame:
+    """file_id and found: of rows(file_id, x, y), the names (stripped) of x that are not in y, as listed() has them; a null name never is."""
+    rows = rows.select("file_id", *(F.transform(c, lambda v: F.trim(v)).alias(c) for c in "xy"))
+    rows = rows.select("file_id", "x", F.sort_array(F.array_except(F.array_compact("x"), "y")).alias("absent"))
+    return rows.filter((F.size("absent") > 0) | F.exists("x", F.isnull)).select("file_id", F.array_join("absent", ", ").alias("found"))
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """file_id and found: of rows(file_id, x), the names that stand in x more than once, as listed() has them."""
+    rows = rows.filter(F.size(F.array_distinct("x")) < F.size("x")).select("file_id", F.sort_array(F.array_compact("x")).alias("x"))
+    return rows.select("file_id", F.array_join(F.array_distinct(F.filter("x", lambda v, i: v == F.get("x", i - 1))), ", ").alias("found"))
+
+
+def _with_blank(rows: DataFrame) -> DataFrame:
+    """file_id of rows(file_id, x) that have a name which is missing."""
+    return rows.filter(F.exists("x", lambda v: missing(v, METABOLITE_NA))).select("file_id")
 
 
 def listed(rows: DataFrame, value: str) -> DataFrame:
@@ -127,10 +236,10 @@ def bad_headers(t: Tables) -> DataFrame:
 def factor_mismatch(t: Tables) -> DataFrame:
     """Factors repeated in a data table against those of the samples; of a sample given twice, the last counts."""
     last = Window.partitionBy("file_id", "sample_id").orderBy(F.desc("idx"))
-    ssf = t.ssf.withColumn("n", F.row_number().over(last)).filter("n = 1").select("file_id", "sample_id", F.explode("factors").alias("f"))
-    ssf = ssf.select("file_id", "sample_id", F.col("f.key").alias("key"), F.col("f.value").alias("ssf_value"))
     samples = t.factors.select("file_id", "sample_id").distinct()
-    ssf = ssf.join(samples, ["file_id", "sample_id"], "left_semi")
+    ssf = t.ssf.join(samples, ["file_id", "sample_id"], "left_semi")
+    ssf = ssf.withColumn("n", F.row_number().over(last)).filter("n = 1").select("file_id", "sample_id", F.explode("factors").alias("f"))
+    ssf = ssf.select("file_id", "sample_id", F.col("f.key").alias("key"), F.col("f.value").alias("ssf_value"))
     both = rules.mismatched(t.factors, ssf, ["file_id", "sample_id", "key"], "value", "ssf_value")
     return issue(both.select("file_id").distinct(), 3, "SUBJECT_SAMPLE_FACTORS", "Factors", "The factors in the data table differ from those of the samples.")
 
@@ -169,39 +278,34 @@ def duplicate_data_samples(t: Tables) -> DataFrame:
 
 
 @check(9)
-def data_not_in_metabolites(t: Tables) -> DataFrame:
-    data = names(t, "Data").select("file_id", F.trim("name").alias("name"))
-    data = data.join(t.files.filter("data_section <> 'NMR_BINNED_DATA'"), "file_id", "left_semi")
-    rows = rules.not_in(data, names(t, "Metabolites").withColumn("name", F.trim("name")), ["file_id", "name"])
-    return issue(listed(rows, "name"), 9, "Data", "Data", F.concat(F.lit("Metabolites that METABOLITES doesn't have: "), "found"))
+def data_not_in_metabolites(t: Shared) -> DataFrame:
+    rows = _absent(_named(t, "Data", "Metabolites")).join(t.files.filter("data_section <> 'NMR_BINNED_DATA'"), "file_id", "left_semi")
+    return issue(rows, 9, "Data", "Data", F.concat(F.lit("Metabolites that METABOLITES doesn't have: "), "found"))
 
 
 @check(10)
-def blank_in_data(t: Tables) -> DataFrame:
-    return issue(rules.blank(names(t, "Data"), "name", METABOLITE_NA).select("file_id").distinct(), 10, "Data", "Data", "A metabolite has no name.")
+def blank_in_data(t: Shared) -> DataFrame:
+    return issue(_with_blank(_named(t, "Data")), 10, "Data", "Data", "A metabolite has no name.")
 
 
 @check(11)
-def repeated_in_data(t: Tables) -> DataFrame:
-    return issue(listed(repeated(names(t, "Data"), "name", "row"), "name"), 11, "Data", "Data", F.concat(F.lit("Metabolites given more than once: "), "found"))
+def repeated_in_data(t: Shared) -> DataFrame:
+    return issue(_several(_named(t, "Data")), 11, "Data", "Data", F.concat(F.lit("Metabolites given more than once: "), "found"))
 
 
 @check(12)
-def metabolites_not_in_data(t: Tables) -> DataFrame:
-    rows = names(t, "Metabolites").select("file_id", F.trim("name").alias("name"))
-    rows = rules.not_in(rows, names(t, "Data").withColumn("name", F.trim("name")), ["file_id", "name"])
-    return issue(listed(rows, "name"), 12, "Data", "Metabolites", F.concat(F.lit("Metabolites that the data doesn't have: "), "found"))
+def metabolites_not_in_data(t: Shared) -> DataFrame:
+    return issue(_absent(_named(t, "Metabolites", "Data")), 12, "Data", "Metabolites", F.concat(F.lit("Metabolites that the data doesn't have: "), "found"))
 
 
 @check(13)
-def blank_in_metabolites(t: Tables) -> DataFrame:
-    rows = rules.blank(names(t, "Metabolites"), "name", METABOLITE_NA).select("file_id").distinct()
-    return issue(rows, 13, "Data", "Metabolites", "A metabolite has no name.")
+def blank_in_metabolites(t: Shared) -> DataFrame:
+    return issue(_with_blank(_named(t, "Metabolites")), 13, "Data", "Metabolites", "A metabolite has no name.")
 
 
 @check(14)
-def repeated_in_metabolites(t: Tables) -> DataFrame:
-    return issue(listed(repeated(names(t, "Metabolites"), "name", "row"), "name"), 14, "Data", "Metabolites", F.concat(F.lit("Metabolites given more than once: "), "found"))
+def repeated_in_metabolites(t: Shared) -> DataFrame:
+    return issue(_several(_named(t, "Metabolites")), 14, "Data", "Metabolites", F.concat(F.lit("Metabolites given more than once: "), "found"))
 
 
 def standard_names_of(name: Column, finders: dict[str, Finder] | None = None) -> Column:
@@ -224,84 +328,84 @@ def first_columns(found: DataFrame) -> DataFrame:
     return first.select("file_id", "standard", "x.column", "x.pos")
 
 
-@check(15, by_finders=True)
-def standard_names(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
-    found = standard_columns(t, finders)
+@check(15)
+def standard_names(t: Shared) -> DataFrame:
+    found = t.standard
     has = t.headers.filter("tbl = 'Metabolites'").select("file_id", F.col("column").alias("standard"))
     rows = rules.not_in(found.filter("lower(column) <> standard"), has, ["file_id", "standard"])
     return issue(rows, 15, "Data", "Metabolites", F.concat(column_text("column", F.col("pos") + 1, F.col("dup")), F.lit(' looks like the standard column "'), "standard", F.lit('".')))
 
 
 @check(16, by_finders=True)
-def standard_values(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
+def standard_values(t: Shared, finders: dict[str, Finder] | None = None) -> DataFrame:
     """Each distinct value of a standard column is tested once, all of them in one pass; then they are counted for their columns."""
-    cells = t.cells.filter("tbl = 'Metabolites'").join(standard_columns(t, finders).select("file_id", "pos", "standard"), ["file_id", "pos"])
+    cells = cells_of(t, "Metabolites", t.standard.select("file_id", "pos", "standard"))
     values = cells.select("standard", "value").distinct()
     bad = values.filter(~may_hold(F.col("standard"), F.col("value"), finders or FINDERS))
     rows = cells.join(bad, ["standard", "value"]).groupBy("file_id", "column", "dup", "pos", "standard").agg(F.array_join(F.sort_array(F.collect_set("value")), ", ").alias("found"))
     return issue(rows, 16, "Data", "Metabolites", F.concat(column_text("column", F.col("pos") + 1, F.col("dup")), F.lit(' has values that "'), "standard", F.lit('" should not have: '), "found"))
 
 
-@check(20, by_finders=True)
-def several_standards(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
-    rows = standard_columns(t, finders).groupBy("file_id", "column", "dup", "pos").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("standard")), ", ").alias("found")).filter("n > 1")
+@check(20)
+def several_standards(t: Shared) -> DataFrame:
+    rows = t.standard.groupBy("file_id", "column", "dup", "pos").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("standard")), ", ").alias("found")).filter("n > 1")
     return issue(rows, 20, "Data", "Metabolites", F.concat(column_text("column", F.col("pos") + 1, F.col("dup")), F.lit(" could be several standard columns: "), "found"))
 
 
-def _implied(t: Tables, finders: dict[str, Finder] | None) -> DataFrame:
+def _implied(t: Shared) -> DataFrame:
     """file_id, a, b (standard columns), column_a, pos_a, column_b and pos_b (null without one): pairs of which the first is there."""
-    first = first_columns(standard_columns(t, finders))
+    first = first_columns(t.standard)
     pairs = F.create_map(*(F.lit(x) for pair in IMPLIED.items() for x in pair))
     left = first.filter(F.col("standard").isin(*IMPLIED)).select("file_id", F.col("standard").alias("a"), pairs[F.col("standard")].alias("b"), F.col("column").alias("column_a"), F.col("pos").alias("pos_a"))
     return left.join(first.select("file_id", F.col("standard").alias("b"), F.col("column").alias("column_b"), F.col("pos").alias("pos_b")), ["file_id", "b"], "left")
 
 
-@check(17, by_finders=True)
-def implied_columns(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
-    rows = _implied(t, finders).filter("pos_b IS NULL")
+@check(17)
+def implied_columns(t: Shared) -> DataFrame:
+    rows = _implied(t).filter("pos_b IS NULL")
     return issue(rows, 17, "Data", "Metabolites", F.concat(F.lit('The column "'), "column_a", F.lit('" needs a column "'), "b", F.lit('".')))
 
 
-@check(18, by_finders=True)
-def paired_values(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
+@check(18)
+def paired_values(t: Shared) -> DataFrame:
     """Rows in which one of a pair of columns has a value and the other has none; a cell that is not there has none."""
-    pairs = _implied(t, finders).filter("pos_b IS NOT NULL")
+    pairs = _implied(t).filter("pos_b IS NOT NULL")
     at = pairs.select("file_id", "a", "column_a", "column_b", F.explode(F.map_from_arrays(F.array("pos_a", "pos_b"), F.array(F.lit(True), F.lit(False)))).alias("pos", "first"))
-    cells = t.cells.filter("tbl = 'Metabolites'").select("file_id", "row", "pos", missing(F.col("value"), COLUMN_NA).alias("na")).join(at, ["file_id", "pos"])
+    cells = cells_of(t, "Metabolites", at).withColumn("na", missing(F.col("value"), COLUMN_NA))
     side = lambda first: F.coalesce(F.bool_and(F.when(F.col("first") == first, F.col("na"))), F.lit(True))
     masks = cells.groupBy("file_id", "a", "column_a", "column_b", "row").agg(side(True).alias("x"), side(False).alias("y"))
     rows = rules.unlike_masks(masks, F.col("x"), F.col("y")).select("file_id", "column_a", "column_b").distinct()
     return issue(rows, 18, "Data", "Metabolites", F.concat(F.lit('Values of the columns "'), "column_a", F.lit('" and "'), "column_b", F.lit('" should stand in the same rows.')))
 
 
-@check(19, by_finders=True)
-def other_id(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
-    rows = first_columns(standard_columns(t, finders)).filter("standard = 'other_id'")
+@check(19)
+def other_id(t: Shared) -> DataFrame:
+    rows = first_columns(t.standard).filter("standard = 'other_id'")
     return issue(rows, 19, "Data", "Metabolites", F.concat(F.lit('The column "'), "column", F.lit('" should be named after the database that its values are from.')))
 
 
-def _has_table(t: Tables, table: str) -> DataFrame:
-    return t.cells.filter(F.col("tbl") == table).select("file_id").distinct()
+def _has_table(t: Shared, table: str) -> DataFrame:
+    return t.lists.filter(F.col(table).isNotNull()).select("file_id")
 
 
 @check(21)
-def extended_without_samples(t: Tables) -> DataFrame:
+def extended_without_samples(t: Shared) -> DataFrame:
     rows = _has_table(t, "Extended").join(t.headers.filter("tbl = 'Extended' AND column = 'sample_id'"), "file_id", "left_anti")
     return issue(rows, 21, "Data", "Extended", 'The table has no column "sample_id".')
 
 
-def _extended_samples(t: Tables) -> DataFrame:
-    return t.cells.filter("tbl = 'Extended' AND column = 'sample_id' AND dup = 0").select("file_id", F.col("value").alias("sample_id"))
+def _extended_samples(t: Shared) -> DataFrame:
+    return cells_of(t, "Extended").filter("column = 'sample_id' AND dup = 0").select("file_id", F.col("value").alias("sample_id"))
 
 
 @check(22)
-def extended_samples(t: Tables) -> DataFrame:
+def extended_samples(t: Shared) -> DataFrame:
     rows = rules.not_in(_extended_samples(t), t.ssf, ["file_id", "sample_id"])
     return issue(listed(rows, "sample_id"), 22, "Data", "Extended", F.concat(F.lit("Sample IDs without factors: "), "found"))
 
 
 @check(23)
-def header_like_names(t: Tables) -> DataFrame:
+def header_like_names(t: Shared) -> DataFrame:
     out = None
     for table in ("Metabolites", "Data", "Extended"):
         rows = rules.header_like(names(t, table), "name", HEADER_LIKE)
@@ -311,9 +415,9 @@ def header_like_names(t: Tables) -> DataFrame:
 
 
 @check(25)
-def inconsistent_columns(t: Tables) -> DataFrame:
+def inconsistent_columns(t: Shared) -> DataFrame:
     """A row whose columns are not those of the first row (of JSON documents)."""
-    rows = t.cells.join(t.files.filter("input_format = 'json'"), "file_id", "left_semi").groupBy("file_id", "tbl", "row").agg(
+    rows = t.loose.join(t.files.filter("input_format = 'json'"), "file_id", "left_semi").groupBy("file_id", "tbl", "row").agg(
         F.sort_array(F.collect_list(F.struct("at", "column", "dup"))).alias("c")
     )
     rows = rows.select("file_id", "tbl", "row", F.transform("c", lambda x: F.struct(x["column"], x["dup"])).alias("c"))
@@ -328,27 +432,35 @@ def nameless_columns(t: Tables) -> DataFrame:
     return issue(rows, 26, "Data", F.col("tbl"), "A column has no name.")
 
 
-def _profile(t: Tables) -> DataFrame:
+def _columns(t: Shared, which: str) -> DataFrame:
+    """file_id, tbl, column, dup and pos of the columns that are empty, or uniform."""
     by = ["file_id", "tbl", "column", "dup"]
-    places = t.headers.groupBy(*by).agg(F.min("pos").alias("pos"))
-    return rules.column_profile(t.cells.filter("column <> 'Metabolite'"), by, COLUMN_NA).join(places, by)
+    profile = rules.column_profile(t.loose.filter("column <> 'Metabolite'"), by, COLUMN_NA)
+    found = (rules.null_columns(profile) if which == "empty" else rules.one_value_columns(profile)).select(*by)
+    found = found.join(t.headers.groupBy(*by).agg(F.min("pos").alias("pos")), by)
+    if t.digest is None:
+        return found
+    own = t.digest.select("file_id", "tbl", F.explode(F.filter("columns", lambda c: c[which])).alias("c")).select("file_id", "tbl", "c.column", "c.dup", F.col("c.pos").alias("pos"))
+    return found.unionByName(own)
 
 
 @check(27)
-def null_columns(t: Tables) -> DataFrame:
-    rows = rules.null_columns(_profile(t))
+def null_columns(t: Shared) -> DataFrame:
+    rows = _columns(t, "empty")
     return issue(rows, 27, "Data", F.col("tbl"), F.concat(column_text("column", F.col("pos") + 1, F.col("dup")), F.lit(" has no value.")))
 
 
 @check(28)
-def one_value_columns(t: Tables) -> DataFrame:
-    rows = rules.one_value_columns(_profile(t))
+def one_value_columns(t: Shared) -> DataFrame:
+    rows = _columns(t, "uniform")
     return issue(rows, 28, "Data", F.col("tbl"), F.concat(column_text("column", F.col("pos") + 1, F.col("dup")), F.lit(" has nearly always the same value.")))
 
 
 @check(29)
-def equal_rows(t: Tables) -> DataFrame:
-    rows = rules.equal_rows_of_cells(t.cells, ["file_id", "tbl"], "row", "pos", "value").select("file_id", "tbl").distinct()
+def equal_rows(t: Shared) -> DataFrame:
+    rows = rules.equal_rows_of_cells(t.loose, ["file_id", "tbl"], "row", "pos", "value").select("file_id", "tbl").distinct()
+    if t.digest is not None:
+        rows = rows.unionByName(t.digest.filter("equal_rows").select("file_id", "tbl"))
     return issue(rows, 29, "Data", F.col("tbl"), "Some rows are equal.")
 
 
@@ -358,11 +470,11 @@ def repeated_columns(t: Tables) -> DataFrame:
     return issue(rows, 30, "Data", F.col("tbl"), F.concat(F.lit("Several columns are named "), "column"))
 
 
-@check(31, by_finders=True)
-def polarities(t: Tables, finders: dict[str, Finder] | None = None) -> DataFrame:
+@check(31)
+def polarities(t: Shared) -> DataFrame:
     """The leftmost column of METABOLITES that the finder of polarities names and that holds both."""
-    columns = standard_columns(t, finders).filter("standard = 'polarity'").select("file_id", "pos", "column")
-    cells = t.cells.filter("tbl = 'Metabolites'").select("file_id", "pos", F.lower("value").alias("value")).join(columns, ["file_id", "pos"])
+    columns = t.standard.filter("standard = 'polarity'").select("file_id", "pos", F.col("column").alias("named"))
+    cells = cells_of(t, "Metabolites", columns).select("file_id", "pos", F.lower("value").alias("value"), F.col("named").alias("column"))
     found = rules.both_values(cells, ["file_id", "pos", "column"], F.col("value").isin(*POSITIVE), F.col("value").isin(*NEGATIVE))
     rows = found.groupBy("file_id").agg(F.min_by("column", "pos").alias("column"))
     return issue(rows, 31, "Data", "Metabolites", F.concat(F.lit('Both polarities stand in the column "'), "column", F.lit('".')))
@@ -375,7 +487,7 @@ def no_method_section(t: Tables) -> DataFrame:
 
 
 @check(33)
-def no_metabolites(t: Tables) -> DataFrame:
+def no_metabolites(t: Shared) -> DataFrame:
     rows = t.files.filter("data_section IN ('MS_METABOLITE_DATA', 'NMR_METABOLITE_DATA')").join(_has_table(t, "Metabolites"), "file_id", "left_anti")
     return issue(rows, 33, F.col("data_section"), "Metabolites", "There is no METABOLITES section.")
 
@@ -390,15 +502,14 @@ def first_headers(t: Tables) -> DataFrame:
 
 
 @check(35)
-def blank_extended_samples(t: Tables) -> DataFrame:
+def blank_extended_samples(t: Shared) -> DataFrame:
     rows = rules.blank(_extended_samples(t), "sample_id", SCHEMA_NA).select("file_id").distinct()
     return issue(rows, 35, "Data", "Extended", "A row has no sample ID.")
 
 
 @check(36)
-def blank_in_extended(t: Tables) -> DataFrame:
-    rows = rules.blank(names(t, "Extended"), "name", METABOLITE_NA).select("file_id").distinct()
-    return issue(rows, 36, "Data", "Extended", "A metabolite has no name.")
+def blank_in_extended(t: Shared) -> DataFrame:
+    return issue(_with_blank(_named(t, "Extended")), 36, "Data", "Extended", "A metabolite has no name.")
 
 
 def _together(parts: list[DataFrame]) -> DataFrame:
@@ -418,6 +529,7 @@ def issues(
     """All issues: ISSUE and ord, the place in a document's report. numbers: only these checks; extra: further issues; finders:
     the caller's own, in place of FINDERS; store: run a few checks at a time and write what they find to the shared
     folder, which keeps plans (and the driver's memory) small where all checks run."""
+    t = shared(t, finders, numbers, store)
     parts = [CHECKS[n](t, finders) if n in BY_FINDERS else CHECKS[n](t) for n in ORDER if n in CHECKS and (numbers is None or n in numbers)] + (extra or [])
     if store:
         parts = [stored(_together(parts[i : i + STORED_TOGETHER]), "issues") for i in range(0, len(parts), STORED_TOGETHER)]
