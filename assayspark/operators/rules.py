@@ -41,21 +41,33 @@ def equal_rows(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def equal_rows_of_cells(cells: DataFrame, by: list[str], row: str, column: str, value: str) -> DataFrame:
+def _alike(cells: DataFrame, by: list[str], row: str, key: list[str], value: str) -> DataFrame:
+    """by, row, n (cells) and first of rows that share their fingerprint with others: the first of them with the least row."""
+    h = [F.xxhash64(F.lit(seed), *key, F.col(value).isNull(), F.col(value)).cast("decimal(20, 0)") for seed in (0, 1)]
+    prints = cells.groupBy(*by, row).agg(F.count("*").alias("n"), F.sum(h[0]).alias("a"), F.sum(h[1]).alias("b"))
+    shared = prints.groupBy(*by, "n", "a", "b").agg(F.min(row).alias("first"), F.max(row).alias("last")).filter("first < last").drop("last")
+    return prints.join(shared, [*by, "n", "a", "b"]).select(*by, row, "first", "n")
+
+
+def equal_rows_of_cells(cells: DataFrame, by: list[str], row: str, column: str, value: str, order: str | None = None) -> DataFrame:
     """by, row and first of rows, given as cells, that have the columns and values of an earlier one (the first such).
 
     A row becomes a fingerprint of 128 bits: two sums of hashes of its cells, which tasks add up in any order, so no row is
     gathered, however many columns it has. Rows that share one are then held against the first of them cell by cell; a row may hold a
-    column, and a value in it, several times, so equal cells are counted first.
+    column, and a value in it, several times, so equal cells are counted first. order: a column by whose order a row's cells of one column
+    are told apart (the first against the first, and so on); without one, they are equal in any order.
     """
-    h = [F.xxhash64(F.lit(seed), F.col(column), F.col(value).isNull(), F.col(value)).cast("decimal(20, 0)") for seed in (0, 1)]
-    prints = cells.groupBy(*by, row).agg(F.count("*").alias("n"), F.sum(h[0]).alias("a"), F.sum(h[1]).alias("b"))
-    shared = prints.groupBy(*by, "n", "a", "b").agg(F.min(row).alias("first"), F.max(row).alias("last")).filter("first < last").drop("last")
-    again = prints.join(shared, [*by, "n", "a", "b"]).filter(F.col(row) > F.col("first")).select(*by, row, "first", "n")
-    held = cells.groupBy(*by, row, column, value).agg(F.count("*").alias("times"))
+    key = [column]
+    if order is not None:  # told apart only where rows are equal in any order
+        alike = _alike(cells, by, row, [column], value)
+        cells = cells.join(alike.select(*by, row), [*by, row], "left_semi")
+        cells = cells.withColumn("nth", F.row_number().over(Window.partitionBy(*by, row, column).orderBy(order))).drop(order)
+        key.append("nth")
+    again = _alike(cells, by, row, key, value).filter(F.col(row) > F.col("first")).select(*by, row, "first", "n")
+    held = cells.groupBy(*by, row, *key, value).agg(F.count("*").alias("times"))
     mine = held.join(again, [*by, row])
     firsts = held.join(again.select(*by, F.col("first").alias(row)).distinct(), [*by, row], "left_semi").withColumnsRenamed({row: "first", value: "other", "times": "others"})
-    same = mine.join(firsts, [*by, "first", column]).filter(F.col(value).eqNullSafe(F.col("other")) & (F.col("times") == F.col("others")))
+    same = mine.join(firsts, [*by, "first", *key]).filter(F.col(value).eqNullSafe(F.col("other")) & (F.col("times") == F.col("others")))
     return same.groupBy(*by, row, "first", "n").agg(F.sum("times").alias("same")).filter("same = n").select(*by, row, "first")
 
 
