@@ -4,9 +4,11 @@
     spark.read.format("assaytab").option("table", "cells").load("folder")       # documents, items, ssf, cells or values
     texts.write.format("assaytab").option("archive", "zip").mode("overwrite").save("all.zip")
 
-Reading. A zip archive's central directory and a tar archive's chain of headers are read first, and their members become ranges of
-bytes, dealt to tasks as whole files are, so one archive is read by many tasks and never held as a whole. Compressed tar archives
-are streams, each one task's. Options file_id, and section (of items) or tbl (of cells), choose by a value: files are left unread and lines unparsed.
+Reading. A zip archive's central directory and a tar archive's chain of headers are passed through first, in pieces, and dealt to tasks as whole files
+are: a task is given a part of the directory or chain, and finds its members there. So one archive is read by many tasks and neither it nor its
+members' names are ever held as a whole. Compressed tar archives are streams, each one task's.
+Options file_id, and section (of items) or tbl (of cells), choose by a value: files are left unread and lines unparsed. Option where
+(`SU:SUBJECT_TYPE=Human`) gives only documents of which an item has the value.
 With option filters=true they follow from the query's own filters, for which Spark needs spark.sql.python.filterPushdown.enabled.
 
 Writing. Tasks write below a hidden folder beside the result; what is committed is moved into place, and a job that fails leaves nothing. For one
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import io
 import re
 import struct
 import tarfile
@@ -27,18 +30,20 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
 
-from assayspark.functions.one_document import READ, rows_of
+from assayspark.functions.one_document import READ, holds, rows_of
+from assayspark.operators.extract import SECTIONS
 from assayspark.sources.files import READ_IN_FOLDERS
 
 DOCUMENTS = "text string, error string"
 PARTITION_BYTES = 32_000_000
 PIECE = 8_000_000
+EACH = 1000  # bytes that opening a document is held to cost
 BATCH_ROWS, BATCH_BYTES = 20_000, 8_000_000
 STREAMS = (".tar.gz", ".tar.bz2")
 ARCHIVES = ("zip", "tar", "tar.gz", "tar.bz2")
@@ -51,15 +56,20 @@ def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 @dataclass(frozen=True)
 class Unit:
-    """What one task reads in one go: a file, or a member of an archive by its range."""
+    """What one task reads in one go: a file, or members of an archive that follow each other in its index (a zip archive's directory, a
+    tar archive's chain of headers)."""
 
     path: str
-    name: str  # file_id
+    name: str  # file_id; of several members, the archive's
     kind: str  # file, stream, zip or tar
-    offset: int = 0
     size: int = 0  # in the file
-    packed: bool = False
-    crc: int = 0
+    at: int = 0  # the part of the index that the members stand in
+    length: int = 0
+    shift: int = 0  # what stands in front of a zip archive
+    headers: tuple[tuple[str, str], ...] = ()  # a tar archive's own up to here
+
+    def goes_on_with(self, other: Unit) -> bool:
+        return self.kind in ("zip", "tar") and (self.path, self.kind, self.at + self.length) == (other.path, other.kind, other.at)
 
 
 @dataclass
@@ -67,8 +77,9 @@ class Units(InputPartition):
     units: list[Unit]
 
 
-def units_of(path: str) -> Iterator[Unit]:
-    """The units of a file, an archive, or a folder at any depth."""
+def units_of(path: str, most: int = 0) -> Iterator[Unit]:
+    """The units of a file, an archive (each of its members), or a folder at any depth. Indexes of archives are passed through in pieces. most: members
+    of a zip archive are one unit up to about so many bytes, without their names."""
     fs, top = opened(path)
     info = fs.get_file_info(top)
     if info.type == pyarrow.fs.FileType.NotFound:
@@ -80,28 +91,98 @@ def units_of(path: str) -> Iterator[Unit]:
     for f in sorted(found, key=lambda f: f.path):
         name = path if info.is_file else path.rstrip("/") + f.path[len(top.rstrip("/")) :]
         if f.path.endswith(".zip"):
-            with fs.open_input_file(f.path) as file, zipfile.ZipFile(file) as archive:
-                yield from (Unit(name, f"{name}/{m.filename}", "zip", m.header_offset, m.compress_size, m.compress_type == zipfile.ZIP_DEFLATED, m.CRC) for m in archive.infolist() if not m.is_dir())
+            with fs.open_input_file(f.path) as file:
+                yield from _zip_members(file, name, most)
         elif f.path.endswith(".tar"):
             with fs.open_input_file(f.path) as file, tarfile.open(fileobj=file, mode="r:") as archive:
+                start, headers = 0, ()
                 for m in archive:
                     archive.members = []  # else all of them stay in memory
                     if m.isfile():
-                        yield Unit(name, f"{name}/{m.name}", "tar", m.offset_data, m.size)
+                        yield Unit(name, f"{name}/{m.name}", "tar", m.size, start, archive.offset - start, 0, headers)
+                        start, headers = archive.offset, tuple(archive.pax_headers.items())
         else:
-            yield Unit(name, name, "stream" if f.path.endswith(STREAMS) else "file", 0, f.size)
+            yield Unit(name, name, "stream" if f.path.endswith(STREAMS) else "file", f.size)
+
+
+_END, _END_64, _IN_DIRECTORY = struct.Struct("<4s4H2IH"), struct.Struct("<4sQ2H2I4Q"), struct.Struct("<4s6H3I3H")
+
+
+def _zip_directory(file: pa.NativeFile) -> tuple[int, int, int]:
+    """Where a zip archive's directory begins and ends in the file, and what stands in front of the archive."""
+    whole = file.size()
+    first = max(0, whole - _END.size - 0xFFFF)
+    file.seek(first)
+    tail = file.read()
+    plain = tail[-_END.size :]  # without a comment
+    at = len(tail) - _END.size if plain.startswith(b"PK\5\6") and plain.endswith(b"\0\0") else tail.rfind(b"PK\5\6")
+    if not 0 <= at <= len(tail) - _END.size:
+        raise zipfile.BadZipFile(f"No zip archive: {whole} bytes")
+    size, offset = _END.unpack_from(tail, at)[5:7]
+    end, far = first + at, _END_64.size + 20  # the record for large archives and its locator
+    if end >= far:
+        file.seek(end - far)
+        record = file.read(far)
+        if record.startswith(b"PK\6\6") and record[_END_64.size :].startswith(b"PK\6\7"):
+            size, offset = _END_64.unpack_from(record)[8:10]
+            end -= far
+    return end - size, end, end - size - offset
+
+
+def _zip_entries(directory: bytes) -> list[zipfile.ZipInfo]:
+    """The entries of a part of a directory, read as the directory of an archive of its own."""
+    with zipfile.ZipFile(io.BytesIO(directory + _zip_end(0, len(directory), 0))) as archive:
+        return archive.infolist()
+
+
+def _zip_members(file: pa.NativeFile, name: str, most: int) -> Iterator[Unit]:
+    start, end, shift = _zip_directory(file)
+    file.seek(start)
+    held, at, here = b"", 0, start  # a piece of the directory, the place in it, and that of the piece in the file
+    size = 0
+    while here + at < end:
+        if len(held) - at < 4 * 0x10000 and here + len(held) < end:  # an entry has at most three parts of 64 KB behind its head
+            here, held, at = here + at, held[at:] + file.read(min(PIECE, end - here - len(held))), 0
+        sign, _, _, flags, *_, packed, _, called, extra, comment = _IN_DIRECTORY.unpack_from(held, at)
+        if sign != b"PK\1\2":
+            raise zipfile.BadZipFile(f"The directory of {name} is damaged")
+        entry, at = at, at + 46 + called + extra + comment
+        size += packed + EACH
+        if size < most and here + at < end:
+            continue
+        member = None
+        if not most:
+            raw = held[entry + 46 : entry + 46 + called]
+            member = _zip_entries(held[entry:at])[0].filename if extra or b"\0" in raw else raw.decode("utf-8" if flags & 0x800 else "cp437")
+        if member is None or not member.endswith("/"):
+            yield Unit(name, name if member is None else f"{name}/{member}", "zip", size - EACH, start, here + at - start, shift)
+            start = here + at
+        size = 0
 
 
 def dealt(units: Iterator[Unit], most: int) -> list[list[Unit]]:
-    """Units in order, in groups of about `most` bytes; a unit is never split."""
+    """Units in order, in groups of about `most` bytes; a unit is never split. Of members that follow each other, no more is kept than the part of the
+    index that they stand in, so the groups of an archive are small however many members it has."""
     out: list[list[Unit]] = [[]]
-    held = 0
+    first = last = None  # of members that follow each other
+    held = size = 0
+
+    def close() -> None:
+        if first is not None:
+            out[-1].append(first if first is last else replace(first, name=first.path, size=size, length=last.at + last.length - first.at))
+
     for u in units:
-        if held and held + u.size > most:
+        full = held and held + u.size > most
+        if full or first is None or not last.goes_on_with(u):
+            close()
+            first, size = u, 0
+        if full:
             out.append([])
             held = 0
-        out[-1].append(u)
-        held += u.size + 1000  # opening a file costs something too
+        last = u
+        size += u.size
+        held += u.size + EACH
+    close()
     return [x for x in out if x]
 
 
@@ -118,16 +199,43 @@ def contents(units: list[Unit]) -> Iterator[tuple[str, bytes]]:
                         yield f"{u.name}/{m.name}", archive.extractfile(m).read()
             continue
         with fs.open_input_file(path) as file:
-            file.seek(u.offset)
+            file.seek(u.at)
             if u.kind == "zip":
-                head = file.read(30)
-                file.seek(u.offset + 30 + sum(struct.unpack("<HH", head[26:30])))
-            data = file.read(u.size)
-        if u.packed:
-            data = zlib.decompress(data, -15)
-        if u.kind == "zip" and zlib.crc32(data) != u.crc:
-            raise ValueError(f"{u.name} is damaged")
-        yield u.name, gzip.decompress(data) if path.endswith(".gz") else bz2.decompress(data) if path.endswith(".bz2") else data
+                for m in _zip_entries(file.read(u.length)):
+                    if not m.is_dir():
+                        yield f"{u.path}/{m.filename}", _zip_member(file, u, m)
+            elif u.kind == "tar":
+                with tarfile.open(fileobj=file, mode="r:", pax_headers=dict(u.headers)) as archive:
+                    for m in archive:
+                        archive.members = []
+                        if m.isfile():
+                            yield f"{u.path}/{m.name}", archive.extractfile(m).read()
+                        if archive.offset >= u.at + u.length:
+                            break
+            else:
+                data = file.read(u.size)
+                yield u.name, gzip.decompress(data) if path.endswith(".gz") else bz2.decompress(data) if path.endswith(".bz2") else data
+
+
+def _zip_member(file: pa.NativeFile, unit: Unit, m: zipfile.ZipInfo) -> bytes:
+    at = unit.shift + m.header_offset
+    file.seek(at)
+    file.seek(at + 30 + sum(struct.unpack("<HH", file.read(30)[26:30])))
+    data = file.read(m.compress_size)
+    if m.compress_type == zipfile.ZIP_DEFLATED:
+        data = zlib.decompress(data, -15)
+    if zlib.crc32(data) != m.CRC:
+        raise ValueError(f"{unit.path}/{m.filename} is damaged")
+    return data
+
+
+def _condition(text: str) -> tuple[str, str, str]:
+    """`SEC:KEY=value` as section, key and value."""
+    key, sign, value = text.partition("=")
+    code, colon, key = key.partition(":")
+    if not sign or not colon:
+        raise ValueError(f"{text!r} is no condition SEC:KEY=value")
+    return SECTIONS.get(code, code), key, value
 
 
 class Reader(DataSourceReader):
@@ -135,6 +243,7 @@ class Reader(DataSourceReader):
         self.path, self.table, self.schema = options.get("path"), table, schema
         self.most = int(options.get("partitionbytes", PARTITION_BYTES))
         self.wanted = {c: options[c] for c in self.chosen_by() if c in options}
+        self.where = _condition(options["where"]) if "where" in options else None
         if not self.path:
             raise ValueError("assaytab needs a path")
 
@@ -144,7 +253,7 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[Units]:
         only = self.wanted.get("file_id")
-        units = (u for u in units_of(self.path) if only is None or u.name == only or (u.kind == "stream" and only.startswith(f"{u.name}/")))
+        units = (u for u in units_of(self.path, 0 if only else self.most) if only is None or u.name == only or (u.kind == "stream" and only.startswith(f"{u.name}/")))
         return [Units(x) for x in dealt(units, self.most)]
 
     def read(self, partition: Units) -> Iterator[pa.RecordBatch]:
@@ -160,6 +269,8 @@ class Reader(DataSourceReader):
                 text, error = data.decode("utf-8"), None
             except UnicodeDecodeError as fault:
                 text, error = None, str(fault)
+            if self.where and not holds(text or "", *self.where):
+                continue
             if self.table == "documents":
                 new = iter([(text, error)])
             else:
