@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,10 @@ class Tables:
     Beside them, where documents were read as text (else None; lost where tables are replaced or cells are written):
     grids:    file_id, tbl, names, dups, values      tables of one block without overflow: the columns, and the values of each row, one for each column
     others:   as cells, those that are in no grid
+
+    and where they were read as JSON (lost likewise):
+    lists:    file_id, tbl, names, rows (row and cells: pos, value, raw)      tables that stand in one section
+    loose:    as cells, those that are in neither a grid nor a list
     """
 
     files: DataFrame
@@ -51,17 +56,27 @@ class Tables:
     blocks: DataFrame
     results: DataFrame
 
-    grids = others = None  # no fields, so that replace() drops them
+    grids = others = lists = loose = None  # no fields, so that replace() drops them
 
     def with_grids(self, grids: DataFrame | None, others: DataFrame | None) -> Tables:
         self.grids, self.others = grids, others
         return self
 
+    def with_lists(self, lists: DataFrame | None, loose: DataFrame | None) -> Tables:
+        self.lists, self.loose = lists, loose
+        return self
+
+    def beside(self, other: Tables) -> Tables:
+        """These tables with what the other has beside its own."""
+        return self.with_grids(other.grids, other.others).with_lists(other.lists, other.loose)
+
     def union(self, other: Tables) -> Tables:
         out = Tables(*(getattr(self, f.name).unionByName(getattr(other, f.name)) for f in fields(self)))
-        grids = [x.grids for x in (self, other) if x.grids is not None]
-        loose = [x.cells if x.others is None else x.others for x in (self, other)]
-        return out.with_grids(grids[0] if len(grids) == 1 else grids[0].unionByName(grids[1]), loose[0].unionByName(loose[1])) if grids else out
+        one = lambda frames: reduce(DataFrame.unionByName, frames) if frames else None
+        grids, lists = (one([x for x in (getattr(t, name) for t in (self, other)) if x is not None]) for name in ("grids", "lists"))
+        rest = [t.cells if t.others is None else t.others for t in (self, other)]
+        loose = [x if t.loose is None else t.loose for t, x in zip((self, other), rest, strict=True)]
+        return out.with_grids(grids, one(rest) if grids is not None else None).with_lists(lists, one(loose) if lists is not None else None)
 
     def save(self, folder: str, *names: str) -> Tables:
         """Writes all tables, or those that are named, as Parquet and reads them back, so that texts are parsed once. Others stay as they are."""
@@ -74,7 +89,7 @@ class Tables:
             df.write.mode("overwrite").parquet(f"{folder}/{f.name}")
             out.append(spark.read.schema(df.schema).parquet(f"{folder}/{f.name}"))
         kept = Tables(*out)
-        return kept.with_grids(self.grids, self.others) if names and "cells" not in names else kept
+        return kept.beside(self) if names and "cells" not in names else kept
 
     def kept(self, *names: str) -> Tables:
         """save() to a new folder of shared_folder()."""

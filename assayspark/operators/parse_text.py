@@ -66,9 +66,10 @@ def _rest(array: str) -> Column:
 
 def _tokens(line: Column) -> Column:
     """The cells of a line, without quotes and spaces around them and without empty ones at its end."""
-    used = F.rtrim(line, F.lit('" \t'))
-    trimmed = F.when(used == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(used, "\t"), lambda x: F.btrim(x, F.lit('" '))))
-    return F.when(line.contains('"') | line.contains(" ") | line.endswith("\t"), trimmed).otherwise(F.split(line, "\t"))
+    none = F.array().cast("array<string>")
+    trimmed = _held(F.rtrim(line, F.lit('" \t')), lambda used: F.when(used == "", none).otherwise(F.transform(F.split(used, "\t"), lambda x: F.btrim(x, F.lit('" ')))))
+    plain = _held(F.rtrim(line, F.lit("\t")), lambda used: F.when(used == "", none).otherwise(F.split(used, "\t")))
+    return F.when(line.contains('"') | line.contains(" "), trimmed).when(line.endswith("\t"), plain).otherwise(F.split(line, "\t"))
 
 
 def _is_header(tokens: Column, block_name: Column, samples: Column) -> Column:
@@ -113,7 +114,7 @@ def located(documents: DataFrame) -> DataFrame:
 
     A document's lines are found and read within its row, so nothing is shuffled: a few lines mark where sections and blocks begin and
     end, and all between two marks is alike."""
-    line_of = F.split(F.regexp_replace("text", "\r", "\n"), "\n")
+    line_of = F.split(F.replace("text", F.lit("\r"), F.lit("\n")), "\n")
     rows = documents.select("file_id", F.filter(line_of, lambda x: x != "").alias("lines"))
     marks = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda m: m["line"].startswith("#") | m["line"].endswith("_START") | m["line"].endswith("_END"))
 
@@ -226,6 +227,13 @@ def text_values(documents: DataFrame) -> DataFrame:
     return rows.select("file_id", "tbl", "row", "metabolite", F.inline("cells"))
 
 
+def text_cells(documents: DataFrame) -> DataFrame:
+    """The cells of documents(file_id, text, error), as in Tables, for callers that read nothing else. Those that are not text are left out. Tables are
+    written to the shared folder first."""
+    documents = documents.filter(F.col("error").isNull() & is_text(F.col("text")))
+    return _cells_of(stored(located(documents).select("file_id", "tables"), "located").select("file_id", F.inline("tables")))
+
+
 def text_tables(documents: DataFrame, store_tables: bool = True) -> Tables:
     """All tables of documents(file_id, text, error); those that are not text are left out. Documents are located() once, which is written to
     the shared folder; cells follow from it without a shuffle. store_tables=False: only the lines beside tables are written, for callers who read few tables."""

@@ -28,7 +28,7 @@ def to_tables(documents: DataFrame, force: bool = False, on_error: str = "row")
     files = good.files.unionByName(bad)
     if on_error == "raise":
         files = files.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat("file_id", F.lit(": "), "error")).cast("string")))
-    return replace(good, files=files).with_grids(good.grids, good.others)
+    return replace(good, files=files).beside(good)
 
 
 def read_tables(spark: SparkSession, *paths: str, force: bool = False, on_error: str = "row") -> Tables:

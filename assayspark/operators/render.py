@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +95,10 @@ def text_lines(t: Tables) -> DataFrame:
     names = tables.join(names, ["file_id", "tbl"], "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     out = out.unionByName(lines(names, F.array_join(F.concat(F.array(first), "names"), "\t"), _place(section), k + 2))
     out = out.unionByName(lines(_factor_lines(t, names.filter("tbl = 'Data' AND section <> 'NMR_BINNED_DATA'")), F.col("line"), _place(section), F.lit(13)))
-    rows = filled(t).select("file_id", "tbl", "row", F.array_join("values", "\t").alias("line"))
+    rows = filled(t if t.lists is None else replace(t, cells=t.loose)).select("file_id", "tbl", "row", F.array_join("values", "\t").alias("line"))
+    if t.lists is not None:  # and tables that are known as a whole
+        whole = _listed(t.lists) if t.grids is None else _listed(t.lists).unionByName(_gridded(t.grids))
+        rows = rows.unionByName(whole.select("file_id", "tbl", F.lit(0).alias("row"), "line"))
     out = out.unionByName(lines(_data_section(t, rows), F.col("line"), _place(section), k + 4, F.col("row")))
     return out.unionByName(lines(heads, F.lit("#END"), F.lit(LAST + 1)))
 
@@ -134,6 +139,24 @@ def filled(t: Tables) -> DataFrame:
     return rows.select("file_id", "tbl", "row", F.transform(whole, lambda x: F.coalesce(x["value"], F.lit(""))).alias("values"))
 
 
+def _gridded(grids: DataFrame) -> DataFrame:
+    """file_id, tbl and line: the lines of all rows of a table."""
+    return grids.filter(F.size("values") > 0).select("file_id", "tbl", F.array_join(F.transform("values", lambda x: F.array_join(x, "\t")), "\n").alias("line"))
+
+
+def _listed(lists: DataFrame) -> DataFrame:
+    """As _gridded(), of rows that lack columns or have them in another order: tabs stand for what they lack."""
+    tabs = lambda n: F.repeat(F.lit("\t"), n)
+
+    def add(held: Column, x: Column) -> Column:
+        before = F.when(held["any"], F.greatest(x["pos"] - held["pos"], F.lit(1))).otherwise(x["pos"])
+        return F.struct(F.lit(True).alias("any"), x["pos"].alias("pos"), F.concat(held["line"], tabs(before), F.coalesce(x["value"], F.lit(""))).alias("line"))
+
+    start = F.struct(F.lit(False).alias("any"), F.lit(0).alias("pos"), F.lit("").alias("line"))
+    line = lambda x: F.aggregate(F.sort_array(x["cells"]), start, add, lambda held: F.concat(held["line"], tabs(F.size("names") - 1 - held["pos"])))
+    return lists.select("file_id", "tbl", F.array_join(F.transform(F.filter("rows", lambda x: F.size(x["cells"]) > 0), line), "\n").alias("line"))
+
+
 def to_text(t: Tables) -> DataFrame:
     """file_id and text of every readable document, in the text form."""
     lines = text_lines(t).groupBy("file_id").agg(_sorted("line", *PLACE).alias("lines"))
