@@ -228,10 +228,10 @@ def text_values(documents: DataFrame) -> DataFrame:
 
 
 def text_cells(documents: DataFrame) -> DataFrame:
-    """The cells of documents(file_id, text, error), as in Tables, for callers that read nothing else. Those that are not text are left out. Tables are
-    written to the shared folder first."""
+    """The cells of documents(file_id, text, error), as in Tables, for callers that read nothing else; nothing is written. Those that are not text are left out."""
     documents = documents.filter(F.col("error").isNull() & is_text(F.col("text")))
-    return _cells_of(stored(located(documents).select("file_id", "tables"), "located").select("file_id", F.inline("tables")))
+    # not inline(), for which Spark would look for documents without tables first, and read each twice
+    return _cells_of(located(documents).select("file_id", F.inline_outer("tables")).filter("tbl IS NOT NULL"))
 
 
 def text_tables(documents: DataFrame, store_tables: bool = True) -> Tables:

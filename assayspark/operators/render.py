@@ -62,7 +62,7 @@ def text_lines(t: Tables) -> DataFrame:
 
     body = t.items.filter((section != HEADER) & (key != "Units"))
     present = body.select("file_id", "section").unionByName(t.results.select("file_id", "section")).unionByName(t.items.filter("key = 'Units'").select("file_id", "section"))
-    present = present.unionByName(_data_section(t, t.cells.select("file_id")).select("file_id", "section")).distinct()
+    present = present.unionByName(_data_section(t, _with_cells(t)).select("file_id", "section")).distinct()
     out = out.unionByName(lines(present, F.concat(F.lit("#"), F.when(section == "NM", "NMR").otherwise(section)), _place(section)))
     padded = F.concat(_code(section), F.when(F.length(key) < KEY, F.rpad(key, KEY, " ")).otherwise(key), F.lit("\t"))
     long = (F.length("value") > WIDTH) & ~key.endswith("_FILENAME")
@@ -139,6 +139,14 @@ def filled(t: Tables) -> DataFrame:
     return rows.select("file_id", "tbl", "row", F.transform(whole, lambda x: F.coalesce(x["value"], F.lit(""))).alias("values"))
 
 
+def _with_cells(t: Tables) -> DataFrame:
+    """The file_id of documents whose tables have cells."""
+    if t.lists is None:
+        return t.cells.select("file_id")
+    found = t.lists.select("file_id").unionByName(t.loose.select("file_id"))
+    return found if t.grids is None else found.unionByName(t.grids.filter(F.size("values") > 0).select("file_id"))
+
+
 def _gridded(grids: DataFrame) -> DataFrame:
     """file_id, tbl and line: the lines of all rows of a table."""
     return grids.filter(F.size("values") > 0).select("file_id", "tbl", F.array_join(F.transform("values", lambda x: F.array_join(x, "\t")), "\n").alias("line"))
